@@ -1,0 +1,224 @@
+"""Main text of web pages by two-pass block rules."""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import on_workers, table
+
+#: Function words of the languages met; their share tells prose from labels.
+STOP_WORDS = frozenset(
+    "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was were which will with you "
+    "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son sont sur un une vous "
+    "als am auch auf aus bei das dem den der des die ein eine einem einen einer er es für hat ich im ist mit nach nicht noch sich sie sind so und von war was wie wir zu zum "
+    "al como con del el ella ellos en era es esta este fue ha hay la las lo los más me mi muy no nos o para pero por que se ser si sin su sus un una y ya".split()
+)
+BLOCK_TAGS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: What stands inside these never is main text.
+DROPPED_TAGS = frozenset("head nav footer aside form menu dialog select button template noscript iframe svg object canvas video audio textarea".split())
+RAW_TAGS = frozenset(("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe"))
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Parts of class, id or role names of page furniture.
+FURNITURE = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|byline|comments?|consent|cookies?|copyright|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|alert|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget|reply|replies|discussion|complementary|contentinfo|signup|login|search|tags|teaser)(?:$|[\s_-])",
+    re.I,
+)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Page furniture of an article's own, such as its headline's header, may stand in these.
+CONTENT_TAGS = frozenset(("article", "main"))
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+SPACE = re.compile(r"\s+")
+
+SHORT_CHARS = 70
+LONG_CHARS = 200
+STOP_LOW = 0.10
+STOP_HIGH = 0.20
+MAX_LINK_DENSITY = 0.4
+
+
+@dataclass
+class Block:
+    text: str
+    link_chars: int
+    heading: bool
+    inside: bool
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Blocks of text outside of scripts, forms and other page furniture, in page order.
+
+    Tags that are never closed end with the element around them. `inside` tells blocks
+    of an article or main element.
+    """
+    found: list[Block] = []
+    parts: list[str] = []
+    links = [0]
+    stack: list[tuple[str, bool]] = []
+    state = {"dropped": 0, "link": 0, "content": 0}
+
+    def flush() -> None:
+        if parts:
+            text = SPACE.sub(" ", "".join(parts)).strip()
+            if text:
+                heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack)
+                found.append(Block(text, min(links[0], len(text)), heading, state["content"] > 0))
+            parts.clear()
+        links[0] = 0
+
+    def put(raw: str) -> None:
+        if raw and not state["dropped"]:
+            text = entities.unescape(raw) if "&" in raw else raw
+            parts.append(text)
+            if state["link"]:
+                links[0] += len(text.strip())
+
+    def pop() -> None:
+        tag, dropped = stack.pop()
+        state["dropped"] -= dropped
+        state["link"] -= tag == "a"
+        state["content"] -= tag in CONTENT_TAGS
+
+    at, n = 0, len(page)
+    while at < n:
+        m = TOKEN.search(page, at)
+        if not m:
+            put(page[at:])
+            break
+        put(page[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            if m[0].startswith("<![CDATA["):
+                put(entities.escape(m[0][9:].removesuffix("]]>")))
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if tag in BLOCK_TAGS:
+                flush()
+            if any(t == tag for t, _ in stack):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            continue
+        if tag in BLOCK_TAGS:
+            flush()
+        if tag in VOID_TAGS:
+            continue
+        attributes = m[3]
+        dropped = tag in DROPPED_TAGS or (tag == "header" and not state["content"]) or bool(attributes and tag not in ("html", "body", "article", "main") and furniture(attributes))
+        if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
+            continue
+        if tag in RAW_TAGS:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else n
+            continue
+        # A paragraph or list item ends where the next one begins.
+        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
+            pop()
+        stack.append((tag, dropped))
+        state["dropped"] += dropped
+        state["link"] += tag == "a"
+        state["content"] += tag in CONTENT_TAGS
+    flush()
+    return found
+
+
+def furniture(attributes: str) -> bool:
+    return bool(HIDDEN.search(attributes)) or any(FURNITURE.search(a or b or c or "") for a, b, c in ATTRIBUTE.findall(attributes))
+
+
+def first_pass(block: Block) -> str:
+    """good, bad, near_good or short."""
+    text = block.text
+    words = text.split(" ")
+    if block.link_chars > MAX_LINK_DENSITY * len(text):
+        return "bad"
+    stop = sum(w.strip(".,;:!?()\"'*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
+    if block.inside:
+        # What an article holds is prose unless it is a list of labels.
+        return "good" if len(text) > LONG_CHARS and stop >= STOP_LOW else "near_good" if stop >= STOP_LOW else "short"
+    if "©" in text and len(text) < LONG_CHARS:
+        return "bad"
+    if len(text) < SHORT_CHARS:
+        return "short"
+    if stop >= STOP_HIGH:
+        return "good" if len(text) > LONG_CHARS else "near_good"
+    return "near_good" if stop >= STOP_LOW else "bad"
+
+
+def second_pass(blocks: list[Block], labels: list[str], has_content: bool) -> list[bool]:
+    """Ambiguous blocks take the label of the nearest decided neighbours.
+
+    Between a good and a bad neighbour a near_good block is good and a short one bad; with none
+    at all, near_good is good. Blocks of the page's article are decided by it.
+    """
+    n = len(blocks)
+    before: list[str | None] = [None] * n
+    after: list[str | None] = [None] * n
+    last = None
+    for i in range(n):
+        before[i] = last
+        last = labels[i] if labels[i] in ("good", "bad") else last
+    last = None
+    for i in reversed(range(n)):
+        after[i] = last
+        last = labels[i] if labels[i] in ("good", "bad") else last
+    out = []
+    for i in range(n):
+        label = labels[i]
+        if has_content and blocks[i].inside and label != "bad":
+            out.append(True)
+        elif has_content and not blocks[i].inside:
+            out.append(False)
+        elif label in ("good", "bad"):
+            out.append(label == "good")
+        else:
+            near = {before[i], after[i]} - {None}
+            mixed = len(near) == 2
+            out.append("good" in near and (not mixed or label == "near_good" or blocks[i].heading) or (not near and label == "near_good"))
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text: kept blocks joined by line feeds, empty if there is none."""
+    if not page:
+        return ""
+    blocks = blocks_of(page)
+    has_content = any(b.inside for b in blocks)
+    keep = second_pass(blocks, [first_pass(b) for b in blocks], has_content)
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+
+
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: page_id, url, text, n_chars; the pages are not shuffled.
+
+    Blocks inside navigation, headers, footers, sidebars, notices, adverts, forms, comments,
+    scripts and styles are dropped by tag and by class, id or role name. The first pass
+    labels a block by stop-word density, length and link density; the second gives
+    ambiguous short blocks the label of their nearest decided neighbours. Where a page marks
+    its article, only the article's blocks are candidates.
+
+    Nulls: a null page has an empty text; null ids and urls are kept. Repeated rows give
+    repeated rows, an empty table an empty result. Broken markup never raises.
+    """
+    on_workers(pages.sparkSession)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [extract(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+
+def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, rules
+from . import decontaminate, html, mixing, pii, rules, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op4_extract_html": html.op4_extract_html,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_find_pii": pii.op6_find_pii,
         "op8_quality_rules": rules.op8_quality_rules,
+        "op9_token_counts": tokens.op9_token_counts,
     }
 
 
