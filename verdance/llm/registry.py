@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, pii, rules, tokens
+from . import decontaminate, html, mixing, near, pii, rules, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_extract_html": html.op4_extract_html,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_find_pii": pii.op6_find_pii,
+        "op7_near_duplicates": near.op7_near_duplicates,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_token_counts": tokens.op9_token_counts,
     }
