@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, near, pii, rules, tokens
+from . import decontaminate, html, mixing, near, pii, rules, suffixes, tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_near_duplicates": near.op7_near_duplicates,
         "op8_quality_rules": rules.op8_quality_rules,
         "op9_token_counts": tokens.op9_token_counts,
+        "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     }
 
 
