@@ -1,5 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: from raw documents to a training mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes it as
+Parquet and hands it to the next as docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdance.llm import decontaminate, mixing, near, pii, quality
+from verdance.llm.common import cut, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays."""
+    return near.without_near_duplicates(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document once for each repetition taken, with its epoch."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("mix", mix_stage),
+]
+
+#: The classifier, the signatures and the boosted trees have no SQL form; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, with what each returns written to the shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -143,14 +143,14 @@ def find_windows(
     return merged.withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, max_share: float = 0.0, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", max_share: float = 0.0, **options) -> DataFrame:
     """The rows of docs, all columns, whose share of hit words is at most max_share.
 
-    Documents are told apart by id. A document without words stays.
+    Rows travel whole through the scan, so nothing is joined back. A document without words stays.
     """
-    id_col = options.get("id_col", "doc_id")
-    found = find_windows(docs, items, **options).where(F.size("hits") > F.lit(max_share) * F.col("n_words")).select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_of")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    found = find_windows(rows, items, id_col="_row", text_col="_text", **options)
+    return found.where(F.size("hits") <= F.lit(max_share) * F.col("n_words")).select("doc_id.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, mixing, near, pii, rules, suffixes, tokens
+import corpus_pipeline
+
+from . import decontaminate, html, mixing, near, pii, quality, rules, suffixes, tokens
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_extract_html": html.op4_extract_html,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_find_pii": pii.op6_find_pii,

@@ -158,7 +158,7 @@ def apply_rules(
     """
     rules = list(default_rules() if rules is None else rules)
     rows = measured(docs, id_col, text_col)
-    sample = rows.limit(sample_rows).persist()
+    sample = measured(docs.limit(sample_rows), id_col, text_col).persist()
     order = [e.rule for e in estimate(sample, rules)]
     sample.unpersist()
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
