@@ -15,16 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, without its lineage.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a session without
-    one (as in tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a session without one (as in tests) gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, without its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html, mixing, near, pii, quality, rules, suffixes, tokens
+from . import decontaminate, html, lm, mixing, near, pii, quality, rules, suffixes, tokens
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_lm_scores": lm.op2_lm_scores,
         "op3_quality_classifier": quality.op3_quality_classifier,
         "op4_extract_html": html.op4_extract_html,
         "op5_decontaminate": decontaminate.op5_decontaminate,
