@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, html, lm, mixing, near, pii, quality, rules, suffixes, tokens
+from . import decontaminate, lm, mixing, near, pii, quality, rules, suffixes, tokens, webpages
 
 
 def queries() -> dict:
@@ -13,7 +13,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_lm_scores": lm.op2_lm_scores,
         "op3_quality_classifier": quality.op3_quality_classifier,
-        "op4_extract_html": html.op4_extract_html,
+        "op4_extract_html": webpages.op4_extract_html,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_find_pii": pii.op6_find_pii,
         "op7_near_duplicates": near.op7_near_duplicates,
