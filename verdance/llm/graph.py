@@ -18,19 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     they are shuffled; joins on a hot label are left to the adaptive skew join.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    digest = None
     while True:
-        # Large star: every neighbour above a node, and the node, point to the least of its neighbourhood.
+        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
+        if digest == (row["n"], row["sum"]):
+            break
+        digest = (row["n"], row["sum"])
+        # Large star: the neighbours above a node point to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # Small star: the smaller neighbours of a node, and the node, point to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("x"), "a", "b")
-        new = small.select(F.col("x").alias("a"), F.col("b")).unionByName(small.where("a <> x").select(F.col("x").alias("a"), F.col("a").alias("b"))).distinct()
-        new = cut(new)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            break
+        small = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b")
+        edges = cut(small.select(F.col("m").alias("a"), "b").distinct())
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

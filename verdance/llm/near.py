@@ -18,8 +18,8 @@ SHINGLE = 5
 LINK_PERCENT = 85
 #: BANDS bands of ROWS values each; a permutation gives two values, its minimum and its maximum.
 ROWS, BANDS = 5, 28
-#: Buckets of up to so many classes are compared pair by pair; larger ones by rounds of leaders.
-SMALL_BUCKET = 12
+#: Classes that a task compares at once; larger groups are cut into blocks and compared block by block.
+BLOCK = 256
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, 4096, dtype=np.uint64)
 
@@ -41,17 +41,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def min_max(shingles: np.ndarray, permutations: int, block: int = 1 << 14) -> np.ndarray:
-    """Minimum and maximum of the set under each permutation, side by side."""
-    low = np.full(permutations, 2**64 - 1, np.uint64)
-    high = np.zeros(permutations, np.uint64)
+def min_max(shingles: np.ndarray, permutations: int, block: int = 1 << 10) -> np.ndarray:
+    """Minimum and maximum of the set under each permutation (an odd factor modulo 2^64), side by side."""
+    factors = _SEEDS[:permutations] | np.uint64(1)
+    low, high = np.full(permutations, 2**64 - 1, np.uint64), np.zeros(permutations, np.uint64)
     for at in range(0, len(shingles), block):
-        part = shingles[at : at + block]
-        for p in range(permutations):
-            x = (part ^ _SEEDS[2 * p]) * (_SEEDS[2 * p + 1] | np.uint64(1))
-            x ^= x >> np.uint64(32)
-            low[p] = min(low[p], x.min())
-            high[p] = max(high[p], x.max())
+        x = np.multiply.outer(shingles[at : at + block], factors)
+        np.minimum(low, x.min(axis=0), out=low)
+        np.maximum(high, x.max(axis=0), out=high)
     return np.stack([low, high], axis=1).reshape(-1)
 
 
@@ -98,25 +95,24 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
             left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), np.uint64)
-                y = np.frombuffer(right[i].as_buffer(), np.uint64)
-                if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+            keep = pa.array([similar(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
     joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -129,45 +125,69 @@ def classes(docs: DataFrame, *, n: int, rows: int, bands: int) -> tuple[DataFram
     members = cut(profiles(docs, n, rows, bands))
     roots = members.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("root"))
     keys = members.join(roots, (members["set"] == roots["set"]) & (members["doc_id"] == roots["root"])).select(F.explode("bands").alias("key"), "root")
-    shared = keys.groupBy("key").agg(F.min("root").alias("leader"), F.max("root").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
+    shared = keys.groupBy("key").agg(F.min("root").alias("leader"), F.max("root").alias("last")).where("leader < last").drop("last")
     buckets = cut(keys.join(shared, "key").distinct())
     return members, buckets
 
 
-def links(docs: DataFrame, buckets: DataFrame, *, n: int, percent: int, small: int = SMALL_BUCKET) -> DataFrame:
+def _block_links(members: pa.Table, percent: int) -> pa.Table:
+    """Links that join clusters, among the members of a block that share a bucket. One per joined pair of clusters."""
+    roots, groups = members.column("root").to_pylist(), members.column("cluster").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.column("shingles").combine_chunks()]
+    parent = {g: g for g in groups}
+
+    def top(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    sharing: dict[int, list[int]] = {}
+    for i, keys in enumerate(members.column("keys").to_pylist()):
+        for key in keys:
+            sharing.setdefault(key, []).append(i)
+    found, tried = [], set()
+    for own in sharing.values():
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                if (i, j) in tried or top(groups[i]) == top(groups[j]):
+                    continue
+                tried.add((i, j))
+                if similar(sets[i], sets[j], percent):
+                    found.append((roots[i], roots[j]))
+                    parent[top(groups[i])] = top(groups[j])
+    return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def links(docs: DataFrame, buckets: DataFrame, *, n: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Confirmed links (a, b) between classes that join all classes linked in any bucket.
 
-    Round 1 compares every class of a bucket with the bucket's smallest. Then only pairs of classes that
-    are in one bucket and not yet connected can matter: buckets with few classes compare all
-    such pairs; larger ones take the smallest class of each other component as the next leader,
-    one a round and bucket, until no bucket has an uncompared pair of unconnected classes. So no
-    bucket is capped, and a bucket of one group ends after a round.
+    First every class of a bucket is compared with the bucket's smallest, which joins a group of copies
+    into few clusters. Then only pairs in one bucket and of different clusters can matter. The classes
+    of such buckets are grouped by reachability, so that each set travels once, and a task compares
+    the pairs of a group that share a bucket, skipping pairs joined meanwhile. A group of more than
+    `block` classes is cut into blocks, and each pair of blocks is a task's work, so nothing is capped.
     """
     texts = docs.join(buckets.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(sets_of(texts, n))
-    tried = cut(buckets.where("root <> leader").select(F.col("leader").alias("a"), F.col("root").alias("b")).distinct())
-    found = cut(confirmed(tried, sets, percent))
-    done = cut(buckets.select("key", F.col("leader").alias("root")).distinct())
-    while True:
-        named = components(found)
-        placed = buckets.join(named.select(F.col("node").alias("root"), "component"), "root", "left").select("key", "root", "n", F.coalesce("component", "root").alias("component"))
-        spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        open_ = cut(placed.join(spread, "key"))
-        few = open_.where(F.col("n") <= small)
-        x, y = few.select("key", F.col("root").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("root").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
-        many = open_.where(F.col("n") > small)
-        leaders = many.join(done, ["key", "root"], "left_anti").groupBy("key").agg(F.min(F.struct("root", "component")).alias("next")).select("key", F.col("next.root").alias("leader"), F.col("next.component").alias("of"))
-        stars = many.join(leaders, "key").where("component <> of").select(F.least("root", "leader").alias("a"), F.greatest("root", "leader").alias("b"))
-        new = cut(pairs.unionByName(stars).distinct().join(tried, ["a", "b"], "left_anti"))
-        next_done = cut(done.unionByName(leaders.select("key", F.col("leader").alias("root"))))
-        more = leaders.limit(1).count()
-        if new.limit(1).count():
-            found = cut(found.unionByName(confirmed(new, sets, percent)))
-            tried = cut(tried.unionByName(new))
-        elif not more:
-            return found
-        done = next_done
+    stars = buckets.where("root <> leader").select(F.col("leader").alias("a"), F.col("root").alias("b")).distinct()
+    found = cut(confirmed(stars, sets, percent))
+    named = components(found).select(F.col("node").alias("root"), F.col("component").alias("cluster"))
+    placed = cut(buckets.join(named, "root", "left").select("key", "root", F.coalesce("cluster", "root").alias("cluster")))
+    open_ = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.min("root").alias("leader")).where("low <> high").select("key", "leader")
+    mixed = cut(placed.join(open_, "key"))
+    groups = components(mixed.select(F.col("leader").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("root"), F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    keyed = mixed.groupBy("root", "cluster").agg(F.collect_set("key").alias("keys")).join(groups, "root").join(sizes, "group")
+    own = F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("i"), F.greatest(F.col("own"), other).alias("j")))
+    dealt = keyed.withColumn("own", own).withColumn("pair", F.explode(pair)).join(sets.withColumnRenamed("doc_id", "root"), "root")
+    dealt = dealt.select("group", "pair.i", "pair.j", "root", "cluster", "keys", "shingles")
+
+    def compare(members: pa.Table) -> pa.Table:
+        return _block_links(members, percent)
+
+    return found.unionByName(dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(
@@ -217,8 +237,10 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_of")).distinct()
     left = docs.join(gone, F.col(id_col).cast("long") == F.col("_of"), "left_anti")
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    ids = docs.agg(F.count(id_col).alias("n"), F.countDistinct(id_col).alias("distinct")).first()
+    if ids["n"] == ids["distinct"]:
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
