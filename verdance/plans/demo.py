@@ -5,6 +5,8 @@ Each text runs on Spark and on DuckDB alike, so that a query and its SQL start f
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
@@ -48,7 +50,10 @@ FROM (SELECT *, CHR(10) AS nl FROM {orders}) AS x
 
 
 def spark_rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The text over the tables of sf_dir."""
+    """The text over the tables of sf_dir. Python workers are told where this package lies."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(p for p in (root, env.get("PYTHONPATH")) if p)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rollups
+from . import checkers, rollups
 
-MODULES: tuple = (rollups,)
+MODULES: tuple = (checkers, rollups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
