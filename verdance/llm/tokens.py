@@ -63,6 +63,9 @@ def count_tokens(
     spark = docs.sparkSession
     on_workers(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    facts = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    # A tag tells rows of one id (or none) apart; it is 0 where ids don't repeat.
+    rows = rows.withColumn("tag", F.lit(0).cast("long") if facts["n"] == facts["ids"] else F.xxhash64("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -80,8 +83,16 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces_of(path, words), pa.int64())], names=["word", "n", "pieces"])
 
     vocabulary = cut(rows.select("text").mapInArrow(distinct, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(sized, "word string, n long, pieces long"))
-    top = vocabulary.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot)
-    known = spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in top.select("word", "pieces").collect()})
+    # The frequency from which on at most `hot` words remain, by steps of a quarter of a power of two.
+    step = F.floor(4 * F.log2("n")).alias("step")
+    least, room = None, hot
+    for r in vocabulary.where(F.octet_length("word") <= HOT_BYTES).groupBy(step).count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = vocabulary.where((F.octet_length("word") <= HOT_BYTES) & (step >= F.lit(least)))
+    known = spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in top.select("word", "pieces").collect()} if least is not None else {})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure = known.value
@@ -99,19 +110,19 @@ def count_tokens(
                 counts.append([n for _, n in rest])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(totals, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
-                names=["doc_id", "digest", "n_bytes", "total", "words", "counts"],
+                names=["doc_id", "tag", "n_bytes", "total", "words", "counts"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    per_doc = rows.select("text", "doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(
-        split, f"doc_id {kind}, digest binary, n_bytes long, total long, words array<string>, counts array<int>"
+    per_doc = rows.select("text", "doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes")).mapInArrow(
+        split, f"doc_id {kind}, tag long, n_bytes long, total long, words array<string>, counts array<int>"
     )
     # One row for the document itself, under a word that no text holds, and one for each of its other pre-tokens.
-    own = F.struct(F.concat(F.lit(" "), F.hex("digest")).alias("word"), F.col("total").alias("n"), F.lit(1).alias("head"))
-    rest = F.transform(F.arrays_zip("words", "counts"), lambda x: F.struct(x["words"].alias("word"), x["counts"].cast("long").alias("n"), F.lit(0).alias("head")))
-    parts = per_doc.select("doc_id", "digest", "n_bytes", F.explode(F.concat(F.array(own), rest)).alias("x")).select("doc_id", "digest", "n_bytes", "x.word", "x.n", "x.head")
+    own = F.struct(F.concat(F.lit(" "), F.hex(F.xxhash64("doc_id", "tag"))).alias("word"), F.col("total").alias("n"), F.col("n_bytes").alias("n_bytes"))
+    rest = F.transform(F.arrays_zip("words", "counts"), lambda x: F.struct(x["words"].alias("word"), x["counts"].cast("long").alias("n"), F.lit(None).cast("long").alias("n_bytes")))
+    parts = per_doc.select("doc_id", "tag", F.explode(F.concat(F.array(own), rest)).alias("x")).select("doc_id", "tag", "x.word", "x.n", "x.n_bytes")
     sized_parts = parts.join(vocabulary.select("word", "pieces"), "word", "left")
-    total = sized_parts.groupBy("doc_id", "digest", "n_bytes").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"), F.sum("head").alias("copies"))
+    total = sized_parts.groupBy("doc_id", "tag").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"))
     total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return total.select("doc_id", "n_bytes", F.expr("n div copies").alias("n_tokens"))
 
