@@ -136,6 +136,13 @@ def quoted_terms(text: Column) -> Column:
     return F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
 
 
+def infer_table_columns(text: Column) -> Column:
+    """Columns that prose names after "columns" or "table with": at least two of at most six words, lower case; else null."""
+    after = F.regexp_extract(text, r"(?is)(?:columns?(?: for| named|:)?|table with)\s+([^.;\n]+)", 1)
+    names = F.filter(F.transform(F.split(after, r"\s*,\s*(?:and\s+)?|\s+and\s+"), lambda x: F.lower(F.trim(F.regexp_replace(x, "[*_`\"']", "")))), lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= 6))
+    return F.when(F.size(names) >= 2, names)
+
+
 def infer_word_limit(text: Column) -> Column:
     """struct(kind, limit) from "at least N words" and the like; null if there is none."""
     low = F.regexp_extract(text, r"(?i)at least ([0-9]+) words", 1)

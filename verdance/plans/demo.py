@@ -65,4 +65,6 @@ def duck(text: str) -> str:
 
 def with_sql(query: str, **parts: str) -> str:
     """query with the named inputs in front of it."""
+    if not parts:
+        return query
     return "WITH " + ", ".join(f"{name} AS ({duck(text)})" for name, text in parts.items()) + " " + query

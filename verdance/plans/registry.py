@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checkers, rollups
+from . import checkers, rollups, tables
 
-MODULES: tuple = (checkers, rollups)
+MODULES: tuple = (checkers, rollups, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
