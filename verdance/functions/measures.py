@@ -17,7 +17,7 @@ HEADING = r"(?dm)^#{1,6}[ \t]+[^\s]"
 LABEL = r"(?dm)^[^\s:#|][^:\n]{0,60}:[ \t]*$"
 QUOTE = r"(?dm)^[ \t]*>[ \t]?[^\s]"
 FENCE = "```"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 SEPARATOR = r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?$"
 NUMBER = r"(?:[$€£¥][ ]?)?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[ ]?(?:%|percent|bps|USD|EUR|CNY|million|billion))?"
 
@@ -138,7 +138,7 @@ def quoted_terms(text: Column) -> Column:
 
 def infer_table_columns(text: Column) -> Column:
     """Columns that prose names after "columns" or "table with": at least two of at most six words, lower case; else null."""
-    after = F.regexp_extract(text, r"(?is)(?:columns?(?: for| named|:)?|table with)\s+([^.;\n]+)", 1)
+    after = F.regexp_extract(text, r"(?is)(?:columns(?: for| named|:)?|table with (?!columns))\s*([^.;\n]+)", 1)
     names = F.filter(F.transform(F.split(after, r"\s*,\s*(?:and\s+)?|\s+and\s+"), lambda x: F.lower(F.trim(F.regexp_replace(x, "[*_`\"']", "")))), lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= 6))
     return F.when(F.size(names) >= 2, names)
 

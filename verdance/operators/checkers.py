@@ -16,7 +16,10 @@ from verdance.functions import helpers as H
 from verdance.functions import measures as M
 
 CHECKERS: dict[str, Callable[[Column, dict], Column]] = {}
-NULL = F.lit(None).cast("boolean")
+
+
+def null() -> Column:
+    return F.lit(None).cast("boolean")
 
 
 def register_checker(name: str):
@@ -46,7 +49,7 @@ def limits(value: Column, config: dict, exact=("exact_count", "exact"), low=("mi
         return value.between(lo, hi)
     if lo is not None:
         return value >= lo
-    return value <= hi if hi is not None else NULL
+    return value <= hi if hi is not None else null()
 
 
 def listed(config: dict, *keys: str) -> list[str]:
@@ -56,18 +59,18 @@ def listed(config: dict, *keys: str) -> list[str]:
     return []
 
 
-def _all(terms: list[str], test: Callable[[str], Column], empty: Column = NULL) -> Column:
+def _all(terms: list[str], test: Callable[[str], Column], empty: Column | None = None) -> Column:
     out = None
     for t in terms:
         out = test(t) if out is None else out & test(t)
-    return empty if out is None else out
+    return (null() if empty is None else empty) if out is None else out
 
 
-def _any(terms: list[str], test: Callable[[str], Column], empty: Column = NULL) -> Column:
+def _any(terms: list[str], test: Callable[[str], Column], empty: Column | None = None) -> Column:
     out = None
     for t in terms:
         out = test(t) if out is None else out | test(t)
-    return empty if out is None else out
+    return (null() if empty is None else empty) if out is None else out
 
 
 def folded(text: Column, config: dict) -> Callable[[str], Column]:
@@ -90,30 +93,30 @@ def _(r, c):
 @register_checker("min_words")
 def _(r, c):
     n = chain(c, "min", "count")
-    return NULL if n is None else M.word_count(r) >= n
+    return null() if n is None else M.word_count(r) >= n
 
 
 @register_checker("max_words")
 def _(r, c):
     n = chain(c, "max", "count")
-    return NULL if n is None else M.word_count(r) <= n
+    return null() if n is None else M.word_count(r) <= n
 
 
 @register_checker("word_range")
 def _(r, c):
     lo, hi = chain(c, "min_words", "min"), chain(c, "max_words", "max")
     n = M.mixed_word_count(r)
-    return NULL if lo is None and hi is None else (F.lit(True) if lo is None else n >= lo) & (F.lit(True) if hi is None else n <= hi)
+    return null() if lo is None and hi is None else (F.lit(True) if lo is None else n >= lo) & (F.lit(True) if hi is None else n <= hi)
 
 
 @register_checker("min_sections")
 def _(r, c):
-    return M.section_count(r) >= int(c["min"]) if c.get("min") is not None else NULL
+    return M.section_count(r) >= int(c["min"]) if c.get("min") is not None else null()
 
 
 @register_checker("max_sections")
 def _(r, c):
-    return M.section_count(r) <= int(c["max"]) if c.get("max") is not None else NULL
+    return M.section_count(r) <= int(c["max"]) if c.get("max") is not None else null()
 
 
 @register_checker("section_titles")
@@ -125,7 +128,7 @@ def _(r, c):
 def _(r, c):
     n = chain(c, "count", "min")
     if n is None:
-        return NULL
+        return null()
     return M.item_list_count(r) >= n if c.get("mode") in ("at_least", "minimum", "min") else M.item_list_count(r) == n
 
 
@@ -158,14 +161,14 @@ def _(r, c):
 def _(r, c):
     fields = listed(c, "fields", "required_fields")
     if c.get("format") == "json":
-        return F.coalesce(F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), H.json_keys(r))) == 0, F.lit(False)) if fields else NULL
+        return F.coalesce(F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), H.json_keys(r))) == 0, F.lit(False)) if fields else null()
     return _all(fields, lambda f: r.contains(f))
 
 
 @register_checker("json_field_count")
 def _(r, c):
     n = chain(c, "exact_count", "exact", "count")
-    return NULL if n is None else F.coalesce(H.json_size(r, F.lit(c.get("field", ""))) == n, F.lit(False))
+    return null() if n is None else F.coalesce(H.json_size(r, F.lit(c.get("field", ""))) == n, F.lit(False))
 
 
 @register_checker("json_field_item_limit")
@@ -191,13 +194,13 @@ def _(r, c):
 @register_checker("table_columns")
 def _(r, c):
     wanted = [x.lower() for x in listed(c, "columns", "required_columns")]
-    return M.has_table(r) & (F.size(F.array_except(F.array(*[F.lit(x) for x in wanted]), M.table_header(r))) == 0) if wanted else NULL
+    return M.has_table(r) & (F.size(F.array_except(F.array(*[F.lit(x) for x in wanted]), M.table_header(r))) == 0) if wanted else null()
 
 
 @register_checker("table_row_count")
 def _(r, c):
     rows = M.table_rows(r)
-    test = rows == int(c["exact_rows"]) if c.get("exact_rows") is not None else (rows >= int(c["min_rows"]) if c.get("min_rows") is not None else rows <= int(c["max_rows"]) if c.get("max_rows") is not None else NULL)
+    test = rows == int(c["exact_rows"]) if c.get("exact_rows") is not None else (rows >= int(c["min_rows"]) if c.get("min_rows") is not None else rows <= int(c["max_rows"]) if c.get("max_rows") is not None else null())
     return F.when(M.has_table(r), test).otherwise(F.lit(False))
 
 
@@ -242,7 +245,7 @@ def _(r, c):
 def _(r, c):
     n = chain(c, "places", "count", "exact")
     if n is None:
-        return NULL
+        return null()
     only = bool(c.get("percent_only"))
     found = F.regexp_extract_all(r, F.lit(r"[0-9]+\.([0-9]+)%" if only else r"[0-9]+\.([0-9]+)"), F.lit(1))
     return F.when(F.size(found) == 0, F.lit(only)).otherwise(F.forall(found, lambda x: F.length(x) == n))
@@ -311,7 +314,7 @@ def _(r, c):
     ok = F.lit(True)
     for a, b in zip(at, at[1:], strict=False):
         ok = ok & (a < b)
-    return F.coalesce(ok & (at[0] >= 0), F.lit(False)) if at else NULL
+    return F.coalesce(ok & (at[0] >= 0), F.lit(False)) if at else null()
 
 
 @register_checker("heading_level")
