@@ -175,7 +175,7 @@ def test_html_broken(page):
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string")
     got = webpages.main_text(pages).collect()
-    assert sorted(r.n_chars for r in got) == [0, 38, 38]
+    assert sorted(r.n_chars for r in got) == [0, 39, 39]
 
 
 # Decontamination

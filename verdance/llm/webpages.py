@@ -156,10 +156,13 @@ def first_pass(block: Block) -> str:
 def second_pass(blocks: list[Block], labels: list[str], has_content: bool) -> list[bool]:
     """Ambiguous blocks take the label of the nearest decided neighbours.
 
-    Between a good and a bad neighbour a near_good block is good and a short one bad; with none
-    at all, near_good is good. Blocks of the page's article are decided by it.
+    Between a good and a bad neighbour a near_good block is good and a short one bad. A page
+    without a good block takes its near_good ones for good. Blocks of the page's article are
+    decided by it.
     """
     n = len(blocks)
+    if "good" not in labels:
+        labels = ["good" if x == "near_good" else x for x in labels]
     before: list[str | None] = [None] * n
     after: list[str | None] = [None] * n
     last = None
@@ -182,7 +185,7 @@ def second_pass(blocks: list[Block], labels: list[str], has_content: bool) -> li
         else:
             near = {before[i], after[i]} - {None}
             mixed = len(near) == 2
-            out.append("good" in near and (not mixed or label == "near_good" or blocks[i].heading) or (not near and label == "near_good"))
+            out.append("good" in near and (not mixed or label == "near_good" or blocks[i].heading))
     return out
 
 
