@@ -128,7 +128,7 @@ LABELLED = re.compile(r"([A-Za-z][A-Za-z ]{2,40}?)\s*(?::|is|of|was|=)\s*([$€
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def labelled_values(text: pd.Series) -> pd.Series:
-    """Label to number and unit; a later match overwrites, at most 15 labels (the reference's limit)."""
+    """Label to number and unit; a later match overwrites, at most 15 labels."""
 
     def one(x):
         found: dict[str, str] = {}
