@@ -8,12 +8,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, lookup, table
+from .common import cut, lookup, table
 
 #: The classifier is fitted on at most so many labelled documents.
 MAX_TRAIN_DOCS = 20_000
 HASHED = 1 << 14
-NUMERIC = ("length", "word_length", "symbols", "shouts", "bars", "capitals", "digits", "variety", "runs")
+NUMERIC = ("length", "word_length", "symbols", "shouts", "bars", "capitals", "digits", "variety", "fresh")
 #: How many documents' worth a prior may count at least and at most.
 STRENGTH = (1.0, 1e6)
 CUT = 0.5
@@ -22,24 +22,25 @@ CUT = 0.5
 def _numbers(text: Column, words: Column) -> list[Column]:
     n = F.greatest(F.size(words), F.lit(1))
     chars = F.greatest(F.length(text), F.lit(1))
-    share = lambda what: 1 - F.length(F.regexp_replace(text, what, "")) / chars
-    hits = lambda chars_: F.least(F.lit(1.0), (F.length(text) - F.length(F.translate(text, chars_, ""))) / n)
+    without = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    a_word = lambda count: F.least(F.lit(1.0), count / n)
+    distinct = F.size(F.array_distinct(words))
     return [
         F.log1p(n.cast("double")) / 10,
         F.least(F.lit(2.0), chars / n / 10),
-        hits("#*$%&<>"),
-        hits("!"),
-        hits("|"),
-        share(r"\p{Lu}"),
-        share("[0-9]"),
-        F.size(F.array_distinct(words)) / n,
-        F.least(F.lit(1.0), 10.0 * F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:\x20\1(?![^\x20\x09-\x0D])){3,}+")) / n),
+        a_word(F.regexp_count(text, F.lit("[#*$%&<>]"))),
+        a_word(without("!")),
+        a_word(without("|")),
+        F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
+        F.regexp_count(text, F.lit("[0-9]")) / chars,
+        distinct / n,
+        F.least(F.lit(1.0), distinct / F.pow(n.cast("double"), F.lit(0.85))),
     ]
 
 
 def vectors(rows: DataFrame) -> DataFrame:
     """Adds _features (hashed words and numbers) to rows with _text."""
-    rows = rows.withColumn("_words", F.filter(F.split(ascii_lower(F.col("_text")), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
+    rows = rows.withColumn("_words", F.array_remove(F.split(F.lower("_text"), r"[^\p{L}\p{M}]+"), ""))
     numbers = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{n}") for n, c in zip(NUMERIC, _numbers(F.col("_text"), F.col("_words")), strict=True)]
     rows = rows.select("*", *numbers)
     rows = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=HASHED, binary=True).transform(rows)
@@ -67,7 +68,7 @@ class Evidence:
         for target in targets:
             own = train.select("_features", F.col(f"_label_{target}").alias("_label")).where("_label IN (0, 1)")
             if own.select("_label").distinct().count() == 2:
-                fit = LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol=f"_is_{target}", probabilityCol=f"_p_{target}", rawPredictionCol=f"_raw_{target}", maxIter=40, regParam=0.001, standardization=False)
+                fit = LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol=f"_is_{target}", probabilityCol=f"_p_{target}", rawPredictionCol=f"_raw_{target}", maxIter=25, regParam=0.001, standardization=False)
                 self.models[target] = fit.fit(own)
 
     def score(self, rows: DataFrame) -> DataFrame:
