@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from verdance.llm import bytesops, decontaminate, graph, lm, mixing, near, pii, quality, rules, suffixes, tokens, webpages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean"
@@ -234,6 +235,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == near.brute_force(list(enumerate(texts)))
 
 
+def test_near_copies_between_80_and_85_are_linked(spark):
+    base = prose(16, 40, words=500)
+    texts = [x for i, b in enumerate(base) for x in (b, edited(b, 10, i))]
+    sets = near.brute_force(list(enumerate(texts)), percent=80)
+    assert all(not sets[2 * i + 1][2] for i in range(40))
+    assert sum(not v[2] for v in near.brute_force(list(enumerate(texts)), percent=85).values()) < 40
+    docs = documents(spark, texts)
+    kept = {r.doc_id for r in near.without_near_duplicates(docs).collect()}
+    assert kept == {2 * i for i in range(40)}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == kept
+    assert (near.bands_for(80, 5), near.bands_for(85, 5)) == (41, 28)
+
+
+def test_op7_links_at_85_as_its_contract_says(spark, tmp_path):
+    base = prose(17, 10, words=500)
+    texts = [x for i, b in enumerate(base) for x in (b, edited(b, 10, i), edited(b, 4, 100 + i))]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.op7_near_duplicates(spark, str(tmp_path)).collect()}
+    assert got == near.brute_force(list(enumerate(texts)), percent=85)
+
+
 def test_large_groups_are_cut_into_blocks(spark):
     base = prose(11, 2)
     texts = [edited(base[k % 2], 9, k) for k in range(40)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,13 @@ from .graph import components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= LINK_PERCENT * union.
-LINK_PERCENT = 85
-#: BANDS bands of ROWS values each; a permutation gives two values, its minimum and its maximum.
-ROWS, BANDS = 5, 28
+LINK_PERCENT = 80
+#: What op7's contract says.
+OP7_PERCENT = 85
+#: Bands have ROWS values each; a permutation gives two values, its minimum and its maximum.
+ROWS = 5
+#: The chance to miss a pair at the link threshold; it sets the number of bands.
+MISS = 1e-7
 #: Classes that a task compares at once; larger groups are cut into blocks and compared block by block.
 BLOCK = 256
 
@@ -52,6 +57,14 @@ def min_max(shingles: np.ndarray, permutations: int, block: int = 1 << 10) -> np
     return np.stack([low, high], axis=1).reshape(-1)
 
 
+def bands_for(percent: int, rows: int, miss: float = MISS) -> int:
+    """The least number of bands with which a pair at the threshold shares none with a chance of `miss` at most."""
+    one = (percent / 100) ** rows
+    if one <= 0:
+        raise ValueError("percent must be above 0: sets that share nothing cannot be found by bands")
+    return 1 if one >= 1 else math.ceil(math.log(miss) / math.log1p(-one))
+
+
 def bands_of(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """One signed 64-bit hash a band; the band's number is part of it."""
     values = signature[: rows * bands].reshape(bands, rows) * (_SEEDS[-rows:] | np.uint64(1))
@@ -198,15 +211,16 @@ def near_duplicates(
     n: int = SHINGLE,
     percent: int = LINK_PERCENT,
     rows: int = ROWS,
-    bands: int = BANDS,
+    bands: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are ASCII-lower-cased runs of non-space; a document's set holds its distinct
     n-word shingles, or all its words if fewer. Each permutation gives its minimum and its maximum, so
     rows * bands values take half as many hash passes; documents that share a band are
-    candidates, and full sets confirm a link. With 28 bands of 5 a pair at 0.85 is missed
-    with a chance below 1e-7, one at higher similarity less often.
+    candidates, and full sets confirm a link. Without `bands` there are as many as bring the
+    chance to miss a pair at `percent` to MISS or less (41 of 5 at 80, 28 of 5 at 85); one at higher
+    similarity is missed less often.
 
     Documents of equal sets are one class before any pair is made, so a group of copies costs
     one member. The component is named by the smallest doc_id in it; kept marks that one.
@@ -215,6 +229,7 @@ def near_duplicates(
     id have component null and are kept. Repeated rows of one id share its component; all of
     them come back. An empty table gives an empty result.
     """
+    bands = bands_for(percent, rows) if bands is None else bands
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows_.where("doc_id is not null")
     members, buckets = classes(known, n=n, rows=rows, bands=bands)
@@ -244,7 +259,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=OP7_PERCENT)
 
 
 def brute_force(docs: list[tuple], n: int = SHINGLE, percent: int = LINK_PERCENT) -> dict[int, tuple]:
