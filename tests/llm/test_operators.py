@@ -218,6 +218,40 @@ def test_pii_spans_and_redaction(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+OBFUSCATED = [
+    ("write to jane.doe (at) example (dot) com today", "write to [EMAIL] today"),
+    ("write to jane [dot] doe [AT] mail.example.org today", "write to [EMAIL] today"),
+    ("write to jane @ example.com today", "write to [EMAIL] today"),
+    ("call 555-123-4567 now", "call [PHONE] now"),
+    ("the office is at (555) 123-4567 now", "the office is at [PHONE] now"),
+    ("from abroad 0049 30 1234567 works", "from abroad [PHONE] works"),
+    ("pay by 4111.1111.1111.1111 now", "pay by [CARD] now"),
+    ("the server 10 . 0 . 0 . 17 answers", "the server [IP] answers"),
+]
+HARMLESS = [
+    "order 5551234567 went out", "pay by 4111.1111.1111.1112 now", "due 2024-01-15 2024-02-15", "rows 10 20 30 40 50 60 70", "years 2021 2022 2023",
+    "the server 10 . 0 . 0 . 999 answers", "look (at) this.", "token 681c09b8e90e7e8c9575180f595f646cf", "code x_5551234567_y",
+]
+
+
+@pytest.mark.parametrize("more", [0, 400])
+def test_pii_obfuscated_is_redacted_at_every_size(spark, more):
+    r = random.Random(18)
+    number = lambda n: "".join(str(r.randint(0, 9)) for _ in range(n))
+    rest = [f"mail u{i}@host{i}.com or +49 30 {number(8)} ip 10.0.{i % 256}.7 no {number(16)} hex {number(7)}f" for i in range(more)]
+    texts = [x for x, _ in OBFUSCATED] + HARMLESS + rest
+    out = {row.doc_id: row.text for row in pii.redact(documents(spark, texts)).collect()}
+    assert [out[i] for i in range(len(OBFUSCATED))] == [x for _, x in OBFUSCATED]
+    assert [out[len(OBFUSCATED) + i] for i in range(len(HARMLESS))] == HARMLESS
+
+
+def test_pii_trees_do_not_see_the_base_pattern(spark):
+    texts = ["jane (at) example (dot) com", "jane@example.com", "call 555-123-4567", "call +1 555-123-4567", "no 5551234567890123"]
+    rows = pii.candidates(pii.with_spans(documents(spark, texts), "doc_id", "text")).collect()
+    assert "wide_only" not in pii.FEATURES and "plus" not in pii.FEATURES
+    assert sorted((x.kind, x.label) for x in rows) == [("card", 0.0), ("email", 1.0), ("email", 1.0), ("phone", 0.0), ("phone", 1.0), ("phone", 1.0)]
+
+
 # Near duplicates
 
 
