@@ -130,3 +130,18 @@ def test_reading_json_lines(spark, tmp_path):
     rows, bad = io.read_responses(spark, str(path))
     assert sorted((r.id, r.response) for r in rows.collect()) == [("a", "x"), ("b", "y")]
     assert bad.count() == 2
+
+
+def test_context_ids_stay_apart_past_999(spark):
+    raw = spark.createDataFrame([(f"n{i:05d}", "a", "long enough text") for i in range(1, 1012)], "name string, l2 string, raw string")
+    ids = {r.name: r.context_id for r in C.context_pool(raw, least=1).collect()}
+    assert len(set(ids.values())) == 1011
+    assert (ids["n00007"], ids["n00999"], ids["n01000"], ids["n01011"]) == ("EXT-a-007", "EXT-a-999", "EXT-a-1000", "EXT-a-1011")
+
+
+def test_parameterize_does_not_force_a_broadcast(spark):
+    samples = spark.createDataFrame([(1, "c", 0, "old")], "sample_id long, constraint_id string, position int, text string")
+    mapping = spark.createDataFrame([(1, "c", "new")], "sample_id long, constraint_id string, rendered_text string")
+    out = C.parameterize_constraints(samples, mapping)
+    assert "broadcast" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert [(r.replaced, r.block) for r in out.collect()] == [(1, "new")]

@@ -35,11 +35,13 @@ def clean_context_text(raw: Column) -> Column:
 def context_pool(raw: DataFrame, *, least: int = 100, most: int = 6000) -> DataFrame:
     """Cleaned contexts of (name, l2, raw) with ids EXT-<l2>-nnn in name order; the cut at `most` characters is part of the pool's definition.
 
-    The numbering runs within each l2 over names only; texts are joined back.
+    Numbers have three digits at least. The numbering sorts each l2, texts included, in one task.
     """
     kept = raw.select("name", "l2", clean_context_text(F.col("raw")).alias("text")).where(F.length("text") >= least)
     rank = F.row_number().over(Window.partitionBy("l2").orderBy("name"))
-    return kept.select("name", "l2", F.substring("text", 1, most).alias("text")).withColumn("context_id", F.concat(F.lit("EXT-"), F.col("l2"), F.lit("-"), F.lpad(rank.cast("string"), 3, "0"))).withColumn("char_count", F.length("text").cast("long"))
+    number = rank.cast("string")
+    rows = kept.select("name", "l2", F.substring("text", 1, most).alias("text")).withColumn("_number", F.when(rank < 1000, F.lpad(number, 3, "0")).otherwise(number))
+    return rows.withColumn("context_id", F.concat(F.lit("EXT-"), F.col("l2"), F.lit("-"), F.col("_number"))).drop("_number").withColumn("char_count", F.length("text").cast("long"))
 
 
 def extract_labelled_values(text: Column) -> Column:
@@ -133,7 +135,7 @@ def trim_coverage(before: DataFrame, after: DataFrame, least: float = 40.0) -> D
 
 def parameterize_constraints(samples: DataFrame, mapping: DataFrame, separator: str = "\n") -> DataFrame:
     """Constraint texts replaced from a map by (sample_id, constraint_id); the prompt's block is rebuilt in order."""
-    rows = samples.join(F.broadcast(mapping.withColumnRenamed("rendered_text", "_new")), ["sample_id", "constraint_id"], "left")
+    rows = samples.join(mapping.withColumnRenamed("rendered_text", "_new"), ["sample_id", "constraint_id"], "left")
     out = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("_new", "text").alias("t")))).alias("c"), F.count("_new").alias("replaced"))
     return out.select("sample_id", "replaced", F.array_join(F.transform("c", lambda x: x["t"]), separator).alias("block"))
 
