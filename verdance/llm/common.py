@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from verdance.sources.shared import checkpoint_dir, cut, ranked, stored
 
 #: Words of most contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,18 +17,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a session without one (as in tests) gets a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def long_ids(rows: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose id_col is a long, table of _long and _name to go back). Whole numbers are cast and need no
+    table; ids of other types are numbered in their own order, so that the smallest stays the smallest."""
+    if isinstance(rows.schema[id_col].dataType, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return rows.withColumn(id_col, F.col(id_col).cast("long")), None
+    names = rows.select(F.col(id_col).alias("_name")).where("_name IS NOT NULL").distinct()
+    names = cut(ranked(names, F.col("_name")).select(F.col("rank").alias("_long"), "_name"))
+    joined = rows.join(names, F.col(id_col) == F.col("_name"), "left").withColumn(id_col, F.col("_long"))
+    return joined.drop("_long", "_name"), names
+
+
+def named_ids(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the ids in the given columns as they were before long_ids."""
+    if names is None:
+        return df
+    for c in columns:
+        df = df.join(names, F.col(c) == F.col("_long"), "left").withColumn(c, F.col("_name")).drop("_long", "_name")
+    return df
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -12,16 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import on_workers, table
+from .common import cut, long_ids, named_ids, on_workers, table
 
 LENGTH = 50
-#: Bytes that choose and sort an anchor; of every LENGTH bytes the same anchor is chosen.
+#: Bytes that choose an anchor; of every LENGTH bytes the same anchor is chosen.
 ANCHOR = 16
 #: Bytes of text a bucket stands for, and a map task gathers before it deals them out.
 BUCKET_BYTES = 8 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SAMPLE_DOCS = 1_000
 SAMPLE_EACH = 64
+#: Most key hashes known from the sample to be in several documents; they need not be dealt out.
+HOT = 200_000
 HASH_BITS = 40
 
 _R = np.random.Generator(np.random.PCG64(50)).integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
@@ -38,9 +40,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(d).itemsize, -1).T).view(d).reshape(-1) for d, b in pickle.loads(raw)]
 
 
-def home(ids: np.ndarray, n: int) -> np.ndarray:
-    """The group of documents an id belongs to."""
-    return (B.mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+def home(ids: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
+    """The group of documents a row belongs to."""
+    return (B.mix64(ids.astype(np.int64).view(np.uint64) ^ tags.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
 def flat(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,36 +63,52 @@ def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+def words8(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number that sorts as they do; zeros behind the end."""
+    d = np.zeros(len(data) + 7, np.uint64)
+    d[: len(data)] = data
+    d = d[:-1] << np.uint64(8) | d[1:]
+    d = d[:-2] << np.uint64(16) | d[2:]
+    return d[:-4] << np.uint64(32) | d[4:]
+
+
+def places_of(length: int, start: int = 0) -> list[int]:
+    """Offsets of eight-byte words that cover the bytes from start to length."""
+    return [*range(start, length - 8, 8), length - 8]
+
+
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts of `length`-byte strings with one anchor: (text, first start, last start, anchor, hash).
+    """Runs of starts of `length`-byte strings with one key: (text, first start, last start, key's place, side, key's hash, key's lead).
 
-    The anchor of a string is its leftmost ANCHOR bytes of least hash, so equal strings have
-    equal anchors at equal places, whatever stands around them.
+    The anchor of a string is its leftmost ANCHOR bytes of least hash, so equal strings have equal
+    anchors at equal places, whatever stands around them. A string's key is its anchor with half of what
+    remains of the string behind it (side 0), or before it (side 1), whichever the string holds:
+    strings of one side with equal places of the key can be equal only if their keys are.
     """
+    half = (length - ANCHOR) // 2
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, np.zeros(0, np.uint64)
-    wide = data.astype(np.uint64)
+        return none.astype(np.int32), none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    wide = words8(data)
     m = len(data) - ANCHOR + 1
-    hashes = np.zeros(m, np.uint64)
-    for i in range(ANCHOR):
-        hashes += wide[i : i + m] * _R[i]
-    hashes = B.mix64(hashes)
+    hashes = (B.mix64(wide[:m] * _R[0] + wide[8 : 8 + m] * _R[1]) >> np.uint64(32)).astype(np.uint32)
     anchor = leftmost_min(hashes, length - ANCHOR + 1)
     n = len(anchor)
+    at = np.arange(n, dtype=np.int32)
+    side = anchor - at >= half
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     valid = owner[:n] == owner[length - 1 : length - 1 + n]
-    joined = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1])
+    joined = valid[1:] & valid[:-1] & (anchor[1:] == anchor[:-1]) & (side[1:] == side[:-1])
     begins, ends = valid.copy(), valid.copy()
     begins[1:] &= ~joined
     ends[:-1] &= ~joined
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    return owner[first], first, last, anchor[first].astype(np.int64), hashes[anchor[first]]
-
-
-def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place as one number that sorts as they do."""
-    return data[at[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    which = side[first].astype(np.int64)
+    key = anchor[first].astype(np.int64) - which * half
+    total = np.zeros(len(first), np.uint64) + which.astype(np.uint64)
+    for i, step in enumerate(places_of(ANCHOR + half)):
+        total += wide[key + step] * _R[2 + i]
+    return owner[first], first, last, key, which, B.mix64(total), wide[key]
 
 
 def multikey_groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +160,17 @@ def ids_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(ids.fill_null(0), np.int64), np.asarray(batch.column("tag"), np.int64), ~np.asarray(ids.is_null())
 
 
-def _hash_blobs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Deals the anchor hashes of the documents out by hash range."""
+def members_of(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values
+
+
+def _hash_blobs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Deals the key hashes of the documents out by hash range; those known to be in several documents stay at home."""
     held: list[tuple] = []
     size = 0
     shift = np.uint64(64 - HASH_BITS)
@@ -158,8 +185,10 @@ def _hash_blobs(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
     for batch in batches:
         ids, tags, known = ids_of(batch)
         for lo, hi, data, offsets in B.text_chunks(batch.column("text")):
-            owner, _, _, _, hashes = anchored(data, offsets, length)
-            key = np.unique(owner.astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> shift)
+            owner, _, _, _, _, hashes, _ = anchored(data, offsets, length)
+            hashes = hashes >> shift
+            fresh = ~members_of(hashes, hot)
+            key = np.unique(owner[fresh].astype(np.uint64) << np.uint64(HASH_BITS) | hashes[fresh])
             owner = lo + (key >> np.uint64(HASH_BITS)).astype(np.int64)
             ok = known[owner]
             held.append((ids[owner[ok]], tags[owner[ok]], (key & np.uint64((1 << HASH_BITS) - 1))[ok]))
@@ -177,81 +206,178 @@ def _shared_hashes(blobs: pa.Table, homes: int) -> Iterator[pa.RecordBatch]:
     ids, tags, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, starts = multikey_groups([hashes])
     keep = np.sort(in_several(ids, order, starts))
-    yield from dealt(home(ids[keep], homes), ids[keep], tags[keep], hashes[keep], name="home")
+    yield from dealt(home(ids[keep], tags[keep], homes), ids[keep], tags[keep], hashes[keep], name="home")
+
+
+def word_at(data: np.ndarray, at: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The eight bytes from each place as one number that sorts as they do."""
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), step):
+        out[i : i + step] = data[at[i : i + step, None] + np.arange(8)].view(">u8").ravel()
+    return out
+
+
+def same_neighbours(data: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray, which: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Of each order[i] and order[i + 1], i in which, whether their bytes are equal."""
+    out = size[order[which]] == size[order[which + 1]]
+    pairs = np.flatnonzero(out)
+    for k in range(0, len(pairs), step):
+        i = pairs[k : k + step]
+        a, b = order[which[i]], order[which[i] + 1]
+        x, at = flat(begin[a], size[a])
+        y, _ = flat(begin[b], size[a])
+        out[i] = np.add.reduceat((data[x] != data[y]).astype(np.int32), at[:-1]) == 0
+    return out
+
+
+def content_groups(data: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray, side: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts of groups) of contexts equal in bytes, key place and side; equal hashes are confirmed by the bytes."""
+    total = size.astype(np.uint64) * _R[10] + off.astype(np.uint64) * _R[11] + side.astype(np.uint64) * _R[12]
+    for i in places_of(length):
+        total = B.mix64(total + word_at(data, begin + i) * _R[13])
+    for i in range(8, (length - ANCHOR) // 2 + 16, 8):
+        total = B.mix64(total + word_at(data, begin + size - i) * _R[14])
+    order, starts = multikey_groups([total])
+    joined = np.ones(len(order), bool)
+    joined[starts] = False
+    which = np.flatnonzero(joined) - 1
+    a, b = order[which], order[which + 1]
+    if not (same_neighbours(data, begin, size, order, which) & (off[a] == off[b]) & (side[a] == side[b])).all():  # two contents of one hash
+        names: dict[tuple, int] = {}
+        number = np.array([names.setdefault((data[x : x + n].tobytes(), int(o), int(k)), len(names)) for x, n, o, k in zip(begin, size, off, side, strict=True)], np.int64)
+        return multikey_groups([number])
+    return order, starts
+
+
+def least_of(ids: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each item the smallest id of its group."""
+    out = np.empty(len(ids), np.int64)
+    if len(order):
+        out[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(order))))
+    return out
 
 
-def _contexts(docs: pa.Table, blobs: pa.Table, length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The suffixes at shared anchors with the bytes around them, range-partitioned by their leading bytes."""
-    if not blobs.num_rows or not docs.num_rows:
+def _contexts(docs: pa.Table, blobs: pa.Table, length: int, splitters: np.ndarray, hot: np.ndarray, buckets: int, homes: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes at shared keys with the bytes around them, range-partitioned by their leading bytes.
+
+    Of contexts that are equal within this home only those of the smallest document go on: the others' strings
+    all start in it, so what they lose is known here and goes straight to their home, in rows of buckets from `buckets` on.
+    """
+    if not docs.num_rows:
         return
-    parts = [unpack(b.as_py()) for b in blobs.column("blob")]
-    of, tag_of, hash_of = (np.concatenate(x) for x in zip(*parts, strict=True))
     docs = docs.combine_chunks()
-    ids, tags, _ = ids_of(docs)
+    ids, tags, known = ids_of(docs)
+    parts = [unpack(b.as_py()) for b in blobs.column("blob")] if blobs.num_rows else []
+    of, tag_of, hash_of = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     names = np.unique(np.stack([np.append(ids, of), np.append(tags, tag_of)], axis=1), axis=0, return_inverse=True)[1].ravel()
     own, wanted = names[: len(ids)], np.unique(names[len(ids) :].astype(np.uint64) << np.uint64(HASH_BITS) | hash_of)
     out: list[tuple] = []
-    texts = unzipped(docs.column("z"))
-    for lo, _, data, offsets in B.text_chunks(texts):
-        owner, first, last, anchor, hashes = anchored(data, offsets, length)
-        key = own[lo + owner].astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(64 - HASH_BITS)
-        at = np.searchsorted(wanted, key)
-        at[at == len(wanted)] = 0
-        keep = np.flatnonzero(wanted[at] == key)
-        owner, first, last, anchor = owner[keep], first[keep], last[keep], anchor[keep]
-        size = last - first + length
-        places, _ = flat(first, size)
+    texts, base = [np.zeros(0, np.uint8)], 0
+    for lo, _, data, offsets in B.text_chunks(unzipped(docs.column("z"))):
+        owner, first, last, key, side, hashes, lead = anchored(data, offsets, length)
+        short = hashes >> np.uint64(64 - HASH_BITS)
+        keep = members_of(own[lo + owner].astype(np.uint64) << np.uint64(HASH_BITS) | short, wanted) | members_of(short, hot)
+        keep = np.flatnonzero(keep & known[lo + owner])
+        owner, first, last, key, side, lead = (x[keep] for x in (owner, first, last, key, side, lead))
         row = lo + owner
-        out.append((ids[row], tags[row], (first - offsets[owner]).astype(np.int32), size.astype(np.int32), (anchor - first).astype(np.int32), leading(data, anchor), data[places]))
-    ids_, tags_, first, size, anchor, lead = (np.concatenate([x[i] for x in out]) for i in range(6))
-    data = np.concatenate([x[6] for x in out])
-    begin = flat(size, size)[1][:-1] if len(size) else np.zeros(0, np.int64)
-    to = np.searchsorted(splitters, lead, side="right").astype(np.int32)
-    order = np.lexsort((lead, to))
-    to = to[order]
+        out.append((ids[row], tags[row], (first - offsets[owner]).astype(np.int32), (last - first + length).astype(np.int32), (key - first).astype(np.int8), side.astype(np.int8), lead, first + base))
+        texts.append(data)
+        base += len(data)
+    if not out:
+        return
+    ids_, tags_, first, size, off, side, lead, begin = (np.concatenate(x) for x in zip(*out, strict=True))
+    if not len(ids_):
+        return
+    data = np.concatenate(texts)
+    least = least_of(ids_, *content_groups(data, begin, size.astype(np.int64), off, side, length))
+    gone = np.flatnonzero(ids_ > least)
+    if len(gone):
+        ranges = merged(ids_[gone], tags_[gone], first[gone].astype(np.int64), first[gone].astype(np.int64) + size[gone])
+        yield from dealt(home(ranges[0], ranges[1], homes) + buckets, *ranges, name="bucket")
+    s = np.flatnonzero(ids_ == least)
+    to = np.searchsorted(splitters, lead[s], side="right").astype(np.int32)
+    order = np.lexsort((lead[s], to))
+    s, to = s[order], to[order]
     cuts = np.flatnonzero(np.diff(to, prepend=-1))
-    bounds = np.append(cuts, len(to))
-    rows = []
-    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-        s = order[i:j]
-        rows.append(pack(ids_[s], tags_[s], first[s], size[s], anchor[s], data[flat(begin[s], size[s])[0]]))
+    rows = [pack(ids_[x], tags_[x], first[x], size[x], off[x], side[x], data[flat(begin[x], size[x].astype(np.int64))[0]]) for x in np.split(s, cuts[1:])]
     yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "blob"])
 
 
+#: Strings compared at once.
+AT_ONCE = 1 << 19
+
+
 def _repeats(blobs: pa.Table, length: int, homes: int) -> Iterator[pa.RecordBatch]:
     """Of a range of suffixes the strings that also start in a smaller document, as byte ranges to remove.
 
-    Suffixes are sorted by multikey sort on their leading bytes; within groups of equal ones the strings
-    around them are sorted in turn, and each group of equal strings spares its smallest document.
-    Equal suffixes have equal leading bytes, so no group crosses the boundary of a range.
+    Suffixes are sorted by multikey sort on the bytes of their keys; within groups of equal ones the strings
+    around them are sorted in turn, and neighbours are compared by their bytes: each group of equal
+    strings spares its smallest document. Equal suffixes have equal leading bytes, so no group
+    crosses the boundary of a range. Contexts that are equal as a whole are compared once.
     """
     parts = [unpack(b.as_py()) for b in blobs.column("blob")]
-    ids, tags, first, size, anchor, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-    begin = flat(size, size)[1][:-1]
-    order, starts = multikey_groups([leading(data, begin + anchor), leading(data, begin + anchor + 8)])
-    keep = in_several(ids, order, starts)
-    if not len(keep):
-        return
+    ids, tags, first, size, off, side, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    first, size, off = first.astype(np.int64), size.astype(np.int64), off.astype(np.int64)
+    begin = np.cumsum(size) - size
+    least = least_of(ids, *content_groups(data, begin, size, off, side, length))
+    gone = np.flatnonzero(ids > least)
+    found: list[tuple] = [merged(ids[gone], tags[gone], first[gone], first[gone] + size[gone])]
+    some = np.flatnonzero(ids == least)
+    key = begin[some] + off[some]
+    order, starts = multikey_groups([side[some].astype(np.uint64), *[word_at(data, key + i) for i in places_of(ANCHOR + (length - ANCHOR) // 2)]])
+    group = np.zeros(len(some), np.int64)
+    if len(some):
+        group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    keep = in_several(ids[some], order, starts)
+    group, keep = group[keep], some[keep]
+    # Slices of whole groups, so that as many strings are held at once as are needed.
+    begins = np.flatnonzero(np.diff(group, prepend=-1))
+    upto = np.cumsum(size[keep] - length + 1)
+    at = 0
+    while at < len(keep):
+        limit = (upto[at - 1] if at else 0) + AT_ONCE
+        later = begins[np.searchsorted(begins, at, side="right") :]
+        fits = later[upto[later - 1] <= limit]
+        end = int(fits[-1]) if len(fits) else int(later[0]) if len(later) else len(keep)
+        if upto[-1] <= limit:
+            end = len(keep)
+        found.append(_equal_strings(data, keep[at:end], group[at:end], ids, tags, first, begin, size, off, length))
+        at = end
+    ids_, tags_, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(ids_):
+        ids_, tags_, lo, hi = merged(ids_, tags_, lo, hi)
+        yield from dealt(home(ids_, tags_, homes), ids_, tags_, lo, hi, name="home")
+
+
+def _equal_strings(data: np.ndarray, keep: np.ndarray, group: np.ndarray, ids: np.ndarray, tags: np.ndarray, first: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(id, tag, from, to) of the strings of some contexts that also start in a smaller document among them."""
+    places, at = flat(begin[keep], size[keep])
+    wide = words8(data[places])
     count = size[keep] - length + 1
-    inner, at = flat(np.zeros(len(keep), np.int64), count)
-    record = np.repeat(keep, count)
-    place = begin[record] + inner
-    one, two = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
-    for i, step in enumerate([*range(0, length - 7, 8), length - 8]):
-        word = np.zeros(len(place), np.uint64)
-        for b in range(8):
-            word = word << np.uint64(8) | data[place + step + b]
-        one += B.mix64(word + _R[40 + i % 8]) * _R[i]
-        two += B.mix64(word ^ _R[20 + i % 8]) * _R[30 + i % 8]
-    order, starts = multikey_groups([one, two])
-    docs = ids[record[order]]
-    least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(order))))
-    hit = order[docs > least]
-    if not len(hit):
-        return
-    ids_, tags_, at = ids[record[hit]], tags[record[hit]], first[record[hit]].astype(np.int64) + inner[hit]
-    ids_, tags_, lo, hi = merged(ids_, tags_, at, at + length)
-    yield from dealt(home(ids_, homes), ids_, tags_, lo, hi, name="home")
+    inner, _ = flat(np.zeros(len(keep), np.int64), count)
+    of = np.repeat(np.arange(len(keep)), count)
+    place = at[of] + inner
+    # Strings can be equal only with equal keys at equal places.
+    where = group[of] * length + off[keep][of] - inner
+    words = [wide[place + i] for i in places_of(length)]
+    total = where.astype(np.uint64)
+    for i, w in enumerate(words):
+        total = B.mix64(total + w * _R[20 + i])
+    order, starts = multikey_groups([total])
+    joined = np.ones(len(order), bool)
+    joined[starts] = False
+    b = np.flatnonzero(joined)
+    x, y = order[b - 1], order[b]
+    alike = where[x] == where[y]
+    for w in words:
+        alike &= w[x] == w[y]
+    if not alike.all():  # two strings of one hash: sort by all bytes
+        order, starts = multikey_groups([where.astype(np.uint64), *words])
+    docs = ids[keep][of]
+    hit = np.flatnonzero(docs > least_of(docs, order, starts))
+    lo = first[keep][of[hit]] + inner[hit]
+    return merged(docs[hit], tags[keep][of[hit]], lo, lo + length)
 
 
 def merged(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -324,69 +450,82 @@ def repeated_passages(
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end).
 
     A byte is removed if a string of `length` bytes around it also starts in a document with a
-    smaller id. Every string has an anchor chosen by its own bytes. First the anchors' hashes
-    are compared, which leaves the suffixes that can repeat; these are partitioned into ranges by sampled
-    splitters on their leading bytes, sorted in their bucket, and equal strings are found
+    smaller id. Every string has an anchor chosen by its own bytes, and a key of half its length around that.
+    First the keys' hashes are compared, which leaves the suffixes that can repeat; these are partitioned
+    into ranges by sampled splitters on their leading bytes, sorted in their bucket, and equal strings are found
     among neighbours. Equal suffixes share their leading bytes, hence their bucket. Tasks
-    exchange packed arrays, one row for a bucket and some MB of text.
+    exchange packed arrays, one row for a bucket and some MB of text. A group of copies is reduced to its smallest
+    document in each home before it is dealt out, and a sample's frequent keys are not dealt out at all; the sample
+    steers the work only, never the result.
 
     Nulls: a null text is empty; rows without an id lose nothing and cause nothing. Rows of one id
-    never cause removals in each other. An empty table gives an empty result.
+    never cause removals in each other. Ids that are no whole numbers are taken in their own order. An
+    empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, names = long_ids(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     facts = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids")).first()
-    # A tag tells rows of one id apart; it is 0 where ids don't repeat.
-    rows = rows.withColumn("tag", F.lit(0).cast("long") if facts["known"] == facts["ids"] else F.xxhash64(F.coalesce("text", F.lit(""))))
+    # A tag tells rows of one id apart, and spreads those without one; it is 0 where ids don't repeat.
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("tag", F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")).otherwise(digest) if facts["known"] == facts["ids"] else digest)
     n_buckets = max(1, -(-(facts["bytes"] or 0) // bucket_bytes))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in B.text_chunks(batch.column("text")):
-                owner, _, _, anchor, _ = anchored(data, offsets, length)
-                step = max(1, len(anchor) // max(1, SAMPLE_EACH * (len(offsets) - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(leading(data, anchor[::step]).view(np.int64))], names=["lead"])
-
-    some = rows.sample(min(1.0, SAMPLE_DOCS / max(1, facts["n"])), seed=3).limit(2 * SAMPLE_DOCS)
-    leads = np.sort(np.array([r[0] for r in some.mapInArrow(sample, "lead long").collect()], np.int64).view(np.uint64))
+            for lo, _, data, offsets in B.text_chunks(batch.column("text")):
+                owner, _, _, _, _, hashes, lead = anchored(data, offsets, length)
+                row = ids_of(batch)[0][lo + owner]
+                pair = np.unique(np.stack([row, (hashes >> np.uint64(64 - HASH_BITS)).view(np.int64)], axis=1), axis=0)
+                step = max(1, len(lead) // max(1, SAMPLE_EACH * (len(offsets) - 1)))
+                leads = lead[::step].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(leads, pair[:, 1])), pa.array(np.append(np.full(len(leads), None), pair[:, 0]), pa.int64())], names=["value", "id"])
+
+    some = rows.where("doc_id IS NOT NULL").sample(min(1.0, SAMPLE_DOCS / max(1, facts["n"])), seed=3).limit(2 * SAMPLE_DOCS)
+    seen = cut(some.mapInArrow(sample, "value long, id long"))
+    leads = np.sort(np.array([r[0] for r in seen.where("id IS NULL").select("value").collect()], np.int64).view(np.uint64))
     splitters = leads[(np.arange(1, n_buckets) * len(leads)) // n_buckets] if len(leads) else np.zeros(0, np.uint64)
     splitters = np.unique(splitters)
+    often = seen.where("id IS NOT NULL").groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").orderBy(F.desc("n"), "value").limit(HOT)
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("value").collect()], np.int64).view(np.uint64)))
 
     def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, _, _ = ids_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(home(ids, n_buckets)), batch.column("doc_id"), batch.column("tag"), zipped(batch.column("text"))], names=["home", "doc_id", "tag", "z"])
+            ids, tags, _ = ids_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(home(ids, tags, n_buckets)), batch.column("doc_id"), batch.column("tag"), zipped(batch.column("text"))], names=["home", "doc_id", "tag", "z"])
 
     def hash_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _hash_blobs(batches, length, n_buckets)
+        yield from _hash_blobs(batches, length, n_buckets, hot.value)
 
     blob, home_blob = "bucket int, blob binary", "home int, blob binary"
-    empty = lambda names: pa.table([pa.array([], k) for k in _BLOB], names=names)
 
     def shared(group: pa.Table) -> pa.Table:
         return _one(_shared_hashes(group, n_buckets), ["home", "blob"], _BLOB)
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _one(_contexts(left, right, length, splitters), ["bucket", "blob"], _BLOB)
+        return _one(_contexts(left, right, length, splitters, hot.value, n_buckets, n_buckets), ["bucket", "blob"], _BLOB)
 
     def repeats(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket >= n_buckets:  # already known
+            return pa.table([pa.array([bucket - n_buckets] * group.num_rows, pa.int32()), group.column("blob")], names=["home", "blob"])
         return _one(_repeats(group, length, n_buckets), ["home", "blob"], _BLOB)
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            return pa.table([pa.array([], k) for k in kinds], names=names)
+            return pa.table([pa.array([], k) for k in kinds], names=columns)
         return pa.Table.from_batches(list(_removed(left, right, with_spans)))
 
     packed = rows.mapInArrow(pack_docs, "home int, doc_id long, tag long, z binary")
     candidates = rows.mapInArrow(hash_blobs, blob).groupBy("bucket").applyInArrow(shared, home_blob)
     suffixes = packed.groupBy("home").cogroup(candidates.groupBy("home")).applyInArrow(contexts, blob)
     found = suffixes.groupBy("bucket").applyInArrow(repeats, home_blob)
-    return packed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(
+    out = packed.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(
         removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     )
+    return named_ids(out, names, "doc_id")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
