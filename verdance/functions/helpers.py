@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,125 +21,196 @@ def _compiled(pattern: str, flags: int = 0):
 
 
 def _parsed(text: str | None):
-    """(ok, value) of the whole text, a code fence around it aside, as JSON."""
+    """(error, value) of the whole text, a code fence around it aside, as JSON; error is null if it is."""
     if text is None:
-        return False, None
-    body = re.sub(r"\n?```$", "", re.sub(r"^```[A-Za-z]*[ \t]*\n?", "", text.strip())).strip()
+        return "no text", None
+    body = text.strip()
+    if body.startswith("```"):
+        body = re.sub(r"\n?```$", "", re.sub(r"^```\w*\n?", "", body)).strip()
     try:
-        return True, json.loads(body)
-    except ValueError:
-        return False, None
+        return None, json.loads(body)
+    except json.JSONDecodeError as wrong:
+        return wrong.msg, None
+    except (ValueError, RecursionError) as wrong:
+        return str(wrong), None
 
 
 @F.pandas_udf(T.BooleanType())
 def valid_json(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: _parsed(x)[0]).astype(bool)
+    return text.map(lambda x: _parsed(x)[0] is None).astype(bool)
 
 
-@F.pandas_udf(T.LongType())
-def json_size(text: pd.Series, field: pd.Series) -> pd.Series:
-    """Entries of a field (empty: of the whole); null where it is no list or object."""
+JSON_FACTS = T.StructType(
+    [
+        T.StructField("error", T.StringType()),
+        T.StructField("is_object", T.BooleanType()),
+        T.StructField("missing", T.ArrayType(T.StringType())),
+        T.StructField("size", T.LongType()),
+        T.StructField("is_list", T.BooleanType()),
+        T.StructField("too_long", T.LongType()),
+        T.StructField("chars", T.LongType()),
+    ]
+)
+
+
+def json_fact(text: str | None, field: str | None, fields: list[str] | None, most: int | None) -> dict | None:
+    """What the JSON checks ask of an answer.
+
+    missing: the fields that the top object lacks. size: entries of the field (without a field or an object: of the
+    whole), null where that is no list or object. is_list, too_long: whether the field is a list and how many of its
+    items are longer than most. chars: length of the field's value, null where it is absent.
+    """
+    if text is None:
+        return None
+    error, value = _parsed(text)
+    if error is not None:
+        return {"error": error, "is_object": None, "missing": None, "size": None, "is_list": None, "too_long": None, "chars": None}
+    top = isinstance(value, dict)
+    own = value.get(field) if top and field is not None else None
+    target = own if field and top else value
+    return {
+        "error": None,
+        "is_object": top,
+        "missing": [f for f in fields if f not in value] if top and fields is not None else None,
+        "size": len(target) if isinstance(target, list | dict) else None,
+        "is_list": isinstance(own, list),
+        "too_long": sum(len(str(x)) > most for x in own) if isinstance(own, list) and most is not None else None,
+        "chars": None if own is None else len(str(own)),
+    }
+
+
+def _ints(values: pd.Series) -> list[int | None]:
+    return [None if pd.isna(x) else int(x) for x in values]
+
 
-    def one(x, name):
-        ok, value = _parsed(x)
-        if ok and name:
-            value = value.get(name) if isinstance(value, dict) else None
-        return len(value) if ok and isinstance(value, list | dict) else None
+def _rows(rows: list[dict | None], kind: T.StructType) -> pd.DataFrame:
+    names = kind.fieldNames()
+    return pd.DataFrame({n: pd.Series([None if r is None else r[n] for r in rows], dtype=object) for n in names})
 
-    return pd.Series([one(x, n) for x, n in zip(text, field, strict=True)], dtype="Int64")
 
+@F.pandas_udf(JSON_FACTS)
+def json_facts(text: pd.Series, field: pd.Series, fields: pd.Series, most: pd.Series) -> pd.DataFrame:
+    rows = [json_fact(t, f, None if fs is None else list(fs), m) for t, f, fs, m in zip(text, field, fields, _ints(most), strict=True)]
+    return _rows(rows, JSON_FACTS)
 
-@F.pandas_udf(T.LongType())
-def json_longest(text: pd.Series, field: pd.Series) -> pd.Series:
-    """Characters of the longest item of a list field, or of a plain field; null if absent."""
 
-    def one(x, name):
-        ok, value = _parsed(x)
-        value = value.get(name) if ok and isinstance(value, dict) else None
-        if value is None:
+REGEX_FACTS = T.StructType([T.StructField("error", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", T.StringType())])
+
+
+@F.pandas_udf(REGEX_FACTS)
+def regex_facts(text: pd.Series, pattern: pd.Series, case_sensitive: pd.Series) -> pd.DataFrame:
+    """Matches in Python's dialect and the first of them; error for a bad pattern; null without text or pattern."""
+
+    def one(x, p, exact):
+        if x is None or p is None:
             return None
-        return max((len(str(v)) for v in value), default=0) if isinstance(value, list) else len(str(value))
+        found = _compiled(p, 0 if exact else re.I)
+        if found is None:
+            return {"error": "bad pattern", "n": None, "first": None}
+        n, first = 0, None
+        for m in found.finditer(x):
+            n, first = n + 1, m[0] if first is None else first
+        return {"error": None, "n": n, "first": first}
+
+    return _rows([one(x, p, c) for x, p, c in zip(text, pattern, case_sensitive, strict=True)], REGEX_FACTS)
 
-    return pd.Series([one(x, n) for x, n in zip(text, field, strict=True)], dtype="Int64")
+
+def heading_offset(text: str | None, heading: str | None, case_sensitive: bool) -> int | None:
+    """Where a line that is the heading begins: a markdown heading first, else a line of it alone with an optional number and colon."""
+    name = re.escape((heading or "").strip())
+    if text is None or not name:
+        return None
+    for pattern in (rf"^\s*#{{1,6}}\s+{name}\s*$", rf"^\s*(?:\d+[.)]\s*)?{name}\s*:?\s*$"):
+        if (m := _compiled(pattern, re.M if case_sensitive else re.M | re.I).search(text)) is not None:
+            return m.start()
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def heading_positions(text: pd.Series, headings: pd.Series, case_sensitive: pd.Series) -> pd.Series:
+    """The offsets of some headings; null where one is missing."""
+    return pd.Series([None if x is None or hs is None else [heading_offset(x, h, bool(c)) for h in hs] for x, hs, c in zip(text, headings, case_sensitive, strict=True)], dtype=object)
+
+
+def heading_position(text: Column, heading: Column, case_sensitive: Column | None = None) -> Column:
+    return heading_positions(text, F.array(heading), F.lit(False) if case_sensitive is None else case_sensitive)[0]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def json_keys(text: pd.Series) -> pd.Series:
-    def one(x):
-        ok, value = _parsed(x)
-        return list(value) if ok and isinstance(value, dict) else None
+def labels_missing(text: pd.Series, labels: pd.Series) -> pd.Series:
+    """The labels that neither open a line with a colon or bar behind them (in any case) nor occur as they are."""
 
-    return text.map(one)
+    def one(x, names):
+        if x is None or names is None:
+            return None
+        return [n for n in names if n not in x and _compiled(rf"^\s*(?:[-*]\s*)?{re.escape(n)}\s*[:|]", re.I | re.M).search(x) is None]
 
+    return pd.Series([one(x, names) for x, names in zip(text, labels, strict=True)], dtype=object)
 
-@F.pandas_udf(T.LongType())
-def regex_count(text: pd.Series, pattern: pd.Series) -> pd.Series:
-    """Matches in Python's dialect; null for a bad pattern."""
 
-    def one(x, p):
-        found = _compiled(p, re.M) if p is not None else None
-        return None if found is None else sum(1 for _ in found.finditer(x or ""))
+#: A number counted in one of these units is no measured value.
+COUNTED = "年月日号期季届次个条只家人份款项批组套件篇章节段点步"
+_DECIMAL = re.compile(r"(\d[\d,]*)\.(\d+)(\s*)(%|％|[^\d\s,.;:!?。，；：！？\n])?")
 
-    return pd.Series([one(x, p) for x, p in zip(text, pattern, strict=True)], dtype="Int64")
 
+def fixed_decimals(text: str | None, places: int | None) -> str | None:
+    """Decimals padded or cut (never rounded) to a number of places.
 
-@F.pandas_udf(T.LongType())
-def heading_position(text: pd.Series, heading: pd.Series) -> pd.Series:
-    """Offset of a markdown heading with the text, else of a numbered label line; null if neither."""
+    Headings, table separators, counted units and what looks like a section number (at most two digits on either side,
+    before Chinese text) stay. Where a number changes, the space between it and its unit goes.
+    """
+    if text is None or places is None:
+        return text
 
-    def one(x, h):
-        if x is None or not h:
-            return None
-        for p in (rf"^#{{1,6}}\s+{re.escape(h)}", rf"^\d+\.\s*{re.escape(h)}\s*:?"):
-            if (m := _compiled(p, re.M | re.I).search(x)) is not None:
-                return m.start()
-        return None
+    def line_fixed(line: str) -> str:
+        if re.match(r"\s*#{1,6}\s", line) or re.match(r"\s*\|[\s\-:]+\|", line):
+            return line
 
-    return pd.Series([one(x, h) for x, h in zip(text, heading, strict=True)], dtype="Int64")
+        def number(m: re.Match) -> str:
+            whole, part, _, unit = m.groups()
+            follows = line[m.end() : m.end() + 5]
+            section = len(whole) <= 2 and len(part) <= 2 and re.match(r"\s*[一-鿿]", follows)
+            if (unit and unit in COUNTED) or section or len(part) == places:
+                return m[0]
+            return f"{whole}.{part[:places].ljust(places, '0')}{unit or ''}"
 
+        return _DECIMAL.sub(number, line)
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else x.casefold())
+    return "\n".join(line_fixed(x) for x in text.split("\n"))
 
 
 @F.pandas_udf(T.StringType())
 def fix_decimals(text: pd.Series, places: pd.Series) -> pd.Series:
-    """Decimals padded or cut (never rounded) to a number of places, outside headings and table separators."""
-
-    def number(m, n):
-        whole, part = m[1], m[2]
-        return whole + ("." + part[:n].ljust(n, "0") if n else "")
+    return pd.Series([fixed_decimals(x, n) for x, n in zip(text, _ints(places), strict=True)], dtype=object)
 
-    def one(x, n):
-        if x is None or n is None:
-            return x
-        out = []
-        for line in x.split("\n"):
-            if not re.match(r"\s*(#|\|?[\s:|-]*---)", line):
-                line = re.sub(r"(?<![\d.])(\d[\d,]*)\.(\d+)(?![\d.])", lambda m: number(m, int(n)), line)
-            out.append(line)
-        return "\n".join(out)
 
-    return pd.Series([one(x, n) for x, n in zip(text, places, strict=True)], dtype=object)
+#: Label, number and unit, in the order in which they are looked for.
+LABELLED = (
+    r"([一-鿿]{2,10}(?:为|达|约|共计|合计|共|累计))\s*([-+]?[\d,]+\.?\d*)\s*(万元|亿元|万股|%|％|元)",
+    r"([一-鿿]{2,8})[：:]\s*([-+]?[\d,]+\.?\d*)\s*(万元|亿元|万股|%|％|元)",
+    r"\|\s*([一-鿿]{2,10})\s*\|\s*([-+]?[\d,]+\.?\d*)\s*(万元|亿元|%|％|元)?\s*\|",
+    r"([一-鿿]{2,6})\s+([-+]?[\d,]+\.?\d*)\s*(万元|亿元|万股|%|％)",
+    r"([一-鿿]{2,8})\s*([\d,]{4,})\s*(股|万元|亿元|元)",
+    r"([一-鿿]{2,8}(?:比例|占比|持股))[^\d]{0,5}([\d.]+)\s*(%|％)",
+)
 
 
-LABELLED = re.compile(r"([A-Za-z][A-Za-z ]{2,40}?)\s*(?::|is|of|was|=)\s*([$€£]?\d[\d,]*(?:\.\d+)?)\s*(%|percent|million|billion|USD|EUR|bps)?")
+def labelled(text: str | None, most: int = 15) -> dict[str, str]:
+    """Label to number and unit. A later match overwrites; the search ends with the match that makes `most` labels."""
+    found: dict[str, str] = {}
+    for pattern in LABELLED:
+        for m in _compiled(pattern).finditer(text or ""):
+            value = m[2].replace(",", "")
+            if m[1].strip() and value:
+                found[m[1].strip()] = value + (m[3] or "")
+            if len(found) >= most:
+                return found
+    return found
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def labelled_values(text: pd.Series) -> pd.Series:
-    """Label to number and unit; a later match overwrites, at most 15 labels."""
-
-    def one(x):
-        found: dict[str, str] = {}
-        for m in LABELLED.finditer(x or ""):
-            label = m[1].strip()
-            if label in found or len(found) < 15:
-                found[label] = m[2] + (m[3] or "")
-        return found
-
-    return text.map(one)
+    return text.map(labelled)
 
 
 JUDGED = T.StructType(
@@ -157,9 +229,9 @@ def _whole(x) -> bool:
 
 def parse_judge(raw: str | None, expected: list[int]) -> dict:
     """Strict reading of a judge's answer; the first thing wrong with it is its error."""
-    ok, value = _parsed(raw)
+    error, value = _parsed(raw)
     wrong = lambda why: {"error": why, "scores": None, "quality_score": None, "quality_reason": None}
-    if not ok:
+    if error is not None:
         return wrong("not_json")
     if not isinstance(value, dict):
         return wrong("not_object")
@@ -175,17 +247,20 @@ def parse_judge(raw: str | None, expected: list[int]) -> dict:
             return wrong("unexpected_index")
         if index in seen:
             return wrong("duplicate_index")
-        if not _whole(score) or score not in (0, 1):
+        if isinstance(score, bool) or score not in (0, 1):
             return wrong("bad_score")
         if not isinstance(reason, str) or not reason.strip():
             return wrong("empty_reason")
-        seen[index] = {"constraint_index": index, "score": score, "reason": reason.strip()}
+        seen[index] = {"constraint_index": index, "score": int(score), "reason": reason.strip()}
     if set(expected) - set(seen):
         return wrong("missing_index")
     quality = value.get("quality_score")
     if not _whole(quality) or not 0 <= quality <= 10:
         return wrong("bad_quality")
-    return {"error": None, "scores": [seen[i] for i in sorted(seen)], "quality_score": quality, "quality_reason": str(value.get("quality_reason") or "")}
+    why = value.get("quality_reason")
+    if not isinstance(why, str) or not why.strip():
+        return wrong("empty_quality_reason")
+    return {"error": None, "scores": [seen[i] for i in sorted(seen)], "quality_score": quality, "quality_reason": why.strip()}
 
 
 @F.pandas_udf(JUDGED)
@@ -199,8 +274,8 @@ def judge_lenient(raw: pd.Series) -> pd.Series:
     """The pass flag of a judge's answer, by pattern where the JSON is broken; null if there is none."""
 
     def one(x):
-        ok, value = _parsed(x)
-        if ok and isinstance(value, dict) and "pass" in value:
+        error, value = _parsed(x)
+        if error is None and isinstance(value, dict) and "pass" in value:
             return bool(value["pass"])
         m = re.search(r'"pass"\s*:\s*(true|false)', x or "", re.I)
         return m[1].lower() == "true" if m else None

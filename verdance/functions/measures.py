@@ -1,25 +1,38 @@
 """Text measures as column expressions, computed once per answer and shared by all checks.
 
-Python's regex classes are Unicode and its line ends are only \\n, so patterns carry (?U)
-or the explicit class [\\p{L}\\p{N}_], and (?d) where . or ^ $ matter.
+Python's regex classes are Unicode and its line ends are only \\n, so patterns spell the classes
+out (its white space, digits, word characters) and carry (?d) where . or ^ $ matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-W = r"[\p{L}\p{N}_]"
+#: Python's white space, inside a class.
+PS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+S, NS, D, W = f"[{PS}]", f"[^{PS}]", r"\p{Nd}", r"[\p{L}\p{N}_]"
 WORD = rf"(?<!{W}){W}(?:{W}|['-])*(?<={W})(?!{W})"
-BULLET = r"(?dm)^[ \t]*(?:[-*+•]|[0-9]+[.)])[ \t]+[^\s]"
-ORDERED = r"(?dm)^[ \t]*[0-9]+[.)][ \t]+[^\s]"
-HEADING = r"(?dm)^#{1,6}[ \t]+[^\s]"
-LABEL = r"(?dm)^[^\s:#|][^:\n]{0,60}:[ \t]*$"
-QUOTE = r"(?dm)^[ \t]*>[ \t]?[^\s]"
+MARK = rf"(?:[-*•]|{D}+[.)])"
+BULLET = rf"(?dm)^{S}*{MARK}{S}+{NS}+"
+ORDERED = rf"(?dm)^{S}*{D}+[.)]{S}+{NS}+"
+HEADING = rf"(?dm)^{S}{{0,3}}#{{1,6}}{S}+{NS}+"
+LABEL = rf"(?dm)^{S}*(?:{D}+[.)]{S}*)?{W}[\p{{L}}\p{{N}}_{PS}/&-]{{1,80}}:{S}*$"
+QUOTE = rf"(?dm)^{S}*>{S}+{NS}+"
+CHECKBOX = rf"(?dm)^{S}*(?:[-*]{S}*)?\[[ xX]?\]{S}+{NS}"
 FENCE = "```"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
-SEPARATOR = r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?$"
-NUMBER = r"(?:[$€£¥][ ]?)?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?(?:[ ]?(?:%|percent|bps|USD|EUR|CNY|million|billion))?"
+SEPARATOR = rf"^\|{S}*:?-{{3,}}:?{S}*(?:\|{S}*:?-{{3,}}:?{S}*)+\|?$"
+NUMBER = rf"(?iu)(?<!{W})[$€£]?{D}[{D},]*(?:\.{D}+)?{S}*(?:%|percent|days?|calendar-days?|years?)?"
+DECIMAL = rf"(?<!{W})[+-]?{D}[{D},]*(?:\.{D}+)?%?"
+PERCENTAGE = rf"(?iu)(?<!{W})[+-]?{D}[{D},]*(?:\.{D}+)?(?:%|{S}+percent(?:age)?(?:{S}+points?)?(?!{W}))"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, for expressions that look at it many times."""
+    return F.transform(F.array(value), use)[0]
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -27,7 +40,18 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{S}+|{S}+$", "")
+
+
+def fold(text: Column) -> Column:
+    """Texts that Python's casefold makes equal become equal, and no others.
+
+    Upper and lower case between them unfold what has several letters (ß, ligatures); a dotless i stays what it is, and
+    both forms of the small sigma are one. The translation in the middle changes nothing: it keeps the optimizer from
+    taking lower(upper(x)) for lower(x), which is wrong for such letters.
+    """
+    upper = F.upper(F.translate(F.lower(text), "ı", "\ue000"))
+    return F.translate(F.lower(F.translate(upper, "\ue001", "\ue001")), "ς\ue000", "σı")
 
 
 def lines(text: Column) -> Column:
@@ -49,12 +73,12 @@ def mixed_word_count(text: Column) -> Column:
 
 
 def ws_word_count(text: Column) -> Column:
-    return count(text, r"(?U)\S+")
+    return count(text, f"{NS}+")
 
 
 def section_count(text: Column) -> Column:
-    headings = count(text, HEADING)
-    return F.when(headings > 0, headings).otherwise(count(text, LABEL))
+    """Headings; if there is none, lines that are a label with a colon."""
+    return bind(count(text, HEADING), lambda n: F.when(n > 0, n).otherwise(count(text, LABEL)))
 
 
 def item_list_count(text: Column) -> Column:
@@ -67,8 +91,8 @@ def ordered_count(text: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines that are more than a lone heading or bold line."""
-    blocks = F.filter(F.transform(F.split(strip(text), r"\n\s*\n"), strip), lambda x: x != "")
-    return F.filter(blocks, lambda b: ~(~b.contains("\n") & (b.rlike(r"^#{1,6}\s") | b.rlike(r"^\*\*[^*]+\*\*:?$"))))
+    alone = lambda own: (F.size(own) == 1) & (own[0].rlike(rf"^#{{1,6}}{S}+{NS}") | own[0].rlike(r"(?s)^\*\*[^*].*\*\*$"))
+    return F.filter(F.split(strip(text), rf"\n{S}*\n"), lambda b: bind(nonblank(b), lambda own: (F.size(own) > 0) & ~alone(own)))
 
 
 def paragraph_measure(text: Column) -> Column:
@@ -76,7 +100,7 @@ def paragraph_measure(text: Column) -> Column:
 
 
 def sentence_measure(text: Column) -> Column:
-    pieces = F.split(text, r"[。！？!?]+|(?<=[A-Za-z0-9][.])\s+")
+    pieces = F.split(text, rf"[。！？!?]+|(?<=[A-Za-z0-9][.]){S}+")
     return F.size(F.filter(pieces, lambda p: F.length(strip(p)) > 5)).cast("long")
 
 
@@ -88,66 +112,122 @@ def code_block_measure(text: Column) -> Column:
     return F.floor(count(text, FENCE) / 2).cast("long")
 
 
-def heading_level_measure(text: Column, level: int) -> Column:
-    return count(text, rf"(?dm)^#{{{level}}}[ \t]+[^\s]")
+def heading_level_measure(text: Column, level: int | Column) -> Column:
+    """Headings of a level; 0 for levels that do not exist."""
+    one = lambda n: count(text, rf"(?dm)^{S}{{0,3}}#{{{n}}}{S}+{NS}+")
+    if isinstance(level, int):
+        return one(level) if 1 <= level <= 6 else F.lit(0).cast("long")
+    chain = F.when(level == 1, one(1))
+    for n in range(2, 7):
+        chain = chain.when(level == n, one(n))
+    return chain.otherwise(F.lit(0).cast("long"))
 
 
 def heading_depth_measure(text: Column) -> Column:
-    marks = F.regexp_extract_all(text, F.lit(r"(?dm)^(#{1,6})[ \t]+[^\s]"), F.lit(1))
-    return F.size(F.array_distinct(marks)).cast("long")
+    """How many levels of headings the lines have."""
+    marks = F.transform(lines(text), lambda x: F.regexp_extract(x, rf"^{S}{{0,3}}(#{{1,6}}){S}+{NS}", 1))
+    return F.size(F.array_distinct(F.filter(marks, lambda m: m != ""))).cast("long")
 
 
 def table_lines(text: Column) -> Column:
     return F.filter(nonblank(text), lambda x: x.startswith("|") & x.endswith("|"))
 
 
+def is_table(rows: Column) -> Column:
+    """Whether such lines make a table: two at least, one of them a separator of two columns or more."""
+    return (F.size(rows) >= 2) & F.exists(rows, lambda x: x.rlike(SEPARATOR))
+
+
 def has_table(text: Column) -> Column:
-    return (F.size(table_lines(text)) >= 2) & F.exists(table_lines(text), lambda x: x.rlike(SEPARATOR))
+    return bind(table_lines(text), is_table)
+
 
+def plain(cell: Column) -> Column:
+    """A cell's text without emphasis and code marks, trimmed and folded."""
+    return fold(strip(F.regexp_replace(cell, "[`*_]", "")))
 
-def cells(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), strip)
+
+def header_of(rows: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.get(rows, F.lit(0)), r"^\|+|\|+$", ""), r"\|"), plain)
 
 
 def table_header(text: Column) -> Column:
-    return F.transform(cells(F.get(table_lines(text), F.lit(0))), lambda c: F.lower(F.regexp_replace(c, "[*_`]", "")))
+    return bind(table_lines(text), header_of)
+
+
+def body_of(rows: Column) -> Column:
+    """The lines from the third on that are no separators."""
+    return F.filter(rows, lambda x, i: (i >= 2) & ~x.rlike(SEPARATOR))
 
 
 def table_rows(text: Column) -> Column:
-    rest = F.slice(table_lines(text), 3, F.greatest(F.size(table_lines(text)) - 2, F.lit(0)))
-    return F.size(F.filter(rest, lambda x: ~x.rlike(SEPARATOR))).cast("long")
+    return bind(table_lines(text), lambda rows: F.size(body_of(rows)).cast("long"))
+
+
+def table_cells(text: Column) -> Column:
+    """The first table's cells, row by row, header first."""
+    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), strip)
+    return bind(table_lines(text), lambda rows: F.when(is_table(rows), F.transform(F.concat(F.slice(rows, 1, 1), body_of(rows)), cells)))
 
 
 def strip_fence(text: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[A-Za-z]*[ \t]*\n?", ""), r"\n?```$", ""))
+    """Without the code fence around it, its language tag included."""
+    return bind(strip(text), lambda t: F.when(t.startswith(FENCE), strip(F.regexp_replace(F.regexp_replace(t, rf"^```{W}*\n?", ""), r"\n?```$", ""))).otherwise(t))
 
 
 def canonical_number(text: Column) -> Column:
-    """Lower case, no thousands commas, single spaces, percent as a sign."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "(?<=[0-9]),(?=[0-9])", ""), r"\s+", " "), r"\s*percent", "%")
+    """Trimmed, folded, without commas, single spaces, percent as a sign."""
+    return F.replace(F.regexp_replace(F.replace(fold(strip(text)), F.lit(","), F.lit("")), f"{S}+", " "), F.lit("percent"), F.lit("%"))
 
 
 def extract_numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), canonical_number)
 
 
+def decimals_of(numbers: Column) -> Column:
+    """Digits after the point of each number."""
+    return F.transform(numbers, lambda x: F.length(F.regexp_extract(x, rf"\.({D}+)", 1)))
+
+
 def quoted_terms(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("\"[^\"]+\"|“[^”]+”|'[^']+'"), F.lit(0))
-    return F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.transform(found, lambda x: strip(F.substring(x, F.lit(2), F.length(x) - 2)))
 
 
-def infer_table_columns(text: Column) -> Column:
-    """Columns that prose names after "columns" or "table with": at least two of at most six words, lower case; else null."""
-    after = F.regexp_extract(text, r"(?is)(?:columns(?: for| named|:)?|table with (?!columns))\s*([^.;\n]+)", 1)
-    names = F.filter(F.transform(F.split(after, r"\s*,\s*(?:and\s+)?|\s+and\s+"), lambda x: F.lower(F.trim(F.regexp_replace(x, "[*_`\"']", "")))), lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= 6))
-    return F.when(F.size(names) >= 2, names)
+def first_match(text: Column, *patterns: str) -> Column:
+    """Group 1 of the first pattern that is found; null if none is."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+
+
+def infer_min_words(text: Column) -> Column:
+    return first_match(text, rf"(?iu)at least{S}+({D}+){S}+words?", rf"(?iu)minimum of{S}+({D}+){S}+words?").cast("long")
+
+
+def infer_max_words(text: Column) -> Column:
+    return first_match(text, *[rf"(?iu){k}{S}+({D}+){S}+words?" for k in ("no more than", "maximum of", "under", "fewer than")]).cast("long")
 
 
 def infer_word_limit(text: Column) -> Column:
-    """struct(kind, limit) from "at least N words" and the like; null if there is none."""
-    low = F.regexp_extract(text, r"(?i)at least ([0-9]+) words", 1)
-    high = F.regexp_extract(text, r"(?i)(?:no more than|maximum of|under|fewer than) ([0-9]+) words", 1)
-    return F.when(low != "", F.struct(F.lit("min").alias("kind"), low.cast("int").alias("limit"))).when(high != "", F.struct(F.lit("max").alias("kind"), high.cast("int").alias("limit")))
+    """struct(min, max): the limits that the wording names."""
+    return F.struct(infer_min_words(text).alias("min"), infer_max_words(text).alias("max"))
+
+
+def _columns_named(segment: Column, by_and: bool) -> Column:
+    clean = lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[`*_]", ""), f"{S}+", " "), r"^[ .;:|]+|[ .;:|]+$", ""), rf"(?iu)^(?:and|or){S}+", ""))
+    whole = F.regexp_replace(F.regexp_replace(segment, f"{S}+", " "), r"^[ .;:]+|[ .;:]+$", "")
+    parts = F.when(whole.contains(","), F.split(whole, ",")).otherwise(F.split(whole, rf"(?iu){S}+and{S}+") if by_and else F.array(whole))
+    names = F.filter(F.transform(parts, clean), lambda x: (x != "") & (F.size(F.filter(F.split(x, f"{S}+"), lambda w: w != "")) <= 6))
+    return F.when(F.size(names) >= 2, names)
+
+
+def infer_table_columns(text: Column) -> Column:
+    """Columns that the wording names: two or more of at most six words each; null if there are none."""
+    rest = rf"{S}+(.+?)(?:\.|;|$)"
+    return F.coalesce(
+        _columns_named(F.regexp_extract(text, rf"(?iud)(?:columns?|headers?){S}+(?:named{S}+)?(.+?)(?:\.|;|$)", 1), False),
+        _columns_named(F.regexp_extract(text, rf"(?iud)two-column table of{rest}", 1), True),
+        _columns_named(F.regexp_extract(text, rf"(?iud)table with{rest}", 1), False),
+    )
 
 
 def response_profile(text: Column) -> list[Column]:

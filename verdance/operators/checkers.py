@@ -1,13 +1,13 @@
-"""The checkers: name -> expression over (response, config) that is true, false or null (needs a judge).
+"""The checkers: name -> verdict on an answer by the settings of a constraint.
 
-Settings come as a Python dict when a whole table shares them (the common case in reports) and
-are then literals in the plan. Limits follow three readings: a chain of settings in which 0 is
-unset, plain keys where 0 counts, and none at all, which leaves the verdict open.
+A verdict is a struct of score (1 pass, 0 fail, null: a judge must decide), reason and method. Settings are a map column,
+so every constraint brings its own; one plan serves them all. Limits follow three readings: a chain of
+settings in which 0 is unset, plain settings where 0 counts, and none at all, which leaves the verdict open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,381 +15,655 @@ from pyspark.sql import functions as F
 from verdance.functions import helpers as H
 from verdance.functions import measures as M
 
-CHECKERS: dict[str, Callable[[Column, dict], Column]] = {}
+from .keys import has_explicit_config, layered_config, named_checker, route_constraints
+from .settings import EMPTY, NUMBERS, Settings, as_map
 
+#: Phrases, terms and units that checkers look for where no setting names others.
+REPORT_PHRASES = ("本报告", "本文", "本分析", "本研究", "报告认为", "分析认为")
+RISK_LINE = "以上内容仅供参考，不构成投资建议"
+RISK_TERMS = ("风险提示", "免责声明", "仅供参考", "不构成投资建议")
+CURRENCY_UNITS = ("万元", "亿元", "百万元", "千万元", "元", "万亿元", "万亿", "百万", "千万")
+PERCENT_TARGETS = ("percent", "percentage", "percentages", "percent_only")
 
-def null() -> Column:
-    return F.lit(None).cast("boolean")
+
+class Answer:
+    """An answer's text and what is measured on it; measures that a table has as columns are taken from there."""
+
+    def __init__(self, text: Column, columns: Mapping[str, Column] | None = None):
+        self.text = F.coalesce(text, F.lit(""))
+        self.columns = columns or {}
+
+    def __getattr__(self, name: str) -> Column:
+        if name in MEASURES:
+            return self.columns[name] if name in self.columns else MEASURES[name][0](self.text)
+        raise AttributeError(name)
+
+    def headings(self, level: Column) -> Column:
+        return M.heading_level_measure(self.text, level)
+
+    def regex(self, text: Column, pattern: Column, case_sensitive: Column) -> Column:
+        return self.columns["regex"] if "regex" in self.columns else H.regex_facts(text, pattern, case_sensitive)
+
+    def json(self, field: Column, fields: Column, most: Column) -> Column:
+        return self.columns["json"] if "json" in self.columns else H.json_facts(self.text, field, fields, most.cast("long"))
+
+    def places(self, headings: Column, case_sensitive: Column) -> Column:
+        return self.columns["places"] if "places" in self.columns else H.heading_positions(self.text, headings, case_sensitive)
+
+    def unlabelled(self, labels: Column) -> Column:
+        return self.columns["unlabelled"] if "unlabelled" in self.columns else H.labels_missing(self.text, labels)
+
+
+#: name -> (measure, the checkers that look at it)
+MEASURES: dict[str, tuple[Callable[[Column], Column], tuple[str, ...]]] = {
+    "folded": (M.fold, ("required_keyword", "forbidden_phrase", "conditional_trigger")),
+    "words": (M.word_count, ("min_words", "max_words")),
+    "mixed_words": (M.mixed_word_count, ("word_range",)),
+    "sections": (M.section_count, ("min_sections", "max_sections")),
+    "items": (M.item_list_count, ("item_count",)),
+    "ordered": (M.ordered_count, ("ordered_list_count",)),
+    "paragraphs": (M.paragraph_measure, ("paragraph_count",)),
+    "sentences": (M.sentence_measure, ("sentence_count",)),
+    "quotes": (M.blockquote_measure, ("blockquote_count",)),
+    "lines": (M.nonblank, ("first_line", "first_line_format", "last_line", "first_last_line", "risk_disclaimer")),
+    "table": (M.table_lines, ("markdown_table", "no_table", "table_columns", "table_row_count")),
+    "flat": (M.canonical_number, ("contains_number", "threshold", "deadline", "exact_value")),
+    "numbers": (M.extract_numbers, ("contains_number", "threshold")),
+    "depth": (M.heading_depth_measure, ("heading_depth",)),
+}
+
+Checker = Callable[[Answer, Settings], Column]
+CHECKERS: dict[str, Checker] = {}
 
 
 def register_checker(name: str):
-    """Adds a checker of one's own: fn(response, config) -> boolean Column."""
+    """Adds a checker of one's own: fn(response, config) -> boolean Column, null where a judge must decide."""
+
+    def add(fn: Callable[[Column, Column], Column]):
+        CHECKERS[name] = lambda a, c: verdict(fn(a.text, c.config).isNotNull(), fn(a.text, c.config), F.lit(name))
+        return fn
 
-    def add(fn):
-        CHECKERS[name] = fn
+    return add
+
+
+def _checker(*names: str):
+    def add(fn: Checker) -> Checker:
+        for name in names:
+            CHECKERS[name] = fn
         return fn
 
     return add
 
 
-def chain(config: dict, *keys: str) -> int | None:
-    """The first setting that is set and not 0; the last one may be 0."""
-    for key in keys[:-1]:
-        if config.get(key):
-            return int(config[key])
-    return int(config[keys[-1]]) if config.get(keys[-1]) is not None else None
+def text_of(x: Column | str | int) -> Column:
+    return x.cast("string") if isinstance(x, Column) else F.lit(str(x))
+
+
+def say(*parts: Column | str | int) -> Column:
+    """Parts one after the other; null ones are empty."""
+    return F.concat(*[F.coalesce(text_of(p), F.lit("")) for p in parts])
+
+
+def verdict(ready: Column | None, passed: Column, detail: Column) -> Column:
+    """Open until ready; the reason gives what was measured or missing."""
+    ok = F.coalesce(passed, F.lit(False))
+    out = F.struct(ok.cast("int").alias("score"), F.concat(F.when(ok, "met: ").otherwise("not met: "), F.coalesce(detail, F.lit(""))).alias("reason"))
+    return out if ready is None else F.when(ready, out)
+
+
+def within(value: Column, exact: Column, low: Column, high: Column, what: str) -> Column:
+    """All limits that are given must hold; none given leaves the verdict open."""
+    ready = F.coalesce(exact, low, high).isNotNull()
+    ok = F.coalesce(value == exact, F.lit(True)) & F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True))
+    wanted = F.concat_ws(", ", F.concat(F.lit("exactly "), exact.cast("string")), F.concat(F.lit("at least "), low.cast("string")), F.concat(F.lit("at most "), high.cast("string")))
+    return verdict(ready, ok, say(value, f" {what}, wanted ", wanted))
+
+
+def limited(value: Column, c: Settings, what: str) -> Column:
+    return within(value, c.either("exact_count", "exact"), c.either("min_count", "min"), c.either("max_count", "max"), what)
+
+
+def none_of(listed: Column, ready: Column | None, what: str) -> Column:
+    """Passes if the list of faults is empty."""
+    return verdict(ready, F.size(listed) == 0, F.when(F.size(listed) == 0, f"no {what}").otherwise(say(f"{what}: ", F.array_join(listed, ", "))))
 
 
-def limits(value: Column, config: dict, exact=("exact_count", "exact"), low=("min_count", "min"), high=("max_count", "max")) -> Column:
-    """exact, then min, then max; none set: null."""
-    x, lo, hi = chain(config, *exact), chain(config, *low), chain(config, *high)
-    if x is not None:
-        return value == x
-    if lo is not None and hi is not None:
-        return value.between(lo, hi)
-    if lo is not None:
-        return value >= lo
-    return value <= hi if hi is not None else null()
+def folded_search(a: Answer, c: Settings, terms: Column, absent: bool) -> Column:
+    """The terms that are absent (or present), case-folded unless case_sensitive."""
+    exact = c.flag("case_sensitive")
+    return M.bind(F.when(exact, a.text).otherwise(a.folded), lambda hay: F.filter(terms, lambda t: hay.contains(F.when(exact, t).otherwise(M.fold(t))) != F.lit(absent)))
 
 
-def listed(config: dict, *keys: str) -> list[str]:
-    for key in keys:
-        if (value := config.get(key)) not in (None, "", []):
-            return [str(v) for v in value] if isinstance(value, list | tuple) else [str(value)]
-    return []
+def strings(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
 
-def _all(terms: list[str], test: Callable[[str], Column], empty: Column | None = None) -> Column:
-    out = None
-    for t in terms:
-        out = test(t) if out is None else out & test(t)
-    return (null() if empty is None else empty) if out is None else out
+@_checker("required_keyword")
+def _(a: Answer, c: Settings) -> Column:
+    terms = c.listed_or_quoted("keywords", "keyword")
+    return none_of(folded_search(a, c, terms, True), F.size(terms) > 0, "missing keyword")
 
 
-def _any(terms: list[str], test: Callable[[str], Column], empty: Column | None = None) -> Column:
-    out = None
-    for t in terms:
-        out = test(t) if out is None else out | test(t)
-    return (null() if empty is None else empty) if out is None else out
+@_checker("forbidden_phrase")
+def _(a: Answer, c: Settings) -> Column:
+    terms = c.listed_or_quoted("phrases", "phrase", "keywords")
+    return none_of(folded_search(a, c, terms, False), F.size(terms) > 0, "forbidden phrase")
 
 
-def folded(text: Column, config: dict) -> Callable[[str], Column]:
-    """contains(), case-folded unless case_sensitive. ASCII terms need only lower()."""
-    if config.get("case_sensitive"):
-        return lambda t: text.contains(t)
-    return lambda t: F.lower(text).contains(t.lower()) if t.isascii() and "ss" not in t.lower() else H.casefold(text).contains(t.casefold())
+@_checker("min_words")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    return within(a.words, none, F.coalesce(F.nullif(c.number("min"), F.lit(0)), M.infer_min_words(c.wording)), none, "words")
 
 
-@register_checker("required_keyword")
-def _(r, c):
-    return _all(listed(c, "keywords", "keyword"), folded(r, c))
+@_checker("max_words")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    return within(a.words, none, none, F.coalesce(F.nullif(c.number("max"), F.lit(0)), M.infer_max_words(c.wording)), "words")
 
 
-@register_checker("forbidden_phrase")
-def _(r, c):
-    return ~_any(listed(c, "phrases", "phrase", "keywords"), folded(r, c))
+@_checker("word_range")
+def _(a: Answer, c: Settings) -> Column:
+    first = lambda x, y: F.when(F.map_contains_key(c.config, F.lit(x)), c.number(x)).otherwise(c.number(y))
+    given = lambda x, y: F.when(F.map_contains_key(c.config, F.lit(x)), c.raw(x)).otherwise(c.raw(y)).isNotNull()
+    low, high = first("min_words", "min"), first("max_words", "max")
+    unread = (given("min_words", "min") & low.isNull()) | (given("max_words", "max") & high.isNull())
+    return F.when(~unread, within(a.mixed_words, F.lit(None).cast("long"), low, high, "words and CJK characters"))
 
 
-@register_checker("min_words")
-def _(r, c):
-    n = chain(c, "min", "count")
-    return null() if n is None else M.word_count(r) >= n
+@_checker("min_sections")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    return within(a.sections, none, F.coalesce(c.number("min"), F.nullif(F.size(c.quoted()), F.lit(0)).cast("long")), none, "sections")
 
 
-@register_checker("max_words")
-def _(r, c):
-    n = chain(c, "max", "count")
-    return null() if n is None else M.word_count(r) <= n
+@_checker("max_sections")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    return within(a.sections, none, none, c.number("max"), "sections")
 
 
-@register_checker("word_range")
-def _(r, c):
-    lo, hi = chain(c, "min_words", "min"), chain(c, "max_words", "max")
-    n = M.mixed_word_count(r)
-    return null() if lo is None and hi is None else (F.lit(True) if lo is None else n >= lo) & (F.lit(True) if hi is None else n <= hi)
+@_checker("section_titles")
+def _(a: Answer, c: Settings) -> Column:
+    own = F.filter(F.transform(c.listed("required_titles", "headings", "fields"), M.strip), lambda t: t != "")
+    titles = F.when(F.size(own) > 0, own).otherwise(c.quoted())
+    return none_of(F.filter(titles, lambda t: ~a.text.contains(t)), F.size(titles) > 0, "missing title")
 
 
-@register_checker("min_sections")
-def _(r, c):
-    return M.section_count(r) >= int(c["min"]) if c.get("min") is not None else null()
+@_checker("item_count")
+def _(a: Answer, c: Settings) -> Column:
+    own = c.either("count", "min")
+    said = rf"(?iu)(exactly|at least){M.S}+({M.D}+){M.S}+(?:items?|findings?|bullets?|points?)"
+    target = F.coalesce(own, F.nullif(F.regexp_extract(c.wording, said, 2), F.lit("")).cast("long"))
+    mode = F.when(own.isNotNull(), F.lower(F.coalesce(c.given("mode"), F.lit("exact")))).otherwise(F.lower(F.regexp_extract(c.wording, said, 1)))
+    least = mode.isin("at_least", "minimum", "min", "at least")
+    return verdict(target.isNotNull(), F.when(least, a.items >= target).otherwise(a.items == target), say(a.items, " items, wanted ", F.when(least, "at least ").otherwise("exactly "), target))
 
 
-@register_checker("max_sections")
-def _(r, c):
-    return M.section_count(r) <= int(c["max"]) if c.get("max") is not None else null()
+@_checker("ordered_list_count")
+def _(a: Answer, c: Settings) -> Column:
+    return limited(a.ordered, c, "numbered items")
 
 
-@register_checker("section_titles")
-def _(r, c):
-    return _all(listed(c, "required_titles", "headings", "fields"), lambda t: r.contains(t))
+@_checker("no_list")
+def _(a: Answer, c: Settings) -> Column:
+    return verdict(None, ~a.text.rlike(M.BULLET), F.lit("list items"))
 
 
-@register_checker("item_count")
-def _(r, c):
-    n = chain(c, "count", "min")
-    if n is None:
-        return null()
-    return M.item_list_count(r) >= n if c.get("mode") in ("at_least", "minimum", "min") else M.item_list_count(r) == n
+@_checker("paragraph_count")
+def _(a: Answer, c: Settings) -> Column:
+    return limited(a.paragraphs, c, "paragraphs")
 
 
-@register_checker("ordered_list_count")
-def _(r, c):
-    return limits(M.ordered_count(r), c)
+@_checker("sentence_count")
+def _(a: Answer, c: Settings) -> Column:
+    return limited(a.sentences, c, "sentences")
 
 
-@register_checker("no_list")
-def _(r, c):
-    return ~r.rlike(M.BULLET)
+def no_field() -> Column:
+    return F.lit(None).cast("string")
 
 
-@register_checker("paragraph_count")
-def _(r, c):
-    return limits(M.paragraph_measure(r), c)
+def no_fields() -> Column:
+    return F.expr(EMPTY)
 
 
-@register_checker("sentence_count")
-def _(r, c):
-    return limits(M.sentence_measure(r), c)
+def json_field(c: Settings) -> tuple[Column, Column]:
+    """(field, most characters) of the checks of one JSON field."""
+    return c.raw("field"), c.either("max_chars", "max")
 
 
-@register_checker("valid_json")
-def _(r, c):
-    return H.valid_json(r)
+def required_fields(c: Settings) -> Column:
+    return c.listed_or_quoted("required_fields", "fields")
 
 
-@register_checker("required_fields")
-def _(r, c):
-    fields = listed(c, "fields", "required_fields")
-    if c.get("format") == "json":
-        return F.coalesce(F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), H.json_keys(r))) == 0, F.lit(False)) if fields else null()
-    return _all(fields, lambda f: r.contains(f))
+@_checker("valid_json")
+def _(a: Answer, c: Settings) -> Column:
+    facts = a.json(no_field(), no_fields(), F.lit(None))
+    return verdict(None, facts["error"].isNull(), say("JSON: ", F.coalesce(facts["error"], F.lit("valid"))))
 
 
-@register_checker("json_field_count")
-def _(r, c):
-    n = chain(c, "exact_count", "exact", "count")
-    return null() if n is None else F.coalesce(H.json_size(r, F.lit(c.get("field", ""))) == n, F.lit(False))
+@_checker("required_fields")
+def _(a: Answer, c: Settings) -> Column:
+    fields = required_fields(c)
+    ready = F.size(fields) > 0
+    facts = a.json(no_field(), fields, F.lit(None))
+    as_json = F.when(facts["error"].isNotNull() | ~facts["is_object"], verdict(ready, F.lit(False), say("no JSON object: ", facts["error"]))).otherwise(none_of(facts["missing"], ready, "missing field"))
+    is_json = F.coalesce((c.raw("format") == "json") | (named_checker(c.given("type", "checker_type", "name", "method")) == "valid_json"), F.lit(False))
+    return F.when(is_json, as_json).otherwise(none_of(a.unlabelled(fields), ready, "missing field"))
 
 
-@register_checker("json_field_item_limit")
-def _(r, c):
-    return F.coalesce(H.json_longest(r, F.lit(c["field"])) <= int(c["max_chars"]), F.lit(False))
+@_checker("json_field_count")
+def _(a: Answer, c: Settings) -> Column:
+    exact = c.either("exact_count", "exact")
+    facts = a.json(c.given("field"), no_fields(), F.lit(None))
+    return verdict(exact.isNotNull(), facts["size"] == exact, say("JSON target of ", F.coalesce(facts["size"].cast("string"), facts["error"], F.lit("no")), " entries, wanted ", exact))
 
 
-@register_checker("json_field_word_limit")
-def _(r, c):
-    return H.valid_json(r) & F.coalesce(H.json_longest(r, F.lit(c["field"])) <= int(c["max_chars"]), F.lit(True))
+@_checker("json_field_item_limit")
+def _(a: Answer, c: Settings) -> Column:
+    field, most = json_field(c)
+    facts = a.json(field, no_fields(), most)
+    return verdict(field.isNotNull() & most.isNotNull(), facts["is_list"] & (facts["too_long"] == 0), say(F.coalesce(facts["error"], facts["too_long"].cast("string"), F.lit("no list, not")), " items of ", field, " above ", most, " characters"))
 
 
-@register_checker("markdown_table")
-def _(r, c):
-    return M.has_table(r)
+@_checker("json_field_word_limit")
+def _(a: Answer, c: Settings) -> Column:
+    field, most = json_field(c)
+    facts = a.json(field, no_fields(), most)
+    fits = facts["error"].isNull() & (facts["chars"].isNull() | (facts["chars"] <= most))
+    return verdict(field.isNotNull() & most.isNotNull(), fits, say(field, " of ", F.coalesce(facts["error"], facts["chars"].cast("string"), F.lit("no")), " characters, wanted at most ", most))
 
 
-@register_checker("no_table")
-def _(r, c):
-    return ~M.has_table(r)
+@_checker("markdown_table")
+def _(a: Answer, c: Settings) -> Column:
+    return verdict(None, M.is_table(a.table), F.lit("Markdown table"))
 
 
-@register_checker("table_columns")
-def _(r, c):
-    wanted = [x.lower() for x in listed(c, "columns", "required_columns")]
-    return M.has_table(r) & (F.size(F.array_except(F.array(*[F.lit(x) for x in wanted]), M.table_header(r))) == 0) if wanted else null()
+@_checker("no_table")
+def _(a: Answer, c: Settings) -> Column:
+    return verdict(None, ~M.is_table(a.table), F.lit("no Markdown table"))
 
 
-@register_checker("table_row_count")
-def _(r, c):
-    rows = M.table_rows(r)
-    test = rows == int(c["exact_rows"]) if c.get("exact_rows") is not None else (rows >= int(c["min_rows"]) if c.get("min_rows") is not None else rows <= int(c["max_rows"]) if c.get("max_rows") is not None else null())
-    return F.when(M.has_table(r), test).otherwise(F.lit(False))
+@_checker("table_columns")
+def _(a: Answer, c: Settings) -> Column:
+    own = c.listed_or_quoted("required_columns", "columns")
+    wanted = F.when(F.size(own) > 0, own).otherwise(F.coalesce(M.infer_table_columns(c.wording), F.expr(EMPTY)))
+    missing = M.bind(M.header_of(a.table), lambda header: F.filter(wanted, lambda w: ~F.array_contains(header, M.plain(w))))
+    ready = F.size(wanted) > 0
+    return F.when(M.is_table(a.table), none_of(missing, ready, "missing column")).otherwise(verdict(ready, F.lit(False), F.lit("no Markdown table")))
 
 
-@register_checker("checkbox")
-def _(r, c):
-    return r.rlike(r"(?dm)^[ \t]*(?:[-*+][ \t]*)?\[[ xX]?\]")
+@_checker("table_row_count")
+def _(a: Answer, c: Settings) -> Column:
+    exact, low, high = c.number("exact_rows"), c.number("min_rows"), c.number("max_rows")
+    rows = F.size(M.body_of(a.table)).cast("long")
+    none = verdict(F.coalesce(exact, low, high).isNotNull(), F.lit(False), F.lit("no Markdown table"))
+    return F.when(M.is_table(a.table), within(rows, exact, low, high, "table rows")).otherwise(none)
 
 
-@register_checker("code_block")
-def _(r, c):
-    return M.code_block_measure(r) >= int(c.get("min", 1))
+@_checker("checkbox")
+def _(a: Answer, c: Settings) -> Column:
+    return verdict(None, a.text.rlike(M.CHECKBOX), F.lit("checkbox item"))
 
 
-@register_checker("blockquote_count")
-def _(r, c):
-    return limits(M.blockquote_measure(r), c)
+@_checker("code_block")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    least = F.coalesce(F.nullif(c.number("min_count"), F.lit(0)), F.nullif(c.number("min"), F.lit(0)), F.lit(1).cast("long"))
+    return within(M.code_block_measure(a.text), none, least, none, "code blocks")
 
 
-@register_checker("contains_number")
-def _(r, c):
-    flat = M.canonical_number(r)
-    return _all([n.lower().replace(",", "") for n in listed(c, "numbers", "number")], lambda n: F.array_contains(M.extract_numbers(r), n) | flat.contains(n))
+@_checker("blockquote_count")
+def _(a: Answer, c: Settings) -> Column:
+    return limited(a.quotes, c, "quoted lines")
 
 
-@register_checker("threshold")
-def _(r, c):
-    return CHECKERS["contains_number"](r, {"numbers": listed(c, "thresholds", "threshold")})
+def missing_values(a: Answer, values: Column, numbers: bool) -> Column:
+    wanted = F.transform(values, M.canonical_number)
+    return F.filter(wanted, lambda v: ~((F.array_contains(a.numbers, v) | a.flat.contains(v)) if numbers else a.flat.contains(v)))
 
 
-@register_checker("deadline")
-def _(r, c):
-    return _all([x.lower() for x in listed(c, "deadlines", "deadline")], lambda x: M.canonical_number(r).contains(x))
+@_checker("contains_number")
+def _(a: Answer, c: Settings) -> Column:
+    values = c.listed("numbers", "number")
+    return none_of(missing_values(a, values, True), F.size(values) > 0, "missing number")
 
 
-@register_checker("exact_value")
-def _(r, c):
-    flat = M.canonical_number(r)
-    return _all([str(x).lower() for pair in dict(c.get("values", {})).items() for x in pair], lambda x: flat.contains(x))
+@_checker("threshold")
+def _(a: Answer, c: Settings) -> Column:
+    values = c.listed("thresholds", "number")
+    return none_of(missing_values(a, values, True), F.size(values) > 0, "missing threshold")
 
 
-@register_checker("decimal_places")
-def _(r, c):
-    n = chain(c, "places", "count", "exact")
-    if n is None:
-        return null()
-    only = bool(c.get("percent_only"))
-    found = F.regexp_extract_all(r, F.lit(r"[0-9]+\.([0-9]+)%" if only else r"[0-9]+\.([0-9]+)"), F.lit(1))
-    return F.when(F.size(found) == 0, F.lit(only)).otherwise(F.forall(found, lambda x: F.length(x) == n))
+@_checker("deadline")
+def _(a: Answer, c: Settings) -> Column:
+    values = c.listed("deadlines", "deadline")
+    return none_of(missing_values(a, values, False), F.size(values) > 0, "missing deadline")
 
 
-@register_checker("first_line")
-def _(r, c):
-    return F.coalesce(F.get(M.nonblank(r), F.lit(0)).startswith(c["text"]), F.lit(False))
+@_checker("exact_value")
+def _(a: Answer, c: Settings) -> Column:
+    pairs = F.map_entries(F.from_json(F.when(F.ltrim(c.given("expected_values")).startswith("{"), c.given("expected_values")), "map<string,string>"))
+    missing = F.filter(pairs, lambda p: ~(a.flat.contains(M.fold(p["key"])) & a.flat.contains(M.canonical_number(F.coalesce(p["value"], F.lit("none"))))))
+    return none_of(F.transform(missing, lambda p: F.concat_ws("=", p["key"], p["value"])), F.size(pairs) > 0, "missing value")
 
 
-@register_checker("first_line_format")
-def _(r, c):
-    pattern = {"bold": r"^\*\*.+\*\*", "heading": r"^#{1,6}\s", "numbered": r"^[0-9]+[.)]"}[c["format"]]
-    return F.coalesce(F.get(M.nonblank(r), F.lit(0)).rlike(pattern), F.lit(False))
+@_checker("decimal_places")
+def _(a: Answer, c: Settings) -> Column:
+    said = F.nullif(F.regexp_extract(c.wording, rf"(?iu)({M.D}+){M.S}+decimal places?", 1), F.lit("")).cast("long")
+    n = F.coalesce(F.nullif(c.number("places"), F.lit(0)), c.number("count"), c.number("exact"), said)
+    percent = F.lower(F.coalesce(c.given("target", "mode"), F.lit("all"))).isin(*PERCENT_TARGETS)
+    found = F.when(percent, F.regexp_extract_all(a.text, F.lit(M.PERCENTAGE), F.lit(0))).otherwise(F.regexp_extract_all(a.text, F.lit(M.DECIMAL), F.lit(0)))
 
+    def judged(numbers: Column) -> Column:
+        wrong = F.filter(numbers, lambda x: F.length(F.regexp_extract(x, rf"\.({M.D}+)", 1)) != n)
+        return F.when(F.size(numbers) == 0, verdict(None, percent, F.lit("no such numbers"))).otherwise(none_of(F.slice(wrong, 1, 5), None, "number of other places"))
 
-@register_checker("last_line")
-def _(r, c):
-    return F.coalesce(F.try_element_at(M.nonblank(r), F.lit(-1)).contains(c["text"]), F.lit(False))
+    return F.when(n.isNotNull(), M.bind(found, judged))
 
 
-@register_checker("conditional_trigger")
-def _(r, c):
-    has = folded(r, c)
-    return ~has(c["trigger"]) | has(c["followup"])
+def first_of(a: Answer) -> Column:
+    return F.coalesce(F.get(a.lines, F.lit(0)), F.lit(""))
 
 
-@register_checker("simple_regex")
-def _(r, c):
-    return F.coalesce(H.regex_count(r, F.lit(c["pattern"])) > 0, F.lit(False))
+def last_of(a: Answer) -> Column:
+    return F.coalesce(F.try_element_at(a.lines, F.lit(-1)), F.lit(""))
 
 
-@register_checker("forbidden_regex")
-def _(r, c):
-    return F.coalesce(H.regex_count(r, F.lit(c["pattern"])) == 0, F.lit(False))
+@_checker("first_line")
+def _(a: Answer, c: Settings) -> Column:
+    wanted = c.word_or_quoted("line", "word")
+    return verdict(wanted != "", first_of(a).startswith(wanted), say("first line opens with ", wanted))
 
 
-@register_checker("regex_count")
-def _(r, c):
-    return F.coalesce(limits(H.regex_count(r, F.lit(c["pattern"])), c), F.lit(False))
+@_checker("first_line_format")
+def _(a: Answer, c: Settings) -> Column:
+    kind = F.lower(c.word("format"))
+    patterns = {"bold": r"(?d)^\*\*.+\*\*", "heading": rf"^#{{1,6}}{M.S}+{M.NS}", "numbered": rf"^1[.)]{M.S}+{M.NS}"}
+    test = F.lit(False)
+    for name, pattern in patterns.items():
+        test = F.when(kind == name, first_of(a).rlike(pattern)).otherwise(test)
+    ready = kind.isin(*patterns) | ((kind != "") & (first_of(a) == ""))
+    return verdict(ready, test & (first_of(a) != ""), say("first line as ", kind))
 
 
-@register_checker("forbidden_regex_before_heading")
-def _(r, c):
-    at = H.heading_position(r, F.lit(c["heading"]))
-    head = F.when(at.isNull(), r).otherwise(F.substring(r, F.lit(1), at.cast("int")))
-    return F.coalesce(H.regex_count(head, F.lit(c["pattern"])) == 0, F.lit(False))
+@_checker("last_line")
+def _(a: Answer, c: Settings) -> Column:
+    wanted = c.word_or_quoted("line", "word")
+    return verdict(wanted != "", last_of(a).contains(wanted), say("last line holds ", wanted))
 
 
-@register_checker("first_word")
-def _(r, c):
-    return F.regexp_replace(M.strip(r), r"^(?:\*\*|\*|#+)\s*", "").startswith(c["word"])
+@_checker("conditional_trigger")
+def _(a: Answer, c: Settings) -> Column:
+    trigger, followup = c.word("trigger"), c.word("followup", "required_if_present")
+    absent = lambda t: F.size(folded_search(a, c, F.array(t), True)) > 0
+    return verdict((trigger != "") & (followup != ""), absent(trigger) | ~absent(followup), say("with ", trigger, " also ", followup))
 
 
-@register_checker("first_last_line")
-def _(r, c):
-    lines = M.nonblank(r)
-    first = F.get(lines, F.lit(0)).contains(c["first"]) if c.get("first") else F.lit(True)
-    last = F.try_element_at(lines, F.lit(-1)).contains(c["last"]) if c.get("last") else F.lit(True)
-    return F.coalesce(first & last, F.lit(False))
+def pattern_of(c: Settings, forbidden: bool) -> Column:
+    return c.given("forbidden_regex", "pattern", "regex") if forbidden else c.given("pattern", "regex")
 
 
-@register_checker("heading_order")
-def _(r, c):
-    at = [H.heading_position(r, F.lit(h)) for h in listed(c, "headings")]
-    ok = F.lit(True)
-    for a, b in zip(at, at[1:], strict=False):
-        ok = ok & (a < b)
-    return F.coalesce(ok & (at[0] >= 0), F.lit(False)) if at else null()
+def before_heading(a: Answer, c: Settings) -> Column:
+    """The text before a heading; all of it where there is none."""
+    at = a.places(F.array(c.word("heading")), c.flag("case_sensitive"))[0]
+    return F.when(at.isNull(), a.text).otherwise(F.substring(a.text, F.lit(1), at.cast("int")))
 
 
-@register_checker("heading_level")
-def _(r, c):
-    return limits(M.heading_level_measure(r, int(c.get("level", 2))), c)
+@_checker("simple_regex")
+def _(a: Answer, c: Settings) -> Column:
+    pattern = pattern_of(c, False)
+    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
+    return verdict(pattern.isNotNull(), facts["n"] > 0, say(F.coalesce(facts["error"], F.lit("pattern")), " ", pattern))
 
 
-@register_checker("heading_depth")
-def _(r, c):
-    return M.heading_depth_measure(r) >= int(c["min_depth"])
+@_checker("forbidden_regex")
+def _(a: Answer, c: Settings) -> Column:
+    pattern = pattern_of(c, True)
+    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
+    return verdict(pattern.isNotNull(), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern, first match")), " ", facts["first"]))
 
 
-@register_checker("keyword_presence")
-def _(r, c):
-    return (_all if c.get("match_all", True) else _any)(listed(c, "keywords"), lambda k: r.contains(k))
+@_checker("regex_count")
+def _(a: Answer, c: Settings) -> Column:
+    pattern = pattern_of(c, False)
+    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
+    return F.when(facts["error"].isNotNull(), verdict(pattern.isNotNull(), F.lit(False), facts["error"])).otherwise(F.when(pattern.isNotNull(), limited(facts["n"], c, "matches")))
 
 
-@register_checker("keyword_absence")
-def _(r, c):
-    return ~_any(listed(c, "keywords"), lambda k: r.contains(k))
+@_checker("forbidden_regex_before_heading")
+def _(a: Answer, c: Settings) -> Column:
+    pattern, heading = pattern_of(c, True), c.word("heading")
+    facts = a.regex(before_heading(a, c), pattern, c.flag("case_sensitive"))
+    return verdict(pattern.isNotNull() & (heading != ""), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern before the heading, first match")), " ", facts["first"]))
 
 
-@register_checker("first_person")
-def _(r, c):
-    return ~_any(listed(c, "phrases") or ["this report", "the report", "the author", "the analyst", "the document", "this document"], lambda k: r.contains(k))
+@_checker("first_word")
+def _(a: Answer, c: Settings) -> Column:
+    wanted = c.word_or_quoted("word")
+    opened = F.regexp_replace(M.strip(a.text), rf"^(?:\*{{1,2}}|#{{1,6}}{M.S}*)", "")
+    return verdict(wanted != "", opened.startswith(wanted), say("opens with ", wanted))
 
 
-@register_checker("risk_disclaimer")
-def _(r, c):
-    lines = M.nonblank(r)
-    tail = F.lower(F.array_join(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5), "\n"))
-    return _any(listed(c, "terms") or ["risk:", "market risk", "not investment advice", "disclaimer"], lambda k: tail.contains(k))
+@_checker("first_last_line")
+def _(a: Answer, c: Settings) -> Column:
+    first, last = c.word("first_line"), c.word("last_line")
+    ok = (F.size(a.lines) > 0) & first_of(a).contains(first) & last_of(a).contains(last)
+    return verdict((first != "") | (last != ""), ok, say("first line ", first, ", last line ", last))
 
 
-@register_checker("currency_format")
-def _(r, c):
-    units = ["USD", "EUR", "CNY", "GBP", "JPY", "$", "€", "£", "¥"]
-    needed = ~_any(units, lambda u: r.contains(u)) | r.contains(c["unit"])
-    return needed & ~_any(listed(c, "forbidden_units"), lambda u: r.contains(u), F.lit(False))
+def ordered_headings(c: Settings) -> Column:
+    own = F.filter(F.transform(c.listed("headings", "fields"), M.strip), lambda h: h != "")
+    return F.when(F.size(own) > 0, own).otherwise(c.quoted())
 
 
-@register_checker("no_percent")
-def _(r, c):
-    return ~r.rlike("[%％]")
+@_checker("heading_order")
+def _(a: Answer, c: Settings) -> Column:
+    wanted = ordered_headings(c)
+    at = a.places(wanted, c.flag("case_sensitive"))
+    pairs = F.greatest(F.size(at) - 1, F.lit(0))
+    rising = F.forall(F.zip_with(F.slice(at, F.lit(1), pairs), F.slice(at, F.lit(2), pairs), lambda x, y: F.coalesce(x < y, F.lit(False))), lambda x: x)
+    return verdict(F.size(wanted) > 0, ~F.exists(at, lambda p: p.isNull()) & rising, say("headings at ", F.array_join(F.transform(at, lambda p: p.cast("string")), ", ", "nowhere")))
 
 
-@register_checker("no_arabic_numerals")
-def _(r, c):
-    return ~F.regexp_replace(r, r"(?dm)^(?:#{1,6}[ \t].*|[ \t]*\|.*)$", "").rlike("[0-9]")
+@_checker("heading_level")
+def _(a: Answer, c: Settings) -> Column:
+    level = c.number("level")
+    return F.when(level.isNotNull(), limited(a.headings(level), c, "headings"))
 
 
-def check(response: Column, name: str, config: dict) -> Column:
+@_checker("heading_depth")
+def _(a: Answer, c: Settings) -> Column:
+    none = F.lit(None).cast("long")
+    return within(a.depth, none, c.either("min_depth", "min"), none, "heading levels")
+
+
+@_checker("keyword_presence")
+def _(a: Answer, c: Settings) -> Column:
+    words = c.listed("required_keywords", "keywords")
+    missing = F.filter(words, lambda w: ~a.text.contains(w))
+    some = F.when(c.flag("match_all", True), F.size(missing) == 0).otherwise(F.size(missing) < F.size(words))
+    return verdict(F.size(words) > 0, some, say("absent keywords: ", F.array_join(missing, ", ")))
+
+
+@_checker("keyword_absence")
+def _(a: Answer, c: Settings) -> Column:
+    words = c.listed("forbidden_keywords", "forbidden", "phrases")
+    return none_of(F.filter(words, lambda w: a.text.contains(w)), F.size(words) > 0, "forbidden keyword")
+
+
+@_checker("first_person")
+def _(a: Answer, c: Settings) -> Column:
+    own = c.listed("forbidden_phrases", "forbidden_keywords")
+    phrases = F.when(F.size(own) > 0, own).otherwise(strings(REPORT_PHRASES))
+    return none_of(F.filter(phrases, lambda w: a.text.contains(w)), None, "report phrase")
+
+
+@_checker("risk_disclaimer")
+def _(a: Answer, c: Settings) -> Column:
+    n = F.size(a.lines)
+    tail = F.array_join(F.slice(a.lines, F.greatest(n - 4, F.lit(1)), F.lit(5)), "\n")
+    terms = F.array_append(strings(RISK_TERMS), F.coalesce(c.given("risk_line"), F.lit(RISK_LINE)))
+    return verdict(None, (n > 0) & F.exists(terms, lambda t: tail.contains(t)), F.lit("risk line near the end"))
+
+
+@_checker("currency_format")
+def _(a: Answer, c: Settings) -> Column:
+    unit, forbidden = c.word("unit"), c.listed("forbidden_units")
+    lacks = F.exists(strings(CURRENCY_UNITS), lambda u: a.text.contains(u)) & ~a.text.contains(unit)
+    found = F.filter(forbidden, lambda u: a.text.contains(u))
+    return verdict((unit != "") | (F.size(forbidden) > 0), ~lacks & (F.size(found) == 0), say("unit ", unit, ", forbidden ", F.array_join(found, ", ")))
+
+
+@_checker("no_percent")
+def _(a: Answer, c: Settings) -> Column:
+    return verdict(None, ~a.text.rlike("[%％]"), F.lit("no percent sign"))
+
+
+@_checker("no_arabic_numerals")
+def _(a: Answer, c: Settings) -> Column:
+    rest = F.regexp_replace(F.regexp_replace(a.text, rf"(?dm)^#{{1,6}}{M.S}.*$", ""), r"(?dm)^\|.*\|$", "")
+    return verdict(None, ~rest.rlike("[0-9]"), F.lit("no digits outside of headings and tables"))
+
+
+BUILT_IN = tuple(CHECKERS)
+REGEX = ("simple_regex", "forbidden_regex", "regex_count", "forbidden_regex_before_heading")
+JSON = ("valid_json", "required_fields", "json_field_count", "json_field_item_limit", "json_field_word_limit")
+PLACES = ("heading_order", "forbidden_regex_before_heading")
+
+
+def with_method(found: Column, name: str) -> Column:
+    """The verdict with its method; open verdicts have no reason."""
+    return F.struct(found["score"].alias("score"), found["reason"].alias("reason"), F.lit(f"rule_aided:{name}").alias("method"))
+
+
+def checked(response: Column, name: str, config: Mapping | Column, wording: Column | None = None) -> Column:
+    """score, reason and method of one checker for all rows; settings as a Python dict or a map column."""
+    if name not in CHECKERS:
+        return F.struct(F.lit(None).cast("int").alias("score"), F.lit(None).cast("string").alias("reason"), F.lit("rule_aided:unresolved").alias("method"))
+    settings = Settings(config if isinstance(config, Column) else as_map(config), wording)
+    return with_method(CHECKERS[name](Answer(response), settings), name)
+
+
+def check(response: Column, name: str, config: Mapping | Column, wording: Column | None = None) -> Column:
     """1, 0 or null for one checker; an unknown name is left to a judge."""
-    fn = CHECKERS.get(name)
-    return F.lit(None).cast("int") if fn is None else fn(response, config).cast("int")
+    return checked(response, name, config, wording)["score"]
+
+
+def evaluate(responses: DataFrame, constraints: DataFrame, *, key: str = "item_id", checkers: Sequence[str] | None = None) -> DataFrame:
+    """One row for each answer and constraint of its item: the answer's columns but its text, then constraint_index,
+    constraint_id, constraint, check_type, tag, family, checker, score, status, reason, method, error.
+
+    responses: key, response and any other columns (such as model). constraints: key and constraint_index, and what there is of id,
+    constraint_id, constraint, check_type, tag, family, checker (a name), settings (a map of top-level settings) and
+    the maps evaluator, checker_config, rule, params, each overriding those before it.
 
+    Each constraint has its own checker and settings; names are resolved through aliases and, where there is none, inferred
+    from the wording. A measure is taken once per answer, and only if one of its constraints looks at it. The
+    text is left behind before anything is shuffled. error names what strict scoring rejects: a rule without
+    settings, a rule that gives no verdict, an unknown check type (score 0, method schema).
 
-def evaluate(responses: DataFrame, constraints: list[dict]) -> DataFrame:
-    """One row for each response and constraint: item_id, constraint_index, constraint_id, check_type, tag, family, score, status, method.
+    checkers: the names that occur, so that the plan holds no others; unless given they are read from the constraints
+    first, at most one row for each checker there is. Without regex and JSON checkers the plan has no Python.
 
-    constraints: dicts of constraint_id, check_type (rule or LLM), checker, config, tag. All verdicts of an answer
-    are one row's array first, so its text is read once and left behind before anything is shuffled.
+    Nulls: a null response is empty; null settings are none. An item without constraints gives no rows; empty tables give none.
     """
+    prepared = prepare(constraints, key)
+    if checkers is None:
+        checkers = [r[0] for r in prepared.where(F.col("checker").isin(*CHECKERS)).select("checker").distinct().collect()]
+    fields = [c for c in prepared.columns if c != key]
+    per_item = prepared.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(*fields)).alias("_constraints"))
+    carried = [c for c in responses.columns if c != "response"]
+    rows = responses.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.coalesce("response", F.lit("")).alias("_text"), F.col(f"`{key}`").alias("_of"))
+    rows = rows.join(per_item, F.col("_of") == F.col("_key")).drop("_of", "_key")
+    named = F.col("_constraints")["checker"]
+    uses = lambda names: F.arrays_overlap(named, strings(names))
+    measured = {m: (measure, names) for m, (measure, names) in MEASURES.items() if set(names) & set(checkers)}
+    rows = rows.select("_row", "_text", "_constraints", *[F.when(uses(names), measure(F.col("_text"))).alias(f"_m_{m}") for m, (measure, names) in measured.items()])
+    plain_settings = Settings(F.col("_c.config"))
+    rows = rows.withColumn("_c", F.explode("_constraints")).drop("_constraints")
+    rows = rows.withColumn("_n", F.struct(*[plain_settings.number(k).alias(k) for k in NUMBERS]))
+    c = Settings(F.col("_c.config"), F.col("_c.constraint"), {k: F.col(f"_n.{k}") for k in NUMBERS})
+    name = F.col("_c.checker")
+    known = {m: F.col(f"_m_{m}") for m in measured}
+    of = lambda own, *names: F.when(name.isin(*names), own)
+    none = F.lit(None).cast("string")
+    # What needs Python is asked for once a row, and only where a checker of its kind looks at it.
+    if set(checkers) & set(PLACES):
+        wanted = F.coalesce(of(ordered_headings(c), "heading_order"), F.array(c.word("heading")))
+        rows = rows.withColumn("_places", H.heading_positions(of(F.col("_text"), *PLACES), wanted, c.flag("case_sensitive")))
+        known["places"] = F.col("_places")
+    if set(checkers) & set(REGEX):
+        hay = of(F.col("_text"), *REGEX)
+        if "forbidden_regex_before_heading" in checkers:
+            hay = F.coalesce(of(before_heading(Answer(F.col("_text"), known), c), "forbidden_regex_before_heading"), hay)
+        pattern = F.when(name.isin("forbidden_regex", "forbidden_regex_before_heading"), pattern_of(c, True)).otherwise(pattern_of(c, False))
+        rows = rows.withColumn("_regex", H.regex_facts(hay, F.coalesce(of(pattern, *REGEX), none), c.flag("case_sensitive")))
+        known["regex"] = F.col("_regex")
+    if set(checkers) & set(JSON):
+        limited_field = ("json_field_item_limit", "json_field_word_limit")
+        field, most = json_field(c)
+        field = F.coalesce(of(c.given("field"), "json_field_count"), of(field, *limited_field), none)
+        fields = of(required_fields(c), "required_fields")
+        rows = rows.withColumn("_json", H.json_facts(of(F.col("_text"), *JSON), field, fields, of(most.cast("long"), *limited_field)))
+        rows = rows.withColumn("_unlabelled", H.labels_missing(of(F.col("_text"), "required_fields"), fields))
+        known |= {"json": F.col("_json"), "unlabelled": F.col("_unlabelled")}
+    answer = Answer(F.col("_text"), known)
+    found = F.when(F.lit(False), with_method(F.struct(F.lit(None).cast("int").alias("score"), none.alias("reason")), "none"))
+    for n in checkers:
+        found = found.when(name == n, with_method(CHECKERS[n](answer, c), n))
+    plain = lambda score, reason, method: F.struct(F.lit(score).cast("int").alias("score"), F.lit(reason).cast("string").alias("reason"), F.lit(method).alias("method"))
+    route, wanted = F.col("_c.route"), F.col("_c.reject_reason")
+    given = F.when(route == "LLM", plain(None, None, "judge")).when(wanted == "unknown check_type", plain(0, "unknown check_type", "schema")).otherwise(F.coalesce(found, plain(None, None, "rule_aided:unresolved")))
+    rows = rows.select("_row", "_c", given.alias("_v"))
+    score = F.col("_v.score")
+    status = F.when(score == 1, "pass").when(score == 0, "fail").otherwise("needs_judge")
+    error = F.coalesce(wanted, F.when((route == "rule") & score.isNull(), "rule gave no verdict"))
+    return rows.select(
+        *[F.col("_row")[c_].alias(c_) for c_ in carried],
+        *[F.col(f"_c.{n}").alias(n) for n in ("constraint_index", "constraint_id", "constraint", "check_type", "tag", "family", "checker")],
+        score.alias("score"),
+        status.alias("status"),
+        F.col("_v.reason").alias("reason"),
+        F.col("_v.method").alias("method"),
+        error.alias("error"),
+    )
+
+
+def rejects(results: DataFrame) -> DataFrame:
+    """The rows that strict scoring refuses, with the error of each."""
+    return results.where("error IS NOT NULL")
+
+
+def prepare(constraints: DataFrame, key: str = "item_id") -> DataFrame:
+    """Constraints with one map of settings, the checker's resolved name, id, route and family. Narrow work only."""
     from .rollups import family
 
-    rows = []
-    for i, c in enumerate(constraints):
-        kind, name = c.get("check_type", "LLM"), c.get("checker")
-        score = check(F.col("response"), name, c.get("config", {})) if kind == "rule" else (F.lit(0) if kind not in ("LLM", "judge") else F.lit(None).cast("int"))
-        method = f"rule_aided:{name}" if kind == "rule" and name in CHECKERS else ("schema" if kind not in ("rule", "LLM", "judge") else "llm")
-        rows.append(
-            F.struct(
-                F.lit(i).cast("long").alias("constraint_index"), F.lit(c["constraint_id"]).alias("constraint_id"), F.lit(kind).alias("check_type"), F.lit(c.get("tag")).cast("string").alias("tag"), score.cast("int").alias("score"), F.lit(method).alias("method")
-            )
-        )
-    out = responses.select("item_id", F.explode(F.array(*rows)).alias("r")).select("item_id", "r.*")
-    status = F.when(F.col("score") == 1, "pass").when(F.col("score") == 0, "fail").otherwise("needs_judge")
-    return out.withColumn("family", family(F.col("tag"))).withColumn("status", status)
+    kinds = {"constraint_index": "long", "id": "string", "constraint_id": "string", "constraint": "string", "check_type": "string", "tag": "string", "family": "string", "checker": "string"}
+    maps = ("settings", "evaluator", "checker_config", "rule", "params")
+    have = set(constraints.columns)
+    rows = constraints.select(
+        key,
+        *[(F.col(n) if n in have else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()],
+        *[(F.col(n) if n in have else F.lit(None)).cast("map<string,string>").alias(n) for n in maps],
+    )
+    rows = rows.withColumn("config", layered_config(F.col("settings"), *[F.col(n) for n in maps[1:]]))
+    rows = rows.withColumn("has_config", has_explicit_config(F.col("settings"), F.col("checker"), *[F.col(n) for n in maps[1:]]))
+    rows = route_constraints(rows)
+    own = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.nullif(F.col("constraint_id"), F.lit("")), F.concat(F.col(key).cast("string"), F.lit("#C"), (F.col("constraint_index") + 1).cast("string")))
+    given = Settings(F.col("config")).given("type", "checker_type", "name", "method")
+    name = named_checker(F.coalesce(given, F.col("checker")), F.col("constraint"), F.col("tag"), aliases=True)
+    return rows.select(
+        key,
+        "constraint_index",
+        own.alias("constraint_id"),
+        F.coalesce("constraint", F.lit("")).alias("constraint"),
+        F.when(F.col("route") == "reject", F.lower(F.trim(F.coalesce("check_type", F.lit(""))))).otherwise(F.col("route")).alias("check_type"),
+        "tag",
+        F.coalesce("family", family(F.col("tag"))).alias("family"),
+        F.when(F.col("route") == "rule", name).alias("checker"),
+        "config",
+        "route",
+        "reject_reason",
+    )

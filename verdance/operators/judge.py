@@ -6,19 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.functions import helpers as H
+from verdance.functions import measures as M
+
+
+def present(name: str, df: DataFrame) -> Column:
+    """A text column, empty where the table has none or it is null."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
 
 def judge_requests(items: DataFrame, pending: DataFrame, key: str = "item_id") -> DataFrame:
-    """One request for each item: query, pending constraints as JSON in index order, response."""
-    listed = pending.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct("constraint_index", "constraint")))).alias("constraints"))
-    text = F.concat_ws("\n\n", F.concat(F.lit("Query:\n"), F.col("query")), F.concat(F.lit("Constraints:\n"), F.col("constraints")), F.concat(F.lit("Response:\n"), F.col("response")))
-    return items.join(listed, key).select(key, "constraints", text.alias("prompt"))
+    """One request for each item with constraints that wait for a judge: key, constraints (JSON), prompt.
+
+    items: key, response and what there is of workflow, task, query, full_prompt, documents (array of structs). pending:
+    key, constraint_index, constraint and what there is of tag and family. The prompt names the item, its workflow and task, the query, the full
+    prompt or else the documents as JSON, the constraints in index order as JSON, and the response; empty parts are left out.
+    """
+    listed = F.struct("constraint_index", F.coalesce("constraint", F.lit("")).alias("constraint"), present("tag", pending).alias("tag"), present("family", pending).alias("family"))
+    asked = pending.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(listed))).alias("constraints"))
+    workflow, task, query, full = (present(n, items) for n in ("workflow", "task", "query", "full_prompt"))
+    documents = F.when((full == "") & (F.size("documents") > 0), F.to_json("documents")) if "documents" in items.columns else F.lit(None).cast("string")
+    headed = lambda head, body: F.concat(F.lit(head + "\n"), body)
+    text = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("Item: "), F.col(key).cast("string")),
+        F.when((workflow != "") | (task != ""), F.concat(F.lit("Workflow and task: "), F.concat_ws(" / ", workflow, task))),
+        F.when(query != "", headed("Query:", query)),
+        F.when(full != "", headed("Prompt:", full)),
+        headed("Documents:", documents),
+        headed("Constraints to judge, by zero-based index:", F.col("constraints")),
+        headed("Response:", F.coalesce("response", F.lit(""))),
+    )
+    return items.join(asked, key).select(key, "constraints", text.alias("prompt"))
 
 
 def judge_prompt_single(constraint: Column, documents: Column, response: Column) -> Column:
-    """One prompt for one constraint; documents are (id, title, content) structs."""
-    docs = F.array_join(F.transform(documents, lambda d: F.concat(F.lit("["), d["id"], F.lit(" - "), d["title"], F.lit("]\n"), d["content"])), "\n\n")
-    return F.concat_ws("\n\n", F.concat(F.lit("Constraint: "), constraint), F.when(F.size(documents) > 0, docs), F.concat(F.lit("Response: "), response))
+    """One prompt for one constraint: the question, the constraint, documents (id, title, content) if any, the response. Texts are trimmed."""
+    trimmed = lambda c: M.strip(F.coalesce(c, F.lit("")))
+    head = lambda d: F.concat(F.lit("["), F.when(trimmed(d["id"]) == "", "DOC").otherwise(trimmed(d["id"])), F.when(trimmed(d["title"]) != "", F.concat(F.lit(" - "), trimmed(d["title"]))).otherwise(F.lit("")), F.lit("]\n"))
+    docs = F.array_join(F.transform(documents, lambda d: F.concat(head(d), trimmed(d["content"]))), "\n\n")
+    with_docs = F.coalesce(F.size(documents) > 0, F.lit(False))
+    question = F.when(with_docs, "Does the response meet the constraint, with the documents as the only source of facts?").otherwise("Does the response meet the constraint?")
+    return F.concat_ws(
+        "\n\n",
+        F.concat(question, F.lit(" Answer pass or fail with a short reason.")),
+        F.concat(F.lit("Constraint:\n"), trimmed(constraint)),
+        F.when(with_docs, F.concat(F.lit("Documents:\n"), docs)),
+        F.concat(F.lit("Response:\n"), trimmed(response)),
+    )
 
 
 def parse_judge_item(raw: DataFrame) -> DataFrame:

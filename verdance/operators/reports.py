@@ -26,20 +26,67 @@ def tier_distribution(constraints: DataFrame) -> DataFrame:
     return cases.groupBy("l1", "l2").agg(F.count("*").alias("cases"))
 
 
+def counted(rows: DataFrame, **dimensions: Column) -> DataFrame:
+    """dimension, value and n for several dimensions of the rows in one pass; null values are left out."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value")) for name, value in dimensions.items()]))
+    return rows.select(kinds.alias("k")).where("k.value IS NOT NULL").groupBy("k.dimension", "k.value").agg(F.count("*").alias("n"))
+
+
+def totals(row: DataFrame, **values: Column) -> DataFrame:
+    """The one row of an aggregate as dimension total, with one value a line (n is a double there)."""
+    return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("value"), v.cast("double").alias("n")) for name, v in values.items()])).alias("k")).select(F.lit("total").alias("dimension"), "k.value", "k.n")
+
+
+def first_level(case: Column) -> Column:
+    return F.split(case, r"\.")[0]
+
+
+def second_level(case: Column) -> Column:
+    return F.split(case, "-")[0]
+
+
+def tag_category(tag: Column) -> Column:
+    return F.when(tag != "", F.substring(tag, 1, 1))
+
+
 def benchmark_stats(constraints: DataFrame) -> DataFrame:
-    """Totals by level 1: cases, constraints, mean per case, hard share."""
-    out = constraints.groupBy(F.split("item_id", r"\.")[0].alias("l1")).agg(F.countDistinct("item_id").alias("cases"), F.count("*").alias("constraints"), F.count_if(F.col("type") == "hard").alias("hard"))
-    return out.withColumn("mean_per_case", F.round(F.col("constraints") / F.col("cases"), 2)).withColumn("hard_share", F.round(F.col("hard") / F.col("constraints"), 4))
+    """dimension, value, n: totals (cases, constraints, mean per case, compliance and correctness constraints, share of the former in percent)
+    and counts by l1 and l2 (cases), checker, tag and tag category (constraints). constraints: item_id, tag, checker, is_if."""
+    cases = counted(constraints.select("item_id").distinct(), l1=first_level(F.col("item_id")), l2=second_level(F.col("item_id")))
+    own = counted(constraints, checker=F.col("checker"), tag=F.nullif(F.col("tag"), F.lit("")), tag_category=tag_category(F.col("tag")))
+    by_if = F.count_if(F.coalesce("is_if", F.lit(False)))
+    row = constraints.agg(F.countDistinct("item_id").alias("cases"), F.count("*").alias("n"), by_if.alias("c"))
+    n = F.greatest(F.col("n"), F.lit(1))
+    found = totals(row, cases=F.col("cases"), constraints=F.col("n"), mean_per_case=F.round(F.col("n") / F.greatest(F.col("cases"), F.lit(1)), 2), compliance=F.col("c"), correctness=F.col("n") - F.col("c"), compliance_share=F.round(100.0 * F.col("c") / n, 1))
+    return found.unionByName(cases.unionByName(own).withColumn("n", F.col("n").cast("double")))
+
+
+def case_categories(constraints: DataFrame) -> DataFrame:
+    """The tag categories of each case, with its compliance and correctness constraints (those that say so)."""
+    return constraints.groupBy("item_id").agg(F.array_sort(F.collect_set(tag_category(F.col("tag")))).alias("categories"), F.count_if(F.col("is_if")).alias("n_compliance"), F.count_if(~F.col("is_if")).alias("n_correctness"))
+
 
+def training_stats(samples: DataFrame, constraints: DataFrame) -> DataFrame:
+    """dimension, value, n: totals (samples, mean constraints, hard, soft, hidden) and counts by l1, l2, source (none: legacy) and constraint id.
 
-def training_stats(samples: DataFrame) -> DataFrame:
-    """By source (none: legacy): samples, mean constraints, totals by kind."""
+    samples: sample_id, l1, l2, source, n_constraints, n_hidden. constraints: sample_id, constraint_id, type.
+    """
     source = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.lit("legacy"))
-    return samples.groupBy(source.alias("source")).agg(F.count("*").alias("samples"), F.round(F.avg("n_constraints"), 2).alias("mean_constraints"), F.sum("hard").alias("hard"), F.sum("soft").alias("soft"))
+    row = samples.agg(F.count("*").alias("n"), F.avg("n_constraints").alias("mean"), F.sum("n_hidden").alias("hidden"))
+    kinds = constraints.agg(F.count_if(F.col("type") == "hard").alias("hard"), F.count_if(F.col("type") == "soft").alias("soft"))
+    found = totals(row, samples=F.col("n"), mean_constraints=F.round("mean", 2), hidden=F.coalesce("hidden", F.lit(0))).unionByName(totals(kinds, hard=F.col("hard"), soft=F.col("soft")))
+    by = counted(samples, l1=F.col("l1"), l2=F.col("l2"), source=source).unionByName(counted(constraints, constraint=F.col("constraint_id")))
+    return found.unionByName(by.withColumn("n", F.col("n").cast("double")))
 
 
-def sample_stats(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("l2").agg(F.count("*").alias("samples"), F.round(F.avg("n_constraints"), 1).alias("constraints"), F.round(F.avg("hard"), 1).alias("hard"), F.round(F.avg("soft"), 1).alias("soft"))
+def sample_stats(samples: DataFrame, constraints: DataFrame) -> DataFrame:
+    """dimension, value, n: averages to one decimal of constraints, general, soft and hidden ones, totals of hard and soft, and counts by l1, l2, variant and constraint id."""
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0))), 1)
+    row = samples.agg(F.count("*").alias("n"), mean("n_constraints").alias("a"), mean("n_general").alias("g"), mean("n_soft").alias("s"), mean("n_hidden").alias("h"))
+    kinds = constraints.agg(F.count_if(F.col("type") == "hard").alias("hard"), F.count_if(F.col("type") == "soft").alias("soft"))
+    found = totals(row, samples=F.col("n"), constraints=F.col("a"), general=F.col("g"), soft_mean=F.col("s"), hidden=F.col("h")).unionByName(totals(kinds, hard=F.col("hard"), soft=F.col("soft")))
+    by = counted(samples, l1=F.col("l1"), l2=F.col("l2"), variant=F.coalesce("variant", F.lit(""))).unionByName(counted(constraints, constraint=F.col("constraint_id")))
+    return found.unionByName(by.withColumn("n", F.col("n").cast("double")))
 
 
 def usage_distribution(constraints: DataFrame, pool_size: int) -> DataFrame:
@@ -50,20 +97,23 @@ def usage_distribution(constraints: DataFrame, pool_size: int) -> DataFrame:
 
 
 def response_length_stats(responses: DataFrame, group: str, length: Column) -> DataFrame:
-    """Exact quartiles; use approx_percentile where a group is too large to sort."""
-    n = length.cast("double")
-    q = lambda p: F.percentile(n, F.lit(p))
-    return responses.groupBy(group).agg(
-        F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean"), q(0.5).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.stddev_pop(n), 4).alias("std"), q(0.25).alias("q1"), q(0.75).alias("q3")
-    )
+    """Exact quartiles and moments, from how often each length occurs: a group is reduced to its distinct
+    lengths before it is sorted, so none holds its answers."""
+    n = responses.groupBy(group, length.cast("double").alias("_n")).agg(F.count("*").alias("_times")).where("_n IS NOT NULL")
+    q = lambda p: F.percentile("_n", F.lit(p), F.col("_times"))
+    total, mean = F.sum("_times"), F.sum(F.col("_n") * F.col("_times")) / F.sum("_times")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_n") * F.col("_n") * F.col("_times")) / total - mean * mean))
+    return n.groupBy(group).agg(total.alias("n"), F.round(mean, 4).alias("mean"), q(0.5).alias("median"), F.min("_n").alias("min"), F.max("_n").alias("max"), F.round(spread, 4).alias("std"), q(0.25).alias("q1"), q(0.75).alias("q3"))
 
 
 def log_histogram(rows: DataFrame, value: str, bins: int = 25, floor: float = 5.0, head: float = 1.05) -> DataFrame:
-    """Bins evenly spaced on a log scale from max(min, floor) to head * max; smaller values drop out, the last bin is closed."""
-    edges = rows.agg(F.greatest(F.min(value).cast("double"), F.lit(floor)).alias("lo"), (F.max(value) * head).alias("hi"))
+    """bin, n, mean: bins evenly spaced on a log scale from max(min, floor) to head * max; smaller values drop out, the last bin is
+    closed. mean is the mean of all values, rounded half to even, the same in every row."""
+    edges = rows.agg(F.greatest(F.min(value).cast("double"), F.lit(floor)).alias("lo"), (F.max(value) * head).alias("hi"), F.bround(F.avg(value)).cast("long").alias("mean"))
     at = F.floor(F.ln(F.col(value) / F.col("lo")) / F.ln(F.col("hi") / F.col("lo")) * bins)
-    placed = rows.join(F.broadcast(edges)).where(F.col(value) >= F.col("lo")).select(F.least(at, F.lit(bins - 1)).cast("long").alias("bin"))
-    return placed.groupBy("bin").agg(F.count("*").alias("n"))
+    # edges is one row.
+    placed = rows.join(F.broadcast(edges)).where(F.col(value) >= F.col("lo")).select(F.least(at, F.lit(bins - 1)).cast("long").alias("bin"), "mean")
+    return placed.groupBy("bin", "mean").agg(F.count("*").alias("n")).select("bin", "n", "mean")
 
 
 def family_share(constraints: DataFrame) -> DataFrame:

@@ -12,9 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdance.functions.measures import fold
+
 PASSED = F.count_if
 CENTRAL = tuple([f"EG{i}" for i in range(1, 8)] + [f"QV{i}" for i in range(1, 8)] + [f"DB{i}" for i in range(1, 10)])
 SEVERE = ("EG1", "EG2", "DB1", "DB3", "DB4")
+#: A central failure is severe, too, if its constraint speaks of one of these.
+SEVERE_TERMS = ("authority", "route", "trigger", "replace the governed", "not ready for sign-off", "subsequent-events", "escalate")
 
 
 def passed(score: str = "score") -> Column:
@@ -85,14 +89,23 @@ def csr(results: DataFrame) -> DataFrame:
     return results.groupBy("model").agg(F.count("*").alias("total"), passed().alias("passed")).withColumn("csr", share(F.col("passed"), F.col("total")))
 
 
-def metrics_by_dimension(results: DataFrame) -> DataFrame:
-    """Passed share per model by workflow, family and tag in one pass over grouping sets."""
-    rows = results.select("model", F.split("item_id", r"\.")[0].alias("workflow"), family(F.col("tag")).alias("family"), F.coalesce("tag", F.lit("unknown")).alias("tag"), "score")
-    sets = [["model", "workflow"], ["model", "family"], ["model", "tag"]]
-    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "model", "workflow", "family", "tag").agg(F.count("*").alias("total"), passed().alias("passed"), F.grouping("workflow").alias("gw"), F.grouping("family").alias("gf"))
-    dimension = F.when(F.col("gw") == 0, "workflow").when(F.col("gf") == 0, "family").otherwise("tag")
-    value = F.when(F.col("gw") == 0, F.col("workflow")).when(F.col("gf") == 0, F.col("family")).otherwise(F.col("tag"))
-    return out.select("model", dimension.alias("dimension"), value.alias("value"), "total", "passed", share(F.col("passed"), F.col("total")).alias("csr"))
+def metrics_by_dimension(results: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """ISR, CSR and mean quality per model by workflow, task, family and tag.
+
+    An item counts in a dimension's value with its constraints of that value: it is satisfied there if all of them pass. Quality is the mean
+    over the items that have the value. Results are first summed up by item and value, in one pass over grouping sets.
+    """
+    rows = results.select("model", "item_id", F.split("item_id", r"\.")[0].alias("workflow"), F.split("item_id", "-")[0].alias("task"), family(F.col("tag")).alias("family"), F.coalesce("tag", F.lit("unknown")).alias("tag"), "score")
+    names = ["workflow", "task", "family", "tag"]
+    sets = [["model", "item_id", n] for n in names]
+    out = rows.groupingSets([[F.col(c) for c in s] for s in sets], "model", "item_id", *names).agg(F.count("*").alias("n"), passed().alias("p"), *[F.grouping(n).alias(f"g_{n}") for n in names])
+    pick = lambda what: F.coalesce(*[F.when(F.col(f"g_{n}") == 0, what(n)) for n in names])
+    items = out.select("model", "item_id", pick(F.lit).alias("dimension"), pick(F.col).alias("value"), "n", "p")
+    if quality is not None:
+        items = items.join(quality, ["model", "item_id"], "left")
+    mean = [F.round(F.avg("quality"), 4).alias("quality")] if quality is not None else []
+    found = items.groupBy("model", "dimension", "value").agg(F.count("*").alias("items"), F.sum("n").alias("total"), F.sum("p").alias("passed"), F.count_if(F.col("n") == F.col("p")).alias("ok"), *mean)
+    return found.select("model", "dimension", "value", "items", "total", "passed", share(F.col("ok"), F.col("items")).alias("isr"), share(F.col("passed"), F.col("total")).alias("csr"), *[c for c in ("quality",) if mean])
 
 
 def leaderboard(results: DataFrame, quality: DataFrame) -> DataFrame:
@@ -183,13 +196,26 @@ def constraint_model_matrix(results: DataFrame, models: Sequence[str]) -> DataFr
     return wide.select("item_id", "constraint_index", *[F.coalesce(F.col(m), F.lit(False)).alias(m) for m in models])
 
 
-def matrix_filter(results: DataFrame, models: Sequence[str], *, tag: str | None = None, kind: str | None = None, agreement: str | None = None) -> DataFrame:
-    """Rows of the matrix by tag, type, and agreement: all_pass, all_fail or differ."""
-    rows = constraint_model_matrix(results, models).join(constraints_of(results), ["item_id", "constraint_index"])
+def matrix_filter(results: DataFrame, models: Sequence[str], *, tag: str | None = None, kind: str | None = None, text: str | None = None, agreement: str | None = None, sort: str | None = None, ascending: bool = True) -> DataFrame:
+    """Rows of the matrix by tag, type, a text in the key or the constraint (in any case), and agreement (all_pass, all_fail or differ),
+    sorted by one of the columns (texts in any case)."""
+    words = ["constraint"] if "constraint" in results.columns else []
+    more = results.groupBy("item_id", "constraint_index").agg(F.max("tag").alias("tag"), F.max("type").alias("type"), *[F.max(w).alias(w) for w in words])
+    rows = constraint_model_matrix(results, models).join(more, ["item_id", "constraint_index"])
+    rows = rows.withColumn("key", F.concat(F.col("item_id").cast("string"), F.lit("#C"), (F.col("constraint_index") + 1).cast("string")))
     cells = F.array(*models)
     every, some = F.forall(cells, lambda x: x), F.exists(cells, lambda x: x)
-    for test in ([F.col("tag") == tag] if tag else []) + ([F.col("type") == kind] if kind else []) + ([{"all_pass": every, "all_fail": ~some, "differ": some & ~every}[agreement]] if agreement else []):
+    tests = [F.col("tag") == tag] if tag else []
+    tests += [F.col("type") == kind] if kind else []
+    if text:
+        found = [F.lower(F.coalesce(c, F.lit(""))).contains(text.lower()) for c in ("key", *words)]
+        tests.append(found[0] | found[-1])
+    tests += [{"all_pass": every, "all_fail": ~some, "differ": some & ~every}[agreement]] if agreement else []
+    for test in tests:
         rows = rows.where(test)
+    if sort:
+        by = F.lower(sort) if rows.schema[sort].dataType.simpleString() == "string" else F.col(sort)
+        rows = rows.orderBy(by.asc() if ascending else by.desc(), "item_id", "constraint_index")
     return rows
 
 
@@ -204,10 +230,36 @@ def accuracy_by_constraint_count(results: DataFrame) -> DataFrame:
     return items.groupBy("model", "n_constraints").agg(F.count("*").alias("items"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("accuracy"))
 
 
-def dual_axis_scores(results: DataFrame, quality: DataFrame) -> DataFrame:
-    """Compliance and correctness of each model: means over cases."""
-    cases = case_scores(results).groupBy("model").agg(F.round(F.avg(F.col("passed") / F.col("total")), 4).alias("compliance"))
-    return cases.join(quality.groupBy("model").agg(F.round(F.avg(F.col("quality") / 10), 4).alias("correctness")), "model", "left")
+def dual_axis_scores(cases: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Compliance and correctness of each model and of its tiers T1 to T3, in percent.
+
+    cases: model, item_id, compliance, correctness (shares, may be null). tiers: model, tier (overall, T1, ...), compliance, correctness as
+    scored before; an overall score that is missing there falls back to the mean over cases, a tier's stays null.
+    """
+    means = cases.groupBy("model").agg(F.count("*").alias("n_cases"), F.avg("compliance").alias("c"), F.avg("correctness").alias("r"))
+    of = lambda what, tier: F.max(F.when(F.col("tier") == tier, F.col(what)))
+    wide = tiers.groupBy("model").agg(*[of(w, t).alias(f"{w}_{t}") for w in ("compliance", "correctness") for t in ("overall", "T1", "T2", "T3")])
+    percent = lambda c: F.round(100 * c, 1)
+    out = means.join(wide, "model", "left")
+    return out.select(
+        "model",
+        "n_cases",
+        percent(F.coalesce("compliance_overall", "c")).alias("compliance"),
+        percent(F.coalesce("correctness_overall", "r")).alias("correctness"),
+        *[percent(F.col(f"{w}_{t}")).alias(f"{w}_{t}") for w in ("compliance", "correctness") for t in ("T1", "T2", "T3")],
+    )
+
+
+def sft_gain(results: DataFrame, before: str, after: str, quality: DataFrame | None = None) -> DataFrame:
+    """ISR (percent) and mean quality of two models by workflow and over all, and the differences."""
+    items = results.where(F.col("model").isin(before, after)).groupBy("model", "item_id").agg(F.bool_and(F.coalesce("score", F.lit(0)) == 1).alias("ok"))
+    items = items.join(quality, ["model", "item_id"], "left") if quality is not None else items.withColumn("quality", F.lit(None).cast("double"))
+    of = lambda m, what: F.avg(F.when(F.col("model") == m, what))
+    ok = F.col("ok").cast("int") * 100
+    out = items.withColumn("workflow", F.explode(F.array(F.split("item_id", r"\.")[0], F.lit("overall"))))
+    out = out.groupBy("workflow").agg(of(before, ok).alias("b"), of(after, ok).alias("a"), of(before, F.col("quality")).alias("qb"), of(after, F.col("quality")).alias("qa"))
+    r = lambda c, name: F.round(c, 2).alias(name)
+    return out.select("workflow", r(F.col("b"), "before"), r(F.col("a"), "after"), r(F.col("a") - F.col("b"), "gain"), r(F.col("qb"), "quality_before"), r(F.col("qa"), "quality_after"), r(F.col("qa") - F.col("qb"), "quality_gain"))
 
 
 def sft_gain(results: DataFrame, before: str, after: str) -> DataFrame:
@@ -219,8 +271,16 @@ def sft_gain(results: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def quality_cap(results: DataFrame, quality: DataFrame) -> DataFrame:
-    """Quality after caps: one failed central tag 6, two or more 4, a severe one 3; the raw score stays."""
-    failed = (F.col("score") == 0) & F.col("tag").isin(*CENTRAL)
-    counts = results.groupBy("model", "item_id").agg(F.count_if(failed).alias("failed"), F.count_if(failed & F.col("tag").isin(*SEVERE)).alias("severe"))
+    """Quality after caps: one failed central tag 6, two or more 4, a severe one 3; the raw score stays.
+
+    A central failure is severe by its tag or by the words of its constraint (if results have them).
+    """
+    tag = F.upper("tag")
+    failed = (F.col("score") == 0) & tag.isin(*CENTRAL)
+    severe = tag.isin(*SEVERE)
+    if "constraint" in results.columns:
+        words = fold(F.coalesce("constraint", F.lit("")))
+        severe = severe | F.exists(F.array(*[F.lit(t) for t in SEVERE_TERMS]), lambda t: words.contains(t))
+    counts = results.groupBy("model", "item_id").agg(F.count_if(failed).alias("failed"), F.count_if(failed & severe).alias("severe"))
     cap = F.when(F.col("severe") > 0, 3).when(F.col("failed") >= 2, 4).when(F.col("failed") >= 1, 6).otherwise(10)
     return quality.join(counts, ["model", "item_id"], "left").select("model", "item_id", F.col("quality").alias("raw_quality"), F.least("quality", cap).cast("long").alias("quality"))

@@ -31,23 +31,35 @@ SELECT 'm' || CAST(o_orderkey % 4 AS STRING) AS model,
 FROM (SELECT o_orderkey, o_custkey, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS k FROM {orders}) AS x
 """
 
-#: One markdown answer for each order.
+#: One answer for each order: JSON for every seventh, else Markdown whose parts depend on remainders of the key.
 RESPONSES = """
 SELECT o_orderkey AS item_id,
-  CASE WHEN o_orderkey % 7 = 0 THEN '{{"order": ' || CAST(o_orderkey AS STRING) || ', "status": "' || o_orderstatus || '", "tags": ["a", "bb", "' || o_orderpriority || '"]}}'
-  ELSE '# Order ' || CAST(o_orderkey AS STRING) || nl || nl
+  CASE WHEN o_orderkey % 7 = 0 THEN
+    CASE WHEN o_orderkey % 14 = 0 THEN '```json5' || nl ELSE '' END
+    || '{{"order": ' || CAST(o_orderkey AS STRING) || ', "status": "' || o_orderstatus || '", "tags": ["a", "bb", "' || o_orderpriority || '"]}}'
+    || CASE WHEN o_orderkey % 14 = 0 THEN nl || '```' ELSE '' END
+  ELSE CASE o_orderkey % 4 WHEN 0 THEN '# Order ' WHEN 1 THEN '**Order ' WHEN 2 THEN '1. Order ' ELSE 'Order ' END || CAST(o_orderkey AS STRING) || CASE WHEN o_orderkey % 4 = 1 THEN '**' ELSE '' END || nl || nl
     || 'Summary: status ' || o_orderstatus || ' and priority ' || o_orderpriority || '. Please review it today! Is it ready? We think so.' || nl || nl
-    || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '| Item | Qty |' || nl || '| --- | --- |' || nl || '| A | ' || CAST(o_custkey % 50 AS STRING) || ' |' || nl || '| B | 7 |' || nl || nl END
-    || '## Details' || nl || nl
+    || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '| Item | **Qty** |' || nl || '| --- | :---: |' || nl || '| A | ' || CAST(o_custkey % 50 AS STRING) || ' |' || nl || '| B | 7 |' || nl || CASE WHEN o_orderkey % 3 = 2 THEN '| C | 9 |' || nl ELSE '' END || nl END
+    || CASE WHEN o_orderkey % 5 = 4 THEN '    ## Details' ELSE '  ## Details' END || nl || nl
     || '- total ' || CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) || '.25 USD' || nl
-    || '- share ' || CAST(o_custkey % 100 AS STRING) || '.5%' || nl
-    || CASE WHEN o_orderkey % 2 = 0 THEN '1. check stock' || nl || '2) ship it' || nl || nl ELSE nl END
-    || CASE WHEN o_orderkey % 5 = 0 THEN '> quoted note' || nl || nl || '```' || nl || 'code' || nl || '```' || nl ELSE '' END
-    || CASE WHEN o_orderkey % 4 = 0 THEN '- [x] done' || nl ELSE '' END
-    || 'Risk: market risk remains for ' || o_orderpriority || '.' END AS response
+    || '+ share ' || CAST(o_custkey % 100 AS STRING) || '.5' || CASE WHEN o_orderkey % 11 = 0 THEN '%' ELSE ' percent' END || nl
+    || CASE WHEN o_orderkey % 2 = 0 THEN '1. check stock' || nl || '2) ship it' || nl ELSE '' END || nl
+    || CASE WHEN o_orderkey % 5 = 0 THEN '> quoted note' || nl || '>bare' || nl || '```' || nl || 'code' || nl || '```' || nl ELSE '' END
+    || CASE o_orderkey % 6 WHEN 0 THEN '- [x] done' || nl WHEN 3 THEN '[ ]' || nl ELSE '' END
+    || CASE WHEN o_orderkey % 8 = 1 THEN 'Risk & scope:' || nl ELSE '' END
+    || CASE WHEN o_orderkey % 9 = 0 THEN '本报告认为 5 亿元' || nl ELSE '' END
+    || CASE o_orderkey % 10 WHEN 0 THEN '以上内容仅供参考，不构成投资建议' WHEN 5 THEN '风险提示' ELSE 'Closing for ' || o_orderpriority || '.' END
+  END AS response
 FROM (SELECT *, CHR(10) AS nl FROM {orders}) AS x
 """
 
+#: What the answers' parts are, for closed forms of what is measured on them: k the key, j JSON, np one word more in the priority.
+FACTS = """
+SELECT o_orderkey AS item_id, o_orderkey AS k, o_orderkey % 7 = 0 AS j, CASE WHEN o_orderpriority LIKE '4%' THEN 1 ELSE 0 END AS np,
+       o_custkey AS c, o_orderstatus AS st, o_orderpriority AS pr, o_totalprice AS tp FROM {orders}
+"""
+
 
 def spark_rows(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The text over the tables of sf_dir. Python workers are told where this package lies."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checkers, rollups, tables
+from . import checkers, data, rollups, tables
 
-MODULES: tuple = (checkers, rollups, tables)
+MODULES: tuple = (checkers, rollups, tables, data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,6 @@ from verdance.operators import reports as P
 from verdance.operators import rollups as R
 from verdance.sources import io
 
-from .checkers import MEASURES, WORDS
 from .demo import RESPONSES, RESULTS, spark_rows, with_sql
 
 CONS = "SELECT item_id, constraint_index, max(tag) AS tag, max(type) AS type, max(method) AS method FROM ({results}) AS r GROUP BY item_id, constraint_index"
@@ -24,11 +23,7 @@ VOTES = "SELECT user_id AS item_id, event_id % 3 AS constraint_index, event_id A
 QUALITIES = "SELECT user_id AS item_id, event_id AS repeat, CAST(event_id % 11 AS BIGINT) AS quality, event_type AS reason FROM {events}"
 #: Orders of a customer as candidates.
 CANDIDATES = "SELECT o_custkey AS sample_id, o_orderkey AS index, o_orderstatus || o_orderpriority AS response, CAST(o_orderkey % 5 AS DOUBLE) / 4 AS score FROM {orders}"
-RAWS = "SELECT event_id AS item_id, CAST(event_id % 6 AS BIGINT) AS repeat, CAST(FLOOR(event_id / 6) % 3 AS BIGINT) AS attempt, CASE event_id % 5 WHEN 0 THEN 'no json' WHEN 1 THEN '[1]' WHEN 2 THEN '{{\"constraint_scores\": [{{\"constraint_index\": 0, \"score\": 1, \"reason\": \"fine\"}}], \"quality_score\": ' || CAST(event_id % 12 AS STRING) || '}}' WHEN 3 THEN '{{\"constraint_scores\": [{{\"constraint_index\": 0, \"score\": true, \"reason\": \"x\"}}], \"quality_score\": 1}}' ELSE '{{\"constraint_scores\": [], \"quality_score\": 3}}' END AS raw FROM {events}"
 CITES = "SELECT l_orderkey AS item, l_suppkey AS document FROM {lineitem}"
-ITEMS = "SELECT CAST(o_orderkey AS STRING) AS item_key, o_orderkey AS id, o_custkey AS line_number, o_orderstatus AS status FROM {orders}"
-#: Half of the orders have a row of their own, and customers one by line number.
-ANSWERS = "SELECT CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS BIGINT) AS id, CAST(NULL AS BIGINT) AS line_number, 'by id ' || CAST(o_orderkey AS STRING) AS response, o_orderkey AS row FROM {orders} WHERE o_orderkey % 2 = 0 UNION ALL SELECT CAST(NULL AS BIGINT), c_custkey, 'by line ' || CAST(c_custkey AS STRING), 1000000000 + c_custkey FROM {customer} WHERE c_custkey % 3 = 0"
 DOCS = "SELECT doc_id, text, lang, source FROM {documents}"
 
 
@@ -40,38 +35,9 @@ def on2(a, b, work):
     return lambda spark, sf_dir: work(spark_rows(spark, sf_dir, a), spark_rows(spark, sf_dir, b))
 
 
-def latest(answers):
-    return K.latest_responses(answers, ["id", "line_number"], "row")
-
-
-def voted(raw):
-    rows = raw.withColumn("expected", F.array(F.lit(0).cast("long")))
-    return J.first_valid_attempt(J.parse_judge_item(rows))
-
-
-PARSE_SQL = "CASE event_id % 5 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_object' WHEN 2 THEN CASE WHEN event_id % 12 > 10 THEN 'bad_quality' END WHEN 3 THEN 'bad_score' ELSE 'missing_index' END"
-POOL = [("P1", ["T1", "T2", "T3"], ["f"]), ("P2", ["T1", "T4"], []), ("P3", ["T2", "T5"], ["urgent"])]
-
-
-def pool(spark_df):
-    spark = spark_df.sparkSession
-    return spark.createDataFrame(POOL, "constraint_id string, applicable array<string>, blocked_by array<string>")
-
-
-PROMPT = "SELECT o_orderkey AS item_id, 'Intro' || chr(10) || '1. a' || chr(10) || '2. ' || o_orderpriority || chr(10) || '3. c' AS prompt FROM {orders}"
 CONFIGS = "SELECT c_custkey AS item_id, c_mktsegment AS seg FROM {customer}"
 
 QUERIES = {
-    "read_items": on(ITEMS, lambda r: K.with_item_key(r, "line_number").groupBy("status").agg(F.count("*").alias("items"), F.countDistinct("item_key").alias("keys"))),
-    "read_responses": on(ANSWERS, latest),
-    "read_context_manifest": on(DOCS, lambda r: r.groupBy(F.col("lang").alias("workflow"), F.when(F.length("text") > 1000, "ok").otherwise("short").alias("status")).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"))),
-    "write_results": on(RESULTS, lambda r: io.nested_results(r).select("model", "item_id", F.size("results").cast("long").alias("n"), F.array_join(F.transform("results", lambda x: F.coalesce(x["score"].cast("string"), F.lit("-"))), "").alias("scores"))),
-    "match_response": on2(ITEMS, ANSWERS, lambda i, a: K.match_response(i, latest(a), ["id", "line_number"])),
-    "missing_responses": on2(ITEMS, ANSWERS, lambda i, a: K.missing_responses(i, K.match_response(i, latest(a), ["id", "line_number"])).select("item_key")),
-    "explode_constraints": on(
-        CONSTRAINTS,
-        lambda c: K.explode_constraints(c.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("constraint_index", F.when(F.col("constraint_index") % 2 == 0, F.col("tag")).alias("constraint_id"), "type"))).alias("constraints"))).select("item_id", "constraint_index", "constraint_id", "type"),
-    ),
     "route_constraints": on(CONSTRAINTS, lambda c: K.route_constraints(c.withColumn("check_type", F.when(F.col("tag").isNull(), F.lit(None)).when(F.col("tag") == "DB4", "odd").when(F.col("type") == "hard", "Rule").otherwise("judge")).withColumn("has_config", F.col("constraint_index") != 1)).groupBy("route", "reject_reason").agg(F.count("*").alias("n"))),
     "join_scored_pairs": on2(CANDIDATES, "SELECT c_custkey AS sample_id, c_mktsegment AS segment FROM {customer} WHERE c_nationkey < 10", lambda a, b: K.join_scored_pairs(a, b, "sample_id").groupBy("segment").agg(F.count("*").alias("n"))),
     "group_by_case": on(CONSTRAINTS, lambda c: K.group_by_case(c.select(F.concat("item_id", F.lit("#C"), (F.col("constraint_index") + 1).cast("string")).alias("constraint_key"))).select("case_id", F.array_join("constraint_keys", ",").alias("constraint_keys"))),
@@ -80,79 +46,26 @@ QUERIES = {
     "apply_repairs": on2("SELECT c_custkey AS id, c_name AS response FROM {customer}", "SELECT p_partkey AS id, p_name AS text FROM {part}", lambda a, b: K.apply_repairs(a, b, "id")),
     "resolve_config": on(CONFIGS, lambda r: r.select("item_id", F.array_join(F.transform(F.array_sort(F.map_entries(K.resolve_config([F.create_map(F.lit("min"), F.lit("1"), F.lit("mode"), F.col("seg")), F.when(F.col("item_id") % 2 == 0, F.create_map(F.lit("min"), F.lit("2")))], F.create_map(F.lit("min"), F.lit("9"), F.lit("max"), F.col("item_id").cast("string"))))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("config"))),
     "resolve_checker": on(CONFIGS, lambda r: r.select("item_id", K.resolve_checker(F.when(F.col("item_id") % 3 == 0, F.lit("Check-JSON format")), F.when(F.col("item_id") % 3 == 1, F.lit(" ")), F.col("seg")).alias("checker"))),
-    "infer_checker": on(CONSTRAINTS, lambda c: c.select("item_id", "constraint_index", K.infer_checker(F.concat(F.lit("Use "), F.when(F.col("constraint_index") == 0, "a json body").when(F.col("constraint_index") == 1, "a table").when(F.col("constraint_index") == 2, "at least 5 words").otherwise("plain words")), F.col("tag")).alias("checker"))),
-    "infer_word_limit": on(CONFIGS, lambda r: r.select("item_id", (w := H_limit())["kind"].alias("kind"), w["limit"].alias("n"))),
     "constraint_distribution": on(CONSTRAINTS, P.constraint_distribution),
     "constraints_per_case": on(CONSTRAINTS, P.constraints_per_case),
     "tier_distribution": on(CONSTRAINTS, P.tier_distribution),
-    "benchmark_stats": on(CONSTRAINTS, P.benchmark_stats),
-    "training_stats": on(SAMPLES, P.training_stats),
-    "sample_stats": on(SAMPLES, P.sample_stats),
     "usage_distribution": on(CONSTRAINTS, lambda c: P.usage_distribution(c, 37)),
     "response_length_stats": on(DOCS, lambda d: P.response_length_stats(d, "source", F.length("text"))),
-    "prompt_length_hist": on(DOCS, lambda d: P.log_histogram(d.select(F.regexp_count("text", F.lit(r"[^\s]+")).cast("double").alias("n")), "n")),
     "family_share": on(CONSTRAINTS, P.family_share),
     "context_reuse": on(CITES, lambda c: P.context_reuse(c, "item", "document")),
-    "judge_requests": on2("SELECT o_orderkey AS item_id, o_orderpriority AS query, o_orderstatus AS response FROM {orders}", "SELECT l_orderkey AS item_id, l_linenumber AS constraint_index, max(l_returnflag) AS constraint FROM {lineitem} GROUP BY l_orderkey, l_linenumber", lambda a, b: J.judge_requests(a, b).select("item_id", "prompt")),
-    "judge_prompt_single": on("SELECT p_partkey AS item_id, p_name AS name, p_brand AS brand, p_type AS type FROM {part}", lambda p: p.select("item_id", J.judge_prompt_single(F.col("name"), F.when(F.col("item_id") % 2 == 0, F.array(F.struct(F.col("brand").alias("id"), F.col("type").alias("title"), F.col("name").alias("content")))).otherwise(F.expr("cast(array() as array<struct<id:string,title:string,content:string>>)")), F.col("type")).alias("prompt"))),
-    "parse_judge_item": on(RAWS, lambda r: J.parse_judge_item(r.withColumn("expected", F.array(F.lit(0).cast("long")))).select("item_id", F.col("parsed.error").alias("error"), F.col("parsed.quality_score").alias("quality"))),
     "parse_judge_lenient": on("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '{{\"pass\": true}}' WHEN 1 THEN '{{\"pass\": false' WHEN 2 THEN 'none' ELSE 'x \"pass\" : TRUE' END AS raw FROM {events}", lambda r: r.select("id", H.judge_lenient("raw").alias("passed"))),
-    "first_valid_attempt": on("SELECT user_id AS item_id, CAST(event_id % 3 AS BIGINT) AS repeat, event_id AS attempt, CASE WHEN value > 9 THEN 'no json' ELSE '{{\"constraint_scores\": [{{\"constraint_index\": 0, \"score\": 1, \"reason\": \"fine\"}}], \"quality_score\": 4}}' END AS raw FROM {events}", lambda r: voted(r).select("item_id", "repeat", "attempt")),
     "majority_vote": on(VOTES, J.majority_vote),
     "quality_mean": on(QUALITIES, J.quality_mean),
-    "clean_context_text": on("SELECT page_id, html FROM {pages}", lambda p: p.select("page_id", F.md5(C.clean_context_text(F.replace("html", F.lit(">"), F.lit(">\n"))).cast("binary")).alias("digest"))),
-    "context_pool": on("SELECT CAST(doc_id AS STRING) AS name, source AS l2, text AS raw FROM {documents}", lambda d: C.context_pool(d).select("name", "context_id", "char_count")),
-    "pool_candidates": on("SELECT o_orderkey AS sample_id, 'T' || CAST(o_orderkey % 5 + 1 AS STRING) AS l1, o_orderpriority || ' ' || o_orderstatus AS query FROM {orders}", lambda s: C.pool_candidates(s, pool(s))),
     "sample_constraint_count": on(CONFIGS, lambda r: r.select("item_id", C.sample_constraint_count(F.col("item_id").cast("string")).alias("n"))),
-    "sample_constraints": on2("SELECT o_custkey AS sample_id, o_orderkey AS constraint_id, CAST(1 + o_orderkey % 4 AS DOUBLE) AS weight, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS exclusion FROM {orders}", "SELECT c_custkey AS sample_id, 3 AS n FROM {customer}", C.sample_constraints),
-    "sample_params": on(CONFIGS, lambda r: r.select("item_id", C.sample_int_param(F.col("item_id").cast("string"), 100, 500, 50).alias("value"))),
-    "render_constraint_text": on(CONFIGS, lambda r: r.select("item_id", C.render_constraint_text(F.lit("Use {n} words for {seg} {unit} now"), F.create_map(F.lit("n"), F.col("item_id").cast("string"), F.lit("seg"), F.col("seg"))).alias("text"))),
-    "conflict_audit": on("SELECT o_orderkey AS sample_id, 'T' || CAST(o_orderkey % 5 + 1 AS STRING) AS l1, o_orderpriority || ' ' || o_orderstatus AS query FROM {orders}", lambda s: s.join(F.broadcast(pool(s)), F.array_contains("applicable", F.col("l1"))).where(F.exists("blocked_by", lambda w: F.lower(F.col("query")).contains(w))).groupBy("constraint_id").agg(F.count("*").alias("conflicts"))),
-    "trim_targets": on(SAMPLES, lambda s: C.trim_targets(s.select("item_id", F.col("n_constraints").alias("n")), {2: 0.5, 4: 0.5})),
     "trim_constraints": on(CONSTRAINTS, lambda c: C.trim_constraints(c.select("item_id", "constraint_index", "tag"), c.select("item_id").distinct().withColumn("keep", F.lit(3)))),
-    "renumber_prompt": on(PROMPT, lambda p: p.select("item_id", C.renumber_prompt(F.col("prompt"), F.array((F.col("item_id") % 4).cast("int"))).alias("prompt"))),
-    "trim_coverage": on(CONSTRAINTS, lambda c: C.trim_coverage(c, c.where("constraint_index < 2"))),
-    "parameterize_constraints": on2("SELECT l_orderkey AS sample_id, CAST(l_linenumber AS STRING) AS constraint_id, l_linenumber AS position, max(l_returnflag) AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber", "SELECT o_orderkey AS sample_id, '2' AS constraint_id, 'new ' || o_orderstatus AS rendered_text FROM {orders} WHERE o_orderkey % 2 = 0", C.parameterize_constraints),
-    "parameterize_missing": on2("SELECT l_orderkey AS sample_id, CAST(l_linenumber AS STRING) AS constraint_id FROM {lineitem} GROUP BY l_orderkey, l_linenumber", "SELECT o_orderkey AS sample_id, '2' AS constraint_id FROM {orders} WHERE o_orderkey % 2 = 0", lambda a, b: C.parameterize_missing(a, b).groupBy("constraint_id").agg(F.count("*").alias("n"))),
-    "hidden_checker_score": on(CANDIDATES, lambda c: c.select("sample_id", "index", F.round((F.col("response").contains("HIGH").cast("int") + F.col("response").startswith("O").cast("int") + (F.length("response") < 8).cast("int")) / 3, 4).alias("score"))),
     "best_of_n": on(CANDIDATES, C.best_of_n),
-    "candidate_details": on(CANDIDATES, lambda c: C.candidate_details(c).select("sample_id", "n")),
     "candidate_summary": on(CANDIDATES, C.candidate_summary),
-    "assemble_final": on2("SELECT conv_id AS sample_id, role, text, turn FROM {conversations}", "SELECT o_custkey AS sample_id, o_orderkey AS index, o_orderstatus AS response, CAST(1 AS DOUBLE) AS score FROM {orders}", lambda m, c: C.assemble_final(m.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")), C.best_of_n(c)).select("sample_id", F.size("messages").cast("long").alias("turns"), F.try_element_at("messages", F.lit(-1))["content"].alias("last"))),
-    "export_threshold": on(RESULTS, lambda r: R.sample_pass_rate(r).where("pass_rate >= 0.9").select("model", "item_id", F.array_join(F.transform(C.sharegpt(F.lit("s"), F.col("item_id"), F.col("model")), lambda t: F.concat(t["from"], F.lit("="), t["value"])), "|").alias("chat"))),
-    "write_sharegpt": on2("SELECT conv_id AS sample_id, max(text) AS prompt FROM {conversations} WHERE role = 'user' GROUP BY conv_id", "SELECT conv_id AS sample_id, min(text) AS response FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id", lambda p, r: C.sharegpt_pairs(p, r).select("sample_id", F.md5(F.to_json("conversations").cast("binary")).alias("digest"), F.size("conversations").alias("turns")).drop("digest")),
     "sharegpt_pairs": on2("SELECT conv_id AS sample_id, max(text) AS prompt FROM {conversations} WHERE role = 'user' GROUP BY conv_id", "SELECT conv_id AS sample_id, min(text) AS response FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id", lambda p, r: C.sharegpt_pairs(p, r).select("sample_id", F.array_join(F.transform("conversations", lambda t: F.concat(t["from"], F.lit(":"), t["value"])), "|").alias("chat"))),
-    "repair_tasks": on(RESULTS, lambda r: C.repair_tasks(r).select("model", "item_id", "total", F.array_join(F.transform("failed", lambda x: x.cast("string")), ",").alias("failed"))),
-    "diagnose_failure": on(RESPONSES, lambda r: r.select("item_id", C.diagnose_failure(F.col("response"), "min_words", {"min": 40}).alias("words"), C.diagnose_failure(F.col("response"), "table_row_count", {"min_rows": 2}).alias("rows"), C.diagnose_failure(F.col("response"), "valid_json", {}).alias("json"))),
-    "verify_repairs": on(RESPONSES, lambda r: C.verify_repairs(r, r.where(F.col("item_id") % 4 == 0).select("item_id", F.concat("response", F.lit("\n- [ ] open")).alias("text")), "checkbox", {})),
-    "infer_table_columns": on(CONFIGS, lambda r: r.select("item_id", F.array_join(M.infer_table_columns(F.concat(F.lit("Give a table with columns "), F.col("seg"), F.lit(", **Qty**, and 'Unit Price'."), F.when(F.col("item_id") % 2 == 0, " It is short.").otherwise(""))), "|").alias("columns"))),
-    "conflicting_constraints": on(CONFIGS, lambda r: C.conflicting_constraints(r.select("item_id", F.when(F.col("item_id") % 2 == 0, F.array(F.lit("valid_json"), F.lit("first_line"), F.lit("min_words"))).otherwise(F.array(F.lit("first_line"), F.lit("min_words"))).alias("names"))).select("item_id", F.array_join("blocked", ",").alias("blocked"), F.array_join("actionable", ",").alias("actionable"))),
-    "repair_prompts": on(CONFIGS, lambda r: r.select("item_id", C.repair_prompts(F.array("seg"), F.array(F.lit("a"), F.col("seg")), F.col("item_id").cast("string")).alias("prompt"))),
-    "fix_decimals": on("SELECT o_orderkey AS item_id, CAST(o_custkey AS STRING) || '.' || CAST(10 + o_orderkey % 90 AS STRING) AS text FROM {orders}", lambda r: r.select("item_id", H.fix_decimals("text", F.lit(1)).alias("fixed"))),
-    "excerpt_chunks": on(DOCS, lambda d: C.excerpt_chunks(d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))),
-    "source_disjoint_check": on2(DOCS, "SELECT item_id AS doc_id, text FROM {benchmark}", C.source_disjoint_check),
-    "extract_labelled_values": on("SELECT c_custkey AS item_id, 'Net margin: ' || CAST(c_nationkey AS STRING) || '% and total debt is ' || CAST(c_custkey AS STRING) AS text FROM {customer}", lambda r: r.select("item_id", (v := H.labelled_values("text"))["Net margin"].alias("margin"), v["and total debt"].alias("debt"))),
 }
 
 
-def H_limit():
-    from verdance.functions.measures import infer_word_limit
-
-    return infer_word_limit(F.concat(F.lit("Write "), F.when(F.col("item_id") % 3 == 0, "at least ").when(F.col("item_id") % 3 == 1, "fewer than ").otherwise(""), F.col("item_id").cast("string"), F.lit(" words")))
-
-
-ROWS = MEASURES["md_table"][1]
 U = "((('0x' || substr(md5('{seed}' || '|' || {key}), 1, 12))::BIGINT + 1)::DOUBLE / 281474976710658.0::DOUBLE)"
-LATEST = "SELECT key, arg_max(response, row) AS response FROM (SELECT id::VARCHAR AS key, response, row FROM answers WHERE id IS NOT NULL UNION ALL SELECT line_number::VARCHAR, response, row FROM answers WHERE line_number IS NOT NULL) GROUP BY key"
-MATCH = f"SELECT i.item_key, coalesce(a.response, b.response) AS response FROM items i LEFT JOIN ({LATEST}) a ON a.key = i.id::VARCHAR LEFT JOIN ({LATEST}) b ON b.key = i.line_number::VARCHAR WHERE coalesce(a.response, b.response) IS NOT NULL"
 SQL = {
-    "read_items": "SELECT status, count(*) AS items, count(DISTINCT id) AS keys FROM items GROUP BY status",
-    "read_responses": LATEST,
-    "read_context_manifest": "SELECT lang AS workflow, CASE WHEN length(text) > 1000 THEN 'ok' ELSE 'short' END AS status, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ALL",
-    "write_results": "SELECT model, item_id, count(*) AS n, string_agg(coalesce(score::VARCHAR, '-'), '' ORDER BY constraint_index) AS scores FROM results GROUP BY ALL",
-    "match_response": MATCH,
-    "missing_responses": f"SELECT item_key FROM items WHERE item_key NOT IN (SELECT item_key FROM ({MATCH}))",
-    "explode_constraints": "SELECT item_id, k AS constraint_index, CASE WHEN constraint_index % 2 = 0 AND tag IS NOT NULL THEN tag ELSE item_id || '#C' || (k + 1)::VARCHAR END AS constraint_id, type FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY constraint_index) - 1 AS k FROM cons)",
     "route_constraints": "WITH c AS (SELECT CASE WHEN tag IS NULL THEN 'llm' WHEN tag = 'DB4' THEN 'odd' WHEN type = 'hard' THEN 'rule' ELSE 'llm' END AS t, constraint_index <> 1 AS cfg FROM cons) SELECT CASE WHEN t = 'odd' OR (t = 'rule' AND NOT cfg) THEN 'reject' WHEN t = 'rule' THEN 'rule' ELSE 'LLM' END AS route, CASE WHEN t = 'odd' THEN 'unknown check_type' WHEN t = 'rule' AND NOT cfg THEN 'rule without settings' END AS reject_reason, count(*) AS n FROM c GROUP BY ALL",
     "join_scored_pairs": "SELECT c_mktsegment AS segment, count(*) AS n FROM candidates JOIN customer ON c_custkey = sample_id WHERE c_nationkey < 10 GROUP BY ALL",
     "group_by_case": "SELECT item_id AS case_id, string_agg(item_id || '#C' || (constraint_index + 1)::VARCHAR, ',' ORDER BY constraint_index) AS constraint_keys FROM cons GROUP BY item_id",
@@ -161,57 +74,21 @@ SQL = {
     "apply_repairs": "SELECT coalesce(c_custkey, p_partkey) AS id, coalesce(p_name, c_name) AS response, p_name IS NOT NULL AS repaired FROM customer FULL JOIN part ON p_partkey = c_custkey",
     "resolve_config": "SELECT c_custkey AS item_id, 'max=' || c_custkey::VARCHAR || ';min=' || CASE WHEN c_custkey % 2 = 0 THEN '2' ELSE '1' END || ';mode=' || c_mktsegment AS config FROM customer",
     "resolve_checker": "SELECT c_custkey AS item_id, CASE WHEN c_custkey % 3 = 0 THEN 'valid_json' ELSE replace(lower(c_mktsegment), ' ', '_') END AS checker FROM customer",
-    "infer_checker": "SELECT item_id, constraint_index, CASE WHEN constraint_index = 0 THEN 'valid_json' WHEN tag = 'QV5' THEN 'deadline' WHEN constraint_index = 2 AND tag NOT LIKE 'FP%' THEN 'contains_number' WHEN tag LIKE 'FP%' AND constraint_index = 1 THEN 'markdown_table' WHEN tag LIKE 'FP%' THEN 'min_words' END AS checker FROM cons",
-    "infer_word_limit": "SELECT c_custkey AS item_id, CASE c_custkey % 3 WHEN 0 THEN 'min' WHEN 1 THEN 'max' END AS kind, CASE WHEN c_custkey % 3 < 2 THEN c_custkey END AS n FROM customer",
     "constraint_distribution": "SELECT dimension, value, count(*) AS n FROM (SELECT 'tag' AS dimension, coalesce(tag, 'unknown') AS value FROM cons UNION ALL SELECT 'category', substr(coalesce(tag, 'unknown'), 1, 1) FROM cons UNION ALL SELECT 'type', type FROM cons) GROUP BY ALL",
     "constraints_per_case": "SELECT n_constraints, count(*) AS cases, CASE WHEN n_constraints <= 3 THEN 'easy' ELSE 'hard' END AS difficulty FROM (SELECT item_id, count(*) AS n_constraints FROM cons GROUP BY item_id) GROUP BY n_constraints",
     "tier_distribution": "SELECT split_part(item_id, '.', 1) AS l1, split_part(item_id, '-', 1) AS l2, count(DISTINCT item_id) AS cases FROM cons GROUP BY ALL",
-    "benchmark_stats": "SELECT split_part(item_id, '.', 1) AS l1, count(DISTINCT item_id) AS cases, count(*) AS constraints, count(*) FILTER (type = 'hard') AS hard, round(count(*)::DOUBLE / count(DISTINCT item_id), 2) AS mean_per_case, round(count(*) FILTER (type = 'hard')::DOUBLE / count(*), 4) AS hard_share FROM cons GROUP BY 1",
-    "training_stats": "SELECT CASE WHEN source = '' THEN 'legacy' ELSE source END AS source, count(*) AS samples, round(avg(n_constraints), 2) AS mean_constraints, sum(hard)::BIGINT AS hard, sum(soft)::BIGINT AS soft FROM samples GROUP BY 1",
-    "sample_stats": "SELECT l2, count(*) AS samples, round(avg(n_constraints), 1) AS constraints, round(avg(hard), 1) AS hard, round(avg(soft), 1) AS soft FROM samples GROUP BY l2",
     "usage_distribution": "SELECT method, coalesce(tag, 'unknown') AS tag, count(*) AS uses, (SELECT count(DISTINCT coalesce(tag, 'unknown')) FROM cons) AS distinct_used, 37::BIGINT AS pool_size FROM cons GROUP BY method, 2",
     "response_length_stats": "SELECT source, count(*) AS n, round(avg(length(text)), 4) AS mean, quantile_cont(length(text), 0.5) AS median, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, round(stddev_pop(length(text)), 4) AS std, quantile_cont(length(text), 0.25) AS q1, quantile_cont(length(text), 0.75) AS q3 FROM documents GROUP BY source",
-    "prompt_length_hist": r"WITH n AS (SELECT len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+'))::DOUBLE AS n FROM documents), e AS (SELECT greatest(min(n), 5::DOUBLE) AS lo, max(n) * 1.05::DOUBLE AS hi FROM n) SELECT least(floor(ln(n / lo) / ln(hi / lo) * 25), 24)::BIGINT AS bin, count(*) AS n FROM n, e WHERE n >= lo GROUP BY bin",
     "family_share": "SELECT family, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share FROM (SELECT CASE WHEN tag IS NULL THEN 'unknown' WHEN tag LIKE 'RC%' THEN 'EG' ELSE regexp_extract(tag, '^[A-Z]+') END AS family FROM cons) GROUP BY family",
     "context_reuse": "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1), d AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 1) SELECT (SELECT count(*) FROM s) AS items, (SELECT count(DISTINCT s) FROM s) AS context_sets, l_suppkey AS top_document, n AS top_cites FROM d",
-    "judge_requests": "SELECT o_orderkey AS item_id, 'Query:' || chr(10) || o_orderpriority || chr(10) || chr(10) || 'Constraints:' || chr(10) || '[' || c || ']' || chr(10) || chr(10) || 'Response:' || chr(10) || o_orderstatus AS prompt FROM orders JOIN (SELECT l_orderkey, string_agg('{\"constraint_index\":' || l_linenumber::VARCHAR || ',\"constraint\":\"' || f || '\"}', ',' ORDER BY l_linenumber) AS c FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey) ON l_orderkey = o_orderkey",
-    "judge_prompt_single": "SELECT p_partkey AS item_id, 'Constraint: ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || '[' || p_brand || ' - ' || p_type || ']' || chr(10) || p_name ELSE '' END || chr(10) || chr(10) || 'Response: ' || p_type AS prompt FROM part",
-    "parse_judge_item": f"SELECT event_id AS item_id, {PARSE_SQL} AS error, CASE WHEN event_id % 5 = 2 AND event_id % 12 <= 10 THEN event_id % 12 END AS quality FROM events",
     "parse_judge_lenient": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS passed FROM events",
-    "first_valid_attempt": "SELECT user_id AS item_id, event_id % 3 AS repeat, min(event_id) AS attempt FROM events WHERE NOT value > 9 GROUP BY ALL",
     "majority_vote": "SELECT item_id, constraint_index, votes, score, CASE WHEN score = 1 THEN r1 ELSE r0 END AS reason FROM (SELECT item_id, constraint_index, count(*) AS votes, (CASE WHEN 2 * sum(score) > count(*) THEN 1 WHEN 2 * sum(score) < count(*) THEN 0 ELSE arg_max(score, repeat) END)::INT AS score, arg_max(reason, repeat) FILTER (score = 1) AS r1, arg_max(reason, repeat) FILTER (score = 0) AS r0 FROM votes GROUP BY ALL)",
     "quality_mean": "SELECT item_id, round_even(avg(quality), 0)::BIGINT AS quality, arg_max(reason, repeat) AS reason FROM qualities GROUP BY item_id",
-    "context_pool": r"WITH c AS (SELECT doc_id::VARCHAR AS name, source AS l2, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^https?://\S+$') AND NOT regexp_matches(x, '^[0-9]+\s*/\s*[0-9]+$') AND NOT regexp_matches(lower(x), '^page\s+[0-9]+') AND length(x) >= 3), chr(10)) AS t FROM documents) SELECT name, 'EXT-' || l2 || '-' || right('000' || (row_number() OVER (PARTITION BY l2 ORDER BY name))::VARCHAR, 3) AS context_id, least(length(t), 6000) AS char_count FROM c WHERE length(t) >= 100",
-    "pool_candidates": "SELECT o_orderkey AS sample_id, p.id AS constraint_id FROM orders, (VALUES ('P1', ['1', '2', '3'], 'f'), ('P2', ['1', '4'], '~'), ('P3', ['2', '5'], 'urgent')) AS p(id, t, w) WHERE list_contains(p.t, (o_orderkey % 5 + 1)::VARCHAR) AND NOT contains(lower(o_orderpriority || ' ' || o_orderstatus), p.w)",
-    "conflict_audit": "SELECT p.id AS constraint_id, count(*) AS conflicts FROM orders, (VALUES ('P1', ['1', '2', '3'], 'f'), ('P2', ['1', '4'], '~'), ('P3', ['2', '5'], 'urgent')) AS p(id, t, w) WHERE list_contains(p.t, (o_orderkey % 5 + 1)::VARCHAR) AND contains(lower(o_orderpriority || ' ' || o_orderstatus), p.w) GROUP BY 1",
     "sample_constraint_count": f"SELECT c_custkey AS item_id, (CASE WHEN u < 10 THEN 1 WHEN u < 30 THEN 2 WHEN u < 60 THEN 3 WHEN u < 85 THEN 4 ELSE 5 END)::BIGINT AS n FROM (SELECT c_custkey, {U.format(seed='count', key='c_custkey::VARCHAR')} * 100 AS u FROM customer)",
-    "sample_constraints": f"WITH c AS (SELECT o_custkey AS sample_id, o_orderkey AS constraint_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '#' || o_orderkey::VARCHAR END AS g, -ln({U.format(seed='draw', key=chr(39).join(['o_custkey::VARCHAR || ', '|', ' || o_orderkey::VARCHAR']))}) / (1 + o_orderkey % 4)::DOUBLE AS o FROM orders), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY sample_id, g ORDER BY o, constraint_id) = 1) SELECT sample_id, constraint_id, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY o, constraint_id) AS position FROM f) JOIN customer ON c_custkey = sample_id WHERE position <= 3",
-    "sample_params": f"SELECT c_custkey AS item_id, (100 + 50 * floor({U.format(seed='param', key='c_custkey::VARCHAR')} * 9))::BIGINT AS value FROM customer",
-    "render_constraint_text": "SELECT c_custkey AS item_id, 'Use ' || c_custkey::VARCHAR || ' words for ' || c_mktsegment || ' now' AS text FROM customer",
-    "trim_targets": f"SELECT item_id, n_constraints AS n, least(CASE WHEN percent_rank() OVER (PARTITION BY n_constraints ORDER BY {U.format(seed='trim', key='item_id')}, item_id) < 0.5 THEN 2 ELSE 4 END, n_constraints)::BIGINT AS keep FROM samples",
     "trim_constraints": "SELECT item_id, constraint_index, tag FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN nth > 1 THEN 1 ELSE 0 END, freq, constraint_index) AS r FROM (SELECT *, row_number() OVER (PARTITION BY item_id, tag ORDER BY constraint_index) AS nth, count(*) OVER (PARTITION BY tag) AS freq FROM cons)) WHERE r <= 3",
-    "renumber_prompt": "SELECT o_orderkey AS item_id, 'Intro' || chr(10) || CASE o_orderkey % 4 WHEN 1 THEN '1. ' || o_orderpriority || chr(10) || '2. c' WHEN 2 THEN '1. a' || chr(10) || '2. c' WHEN 3 THEN '1. a' || chr(10) || '2. ' || o_orderpriority ELSE '1. a' || chr(10) || '2. ' || o_orderpriority || chr(10) || '3. c' END AS prompt FROM orders",
-    "trim_coverage": "SELECT coalesce(tag, 'unknown') AS tag, count(*) AS before, count(*) FILTER (constraint_index < 2) AS after, round(100.0::DOUBLE * count(*) FILTER (constraint_index < 2) / count(*), 1) AS kept_percent, 100.0::DOUBLE * count(*) FILTER (constraint_index < 2) / count(*) < 40 AS low FROM cons GROUP BY 1",
-    "parameterize_constraints": "SELECT l_orderkey AS sample_id, count(*) FILTER (l_linenumber = 2 AND l_orderkey % 2 = 0 AND o_orderkey IS NOT NULL) AS replaced, string_agg(CASE WHEN l_linenumber = 2 AND l_orderkey % 2 = 0 AND o_orderkey IS NOT NULL THEN 'new ' || o_orderstatus ELSE f END, chr(10) ORDER BY l_linenumber) AS block FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem GROUP BY 1, 2) LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
-    "parameterize_missing": "SELECT l_linenumber::VARCHAR AS constraint_id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE NOT (l_linenumber = 2 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)) GROUP BY 1",
-    "hidden_checker_score": "SELECT sample_id, index, round((contains(response, 'HIGH')::INT + starts_with(response, 'O')::INT + (length(response) < 8)::INT)::DOUBLE / 3, 4) AS score FROM candidates",
     "best_of_n": "SELECT sample_id, index, response, score FROM candidates QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, length(response), index) = 1",
-    "candidate_details": "SELECT sample_id, count(*) AS n FROM candidates GROUP BY 1",
     "candidate_summary": "SELECT count(*) AS samples, round(avg(s), 4) AS mean_score, round(avg((s = 1)::INT), 4) AS perfect, round(avg((s >= 0.5)::INT), 4) AS half FROM (SELECT max(score) AS s FROM candidates GROUP BY sample_id)",
-    "assemble_final": "SELECT conv_id AS sample_id, t + 1 AS turns, o_orderstatus AS last FROM (SELECT conv_id, count(*) AS t FROM conversations GROUP BY 1) JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY length(o_orderstatus), o_orderkey) = 1) ON o_custkey = conv_id",
-    "export_threshold": "SELECT model, item_id, 'system=s|human=' || item_id || '|gpt=<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || model AS chat FROM (SELECT model, item_id, round(count(*) FILTER (score = 1)::DOUBLE / count(*), 4) AS r FROM results GROUP BY ALL) WHERE r >= 0.9",
-    "write_sharegpt": "SELECT conv_id AS sample_id, 2 AS turns FROM (SELECT conv_id, min(text) FILTER (role = 'assistant') AS r, max(text) FILTER (role = 'user') AS p FROM conversations GROUP BY 1) WHERE trim(r) <> '' AND p IS NOT NULL",
     "sharegpt_pairs": "SELECT conv_id AS sample_id, 'human:' || p || '|gpt:' || r AS chat FROM (SELECT conv_id, min(text) FILTER (role = 'assistant') AS r, max(text) FILTER (role = 'user') AS p, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY 1) WHERE trim(r) <> '' AND u > 0",
-    "repair_tasks": "SELECT model, item_id, count(*) AS total, string_agg(constraint_index::VARCHAR, ',' ORDER BY constraint_index) FILTER (coalesce(score, 0) <> 1) AS failed FROM results GROUP BY ALL HAVING count(*) FILTER (coalesce(score, 0) <> 1) > 0",
-    "diagnose_failure": f"SELECT item_id, 'min_words: found ' || {WORDS}::VARCHAR || ', required min=40' AS words, 'table_row_count: found ' || ({ROWS})::VARCHAR || ', required min_rows=2' AS rows, 'valid_json: not met ()' AS json FROM responses",
-    "verify_repairs": "SELECT item_id, contains(response, '- [x] done')::INT AS before, true::INT AS after, true AS fixed FROM responses WHERE item_id % 4 = 0",
-    "infer_table_columns": "SELECT c_custkey AS item_id, lower(c_mktsegment) || '|qty|unit price' AS columns FROM customer",
-    "conflicting_constraints": "SELECT c_custkey AS item_id, CASE WHEN c_custkey % 2 = 0 THEN 'first_line' ELSE '' END AS blocked, CASE WHEN c_custkey % 2 = 0 THEN 'valid_json,min_words' ELSE 'first_line,min_words' END AS actionable FROM customer",
-    "repair_prompts": "SELECT c_custkey AS item_id, 'Failed:' || chr(10) || '1. ' || c_mktsegment || chr(10) || chr(10) || 'All constraints:' || chr(10) || '1. a' || chr(10) || '2. ' || c_mktsegment || chr(10) || chr(10) || 'Response:' || chr(10) || c_custkey::VARCHAR AS prompt FROM customer",
-    "fix_decimals": "SELECT o_orderkey AS item_id, o_custkey::VARCHAR || '.' || substr((10 + o_orderkey % 90)::VARCHAR, 1, 1) AS fixed FROM orders",
-    "source_disjoint_check": "WITH a AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE length(p) >= 40), b AS (SELECT DISTINCT item_id, p FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS p FROM benchmark) WHERE length(p) >= 40) SELECT a.doc_id AS train_id, b.item_id AS test_id, length(a.p) AS chars FROM a JOIN b USING (p)",
-    "excerpt_chunks": "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), c AS (SELECT doc_id, p, floor(coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000)::BIGINT AS chunk FROM p), g AS (SELECT doc_id, chunk, sum(length(p)) + count(*) - 1 AS n FROM c GROUP BY ALL) SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS chars FROM g GROUP BY doc_id",
-    "extract_labelled_values": "SELECT c_custkey AS item_id, c_nationkey::VARCHAR || '%' AS margin, c_custkey::VARCHAR AS debt FROM customer",
 }
-PARTS = {"results": RESULTS, "cons": CONSTRAINTS, "samples": SAMPLES, "votes": VOTES, "qualities": QUALITIES, "candidates": CANDIDATES, "items": ITEMS, "answers": ANSWERS, "responses": RESPONSES}
+PARTS = {"results": RESULTS, "cons": CONSTRAINTS, "samples": SAMPLES, "votes": VOTES, "qualities": QUALITIES, "candidates": CANDIDATES}
 ORACLES = {name: with_sql("SELECT * FROM (" + text + ")", **{k: v for k, v in PARTS.items() if k in text}) for name, text in SQL.items()}

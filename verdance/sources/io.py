@@ -4,28 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from verdance.operators.keys import with_item_key
+from verdance.operators.rollups import dataset_summary
 
 CONSTRAINT = "struct<constraint_id:string,constraint:string,tag:string,family:string,check_type:string,config:map<string,string>>"
 ITEMS = f"id string, item_id string, case_id string, line_number long, line long, workflow string, task string, work_product string, query string, full_prompt string, extracted_constraints array<{CONSTRAINT}>, constraints array<{CONSTRAINT}>, source_registry array<struct<source_id:string,prompt_label:string,title:string,content:string>>"
-RESPONSES = "model string, id string, item_id string, line_number long, response string, output string, context string"
+RESPONSES = "model string, id string, item_id string, case_id string, line_number long, line long, response string, output string, context string"
 MANIFEST = "id string, workflow string, task string, work_product string, source_type string, url string, local_path string, status string, bytes long, error string"
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, bad lines) of JSON lines. Blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.trim("value").startswith("{")
-    return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and row, the line's number from 1 over the files in name order, blank lines counted.
+
+    A block of a file is read by one task in order, so a line's number is its place in the block and the lines
+    of the blocks before; only one row a block is sorted for that.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_file", "_start", "_first", before.alias("_before"))
+    return lines.join(blocks, ["_file", "_start"]).select("value", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("row"))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, *, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines: value) of JSON lines, rows with their line number as row if numbered. Blank lines are skipped."""
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path)
+    row = ["row"] if numbered else []
+    parsed = lines.where(F.trim("value") != "").select("value", *row, F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.ltrim("value").startswith("{")
+    return parsed.where(~bad).select("r.*", *row).drop("_bad"), parsed.where(bad).select("value")
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return read_json_lines(spark, path, ITEMS)
+    """(items with their item_key, bad lines). Items of one key are found by keys.duplicate_keys, or refused by keys.unique_items."""
+    rows, bad = read_json_lines(spark, path, ITEMS, numbered=True)
+    return with_item_key(rows), bad
 
 
 def read_responses(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Responses with a body; lines without response and output are bad lines."""
-    rows, bad = read_json_lines(spark, path, RESPONSES)
+    rows, bad = read_json_lines(spark, path, RESPONSES, numbered=True)
     body = F.coalesce("response", "output")
     return rows.withColumn("response", body).where("response IS NOT NULL"), bad.unionByName(rows.where(body.isNull()).select(F.to_json(F.struct("*")).alias("value")))
 
@@ -36,17 +56,22 @@ def read_context_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("workflow", "status").agg(F.count("*").alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
 def nested_results(results: DataFrame) -> DataFrame:
     """Results of an item as one nested row, constraints in order."""
     return results.groupBy("model", "item_id").agg(F.array_sort(F.collect_list(F.struct("constraint_index", "tag", "score", "method"))).alias("results"))
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """The long table as Parquet by model, and the nested form as JSON lines."""
+def write_results(results: DataFrame, quality: DataFrame, path: str) -> None:
+    """The long table as Parquet by model, the nested form as JSON lines, and each model's dataset summary as JSON lines."""
     results.write.mode("overwrite").partitionBy("model").parquet(f"{path}/results")
-    nested_results(results).write.mode("overwrite").json(f"{path}/items")
+    write_json_lines(nested_results(results), f"{path}/items")
+    write_json_lines(dataset_summary(results, quality), f"{path}/summary")
 
 
 def write_sharegpt(chats: DataFrame, path: str) -> None:
     """Chat records as JSON lines."""
-    chats.write.mode("overwrite").json(path)
+    write_json_lines(chats, path)
