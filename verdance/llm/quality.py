@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, table
+from .common import cut, lookup, stored, table
 
 #: The classifier is fitted on at most so many labelled documents.
 MAX_TRAIN_DOCS = 20_000
@@ -48,10 +48,10 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.drop("_words", "_tf", *[f"_{n}" for n in NUMERIC])
 
 
-def packed(docs: DataFrame, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """The rows of docs as a struct _row, with _text (null: empty), _host and _path beside it."""
+def packed(docs: DataFrame, text_col: str, host_col: str, path_col: str, carry: list[str]) -> DataFrame:
+    """The columns of docs to carry as a struct _row, with _text (null: empty), _host and _path beside it."""
     col = lambda n: F.col(f"`{n}`")
-    return docs.select(F.struct(*[col(n) for n in docs.columns]).alias("_row"), F.coalesce(col(text_col), F.lit("")).alias("_text"), col(host_col).alias("_host"), col(path_col).alias("_path"))
+    return docs.select(F.struct(*[col(n) for n in carry]).alias("_row"), F.coalesce(col(text_col), F.lit("")).alias("_text"), col(host_col).alias("_host"), col(path_col).alias("_path"))
 
 
 class Evidence:
@@ -88,10 +88,10 @@ def strength(groups: DataFrame, parent: Column, mean: Column) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, int]:
-    """(_host, _path, host_mean, path_mean), the global mean and the number of paths, from rows with _host, _path, p_doc.
+    """(sites, the global mean, the number of sites) from rows with _host, _path, p_doc.
 
-    Counts and sums are grouped by path first; hosts sum up their paths. Sparse paths shrink towards
-    their host, sparse hosts towards the global mean.
+    Counts and sums are grouped by path first; hosts sum up their paths. A site row holds what the posterior
+    means need: sums and counts of path and host, and the prior strengths that moments give for each level.
     """
     paths = cut(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("q")))
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("paths")).first()
@@ -99,12 +99,22 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, int]:
     mean = min(1 - 1e-6, max(1e-6, mean))
     var = F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).withColumn("var", var)
-    k = strength(hosts, F.lit(mean), F.col("s") / F.col("n"))
-    hosts = hosts.select(F.col("_host").alias("_of"), ((F.lit(k * mean) + F.col("s")) / (F.lit(k) + F.col("n"))).alias("host_mean"))
+    k_host = strength(hosts, F.lit(mean), F.col("s") / F.col("n"))
+    hosts = hosts.select(F.col("_host").alias("_of"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.lit(k_host * mean) + F.col("s")) / (F.lit(k_host) + F.col("n"))).alias("host_mean"))
     paths = cut(paths.withColumn("var", var).join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).drop("_of"))
-    k = strength(paths, F.col("host_mean"), F.col("s") / F.col("n"))
-    paths = paths.select("_host", "_path", "host_mean", ((F.lit(k) * F.col("host_mean") + F.col("s")) / (F.lit(k) + F.col("n"))).alias("path_mean"))
-    return paths, mean, total["paths"]
+    k_path = strength(paths, F.col("host_mean"), F.col("s") / F.col("n"))
+    sites = paths.select("_host", "_path", "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"), F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path"))
+    return sites, mean, total["paths"]
+
+
+def posterior_means(own: Column, mean: float) -> tuple[Column, Column]:
+    """(host_mean, path_mean) of a document's site without the document's own evidence (own), from the columns of a site row.
+
+    Sparse paths shrink towards their host, sparse hosts towards the global mean; a site of one document is its prior.
+    """
+    host = (F.col("k_host") * F.lit(mean) + F.greatest(F.col("host_s") - own, F.lit(0.0))) / (F.col("k_host") + F.col("host_n") - 1)
+    path = (F.col("k_path") * host + F.greatest(F.col("path_s") - own, F.lit(0.0))) / (F.col("k_path") + F.col("path_n") - 1)
+    return host, path
 
 
 def classify(
@@ -117,27 +127,32 @@ def classify(
     path_col: str = "lang",
     max_train_docs: int = MAX_TRAIN_DOCS,
     cut_at: float = CUT,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Each row of docs as a struct _row, with p_quality, p_toxic, p_doc, host_mean, path_mean, score, kept.
+    """Each row of docs as a struct _row (its columns named in carry, default all), with p_quality, p_toxic, p_doc, host_mean, path_mean, score, kept.
 
     Two logistic regressions on hashed words and simple numbers, fitted on at most
     max_train_docs labelled documents, give p_doc: good and not toxic. Host and path (here source and
-    language section) get posterior means of p_doc over all documents, shrunk by empirical
+    language section) get posterior means of p_doc over all other documents, shrunk by empirical
     Bayes; the log odds of the path against the global mean are added to those of the document.
+    Texts are scored once; their probabilities are written to the shared folder for the two passes that need them.
 
     Nulls: a null text is empty; null hosts and paths are sites of their own; null labels are not
     used, and without labels of both classes everything is kept. Repeated rows are rows of
-    their own; repeated labels of a document count once. An empty table gives an empty result.
+    their own; repeated labels of a document count once. A score equal to cut_at is kept. An empty table gives an
+    empty result.
     """
     evidence = Evidence(docs, labels, id_col, text_col, max_train_docs, ("quality", "toxic"))
-    scored = evidence.score(packed(docs, text_col, host_col, path_col)).drop("_text")
+    scored = evidence.score(packed(docs, text_col, host_col, path_col, docs.columns if carry is None else carry)).drop("_text")
     for target, default in (("quality", 1.0), ("toxic", 0.0)):
         if target not in evidence.models:
             scored = scored.withColumn(f"p_{target}", F.lit(default))
-    scored = scored.withColumn("p_doc", F.col("p_quality") * (1 - F.col("p_toxic")))
-    paths, mean, n_paths = site_posteriors(scored.select("_host", "_path", "p_doc"))
-    paths = paths.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "host_mean", "path_mean")
-    out = lookup(scored, paths, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "inner", n_paths)
+    scored = stored(scored.withColumn("p_doc", F.col("p_quality") * (1 - F.col("p_toxic"))))
+    sites, mean, n_sites = site_posteriors(scored.select("_host", "_path", "p_doc"))
+    sites = sites.withColumnsRenamed({"_host": "_h", "_path": "_p"})
+    out = lookup(scored, sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "inner", n_sites)
+    host, path = posterior_means(F.col("p_doc"), mean)
+    out = out.withColumn("host_mean", host).withColumn("path_mean", path)
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-9)) / F.greatest(1 - p, F.lit(1e-9)))
     score = 1 / (1 + F.exp(-(odds(F.col("p_doc")) + odds(F.col("path_mean")) - odds(F.lit(mean)))))
     out = out.withColumn("score", score)
@@ -146,9 +161,9 @@ def classify(
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that the classifier keeps."""
-    return classify(docs, labels, **options).where("kept").select("_row.*")
+    return classify(docs, labels, **options).where("kept").select([F.col("_row")[n].alias(n) for n in docs.columns])
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select(F.col("_row.doc_id").alias("doc_id"), *found.columns[1:])
