@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, lookup, n_words, table, unit_hash
+from .common import cut, lookup, n_words, ranked, table, unit_hash
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -69,11 +69,9 @@ def mix(
     as the empty string. Repeated rows count as documents of their own. An empty table gives
     an empty result. Other columns are not read.
     """
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    sizes = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    # One row per source: the window holds the list of sources, not documents.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    sources = cut(sources.withColumn("rank", rank).withColumn("weight", weights(F.col("rank"))))
+    sources = cut(ranked(sources, F.col("source").asc_nulls_last()).withColumn("weight", weights(F.col("rank"))))
     totals = sources.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
     level = water_level(sources, totals["words"] or 0 if budget is None else budget, max_epochs)
     cap = (F.col("source_size") * max_epochs).cast("double")
@@ -104,12 +102,15 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as it is taken, with its epoch from 1.
 
-    Documents are told apart by id; with repeated ids each row is repeated as the first of them is.
+    Documents are told apart by id; of rows of one id each is repeated as the one taken most often. A column
+    named epoch gives way to the new one; other names cannot clash, for a row travels as one column.
     """
-    id_col = options.get("id_col", "doc_id")
+    id_col = f"`{options.get('id_col', 'doc_id')}`"
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_of")).agg(F.max("repeats").alias("_repeats")).where("_repeats > 0")
-    rows = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_of")), "inner")
-    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).drop("_of", "_repeats")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
+    rows = rows.join(taken, F.col("_id").eqNullSafe(F.col("_of")), "inner")
+    rows = rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))).alias("_epoch"))
+    return rows.select(*[F.col("_row")[n].alias(n) for n in docs.columns if n != "epoch"], F.col("_epoch").alias("epoch"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
