@@ -7,43 +7,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import on_workers, table
+from .common import cut, on_workers, table
 
 WINDOW = 10
-#: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 16 << 20
+#: So many windows at most are broadcast at once (some 60 MB in a task); a larger benchmark is scanned in blocks.
+BLOCK_WINDOWS = 200_000
 
 OUT = "doc_id {id}, n_words long, hits array<int>, items array<string>"
 
 
+def windows_of(items: DataFrame, n: int) -> DataFrame:
+    """size, hash, key (the words, separated by spaces) and item_id of every window of the items (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for lo, _, data, offsets in B.text_chunks(batch.column(1)):
+                data = B.LOWER[data]
+                starts, ends, first = B.words(data, offsets, B.ALNUM)
+                hashes = B.word_hashes(data, starts, ends)
+                raw = data.tobytes()
+                out: list[tuple] = []
+                for i in range(len(offsets) - 1):
+                    a, b = int(first[i]), int(first[i + 1])
+                    size = min(n, b - a)
+                    of = B.gram_hashes(hashes[a:b], size) if size else []
+                    for j in range(len(of)):
+                        out.append((size, int(of[j].view(np.int64)), b" ".join(raw[starts[k] : ends[k]] for k in range(a + j, a + j + size)), names[lo + i]))
+                columns = list(zip(*out, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["size", "hash", "key", "item_id"])
+
+    return items.mapInArrow(run, "size int, hash long, key binary, item_id string")
+
+
 class WindowSet:
-    """The windows of a block of items: sorted hashes, their words and the items that have them."""
-
-    def __init__(self, rows: list[tuple], n: int):
-        self.n = n
-        self.items: dict[bytes, set[str]] = {}
-        found: dict[int, set[int]] = {}
-        text = pa.array([r[1] for r in rows], pa.string())
-        for lo, _, data, offsets in B.text_chunks(text):
-            data = B.LOWER[data]
-            starts, ends, first = B.words(data, offsets, B.ALNUM)
-            hashes = B.word_hashes(data, starts, ends)
-            raw = data.tobytes()
-            for i in range(len(offsets) - 1):
-                a, b = int(first[i]), int(first[i + 1])
-                if a == b:
-                    continue
-                size = min(n, b - a)
-                of = B.gram_hashes(hashes[a:b], size)
-                for j in range(b - a - size + 1):
-                    key = b" ".join(raw[starts[k] : ends[k]] for k in range(a + j, a + j + size))
-                    self.items.setdefault(key, set()).add(str(rows[lo + i][0]))
-                    found.setdefault(size, set()).add(int(of[j]))
-        self.hashes = {size: np.sort(np.fromiter(x, np.uint64, len(x))) for size, x in found.items()}
+    """A block of windows: sorted hashes, their words and the items that have them."""
+
+    def __init__(self, rows: pa.Table):
+        size, of = np.asarray(rows.column("size")), np.asarray(rows.column("hash")).view(np.uint64)
+        self.hashes = {int(n): np.sort(of[size == n]) for n in np.unique(size)}
+        self.items: dict[bytes, list[str]] = dict(zip(rows.column("key").to_pylist(), rows.column("items").to_pylist(), strict=True))
 
 
 def _members(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -96,61 +103,68 @@ def find_windows(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     n: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, hits (indexes of its words inside windows), items.
 
     Words are ASCII-lower-cased runs of letters, digits and non-ASCII characters. A window is
     n consecutive words of an item, or all of a shorter item. Window hashes select candidates,
-    which the words themselves confirm. The documents are scanned where they lie, without a shuffle, against
-    a broadcast set of at most block_bytes of item text; a larger benchmark is cut into
-    blocks, each scanned against all documents, and the blocks' hits are united.
+    which the words themselves confirm. Tasks make the windows; the documents are scanned where they lie, without a
+    shuffle, against a broadcast set of at most block_windows distinct windows. A larger benchmark is cut into blocks, each
+    scanned against all documents; then hits are united by the text's digest and given back to all its rows.
 
     Nulls: a null document or item has no words; a null id stays null; a null item id is named
-    "null". Repeated items add no windows, repeated documents give repeated rows (with several
-    blocks, rows of one id and text are merged into one). Empty tables give no rows or no hits.
+    "null". Repeated items add no windows, repeated documents give repeated rows, with one block and with
+    several. Empty tables give no rows or no hits. Ids of any type; other columns are not read.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    bench = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    size = bench.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    n_blocks = max(1, -(-size // block_bytes))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    bench = items.select(F.coalesce(F.col(f"`{item_id_col}`").cast("string"), F.lit("null")).alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text IS NOT NULL")
+    windows = cut(windows_of(bench, n).groupBy("size", "hash", "key").agg(F.collect_set("item_id").alias("items")))
+    n_blocks = max(1, -(-windows.count() // block_windows))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = OUT.format(id=kind)
-    found = None
-    for block in range(n_blocks):
-        part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        held = spark.sparkContext.broadcast(WindowSet([("null" if r[0] is None else r[0], r[1]) for r in part.collect()], n))
 
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def scanned(table: DataFrame, block: int, id_type: str) -> DataFrame:
+        part = windows if n_blocks == 1 else windows.where(F.pmod("hash", F.lit(n_blocks)) == block)
+        held = spark.sparkContext.broadcast(WindowSet(part.toArrow()))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = None
             for batch in batches:
                 if out is None:
                     out = pa.schema([("doc_id", batch.schema.field(0).type), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
                 yield from scan_batches(iter([batch]), held.value, out)
 
-        if n_blocks == 1:
-            return rows.mapInArrow(scan, schema)
-        keyed = rows.select(F.struct("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("doc_id"), "text")
-        one = keyed.mapInArrow(scan, OUT.format(id=keyed.schema["doc_id"].dataType.simpleString()))
+        return table.mapInArrow(scan, OUT.format(id=id_type))
+
+    if n_blocks == 1:
+        return scanned(rows, 0, kind)
+    keyed = rows.select("doc_id", digest(F.col("text")).alias("digest"), "text")
+    found = None
+    for block in range(n_blocks):
+        one = scanned(keyed.select("digest", "text"), block, "binary").withColumn("block", F.lit(block))
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.withColumn("doc_id", F.col("doc_id.doc_id"))
+    # Rows of one text agree; the partial aggregate keeps one of them in each task.
+    single = found.groupBy(F.col("doc_id").alias("of"), "block").agg(F.first("n_words").alias("n_words"), F.first("hits").alias("hits"), F.first("items").alias("items"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = single.groupBy("of").agg(F.max("n_words").alias("n_words"), union("hits").alias("hits"), union("items").alias("items"))
+    return keyed.select("doc_id", "digest").join(merged, F.col("digest") == F.col("of")).select("doc_id", "n_words", "hits", "items")
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", max_share: float = 0.0, **options) -> DataFrame:
     """The rows of docs, all columns, whose share of hit words is at most max_share.
 
-    Rows travel whole through the scan, so nothing is joined back. A document without words stays.
+    Rows travel whole through the scan, so nothing is joined back; repeated rows stay as often as they came. A document
+    without words stays. With several blocks of windows the rows travel packed beside their text's digest.
     """
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     found = find_windows(rows, items, id_col="_row", text_col="_text", **options)
-    return found.where(F.size("hits") <= F.lit(max_share) * F.col("n_words")).select("doc_id.*")
+    return found.where(F.size("hits") <= F.lit(max_share) * F.col("n_words")).select([F.col("doc_id")[n].alias(n) for n in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
