@@ -37,17 +37,28 @@ PACKED_WORDS = 1 << 20
 
 
 def windows_of(words: Column) -> Column:
-    """The 3-word windows as sorted longs: 44 bits of hash above 20 bits of position."""
+    """The 3-word windows as sorted longs: 44 bits of hash above 20 bits of position; null beyond PACKED_WORDS words."""
     starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
     packed = F.transform(starts, lambda w, i: F.shiftleft(F.shiftright(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), 20), 20) + i.cast("long"))
     return F.when(F.size(words) < PACKED_WORDS, F.sort_array(packed))
 
 
-def long_windows_of(words: Column) -> Column:
-    """The same for documents of PACKED_WORDS words or more: the windows themselves with their positions."""
+def same_window(words: Column, p: Column, q: Column) -> Column:
+    one = lambda k: F.get(words, (p + k).cast("int")) == F.get(words, (q + k).cast("int"))
+    return one(0) & one(1) & one(2)
+
+
+def mistaken(windows: Column, words: Column) -> Column:
+    """Whether two neighbours of one hash are different windows; then the hashes of this text don't tell its windows apart."""
+    at = lambda x: x.bitwiseAND(F.lit(PACKED_WORDS - 1))
+    wrong = lambda x, i: F.coalesce((F.shiftright(F.get(windows, i + 1), 20) == F.shiftright(x, 20)) & ~same_window(words, at(x), at(F.get(windows, i + 1))), F.lit(False))
+    return F.exists(F.transform(windows, wrong), lambda x: x)
+
+
+def whole_windows_of(words: Column) -> Column:
+    """The windows themselves with their positions, sorted."""
     starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    whole = F.transform(starts, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("key"), i.cast("long").alias("at")))
-    return F.when(F.size(words) >= PACKED_WORDS, F.sort_array(whole))
+    return F.sort_array(F.transform(starts, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("key"), i.cast("long").alias("at"))))
 
 
 def repeated(windows: Column, key, at) -> Column:
@@ -59,25 +70,28 @@ def repeated(windows: Column, key, at) -> Column:
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and the measures the contract names. A null text counts as empty.
 
-    n_repeat_words: equal 3-word windows of a document are neighbours once they are sorted.
+    n_repeat_words: equal 3-word windows of a document are neighbours once they are sorted by hash, and neighbours
+    of one hash are compared by their words; a text where they differ, or of PACKED_WORDS words and more, is sorted by the windows.
     Each array that a lambda looks into is a column of its own, so that it is made once a row.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", words_of(F.col("text")))
     rows = rows.select(
         "doc_id",
         "text",
+        "words",
         F.size("words").cast("long").alias("n_words"),
         (F.length("text") - chars_of(F.col("text"), SPACES)).cast("long").alias("word_chars"),
         chars_of(F.col("text"), SYMBOLS).alias("n_symbols"),
         dup_lines(F.col("text")).alias("n_dup_lines"),
         windows_of(F.col("words")).alias("windows"),
-        long_windows_of(F.col("words")).alias("long_windows"),
     )
+    exact = F.col("windows").isNull() | mistaken(F.col("windows"), F.col("words"))
+    rows = rows.withColumn("whole_windows", F.when(exact, whole_windows_of(F.col("words"))))
     short = repeated(F.col("windows"), lambda x: F.shiftright(x, 20), lambda x: x.bitwiseAND(F.lit(PACKED_WORDS - 1)))
-    long = repeated(F.col("long_windows"), lambda x: x["key"], lambda x: x["at"])
-    covered = F.array_distinct(F.flatten(F.transform(F.coalesce(short, long), lambda p: F.array(p, p + 1, p + 2))))
-    return rows.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("windows", "long_windows")
+    whole = repeated(F.col("whole_windows"), lambda x: x["key"], lambda x: x["at"])
+    covered = F.array_distinct(F.flatten(F.transform(F.when(F.col("whole_windows").isNull(), short).otherwise(whole), lambda p: F.array(p, p + 1, p + 2))))
+    return rows.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("words", "windows", "whole_windows")
 
 
 @dataclass(frozen=True)
@@ -150,7 +164,7 @@ def apply_rules(
 ) -> DataFrame:
     """One row per document: doc_id, measures, base_failed, kept, rejected_by.
 
-    Rules are ordered by rejection per cost, both estimated on at most sample_rows rows of
+    Rules are ordered by rejection per cost, both estimated on a seeded draw of about sample_rows rows of
     the table; the verdict does not depend on the order, only the work and rejected_by do.
 
     A null text is an empty one and fails the base rules. Repeated rows give repeated rows,
@@ -158,7 +172,9 @@ def apply_rules(
     """
     rules = list(default_rules() if rules is None else rules)
     rows = measured(docs, id_col, text_col)
-    sample = measured(docs.limit(sample_rows), id_col, text_col).persist()
+    # A seeded draw that stays about sample_rows; a limit would read first rows and move them into one task.
+    part = min(1.0, 0.95 * sample_rows / max(1, docs.count()))
+    sample = measured(docs.sample(part, seed=8), id_col, text_col).persist()
     order = [e.rule for e in estimate(sample, rules)]
     sample.unpersist()
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
