@@ -34,7 +34,14 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Page furniture of an article's own, such as its headline's header, may stand in these.
 CONTENT_TAGS = frozenset(("article", "main"))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag with its attributes; where quotes don't close, up to the next bracket.
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>", re.S)
+#: Names such as with-sidebar speak of the page around, not of the element.
+LAYOUT = re.compile(r"(?<![\w])(?:with|without|has|no|show|hide)[-_][\w-]*", re.I)
+#: Names of reader comments: an article inside these is a comment, too.
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|discussion)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SPACE = re.compile(r"\s+")
 
 SHORT_CHARS = 70
@@ -52,140 +59,189 @@ class Block:
     inside: bool
 
 
+def tags_of(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """(text before, tag) of each tag in order, the last without one. Comments and declarations are left out, CDATA is text.
+
+    Linear in the page: once a tag's quotes don't close, quotes count for nothing from there on; once no bracket is left, the rest is text.
+    """
+    at, n, tag, start = 0, len(page), TAG, 0
+    text: list[str] = []
+    while at < n:
+        begin = page.find("<", max(at, start))
+        if begin < 0:
+            break
+        if page.startswith("<!--", begin) or page.startswith("<![CDATA[", begin):
+            data = page[begin + 2] == "["
+            end = page.find("]]>" if data else "-->", begin + (9 if data else 4))
+            text.append(page[at:begin])
+            if data:
+                text.append(entities.escape(page[begin + 9 : n if end < 0 else end]))
+            at = start = n if end < 0 else end + 3
+            continue
+        if page[begin + 1 : begin + 2] in ("!", "?"):
+            end = page.find(">", begin)
+            text.append(page[at:begin])
+            at = start = n if end < 0 else end + 1
+            continue
+        if not page[begin + 1 : begin + 3].lstrip("/")[:1].isalpha():
+            start = begin + 1
+            continue
+        m = tag.match(page, begin)
+        if m is None and tag is TAG:
+            tag = LOOSE_TAG
+            m = tag.match(page, begin)
+        if m is None:
+            if page.find(">", begin) < 0:
+                break
+            start = begin + 1
+            continue
+        text.append(page[at:begin])
+        past = yield "".join(text), m
+        text.clear()
+        at = start = past if past is not None else m.end()
+    text.append(page[at:])
+    yield "".join(text), None
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text outside of scripts, forms and other page furniture, in page order.
 
-    Tags that are never closed end with the element around them. `inside` tells blocks
-    of an article or main element.
+    Tags that are never closed end with the element around them. `inside` tells blocks of an article or main
+    element. An article inside an element that is furniture by its class only (a layout with a sidebar, say) counts, one inside reader comments doesn't.
     """
     found: list[Block] = []
     parts: list[str] = []
-    links = [0]
-    stack: list[tuple[str, bool]] = []
-    state = {"dropped": 0, "link": 0, "content": 0}
+    links, headings, content = [0], 0, 0
+    #: What is dropped now: by tag or comments (hard), by class (soft); an article sets the soft count aside.
+    hard, soft, link = 0, 0, 0
+    stack: list[tuple[str, int, int]] = []
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack)
-                found.append(Block(text, min(links[0], len(text)), heading, state["content"] > 0))
+                found.append(Block(text, min(links[0], len(text)), headings > 0, content > 0))
             parts.clear()
         links[0] = 0
 
-    def put(raw: str) -> None:
-        if raw and not state["dropped"]:
+    tags = tags_of(page)
+    past = None
+    while True:
+        try:
+            raw, m = tags.send(past)
+        except StopIteration:
+            break
+        past = None
+        if raw and not hard and not soft:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if state["link"]:
+            if link:
                 links[0] += len(text.strip())
-
-    def pop() -> None:
-        tag, dropped = stack.pop()
-        state["dropped"] -= dropped
-        state["link"] -= tag == "a"
-        state["content"] -= tag in CONTENT_TAGS
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            put(page[at:])
+        if m is None:
             break
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                put(entities.escape(m[0][9:].removesuffix("]]>")))
-            continue
         tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK_TAGS:
-                flush()
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
-            continue
         if tag in BLOCK_TAGS:
             flush()
-        if tag in VOID_TAGS:
+        closes = 0
+        if m[1]:
+            if opened.get(tag):
+                closes = 1
+                while stack[-closes][0] != tag:
+                    closes += 1
+        # A paragraph or list item ends where the next one begins.
+        elif tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag and tag not in VOID_TAGS:
+            closes = 1
+        for _ in range(closes):
+            name, kind, kept = stack.pop()
+            opened[name] -= 1
+            hard -= kind == 2
+            soft = kept if name in CONTENT_TAGS else soft - (kind == 1)
+            link -= name == "a"
+            headings -= name in HEADINGS
+            content -= name in CONTENT_TAGS
+        if m[1] or tag in VOID_TAGS:
             continue
         attributes = m[3]
-        dropped = tag in DROPPED_TAGS or (tag == "header" and not state["content"]) or bool(attributes and tag not in ("html", "body", "article", "main") and furniture(attributes))
         if attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
+            past = end.end() if end else len(page)
             continue
-        # A paragraph or list item ends where the next one begins.
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            pop()
-        stack.append((tag, dropped))
-        state["dropped"] += dropped
-        state["link"] += tag == "a"
-        state["content"] += tag in CONTENT_TAGS
+        kind = 2 if tag in DROPPED_TAGS or (tag == "header" and not content) else furniture(attributes) if attributes and tag not in ("html", "body", "article", "main") else 0
+        stack.append((tag, kind, soft))
+        opened[tag] = opened.get(tag, 0) + 1
+        hard += kind == 2
+        soft = 0 if tag in CONTENT_TAGS else soft + (kind == 1)
+        link += tag == "a"
+        headings += tag in HEADINGS
+        content += tag in CONTENT_TAGS
     flush()
     return found
 
 
-def furniture(attributes: str) -> bool:
-    return bool(HIDDEN.search(attributes)) or any(FURNITURE.search(a or b or c or "") for a, b, c in ATTRIBUTE.findall(attributes))
+def furniture(attributes: str) -> int:
+    """0: no furniture by its names, 1: by a class that an inner article overrules, 2: hidden or reader comments."""
+    if HIDDEN.search(attributes):
+        return 2
+    names = [LAYOUT.sub(" ", a or b or c or "") for a, b, c in ATTRIBUTE.findall(attributes)]
+    if any(COMMENT.search(x) for x in names):
+        return 2
+    return int(any(FURNITURE.search(x) for x in names))
 
 
 def first_pass(block: Block) -> str:
-    """good, bad, near_good or short."""
+    """good, bad, near_good or short, by link density, length and stop-word density. An article's blocks need less of it."""
     text = block.text
     words = text.split(" ")
     if block.link_chars > MAX_LINK_DENSITY * len(text):
         return "bad"
     stop = sum(w.strip(".,;:!?()\"'*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
-    if block.inside:
-        # What an article holds is prose unless it is a list of labels.
-        return "good" if len(text) > LONG_CHARS and stop >= STOP_LOW else "near_good" if stop >= STOP_LOW else "short"
     if "©" in text and len(text) < LONG_CHARS:
         return "bad"
+    high = STOP_LOW if block.inside else STOP_HIGH
     if len(text) < SHORT_CHARS:
         return "short"
-    if stop >= STOP_HIGH:
+    if stop >= high:
         return "good" if len(text) > LONG_CHARS else "near_good"
-    return "near_good" if stop >= STOP_LOW else "bad"
+    return "near_good" if stop >= STOP_LOW else "short" if block.inside else "bad"
+
+
+def decided_neighbours(labels: list[str]) -> list[set[str]]:
+    """For each block the labels of the nearest decided block before it and of the nearest one behind it."""
+    near: list[set[str]] = [set() for _ in labels]
+    for places in (range(len(labels)), reversed(range(len(labels)))):
+        last = None
+        for i in places:
+            if last is not None:
+                near[i].add(last)
+            if labels[i] in ("good", "bad"):
+                last = labels[i]
+    return near
 
 
-def second_pass(blocks: list[Block], labels: list[str], has_content: bool) -> list[bool]:
-    """Ambiguous blocks take the label of the nearest decided neighbours.
+def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
+    """Ambiguous blocks take the label of their nearest decided neighbours.
 
-    Between a good and a bad neighbour a near_good block is good and a short one bad. A page
-    without a good block takes its near_good ones for good. Blocks of the page's article are
-    decided by it.
+    Where a page marks an article that holds more than lists of links, the article is a page of its own: its blocks look for
+    neighbours in it only, and what lies outside goes. Between a good and a bad neighbour a near_good block is good, so is a heading
+    and, in an article, any other; outside a short one is bad. Without any good block the near_good ones count as good, and
+    a short block of an article without decided ones stays.
     """
-    n = len(blocks)
-    if "good" not in labels:
-        labels = ["good" if x == "near_good" else x for x in labels]
-    before: list[str | None] = [None] * n
-    after: list[str | None] = [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    last = None
-    for i in reversed(range(n)):
-        after[i] = last
-        last = labels[i] if labels[i] in ("good", "bad") else last
-    out = []
-    for i in range(n):
-        label = labels[i]
-        if has_content and blocks[i].inside and label != "bad":
-            out.append(True)
-        elif has_content and not blocks[i].inside:
-            out.append(False)
-        elif label in ("good", "bad"):
-            out.append(label == "good")
+    article = any(b.inside and x != "bad" for b, x in zip(blocks, labels, strict=True))
+    out = [False] * len(blocks)
+    at = [i for i, b in enumerate(blocks) if b.inside or not article]
+    own = [labels[i] for i in at]
+    if "good" not in own:
+        own = ["good" if x == "near_good" else x for x in own]
+    for i, label, near in zip(at, own, decided_neighbours(own), strict=True):
+        if label in ("good", "bad"):
+            out[i] = label == "good"
+        elif len(near) == 2:
+            out[i] = article or label == "near_good" or blocks[i].heading
         else:
-            near = {before[i], after[i]} - {None}
-            mixed = len(near) == 2
-            out.append("good" in near and (not mixed or label == "near_good" or blocks[i].heading))
+            out[i] = "good" in near or (article and not near)
     return out
 
 
@@ -194,8 +250,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    has_content = any(b.inside for b in blocks)
-    keep = second_pass(blocks, [first_pass(b) for b in blocks], has_content)
+    keep = second_pass(blocks, [first_pass(b) for b in blocks])
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -205,8 +260,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     Blocks inside navigation, headers, footers, sidebars, notices, adverts, forms, comments,
     scripts and styles are dropped by tag and by class, id or role name. The first pass
     labels a block by stop-word density, length and link density; the second gives
-    ambiguous short blocks the label of their nearest decided neighbours. Where a page marks
-    its article, only the article's blocks are candidates.
+    ambiguous short blocks the label of their nearest decided neighbours. Where a page marks its article and that holds
+    more than links, both passes run over the article's blocks, which need less density to count as prose. Time is linear in the page.
 
     Nulls: a null page has an empty text; null ids and urls are kept. Repeated rows give
     repeated rows, an empty table an empty result. Broken markup never raises.
