@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Python's white space, inside a class.
 PS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 S, NS, D, W = f"[{PS}]", f"[^{PS}]", r"\p{Nd}", r"[\p{L}\p{N}_]"
-WORD = rf"(?<!{W}){W}(?:{W}|['-])*(?<={W})(?!{W})"
+#: Counting these counts the words: a run that opens with a word character holds one.
+WORD = rf"{W}[\p{{L}}\p{{N}}_'-]*+"
 MARK = rf"(?:[-*•]|{D}+[.)])"
 BULLET = rf"(?dm)^{S}*{MARK}{S}+{NS}+"
 ORDERED = rf"(?dm)^{S}*{D}+[.)]{S}+{NS}+"
@@ -23,7 +24,10 @@ LABEL = rf"(?dm)^{S}*(?:{D}+[.)]{S}*)?{W}[\p{{L}}\p{{N}}_{PS}/&-]{{1,80}}:{S}*$"
 QUOTE = rf"(?dm)^{S}*>{S}+{NS}+"
 CHECKBOX = rf"(?dm)^{S}*(?:[-*]{S}*)?\[[ xX]?\]{S}+{NS}"
 FENCE = "```"
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+#: Line ends, and white space within a line, inside a class.
+LE = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+IN_LINE = r"\t\x1F\x20\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"
+LINE_END = rf"\r\n|[{LE}]"
 SEPARATOR = rf"^\|{S}*:?-{{3,}}:?{S}*(?:\|{S}*:?-{{3,}}:?{S}*)+\|?$"
 NUMBER = rf"(?iu)(?<!{W})[$€£]?{D}[{D},]*(?:\.{D}+)?{S}*(?:%|percent|days?|calendar-days?|years?)?"
 DECIMAL = rf"(?<!{W})[+-]?{D}[{D},]*(?:\.{D}+)?%?"
@@ -59,8 +63,8 @@ def lines(text: Column) -> Column:
 
 
 def nonblank(text: Column) -> Column:
-    """Trimmed lines that are not empty."""
-    return F.filter(F.transform(lines(text), strip), lambda x: x != "")
+    """Trimmed lines that are not empty: from the first to the last character of a line that is no white space."""
+    return F.regexp_extract_all(text, F.lit(rf"{NS}(?:[^{LE}]*{NS})?"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
@@ -69,11 +73,11 @@ def word_count(text: Column) -> Column:
 
 def mixed_word_count(text: Column) -> Column:
     """CJK characters and runs of Latin letters."""
-    return count(text, r"[一-鿿]") + count(text, "[A-Za-z]+")
+    return count(text, r"[一-鿿]") + count(text, "[A-Za-z]++")
 
 
 def ws_word_count(text: Column) -> Column:
-    return count(text, f"{NS}+")
+    return count(text, f"{NS}++")
 
 
 def section_count(text: Column) -> Column:
@@ -125,8 +129,8 @@ def heading_level_measure(text: Column, level: int | Column) -> Column:
 
 def heading_depth_measure(text: Column) -> Column:
     """How many levels of headings the lines have."""
-    marks = F.transform(lines(text), lambda x: F.regexp_extract(x, rf"^{S}{{0,3}}(#{{1,6}}){S}+{NS}", 1))
-    return F.size(F.array_distinct(F.filter(marks, lambda m: m != ""))).cast("long")
+    marks = F.regexp_extract_all(text, F.lit(rf"(?:^|[{LE}])[{IN_LINE}]{{0,3}}(#{{1,6}})[{IN_LINE}]+{NS}"), F.lit(1))
+    return F.size(F.array_distinct(marks)).cast("long")
 
 
 def table_lines(text: Column) -> Column:
