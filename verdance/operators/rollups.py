@@ -262,14 +262,6 @@ def sft_gain(results: DataFrame, before: str, after: str, quality: DataFrame | N
     return out.select("workflow", r(F.col("b"), "before"), r(F.col("a"), "after"), r(F.col("a") - F.col("b"), "gain"), r(F.col("qb"), "quality_before"), r(F.col("qa"), "quality_after"), r(F.col("qa") - F.col("qb"), "quality_gain"))
 
 
-def sft_gain(results: DataFrame, before: str, after: str) -> DataFrame:
-    """ISR of two models by workflow and the difference, in percent."""
-    items = results.where(F.col("model").isin(before, after)).groupBy("model", "item_id").agg(F.bool_and(F.coalesce("score", F.lit(0)) == 1).alias("ok"))
-    rate = lambda m: F.avg(F.when(F.col("model") == m, F.col("ok").cast("int"))) * 100
-    out = items.groupBy(F.split("item_id", r"\.")[0].alias("workflow")).agg(rate(before).alias("b"), rate(after).alias("a"))
-    return out.select("workflow", F.round("b", 2).alias("before"), F.round("a", 2).alias("after"), F.round(F.col("a") - F.col("b"), 2).alias("gain"))
-
-
 def quality_cap(results: DataFrame, quality: DataFrame) -> DataFrame:
     """Quality after caps: one failed central tag 6, two or more 4, a severe one 3; the raw score stays.
 
