@@ -54,3 +54,25 @@ def test_run_gives_the_same_documents(spark):
     first = corpus_pipeline.run(spark, SF).select("doc_id", "epoch")
     again = corpus_pipeline.run(spark, SF).select("doc_id", "epoch")
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_stages_with_nulls_repeats_and_empty_tables(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, "a text without an id", "en", "s1", 20), (None, "a text without an id", "en", "s1", 20), (1, None, "en", None, None), (2, "", None, "s1", 0), (3, long, "en", "s2", len(long)), (4, "mail a@b.co now", "en", "s2", 15), (4, "mail a@b.co now", "en", "s2", 15)]
+    docs = spark.createDataFrame([r[: len(schema)] for r in rows], schema)
+    empty = spark.createDataFrame([], schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        kept[name] = sorted(str((r.doc_id, None if r.text is None else r.text[:20])) for r in out.collect())
+        assert set(docs.columns) <= set(out.columns)
+        assert stage(spark, empty, SF).count() == 0
+    every = sorted(str((r[0], None if r[1] is None else r[1][:20])) for r in rows)
+    # Labels of the smallest tables speak of other documents: what the classifier keeps is some of the rows.
+    assert set(kept["quality_classifier"]) <= set(every)
+    # Of rows of one id one stays, rows without an id stay.
+    assert kept["near_dedup"] == sorted(every[: every.index(str((4, "mail a@b.co now")))] + every[every.index(str((4, "mail a@b.co now"))) + 1 :])
+    assert kept["decontaminate"] == every
+    assert kept["pii"] == sorted(x.replace("a@b.co", "[EMAIL]") for x in every)
+    assert set(kept["mix"]) <= set(every)
