@@ -527,7 +527,6 @@ def _(a: Answer, c: Settings) -> Column:
     return verdict(None, ~rest.rlike("[0-9]"), F.lit("no digits outside of headings and tables"))
 
 
-BUILT_IN = tuple(CHECKERS)
 REGEX = ("simple_regex", "forbidden_regex", "regex_count", "forbidden_regex_before_heading")
 JSON = ("valid_json", "required_fields", "json_field_count", "json_field_item_limit", "json_field_word_limit")
 PLACES = ("heading_order", "forbidden_regex_before_heading")

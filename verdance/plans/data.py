@@ -15,8 +15,8 @@ from verdance.operators import reports as P
 from verdance.sources import io
 from verdance.sources.shared import scratch
 
-from .checkers import BLOCKS, MIXED, NUMBERED, WORDS
-from .demo import FACTS, QUALITY, RESPONSES, RESULTS, spark_rows, with_sql
+from .checkers import MIXED, NUMBERED
+from .demo import FACTS, QUALITY, RESPONSES, RESULTS, with_sql
 from .tables import CANDIDATES, CONSTRAINTS, DOCS, U, on, on2
 
 ORDERS = "SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_orderpriority AS pr FROM {orders}"

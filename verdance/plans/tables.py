@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdance.functions import helpers as H
-from verdance.functions import measures as M
 from verdance.operators import construct as C
 from verdance.operators import judge as J
 from verdance.operators import keys as K
 from verdance.operators import reports as P
-from verdance.operators import rollups as R
-from verdance.sources import io
 
-from .demo import RESPONSES, RESULTS, spark_rows, with_sql
+from .demo import RESULTS, spark_rows, with_sql
 
 CONS = "SELECT item_id, constraint_index, max(tag) AS tag, max(type) AS type, max(method) AS method FROM ({results}) AS r GROUP BY item_id, constraint_index"
 CONSTRAINTS = CONS.replace("{results}", RESULTS)
