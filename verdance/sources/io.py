@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from verdance.operators.keys import with_item_key
 from verdance.operators.rollups import dataset_summary
 
+from .shared import cut
+
+#: Blocks of files whose first line numbers may be broadcast.
+BROADCAST_ROWS = 100_000
+
 CONSTRAINT = "struct<constraint_id:string,constraint:string,tag:string,family:string,check_type:string,config:map<string,string>>"
 ITEMS = f"id string, item_id string, case_id string, line_number long, line long, workflow string, task string, work_product string, query string, full_prompt string, extracted_constraints array<{CONSTRAINT}>, constraints array<{CONSTRAINT}>, source_registry array<struct<source_id:string,prompt_label:string,title:string,content:string>>"
 RESPONSES = "model string, id string, item_id string, case_id string, line_number long, line long, response string, output string, context string"
@@ -24,8 +29,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
     blocks = lines.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("_file", "_start", "_first", before.alias("_before"))
-    return lines.join(blocks, ["_file", "_start"]).select("value", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("row"))
+    blocks = cut(blocks.select("_file", "_start", "_first", before.alias("_before")))
+    # One row a block; so few of them are broadcast, and the lines stay where they are.
+    known = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
+    return lines.join(known, ["_file", "_start"]).select("value", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("row"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, *, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
