@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import cut, on_workers, table
+from .common import cut, long_ids, named_ids, on_workers, table
 from .graph import components
 
 SHINGLE = 5
@@ -227,10 +227,11 @@ def near_duplicates(
 
     Nulls: a document without words or text is empty, linked to nothing and kept. Rows without an
     id have component null and are kept. Repeated rows of one id share its component; all of
-    them come back. An empty table gives an empty result.
+    them come back. Ties: a pair exactly at `percent` is linked. Ids of any type, compared in their own order. An
+    empty table gives an empty result; other columns are not read.
     """
     bands = bands_for(percent, rows) if bands is None else bands
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows_, names = long_ids(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     known = rows_.where("doc_id is not null")
     members, buckets = classes(known, n=n, rows=rows, bands=bands)
     named = components(links(known, buckets, n=n, percent=percent))
@@ -241,7 +242,7 @@ def near_duplicates(
     out = keyed.join(roots, "set", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lost = profiles(rows_.where("doc_id is null"), n, rows, 1).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(lost)
+    return named_ids(out.unionByName(lost), names, "doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -249,13 +250,15 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Of repeated rows of one id one stays; rows without an id stay.
     """
-    id_col = options.get("id_col", "doc_id")
+    id_col = f"`{options.get('id_col', 'doc_id')}`"
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_of")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_of"), "left_anti")
+    # The row travels as one column, so that no name of its own can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
+    left = rows.join(gone, F.col("_id") == F.col("_of"), "left_anti")
     ids = docs.agg(F.count(id_col).alias("n"), F.countDistinct(id_col).alias("distinct")).first()
-    if ids["n"] == ids["distinct"]:
-        return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    if ids["n"] != ids["distinct"]:
+        left = left.where("_id IS NOT NULL").groupBy("_id").agg(F.first("_row").alias("_row")).select("_row", "_id").unionByName(left.where("_id IS NULL"))
+    return left.select([F.col("_row")[n].alias(n) for n in docs.columns])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
