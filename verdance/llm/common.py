@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdance.sources.shared import checkpoint_dir, cut, ranked, stored
+from verdance.sources.shared import checkpoint_dir, cut, ranked, scratch, stored
 
 #: Words of most contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +45,12 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([root, *paths])
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact, lm, mixing, near, pii, quality, repair, rules, suffixes, tokens, webpages
+from . import decontaminate, exact, lm, mixing, near, phrases, pii, quality, repair, rules, suffixes, tokens, webpages
 
 
 def queries() -> dict:
@@ -21,9 +21,10 @@ def queries() -> dict:
         "op9_token_counts": tokens.op9_token_counts,
         "op10_suffix_dedup": suffixes.op10_suffix_dedup,
         "op11_exact_dedup": exact.op11_exact_dedup,
+        "op12_collocations": phrases.op12_collocations,
         "op13_repair_conversations": repair.op13_repair_conversations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op11_exact_dedup": exact.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op11_exact_dedup": exact.ORACLE, "op12_collocations": phrases.ORACLE}
