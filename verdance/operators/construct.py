@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +38,14 @@ BLOCK_MARK = "附加要求"
 PARAMETERIZED = ("F6", "F7", "F8", "F9", "F10", "F11", "F12")
 
 
+def draw(seed: str, *keys: Column) -> Column:
+    """A seeded draw of 48 bits that depends on the keys only."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def uniform(seed: str, *keys: Column) -> Column:
     """A seeded draw from (0, 1) that depends on the keys only."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary")), 1, 12), 16, 10).cast("double")
-    return (h + 1) / F.lit(2.0**48 + 2)
+    return (draw(seed, *keys).cast("double") + 1) / F.lit(2.0**48 + 2)
 
 
 def clean_context_text(raw: Column) -> Column:
@@ -113,69 +117,104 @@ def exclusions() -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in found.items()}
 
 
-def drawn(candidates: DataFrame, counts: DataFrame, seed: str) -> DataFrame:
-    """sample_id, constraint_id, position: for each sample the first n of its candidates in the order of -ln(u) / weight that exclude no earlier one."""
-    order = -F.ln(uniform(seed, F.col("sample_id").cast("string"), F.col("constraint_id").cast("string"))) / F.col("weight")
-    one = F.struct(F.when(F.col("sure"), F.lit(-1.0)).otherwise(order).alias("o"), F.col("constraint_id").alias("id"), F.coalesce("excludes", F.expr("cast(array() as array<string>)")).alias("excludes"), F.coalesce("excludes_later", F.expr("cast(array() as array<string>)")).alias("later"))
-    # A sample's candidates are at most the pool.
-    rows = candidates.groupBy("sample_id").agg(F.array_sort(F.collect_list(one)).alias("c")).join(counts.select("sample_id", "n"), "sample_id")
-    kind = "array<string>"
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("ids"), F.expr(f"cast(array() as {kind})").alias("barred"))
+_NONE = "cast(array() as array<string>)"
+_HELD = "array<struct<turn:int,o:double,id:string,p:bigint,excludes:array<string>>>"
+
+
+def proposed(samples: DataFrame, turn: int) -> DataFrame:
+    """samples with `new`: what each asks for beyond what it holds. It goes through its candidates in order, up to n in all, and passes over
+    those that turned it away and those that exclude, or are excluded by, one it has."""
+    start = F.struct(
+        F.transform("held", lambda h: h["id"]).alias("ids"),
+        F.flatten(F.transform("held", lambda h: h["excludes"])).alias("barred"),
+        F.expr(f"cast(array() as {_HELD})").alias("new"),
+    )
 
     def step(acc: Column, x: Column) -> Column:
-        name = x["id"].cast("string")
-        fits = ~F.array_contains(acc["barred"], name) & ~F.arrays_overlap(acc["ids"], F.concat(x["excludes"], x["later"]))
-        taken = F.struct(F.array_append(acc["ids"], name).alias("ids"), F.concat(acc["barred"], x["excludes"]).alias("barred"))
-        return F.when(fits, taken).otherwise(acc)
+        fits = (F.size(acc["ids"]) < F.col("n")) & ~F.array_contains(acc["ids"], x["id"]) & ~F.array_contains("closed", x["id"])
+        fits &= ~F.array_contains(acc["barred"], x["id"]) & ~F.arrays_overlap(acc["ids"], F.concat(x["excludes"], x["later"]))
+        taken = F.struct(F.lit(turn).alias("turn"), x["o"].alias("o"), x["id"].alias("id"), x["p"].alias("p"), x["excludes"].alias("excludes"))
+        return F.when(fits, F.struct(F.array_append(acc["ids"], x["id"]).alias("ids"), F.concat(acc["barred"], x["excludes"]).alias("barred"), F.array_append(acc["new"], taken).alias("new"))).otherwise(acc)
+
+    return samples.withColumn("new", F.aggregate("c", start, step, lambda acc: acc["new"]))
+
 
-    picked = rows.select("sample_id", "n", F.aggregate("c", start, step, lambda acc: acc["ids"]).alias("ids"))
-    return picked.select("sample_id", F.posexplode(F.slice("ids", F.lit(1), F.col("n").cast("int")))).select("sample_id", F.col("col").alias("constraint_id"), (F.col("pos") + 1).alias("position"))
+def cut_offs(asking: DataFrame, most: DataFrame, bits: int = 16) -> DataFrame:
+    """id, p, s: of each constraint that more samples ask for than it may have, the last (p, s) it keeps. asking: id, p, s; most: id, most.
 
+    Draws are counted by their leading bits; only those in the bucket in which the count passes `most` are put in order.
+    """
+    bucket = F.shiftright("p", 48 - bits)
+    counts = asking.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("id").orderBy("bucket"))  # at most 2 ** bits rows of a constraint
+    counts = counts.withColumn("upto", upto).join(most, "id").where("upto > most AND upto - k <= most")
+    edge = counts.groupBy("id").agg(F.min(F.struct("bucket", (F.col("most") - F.col("upto") + F.col("k")).alias("left"))).alias("e")).select("id", "e.bucket", "e.left")
+    near = asking.withColumn("bucket", bucket).join(edge, ["id", "bucket"])
+    order = F.row_number().over(Window.partitionBy("id").orderBy("p", "s"))
+    kept = near.withColumn("at", order).where("at <= left").groupBy("id").agg(F.max(F.struct("p", "s")).alias("last"))
+    # Where the bucket's first draw is already beyond, all of the bucket is.
+    return edge.join(kept, "id", "left").select("id", F.coalesce("last.p", F.shiftleft("bucket", 48 - bits) - 1).alias("p"), F.coalesce("last.s", F.lit("")).alias("s"))
+
+
+def beyond(full: dict[str, tuple[int, str]], key: Column) -> Callable[[Column], Column]:
+    """Whether a held constraint is full with samples of lesser (p, key)."""
+    ends = F.create_map(*[x for k, (p, s) in full.items() for x in (F.lit(k), F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")))])
+
+    def over(h: Column) -> Column:
+        end = F.try_element_at(ends, h["id"])
+        return F.coalesce((h["p"] > end["p"]) | ((h["p"] == end["p"]) & (key > end["s"])), F.lit(False))
 
-def sample_constraints(candidates: DataFrame, counts: DataFrame, *, seed: str = "draw", rounds: int = 3) -> DataFrame:
+    return over
+
+
+def sample_constraints(candidates: DataFrame, counts: DataFrame, *, seed: str = "draw", rounds: int | None = None) -> DataFrame:
     """A weighted draw without replacement for each sample: sample_id, constraint_id, position.
 
     candidates: sample_id, constraint_id, and what there is of weight (1), tag (some are drawn more often), type, inv, cap (uses
     per 100 samples), excludes (an array; excluded both ways, besides the fixed pairs and what JSON excludes) and template_excludes (kept
     from standing after these). counts: sample_id, n. Hard constraints are capped where inv, soft ones always; a capped one is used at
-    most max(1, cap * samples / 100) times: uses beyond, by a seeded order, go and are drawn anew in the next round, and after the last
-    one they stay out. Draws depend on keys only. Sequential weights of the form 1 / (uses + 1) are replaced by equal ones under these caps.
+    most max(1, cap * samples / 100) times.
+
+    Deferred acceptance: each sample goes through its candidates in the order of -ln(u) / weight and asks for the first n that
+    exclude none of the others; a capped constraint keeps the samples of the least seeded draws, earlier ones or new, and turns the rest away for good; these ask for
+    their next ones, until nobody is turned away (or for `rounds` rounds, if given: what is over then stays out). A constraint that is full stays full, so in the end a sample has fewer than n
+    only if each other candidate of its own is full with samples of lesser draws or excluded by what it has. Draws depend on keys only, not on partitions; sequential weights of
+    the form 1 / (uses + 1) are replaced by equal ones under these caps. A round takes one pass over the samples, and only the cut-offs, one a capped constraint at
+    most, come to the driver. Samples of counts without candidates, or with n of 0 or null, have no rows; a constraint listed twice for a sample is one, of its lesser order.
     """
     have = lambda c, default: F.col(c) if c in candidates.columns else F.lit(None).cast(default)
     boost = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TAG_BOOST.items() for x in kv]), have("tag", "string")), F.lit(1.0))
     fixed = F.create_map(*[x for k, v in exclusions().items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
-    name = F.col("constraint_id").cast("string")
-    none = F.expr("cast(array() as array<string>)")
+    name, key, none = F.col("constraint_id").cast("string"), F.col("sample_id").cast("string"), F.expr(_NONE)
     capped = F.when((have("type", "string") == "soft") | F.coalesce(have("inv", "boolean"), F.lit(False)), have("cap", "long"))
-    rows = candidates.select(
-        "sample_id",
-        name.alias("constraint_id"),
-        (F.coalesce(have("weight", "double"), F.lit(1.0)) * boost).alias("weight"),
+    entry = F.struct(
+        (-F.ln(uniform(seed, key, name)) / (F.coalesce(have("weight", "double"), F.lit(1.0)) * boost)).alias("o"),
+        name.alias("id"),
+        F.when(capped.isNotNull(), draw(f"{seed}-cap", name, key)).alias("p"),
         F.concat(F.coalesce(F.try_element_at(fixed, name), none), F.coalesce(have("excludes", "array<string>"), none)).alias("excludes"),
-        F.coalesce(have("template_excludes", "array<string>"), none).alias("excludes_later"),
-        capped.alias("cap"),
-        F.lit(False).alias("sure"),
+        F.coalesce(have("template_excludes", "array<string>"), none).alias("later"),
     )
-    picks = drawn(rows, counts, seed)
+    # A sample's candidates are at most the pool.
+    own = candidates.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    samples = own.join(counts.select("sample_id", "n"), "sample_id").select("sample_id", "n", "c", F.expr(f"cast(array() as {_HELD})").alias("held"), none.alias("closed"))
+    placed = lambda df: df.select("sample_id", F.posexplode(F.array_sort("held"))).select("sample_id", F.col("col.id").alias("constraint_id"), (F.col("pos") + 1).alias("position"))
     if "cap" not in candidates.columns:
-        return picks
-    rows = cut(rows)
-    total = counts.count()
-    caps = rows.where("cap IS NOT NULL").groupBy("constraint_id").agg(F.max("cap").alias("cap"))
-    caps = caps.select(F.col("constraint_id").alias("_c"), F.greatest(F.lit(1), F.floor(F.col("cap") * total / 100)).alias("_most"))
-    for turn in range(rounds):
-        ordered = ranked(picks, F.col("constraint_id"), uniform(f"{seed}-cap", F.col("constraint_id"), F.col("sample_id").cast("string")), F.col("sample_id"))
-        first = ordered.groupBy(F.col("constraint_id").alias("_c")).agg(F.min("rank").alias("_first"))
-        marked = cut(ordered.join(first, F.col("constraint_id") == F.col("_c")).drop("_c").join(caps, F.col("constraint_id") == F.col("_c"), "left").select("sample_id", "constraint_id", "position", (F.col("_most").isNotNull() & (F.col("rank") - F.col("_first") >= F.col("_most"))).alias("over")))
-        if turn == rounds - 1 or not marked.where("over").limit(1).count():
-            break
-        # Uses within the cap are sure from now on; a constraint that has reached it is open to nobody else.
-        full = marked.where("over").select(F.col("constraint_id").alias("_f")).distinct()
-        kept = marked.where("NOT over").select(F.col("sample_id").alias("_s"), F.col("constraint_id").alias("_k"))
-        again = rows.join(kept, (F.col("sample_id") == F.col("_s")) & (F.col("constraint_id") == F.col("_k")), "left").withColumn("sure", F.col("_s").isNotNull())
-        again = again.join(full, F.col("constraint_id") == F.col("_f"), "left").where("sure OR _f IS NULL")
-        picks = drawn(again.select(*rows.columns), counts, f"{seed}-{turn + 1}")
-    return marked.where("NOT over").select("sample_id", "constraint_id", "position")
+        return placed(proposed(samples, 0).withColumn("held", F.col("new")))
+    samples, total, turn = cut(samples), counts.count(), 0
+    most = candidates.select(name.alias("id"), capped.alias("cap")).where("cap IS NOT NULL").groupBy("id").agg(F.greatest(F.lit(1), F.floor(F.max("cap") * total / 100)).alias("most"))
+    most = cut(most)
+    while True:
+        asked = cut(proposed(samples, turn).select("sample_id", "n", "c", "closed", F.concat("held", "new").alias("held")))
+        asking = asked.select(key.alias("s"), F.explode("held").alias("h")).where("h.p IS NOT NULL").select("h.id", "h.p", "s")
+        full = {r["id"]: (r["p"], r["s"]) for r in cut_offs(asking, most).toLocalIterator()}
+        if not full:
+            return placed(asked)
+        over = beyond(full, key)
+        away = F.transform(F.filter("held", over), lambda h: h["id"])
+        samples = asked.select("sample_id", "n", "c", F.filter("held", lambda h: ~over(h)).alias("held"), F.concat("closed", away).alias("closed"))
+        turn += 1
+        if turn == rounds:
+            return placed(samples)
 
 
 PARAM = (

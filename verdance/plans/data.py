@@ -154,6 +154,34 @@ def sampled(customers: DataFrame) -> DataFrame:
 CLASH = "(a = 'check_markdown_table' AND b IN ('check_no_table', 'check_json_format')) OR (a = 'check_no_table' AND b IN ('check_markdown_table', 'check_json_format')) OR (a = 'check_heading_depth' AND b = 'check_json_format') OR (a = 'check_json_format' AND b IN ('check_markdown_table', 'check_no_table', 'check_heading_depth')) OR (a = 'S2' AND b = 'S1')"
 DRAWS = "SELECT c_custkey AS sample_id, n AS id, -ln(" + U.format(seed="draw", key="c_custkey::VARCHAR || '|' || n") + ") / ((i + 1) * CASE WHEN n = 'S2' THEN 3 ELSE 1 END)::DOUBLE AS o FROM customer, (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES)) + ") AS x(i, n)"
 
+#: Draws under caps with weights far apart, so that samples are turned away again and again: name, weight, uses per 100 samples.
+CAPPED = [("A", 1000.0, 10), ("B", 100.0, 20), ("C", 10.0, 20), ("D", 1.0, None), ("E", 0.5, 5)]
+
+
+def sampled_capped(customers: DataFrame) -> DataFrame:
+    entry = lambda n, w, c: F.struct(F.lit(n).alias("constraint_id"), F.lit(w).alias("weight"), F.lit(c).cast("long").alias("cap"), F.lit("soft").alias("type"))
+    rows = customers.select(F.col("item_id").alias("sample_id"), F.explode(F.array(*[entry(*x) for x in CAPPED])).alias("c")).select("sample_id", "c.*")
+    return C.sample_constraints(rows, customers.select(F.col("item_id").alias("sample_id"), F.lit(2).alias("n")))
+
+
+#: The same as a growing set of refusals: it is complete when nobody is refused any more.
+CAPPED_SQL = f"""
+WITH RECURSIVE t AS (SELECT count(*) AS total FROM customer),
+prefs AS MATERIALIZED (SELECT c_custkey AS s, n AS id, -ln({U.format(seed="draw", key="c_custkey::VARCHAR || '|' || n")}) / w AS o, ('0x' || substr(md5('draw-cap|' || n || '|' || c_custkey::VARCHAR), 1, 12))::BIGINT AS p,
+  CASE WHEN cap IS NOT NULL THEN greatest(1, floor(cap * total / 100)) END AS most FROM customer, t, (VALUES {", ".join(f"('{n}', {w}, {'NULL' if c is None else c})" for n, w, c in CAPPED)}) AS x(n, w, cap)),
+away(turn, s, id) AS (
+  SELECT 0, -1::BIGINT, ''
+  UNION ALL
+  SELECT turn, s, id FROM (
+    WITH r AS (SELECT * FROM away),
+    ask AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o) AS k FROM prefs WHERE (s, id) NOT IN (SELECT (s, id) FROM r)),
+    place AS (SELECT s, id, most, row_number() OVER (PARTITION BY id ORDER BY p, s::VARCHAR) AS place FROM ask WHERE k <= 2),
+    fresh AS (SELECT s, id FROM place WHERE place > most)
+    SELECT (SELECT max(turn) FROM r) + 1 AS turn, s, id FROM (SELECT s, id FROM r UNION ALL SELECT s, id FROM fresh) WHERE (SELECT count(*) FROM fresh) > 0) AS z)
+SELECT s AS sample_id, id AS constraint_id, k AS position FROM (
+  SELECT s, id, row_number() OVER (PARTITION BY s ORDER BY o) AS k FROM prefs WHERE (s, id) NOT IN (SELECT (s, id) FROM away)) WHERE k <= 2
+"""
+
 SPACE = {
     "min": {"type": "int", "range": [100, 300], "step": 50},
     "max": {"type": "int", "relative_to": "min", "offset": [10, 30], "step": 10},
@@ -355,6 +383,7 @@ QUERIES = {
     "pool_candidates": on(QUERIED, lambda s: C.pool_candidates(s, pool(s))),
     "conflict_audit": on(QUERIED, audited),
     "sample_constraints": on(CUSTOMERS, sampled),
+    "sample_constraints_capped": on(CUSTOMERS, sampled_capped),
     "sample_params": on(CUSTOMERS, parameters),
     "render_constraint_text": on(CUSTOMERS, rendered),
     "trim_targets": on(SIZED, C.trim_targets),
@@ -413,6 +442,7 @@ SQL = {
     "extract_labelled_values": "SELECT c_custkey AS item_id, '净利润为=' || c_custkey::VARCHAR || '000.5万元;发行=12345' || c_nationkey::VARCHAR || '股;持股比例=7.5%;持股比例约=7.5%;毛利率=' || c_nationkey::VARCHAR || ';营业收入=' || c_custkey::VARCHAR || '亿元;资产负债率=' || c_nationkey::VARCHAR || '%' AS found FROM customer",
     "pool_candidates": "SELECT o_orderkey AS sample_id, p AS constraint_id FROM orders, (VALUES ('check_no_table'), ('check_no_list'), ('S1')) AS x(p) WHERE CASE p WHEN 'check_no_table' THEN o_orderkey % 5 IN (0, 1) AND o_orderkey % 4 <> 0 WHEN 'check_no_list' THEN o_orderkey % 4 <> 1 ELSE o_orderkey % 5 IN (1, 3) AND NOT contains(lower(o_orderpriority), 'urgent') END",
     "conflict_audit": "SELECT 'check_no_table' AS constraint_id, count(*) AS conflicts FROM orders WHERE o_orderkey % 4 IN (0) UNION ALL SELECT 'check_no_list', count(*) FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey % 3 = 0",
+    "sample_constraints_capped": CAPPED_SQL,
     "sample_constraints": f"WITH d AS ({DRAWS}), f AS (SELECT sample_id, arg_min(id, o) AS a, min(o) AS o FROM d GROUP BY sample_id), s AS (SELECT sample_id, arg_min(d.id, d.o) AS b FROM (SELECT d.*, f.a, d.id AS b FROM d JOIN f USING (sample_id)) d WHERE d.id <> d.a AND NOT ({CLASH.replace('b IN', 'd.b IN').replace('b =', 'd.b =').replace('(a =', '(d.a =')}) GROUP BY sample_id) SELECT sample_id, a AS constraint_id, 1 AS position FROM f UNION ALL SELECT sample_id, b, 2 FROM s",
     "sample_params": f"SELECT c_custkey AS item_id, 'followup=' || {PICK('pool', 'followup', 'p', 'q')} || ';level=' || {PICK('option', 'level', 2, 5)} || ';max=' || {MAX}::VARCHAR || CASE WHEN {u('optional', 'maybe')} < 0.4 THEN '' ELSE ';maybe=z' END || ';min=' || {MIN}::VARCHAR || ';strict=false;trigger=loss;unit=' || {PICK('pool', 'unit', 'a', 'b', 'c')} || ';words=[\"x\",\"y\"]' AS params FROM customer",
     "render_constraint_text": f"SELECT c_custkey AS item_id, '请在回答时严格遵守以下附加要求：' || {NL} || '（1）字数 ' || c_custkey::VARCHAR || {NL} || '（2）说明 ' || c_mktsegment || {NL} || '（3）不得出现“甲”、“乙”' || {NL} || '（4）含 ' || c_mktsegment || '/' || c_mktsegment || '、甲、乙' AS text FROM customer",
