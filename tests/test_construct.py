@@ -93,3 +93,23 @@ def test_cut_offs_are_exact_inside_a_bucket(spark):
                 assert i not in got
             else:
                 assert [x for x in own if x <= got[i]] == own[:most]
+
+
+def test_a_footer_in_all_documents_is_one_row(spark):
+    train = spark.createDataFrame([(f"a{i}", f"own {i}\n  Page footer \nPage footer\nhere {i % 5}") for i in range(2000)], "doc_id string, text string")
+    test = spark.createDataFrame([(f"b{i}", f"Page footer\nother {i}\n\nhere {i % 7}\n") for i in range(2000)] + [("none", None)], "doc_id string, text string")
+    got = {r.chars: (r.train_docs, r.test_docs, r.train_first, r.test_first) for r in C.source_disjoint_check(train, test, least=7).collect()}
+    assert got == {11: (2000, 2000, "a0", "b0")}
+    members = C.shared_passages(train, test, least=7)
+    assert members.count() == 4000 and {r.side: r["count"] for r in members.groupBy("side").count().collect()} == {"train": 2000, "test": 2000}
+    assert C.source_disjoint_check(train, test).count() == 6
+    assert C.source_disjoint_check(train, test.where("doc_id = 'none'")).count() == 0
+
+
+def test_context_reuse_of_text_ids(spark):
+    from verdance.operators.reports import context_reuse
+
+    rows = [("i", "DOC-B"), ("i", "DOC-A"), ("j", "DOC-A"), ("j", "DOC-B"), ("k", "DOC-C"), ("k", None)]
+    got = context_reuse(spark.createDataFrame(rows, "item string, document string"), "item", "document").first()
+    assert tuple(got) == (3, 2, "DOC-A", 2)
+    assert tuple(context_reuse(spark.createDataFrame([], "item string, document string"), "item", "document").first()) == (0, 0, None, None)

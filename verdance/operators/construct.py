@@ -604,9 +604,36 @@ def excerpt_chunks(docs: DataFrame, *, least: int = 2000, most: int = 5000) -> D
     return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.n").cast("long").alias("tokens"), F.array_join("c.t", "\n").alias("text"))
 
 
+def shared_passages(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
+    """The membership table: passage_id, passage, side (train or test), doc_id, one row for each document that holds a passage which both sides have.
+
+    Passages are trimmed lines that are not blank, of `least` characters or more; passage_id is the md5 of the text. What both sides have is first found by a
+    hash of 64 bits, counted in each task before it moves, so that a footer in every document is a row a task; the text of these candidates alone then moves and
+    verifies the hash. A passage in m + n documents makes m + n rows, never m * n. Null texts have no passages; documents without an id are
+    one document; repeated rows of a document count once; empty tables give an empty result.
+    """
+    def lines(df: DataFrame, side: str) -> DataFrame:
+        own = F.array_distinct(F.filter(M.nonblank(F.coalesce(F.col("text"), F.lit(""))), lambda p: F.length(p) >= least))
+        return df.select(F.lit(side).alias("side"), "doc_id", F.explode(own).alias("passage")).withColumn("h", F.xxhash64("passage"))
+
+    rows = lines(train, "train").unionByName(lines(test, "test"))
+    both = rows.groupBy("h").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("h")
+    members = rows.join(both, "h", "left_semi").select("passage", "side", "doc_id").distinct()
+    # Passages of one hash but of one side only are no shared ones.
+    sides = members.groupBy(F.col("passage").alias("_p")).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("_p")
+    return members.join(sides, F.col("passage") == F.col("_p"), "left_semi").select(F.md5(F.col("passage").cast("binary")).alias("passage_id"), "passage", "side", "doc_id")
+
+
 def source_disjoint_check(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
-    """Passages (trimmed lines that are not blank, of `least` characters or more) that train and test share, by hash, verified by text."""
-    lines = lambda df: df.select("doc_id", F.explode(M.nonblank(F.col("text"))).alias("passage")).where(F.length("passage") >= least)
-    a = lines(train).select("passage", F.col("doc_id").alias("train_id")).distinct().withColumn("h", F.xxhash64("passage"))
-    b = lines(test).select(F.col("passage").alias("_p"), F.col("doc_id").alias("test_id")).distinct().withColumn("h", F.xxhash64("_p"))
-    return a.join(b, (a["h"] == b["h"]) & (a["passage"] == b["_p"])).select("train_id", "test_id", F.length("passage").cast("long").alias("chars"))
+    """One row for each passage that train and test share: passage_id, chars, the documents on both sides that hold it, and the smallest id of each.
+
+    Empty means that the sides are disjoint. shared_passages has the documents themselves; edge cases are as there.
+    """
+    own = lambda side: F.col("side") == side
+    members = shared_passages(train, test, least=least)
+    return members.groupBy("passage_id", F.length("passage").cast("long").alias("chars")).agg(
+        F.count_if(own("train")).alias("train_docs"),
+        F.count_if(own("test")).alias("test_docs"),
+        F.min(F.when(own("train"), F.col("doc_id"))).alias("train_first"),
+        F.min(F.when(own("test"), F.col("doc_id"))).alias("test_first"),
+    )

@@ -122,7 +122,9 @@ def family_share(constraints: DataFrame) -> DataFrame:
 
 
 def context_reuse(cites: DataFrame, item: str, document: str) -> DataFrame:
-    """One row: items, distinct context sets, the most cited document and how often it is cited."""
+    """One row: items, distinct context sets, the most cited document (of equally cited ones the first by its id, of any type) and how often it is cited."""
     sets = cites.groupBy(item).agg(F.sort_array(F.collect_set(document)).alias("s")).agg(F.count("*").alias("items"), F.countDistinct(F.xxhash64("s")).alias("context_sets"))
-    top = cites.select(item, document).distinct().groupBy(document).agg(F.count("*").alias("n")).agg(F.max_by(F.col(document), F.struct(F.col("n"), -F.col(document))).alias("top_document"), F.max("n").alias("top_cites"))
-    return sets.join(F.broadcast(top))
+    counts = cites.select(item, document).distinct().groupBy(document).agg(F.count("*").alias("n"))
+    # Of the documents the one row that stands first; ids are compared as they are.
+    top = counts.orderBy(F.desc("n"), F.asc_nulls_last(document)).limit(1).select(F.col(document).alias("top_document"), F.col("n").alias("top_cites"))
+    return sets.join(F.broadcast(top), F.lit(True), "left")

@@ -125,6 +125,16 @@ def labelled_text():
     return F.concat(F.lit("净利润为 "), k, F.lit(",000.5 万元；资产负债率："), n, F.lit("%"), nl, F.lit("| 毛利率 | "), n, F.lit(" | "), nl, F.lit("营业收入 "), k, F.lit(" 亿元，发行 1,234,5"), n, F.lit(" 股，持股比例约 7.5 %。净利润为 3 元"))
 
 
+#: Every eighth document is a test source, named by text as in manifests; half of all documents end in one of two footers.
+SPLIT = "SELECT 'DOC-' || CAST(doc_id AS STRING) AS doc_id, text || CASE WHEN doc_id % 2 = 0 THEN CHR(10) || '  Footer of ' || lang || '  ' ELSE '' END AS text FROM {{documents}} WHERE doc_id % 8 {side}"
+SHARED = """
+SELECT p, side, doc_id FROM (
+  SELECT *, count(DISTINCT side) OVER (PARTITION BY p) AS sides FROM (
+    SELECT DISTINCT trim(unnest(string_split(text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Footer of ' || lang ELSE '' END, chr(10)))) AS p,
+      CASE WHEN doc_id % 8 = 0 THEN 'test' ELSE 'train' END AS side, 'DOC-' || doc_id::VARCHAR AS doc_id FROM documents) WHERE p <> '')
+WHERE sides = 2
+"""
+
 QUERIED = "SELECT o_orderkey AS sample_id, 'T' || CAST(o_orderkey % 5 + 1 AS STRING) AS l1, o_orderpriority || CASE o_orderkey % 4 WHEN 0 THEN ' 用表格' WHEN 1 THEN ' 以列表呈现' ELSE '' END AS query FROM {orders}"
 POOL = [("check_no_table", ["T1", "T2"], None), ("check_no_list", None, []), ("S1", ["T2", "T4"], ["urgent"])]
 
@@ -407,7 +417,8 @@ QUERIES = {
     "repair_prompts": on(CUSTOMERS, prompted),
     "fix_decimals": on(NUMBERS, decimals),
     "excerpt_chunks": on(LONG, lambda d: C.excerpt_chunks(d, least=7, most=14).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.sum(F.length("text")).alias("chars"))),
-    "source_disjoint_check": on2(DOCS, "SELECT item_id AS doc_id, text FROM {benchmark}", C.source_disjoint_check),
+    "source_disjoint_check": on2(SPLIT.format(side="> 0"), SPLIT.format(side="= 0"), C.source_disjoint_check),
+    "shared_passages": on2(SPLIT.format(side="> 0"), SPLIT.format(side="= 0"), lambda a, b: C.shared_passages(a, b).drop("passage")),
 }
 
 FAM = "tag LIKE 'FP%'"
@@ -462,7 +473,8 @@ SQL = {
     "repair_prompts": f"SELECT c_custkey AS item_id, '## Constraints not met' || {NL} || {NL} || '### [N3]' || {NL} || '- Constraint: ' || c_mktsegment || {NL} || '- Checker: check_decimal_places' || {NL} || '- Settings: {{\"places\":\"2\"}}' || {NL} || '- Why it fails: ' || c_nationkey::VARCHAR || {NL} || {NL} || '## All constraints (keep those that are met)' || {NL} || {NL} || '1. [N3] ' || c_mktsegment || {NL} || '2. [S1] b' || {NL} || {NL} || '## Response' || {NL} || {NL} || c_custkey::VARCHAR AS prompt FROM customer".replace("{{", "{").replace("}}", "}"),
     "fix_decimals": f"SELECT o_orderkey AS k, '# ' || x || {NL} || 'sum ' || y || '% and 2.50, ' || x || '年 1.2 节 12.50a' || {NL} || '| --- |' || {NL} || y AS fixed FROM (SELECT o_orderkey, o_custkey::VARCHAR || '.' || (100 + o_orderkey % 900)::VARCHAR AS x, o_custkey::VARCHAR || '.' || ((100 + o_orderkey % 900) // 10)::VARCHAR AS y FROM orders)",
     "excerpt_chunks": "SELECT doc_id, chunks, (3 * m + 16)::BIGINT AS tokens, longest::BIGINT AS longest, (13 * m + 30 + 4 + (m + 2 - chunks))::BIGINT AS chars FROM (SELECT *, CASE WHEN m = 0 THEN 15 ELSE 15 END AS longest, CASE WHEN m = 0 THEN 2 ELSE ceil(m / 3.0)::BIGINT + 2 END AS chunks FROM (SELECT o_orderkey AS doc_id, o_orderkey % 9 AS m FROM orders))",
-    "source_disjoint_check": "WITH a AS (SELECT DISTINCT doc_id, trim(p) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p) <> ''), b AS (SELECT DISTINCT item_id, trim(p) AS p FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS p FROM benchmark) WHERE trim(p) <> '') SELECT a.doc_id AS train_id, b.item_id AS test_id, length(a.p) AS chars FROM a JOIN b USING (p)",
+    "source_disjoint_check": f"WITH m AS ({SHARED}) SELECT md5(p) AS passage_id, length(p) AS chars, count(*) FILTER (side = 'train') AS train_docs, count(*) FILTER (side = 'test') AS test_docs, min(doc_id) FILTER (side = 'train') AS train_first, min(doc_id) FILTER (side = 'test') AS test_first FROM m GROUP BY p",
+    "shared_passages": f"SELECT md5(p) AS passage_id, side, doc_id FROM ({SHARED})",
 }
 PARTS = {"results": RESULTS, "quality": QUALITY, "cons": CONSTRAINTS, "samples": SAMPLES, "candidates": CANDIDATES, "items": ITEMS, "answers": ANSWERS, "facts": FACTS, "orders_": ORDERS, "raws": "SELECT o_orderkey AS k, 'T' || CAST(o_orderkey % 3 AS STRING) AS l2, 'n' || lpad(CAST(o_orderkey AS STRING), 9, '0') AS name FROM {orders}"}
 ORACLES = {name: with_sql("SELECT * FROM (" + text + ")", **{k: v for k, v in PARTS.items() if f"FROM {k}" in text or f"JOIN {k}" in text}) for name, text in SQL.items()}

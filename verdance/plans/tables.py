@@ -20,7 +20,7 @@ VOTES = "SELECT user_id AS item_id, event_id % 3 AS constraint_index, event_id A
 QUALITIES = "SELECT user_id AS item_id, event_id AS repeat, CAST(event_id % 11 AS BIGINT) AS quality, event_type AS reason FROM {events}"
 #: Orders of a customer as candidates.
 CANDIDATES = "SELECT o_custkey AS sample_id, o_orderkey AS index, o_orderstatus || o_orderpriority AS response, CAST(o_orderkey % 5 AS DOUBLE) / 4 AS score FROM {orders}"
-CITES = "SELECT l_orderkey AS item, l_suppkey AS document FROM {lineitem}"
+CITES = "SELECT l_orderkey AS item, 'DOC-' || CAST(l_suppkey AS STRING) AS document FROM {lineitem}"
 DOCS = "SELECT doc_id, text, lang, source FROM {documents}"
 
 
@@ -77,7 +77,7 @@ SQL = {
     "usage_distribution": "SELECT method, coalesce(tag, 'unknown') AS tag, count(*) AS uses, (SELECT count(DISTINCT coalesce(tag, 'unknown')) FROM cons) AS distinct_used, 37::BIGINT AS pool_size FROM cons GROUP BY method, 2",
     "response_length_stats": "SELECT source, count(*) AS n, round(avg(length(text)), 4) AS mean, quantile_cont(length(text), 0.5) AS median, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, round(stddev_pop(length(text)), 4) AS std, quantile_cont(length(text), 0.25) AS q1, quantile_cont(length(text), 0.75) AS q3 FROM documents GROUP BY source",
     "family_share": "SELECT family, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 4) AS share FROM (SELECT CASE WHEN tag IS NULL THEN 'unknown' WHEN tag LIKE 'RC%' THEN 'EG' ELSE regexp_extract(tag, '^[A-Z]+') END AS family FROM cons) GROUP BY family",
-    "context_reuse": "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1), d AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 1) SELECT (SELECT count(*) FROM s) AS items, (SELECT count(DISTINCT s) FROM s) AS context_sets, l_suppkey AS top_document, n AS top_cites FROM d",
+    "context_reuse": "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1), d AS (SELECT 'DOC-' || l_suppkey::VARCHAR AS l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 1) SELECT (SELECT count(*) FROM s) AS items, (SELECT count(DISTINCT s) FROM s) AS context_sets, l_suppkey AS top_document, n AS top_cites FROM d",
     "parse_judge_lenient": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS passed FROM events",
     "majority_vote": "SELECT item_id, constraint_index, votes, score, CASE WHEN score = 1 THEN r1 ELSE r0 END AS reason FROM (SELECT item_id, constraint_index, count(*) AS votes, (CASE WHEN 2 * sum(score) > count(*) THEN 1 WHEN 2 * sum(score) < count(*) THEN 0 ELSE arg_max(score, repeat) END)::INT AS score, arg_max(reason, repeat) FILTER (score = 1) AS r1, arg_max(reason, repeat) FILTER (score = 0) AS r0 FROM votes GROUP BY ALL)",
     "quality_mean": "SELECT item_id, round_even(avg(quality), 0)::BIGINT AS quality, arg_max(reason, repeat) AS reason FROM qualities GROUP BY item_id",
