@@ -171,6 +171,9 @@ TRUTH = [
     ("exact_value", {"expected_values": {"a": 1}}, "a 1", 1, ""),
     ("exact_value", {"expected_values": {"Share": "5 percent"}}, "share is 6 %", 0, ""),
     ("exact_value", {"values": {"a": 1}}, "a 1", None, ""),
+    ("exact_value", {"expected_values": {"a": [1, 2]}}, "a [1, 2]", 1, ""),
+    ("exact_value", {"expected_values": {"a": [1, 2]}}, "a [12]", 0, ""),
+    ("exact_value", {"expected_values": {"a": ["x, y", None, {"b": True}]}}, "A: ['x, y', None, {'b': True}]", 1, ""),
     ("decimal_places", {"places": 2}, "12 units and 3.10", 0, ""),
     ("decimal_places", {"places": 2}, "1.25 and -3.10%", 1, ""),
     ("decimal_places", {"places": 1, "target": "percent"}, "12% share", 0, ""),

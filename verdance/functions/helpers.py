@@ -7,9 +7,16 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+try:
+    import regex
+except ImportError:  # patterns then run without a time limit
+    regex = None
 
 
 @lru_cache(maxsize=4096)
@@ -94,25 +101,49 @@ def json_facts(text: pd.Series, field: pd.Series, fields: pd.Series, most: pd.Se
     return _rows(rows, JSON_FACTS)
 
 
+#: A pattern runs on one answer for this long, and on answers of at most this many characters; beyond, the verdict is open. What is stopped by time
+#: depends on the machine, so the limit is far above what sane patterns take.
+REGEX_SECONDS, REGEX_CHARS = 2.0, 4_000_000
+STOPPED = "pattern stopped at its limits"
+
 REGEX_FACTS = T.StructType([T.StructField("error", T.StringType()), T.StructField("n", T.LongType()), T.StructField("first", T.StringType())])
 
 
-@F.pandas_udf(REGEX_FACTS)
-def regex_facts(text: pd.Series, pattern: pd.Series, case_sensitive: pd.Series) -> pd.DataFrame:
-    """Matches in Python's dialect and the first of them; error for a bad pattern; null without text or pattern."""
-
-    def one(x, p, exact):
-        if x is None or p is None:
-            return None
-        found = _compiled(p, 0 if exact else re.I)
-        if found is None:
-            return {"error": "bad pattern", "n": None, "first": None}
-        n, first = 0, None
-        for m in found.finditer(x):
+@lru_cache(maxsize=4096)
+def _bounded(pattern: str, flags: int):
+    """(pattern that can be stopped or None, pattern as Python reads it or None). The second decides what is a pattern, so that the dialect is Python's."""
+    plain = _compiled(pattern, flags)
+    if plain is None or regex is None:
+        return None, plain
+    try:
+        return regex.compile(pattern, (regex.I if flags & re.I else 0) | regex.V0), plain
+    except regex.error:
+        return None, plain
+
+
+def regex_fact(text: str, pattern: str, exact: bool, counted: bool, seconds: float = REGEX_SECONDS, chars: int = REGEX_CHARS) -> dict:
+    """error, n and first match of a pattern in Python's dialect; n is 0 or 1 unless counted. A pattern that passes the limits is stopped."""
+    bounded, plain = _bounded(pattern, 0 if exact else re.I)
+    if plain is None:
+        return {"error": "bad pattern", "n": None, "first": None}
+    if len(text) > chars:
+        return {"error": STOPPED, "n": None, "first": None}
+    n, first = 0, None
+    try:
+        found = plain.finditer(text) if bounded is None else bounded.finditer(text, timeout=seconds)
+        for m in found:
             n, first = n + 1, m[0] if first is None else first
-        return {"error": None, "n": n, "first": first}
+            if not counted:
+                break
+    except TimeoutError:
+        return {"error": STOPPED, "n": None, "first": None}
+    return {"error": None, "n": n, "first": first}
+
 
-    return _rows([one(x, p, c) for x, p, c in zip(text, pattern, case_sensitive, strict=True)], REGEX_FACTS)
+@F.pandas_udf(REGEX_FACTS)
+def regex_facts(text: pd.Series, pattern: pd.Series, case_sensitive: pd.Series, counted: pd.Series) -> pd.DataFrame:
+    """regex_fact of each row; null without text or pattern."""
+    return _rows([None if x is None or p is None else regex_fact(x, p, bool(e), bool(n)) for x, p, e, n in zip(text, pattern, case_sensitive, counted, strict=True)], REGEX_FACTS)
 
 
 def heading_offset(text: str | None, heading: str | None, case_sensitive: bool) -> int | None:
@@ -136,16 +167,42 @@ def heading_position(text: Column, heading: Column, case_sensitive: Column | Non
     return heading_positions(text, F.array(heading), F.lit(False) if case_sensitive is None else case_sensitive)[0]
 
 
+def missing_labels(text: str, names: list[str]) -> list[str]:
+    """The labels that neither open a line with a colon or bar behind them (in any case) nor occur as they are."""
+    return [n for n in names if n not in text and _compiled(rf"^\s*(?:[-*]\s*)?{re.escape(n)}\s*[:|]", re.I | re.M).search(text) is None]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def labels_missing(text: pd.Series, labels: pd.Series) -> pd.Series:
-    """The labels that neither open a line with a colon or bar behind them (in any case) nor occur as they are."""
+    return pd.Series([None if x is None or names is None else missing_labels(x, list(names)) for x, names in zip(text, labels, strict=True)], dtype=object)
+
+
+ANSWER_FACTS = T.StructType([*REGEX_FACTS.fields, *JSON_FACTS.fields[1:], T.StructField("places", T.ArrayType(T.LongType())), T.StructField("unlabelled", T.ArrayType(T.StringType()))])
+_FACTS = to_arrow_type(T.ArrayType(ANSWER_FACTS))
+_NO_FACTS = dict.fromkeys(ANSWER_FACTS.fieldNames())
+
+
+def answer_fact(text: str, ask: dict | None) -> dict | None:
+    """What one constraint asks of an answer: a pattern (search, count, or before a heading), the places of headings, JSON, or fields as JSON and as labels."""
+    if ask is None:
+        return None
+    kind, exact = ask["kind"], bool(ask["exact"])
+    if kind == "places":
+        return _NO_FACTS | {"places": [heading_offset(text, h, exact) for h in ask["headings"] or []]}
+    if kind in ("json", "fields"):
+        found = json_fact(text, ask["field"], ask["fields"], ask["most"])
+        return _NO_FACTS | found | ({"unlabelled": missing_labels(text, ask["fields"] or [])} if kind == "fields" else {})
+    if ask["pattern"] is None:
+        return None
+    at = heading_offset(text, ask["headings"][0], exact) if kind == "before" else None
+    return _NO_FACTS | regex_fact(text if at is None else text[:at], ask["pattern"], exact, kind == "count")
 
-    def one(x, names):
-        if x is None or names is None:
-            return None
-        return [n for n in names if n not in x and _compiled(rf"^\s*(?:[-*]\s*)?{re.escape(n)}\s*[:|]", re.I | re.M).search(x) is None]
 
-    return pd.Series([one(x, names) for x, names in zip(text, labels, strict=True)], dtype=object)
+@F.arrow_udf(T.ArrayType(ANSWER_FACTS))
+def answer_facts(text: pa.Array, asks: pa.Array) -> pa.Array:
+    """Facts of each answer, one for each of its constraints (null for those that ask nothing)."""
+    rows = [None if t is None or own is None else [answer_fact(t, a) for a in own] for t, own in zip(text.to_pylist(), asks.to_pylist(), strict=True)]
+    return pa.array(rows, _FACTS)
 
 
 #: A number counted in one of these units is no measured value.
@@ -281,3 +338,69 @@ def judge_lenient(raw: pd.Series) -> pd.Series:
         return m[1].lower() == "true" if m else None
 
     return pd.Series([one(x) for x in raw], dtype="boolean")
+
+
+_CODES = {n: re.compile(p) for n, p in {
+    "words": r"\w[\w'-]*",
+    "mixed_words": r"[一-鿿]|[A-Za-z]+",
+    "headings": r"(?m)^\s{0,3}#{1,6}\s+\S+",
+    "labels": r"(?m)^\s*(?:\d+[.)]\s*)?\w[\w\s/&-]{1,80}:\s*$",
+    "list_items": r"(?m)^\s*(?:[-*•]|\d+[.)])\s+\S+",
+    "ordered_items": r"(?m)^\s*\d+[.)]\s+\S+",
+    "quotes": r"(?m)^\s*>\s+\S+",
+    "sentence_ends": r"[。！？!?]+|(?<=[A-Za-z0-9][.])\s+",
+    "blank": r"\n\s*\n",
+    "alone": r"#{1,6}\s+\S|\*\*[^*].*\*\*$",
+    "depth": r"\s{0,3}(#{1,6})\s+\S",
+    "separator": r"\|\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$",
+}.items()}
+
+
+def _counted(name: str):
+    return lambda text: len(_CODES[name].findall(text))
+
+
+def _paragraphs(text: str) -> int:
+    n = 0
+    for block in _CODES["blank"].split(text.strip()):
+        own = [x for x in map(str.strip, block.splitlines()) if x]
+        n += bool(own) and not (len(own) == 1 and _CODES["alone"].match(own[0]))
+    return n
+
+
+def _has_table(text: str) -> bool:
+    own = [x for x in map(str.strip, text.splitlines()) if x[:1] == "|" and x[-1:] == "|"] if "|" in text else []
+    return len(own) >= 2 and any(map(_CODES["separator"].match, own))
+
+
+#: What measures.py says of an answer as columns, counted in one go.
+COUNTS = {
+    "n_chars": len,
+    "words": _counted("words"),
+    "mixed_words": _counted("mixed_words"),
+    "ws_words": lambda text: len(text.split()),
+    "sections": lambda text: _counted("headings")(text) or _counted("labels")(text),
+    "list_items": _counted("list_items"),
+    "ordered_items": _counted("ordered_items"),
+    "paragraphs": _paragraphs,
+    "sentences": lambda text: sum(len(x.strip()) > 5 for x in _CODES["sentence_ends"].split(text)),
+    "quotes": _counted("quotes"),
+    "code_blocks": lambda text: text.count("```") // 2,
+    "heading_depth": lambda text: len({m[1] for m in map(_CODES["depth"].match, text.splitlines()) if m}) if "#" in text else 0,
+    "has_table": _has_table,
+}
+
+
+@lru_cache(maxsize=256)
+def counts_of(*names: str):
+    """A function of a text column: a struct of the named COUNTS, null for a null text. Java's patterns with Unicode classes take some ten times as long."""
+    fields = [T.StructField(n, T.BooleanType() if n == "has_table" else T.LongType()) for n in names]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    @F.arrow_udf(T.StructType(fields))
+    def counted(text: pa.Array) -> pa.Array:
+        texts = text.to_pylist()
+        columns = [pa.array([None if x is None else COUNTS[n](x) for x in texts], k) for n, k in zip(names, kinds, strict=True)]
+        return pa.StructArray.from_arrays(columns, names=list(names), mask=text.is_null())
+
+    return counted

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from verdance.functions import helpers as H
 from verdance.functions import measures as M
+from verdance.sources.shared import cut, on_workers
 
 from .keys import has_explicit_config, layered_config, named_checker, route_constraints
-from .settings import EMPTY, NUMBERS, Settings, as_map
+from .settings import EMPTY, ReadSettings, Settings, Slots, as_map, python_text
 
 #: Phrases, terms and units that checkers look for where no setting names others.
 REPORT_PHRASES = ("本报告", "本文", "本分析", "本研究", "报告认为", "分析认为")
@@ -41,17 +42,24 @@ class Answer:
     def headings(self, level: Column) -> Column:
         return M.heading_level_measure(self.text, level)
 
-    def regex(self, text: Column, pattern: Column, case_sensitive: Column) -> Column:
-        return self.columns["regex"] if "regex" in self.columns else H.regex_facts(text, pattern, case_sensitive)
+    def regex(self, kind: str, text: Column, pattern: Column, case_sensitive: Column) -> Column:
+        return self.columns["facts"] if "facts" in self.columns else H.regex_facts(text, pattern, case_sensitive, F.lit(kind == "count"))
+
+    def regex_before(self, pattern: Column, heading: Column, case_sensitive: Column) -> Column:
+        """The pattern in the text before a heading; in all of it where there is none."""
+        if "facts" in self.columns:
+            return self.columns["facts"]
+        at = self.places(F.array(heading), case_sensitive)[0]
+        return self.regex("search", F.when(at.isNull(), self.text).otherwise(F.substring(self.text, F.lit(1), at.cast("int"))), pattern, case_sensitive)
 
     def json(self, field: Column, fields: Column, most: Column) -> Column:
-        return self.columns["json"] if "json" in self.columns else H.json_facts(self.text, field, fields, most.cast("long"))
+        return self.columns["facts"] if "facts" in self.columns else H.json_facts(self.text, field, fields, most.cast("long"))
 
     def places(self, headings: Column, case_sensitive: Column) -> Column:
-        return self.columns["places"] if "places" in self.columns else H.heading_positions(self.text, headings, case_sensitive)
+        return self.columns["facts"]["places"] if "facts" in self.columns else H.heading_positions(self.text, headings, case_sensitive)
 
     def unlabelled(self, labels: Column) -> Column:
-        return self.columns["unlabelled"] if "unlabelled" in self.columns else H.labels_missing(self.text, labels)
+        return self.columns["facts"]["unlabelled"] if "facts" in self.columns else H.labels_missing(self.text, labels)
 
 
 #: name -> (measure, the checkers that look at it)
@@ -72,14 +80,20 @@ MEASURES: dict[str, tuple[Callable[[Column], Column], tuple[str, ...]]] = {
     "depth": (M.heading_depth_measure, ("heading_depth",)),
 }
 
+#: Measures that are counts -> their name among helpers.COUNTS, which takes all that are wanted in one go.
+COUNTED = {"words": "words", "mixed_words": "mixed_words", "sections": "sections", "items": "list_items", "ordered": "ordered_items", "paragraphs": "paragraphs", "sentences": "sentences", "quotes": "quotes", "depth": "heading_depth"}
+
 Checker = Callable[[Answer, Settings], Column]
 CHECKERS: dict[str, Checker] = {}
+#: Checkers of one's own, which read the map of settings themselves.
+CUSTOM: set[str] = set()
 
 
 def register_checker(name: str):
     """Adds a checker of one's own: fn(response, config) -> boolean Column, null where a judge must decide."""
 
     def add(fn: Callable[[Column, Column], Column]):
+        CUSTOM.add(name)
         CHECKERS[name] = lambda a, c: verdict(fn(a.text, c.config).isNotNull(), fn(a.text, c.config), F.lit(name))
         return fn
 
@@ -128,10 +142,11 @@ def none_of(listed: Column, ready: Column | None, what: str) -> Column:
     return verdict(ready, F.size(listed) == 0, F.when(F.size(listed) == 0, f"no {what}").otherwise(say(f"{what}: ", F.array_join(listed, ", "))))
 
 
-def folded_search(a: Answer, c: Settings, terms: Column, absent: bool) -> Column:
+def folded_search(a: Answer, c: Settings, name: str, terms: Callable[[Settings], Column], absent: bool) -> Column:
     """The terms that are absent (or present), case-folded unless case_sensitive."""
-    exact = c.flag("case_sensitive")
-    return M.bind(F.when(exact, a.text).otherwise(a.folded), lambda hay: F.filter(terms, lambda t: hay.contains(F.when(exact, t).otherwise(M.fold(t))) != F.lit(absent)))
+    needles = c.derived("lists", f"{name} to find", lambda s: F.when(s.flag("case_sensitive"), terms(s)).otherwise(F.transform(terms(s), M.fold)))
+    hay = F.when(c.flag("case_sensitive"), a.text).otherwise(a.folded)
+    return M.bind(hay, lambda h: F.filter(c.derived("lists", name, terms), lambda t, i: h.contains(F.get(needles, i)) != F.lit(absent)))
 
 
 def strings(values: tuple[str, ...]) -> Column:
@@ -140,32 +155,33 @@ def strings(values: tuple[str, ...]) -> Column:
 
 @_checker("required_keyword")
 def _(a: Answer, c: Settings) -> Column:
-    terms = c.listed_or_quoted("keywords", "keyword")
-    return none_of(folded_search(a, c, terms, True), F.size(terms) > 0, "missing keyword")
+    terms = lambda s: s.listed_or_quoted("keywords", "keyword")
+    return none_of(folded_search(a, c, "keywords", terms, True), F.size(c.derived("lists", "keywords", terms)) > 0, "missing keyword")
 
 
 @_checker("forbidden_phrase")
 def _(a: Answer, c: Settings) -> Column:
-    terms = c.listed_or_quoted("phrases", "phrase", "keywords")
-    return none_of(folded_search(a, c, terms, False), F.size(terms) > 0, "forbidden phrase")
+    terms = lambda s: s.listed_or_quoted("phrases", "phrase", "keywords")
+    return none_of(folded_search(a, c, "phrases", terms, False), F.size(c.derived("lists", "phrases", terms)) > 0, "forbidden phrase")
 
 
 @_checker("min_words")
 def _(a: Answer, c: Settings) -> Column:
     none = F.lit(None).cast("long")
-    return within(a.words, none, F.coalesce(F.nullif(c.number("min"), F.lit(0)), M.infer_min_words(c.wording)), none, "words")
+    return within(a.words, none, c.derived("numbers", "least", lambda s: F.coalesce(F.nullif(s.number("min"), F.lit(0)), M.infer_min_words(s.wording))), none, "words")
 
 
 @_checker("max_words")
 def _(a: Answer, c: Settings) -> Column:
     none = F.lit(None).cast("long")
-    return within(a.words, none, none, F.coalesce(F.nullif(c.number("max"), F.lit(0)), M.infer_max_words(c.wording)), "words")
+    return within(a.words, none, none, c.derived("numbers", "most", lambda s: F.coalesce(F.nullif(s.number("max"), F.lit(0)), M.infer_max_words(s.wording))), "words")
 
 
 @_checker("word_range")
 def _(a: Answer, c: Settings) -> Column:
-    first = lambda x, y: F.when(F.map_contains_key(c.config, F.lit(x)), c.number(x)).otherwise(c.number(y))
-    given = lambda x, y: F.when(F.map_contains_key(c.config, F.lit(x)), c.raw(x)).otherwise(c.raw(y)).isNotNull()
+    has = lambda s, x: F.map_contains_key(s.config, F.lit(x))
+    first = lambda x, y: c.derived("numbers", x, lambda s: F.when(has(s, x), s.number(x)).otherwise(s.number(y)))
+    given = lambda x, y: c.derived("flags", x, lambda s: F.when(has(s, x), s.raw(x)).otherwise(s.raw(y)).isNotNull())
     low, high = first("min_words", "min"), first("max_words", "max")
     unread = (given("min_words", "min") & low.isNull()) | (given("max_words", "max") & high.isNull())
     return F.when(~unread, within(a.mixed_words, F.lit(None).cast("long"), low, high, "words and CJK characters"))
@@ -185,8 +201,8 @@ def _(a: Answer, c: Settings) -> Column:
 
 @_checker("section_titles")
 def _(a: Answer, c: Settings) -> Column:
-    own = F.filter(F.transform(c.listed("required_titles", "headings", "fields"), M.strip), lambda t: t != "")
-    titles = F.when(F.size(own) > 0, own).otherwise(c.quoted())
+    own = lambda s: F.filter(F.transform(s.listed("required_titles", "headings", "fields"), M.strip), lambda t: t != "")
+    titles = c.derived("lists", "titles", lambda s: F.when(F.size(own(s)) > 0, own(s)).otherwise(s.quoted()))
     return none_of(F.filter(titles, lambda t: ~a.text.contains(t)), F.size(titles) > 0, "missing title")
 
 
@@ -194,8 +210,8 @@ def _(a: Answer, c: Settings) -> Column:
 def _(a: Answer, c: Settings) -> Column:
     own = c.either("count", "min")
     said = rf"(?iu)(exactly|at least){M.S}+({M.D}+){M.S}+(?:items?|findings?|bullets?|points?)"
-    target = F.coalesce(own, F.nullif(F.regexp_extract(c.wording, said, 2), F.lit("")).cast("long"))
-    mode = F.when(own.isNotNull(), F.lower(F.coalesce(c.given("mode"), F.lit("exact")))).otherwise(F.lower(F.regexp_extract(c.wording, said, 1)))
+    target = F.coalesce(own, c.derived("numbers", "said", lambda s: F.nullif(F.regexp_extract(s.wording, said, 2), F.lit("")).cast("long")))
+    mode = F.when(own.isNotNull(), F.lower(F.coalesce(c.given("mode"), F.lit("exact")))).otherwise(c.derived("texts", "said", lambda s: F.lower(F.regexp_extract(s.wording, said, 1))))
     least = mode.isin("at_least", "minimum", "min", "at least")
     return verdict(target.isNotNull(), F.when(least, a.items >= target).otherwise(a.items == target), say(a.items, " items, wanted ", F.when(least, "at least ").otherwise("exactly "), target))
 
@@ -287,9 +303,10 @@ def _(a: Answer, c: Settings) -> Column:
 
 @_checker("table_columns")
 def _(a: Answer, c: Settings) -> Column:
-    own = c.listed_or_quoted("required_columns", "columns")
-    wanted = F.when(F.size(own) > 0, own).otherwise(F.coalesce(M.infer_table_columns(c.wording), F.expr(EMPTY)))
-    missing = M.bind(M.header_of(a.table), lambda header: F.filter(wanted, lambda w: ~F.array_contains(header, M.plain(w))))
+    own = lambda s: s.listed_or_quoted("required_columns", "columns")
+    named = lambda s: F.when(F.size(own(s)) > 0, own(s)).otherwise(F.coalesce(M.infer_table_columns(s.wording), F.expr(EMPTY)))
+    wanted, plain = c.derived("lists", "columns", named), c.derived("lists", "plain columns", lambda s: F.transform(named(s), M.plain))
+    missing = M.bind(M.header_of(a.table), lambda header: F.filter(wanted, lambda w, i: ~F.array_contains(header, F.get(plain, i))))
     ready = F.size(wanted) > 0
     return F.when(M.is_table(a.table), none_of(missing, ready, "missing column")).otherwise(verdict(ready, F.lit(False), F.lit("no Markdown table")))
 
@@ -319,39 +336,45 @@ def _(a: Answer, c: Settings) -> Column:
     return limited(a.quotes, c, "quoted lines")
 
 
-def missing_values(a: Answer, values: Column, numbers: bool) -> Column:
-    wanted = F.transform(values, M.canonical_number)
+def missing_values(a: Answer, c: Settings, numbers: bool, *keys: str) -> Column:
+    wanted = c.derived("lists", "canonical", lambda s: F.transform(s.listed(*keys), M.canonical_number))
     return F.filter(wanted, lambda v: ~((F.array_contains(a.numbers, v) | a.flat.contains(v)) if numbers else a.flat.contains(v)))
 
 
 @_checker("contains_number")
 def _(a: Answer, c: Settings) -> Column:
     values = c.listed("numbers", "number")
-    return none_of(missing_values(a, values, True), F.size(values) > 0, "missing number")
+    return none_of(missing_values(a, c, True, "numbers", "number"), F.size(values) > 0, "missing number")
 
 
 @_checker("threshold")
 def _(a: Answer, c: Settings) -> Column:
     values = c.listed("thresholds", "number")
-    return none_of(missing_values(a, values, True), F.size(values) > 0, "missing threshold")
+    return none_of(missing_values(a, c, True, "thresholds", "number"), F.size(values) > 0, "missing threshold")
 
 
 @_checker("deadline")
 def _(a: Answer, c: Settings) -> Column:
     values = c.listed("deadlines", "deadline")
-    return none_of(missing_values(a, values, False), F.size(values) > 0, "missing deadline")
+    return none_of(missing_values(a, c, False, "deadlines", "deadline"), F.size(values) > 0, "missing deadline")
 
 
 @_checker("exact_value")
 def _(a: Answer, c: Settings) -> Column:
-    pairs = F.map_entries(F.from_json(F.when(F.ltrim(c.given("expected_values")).startswith("{"), c.given("expected_values")), "map<string,string>"))
-    missing = F.filter(pairs, lambda p: ~(a.flat.contains(M.fold(p["key"])) & a.flat.contains(M.canonical_number(F.coalesce(p["value"], F.lit("none"))))))
-    return none_of(F.transform(missing, lambda p: F.concat_ws("=", p["key"], p["value"])), F.size(pairs) > 0, "missing value")
+    def pairs(s: Settings) -> Column:
+        given = s.given("expected_values")
+        return F.map_entries(F.from_json(F.when(F.ltrim(given).startswith("{"), given), "map<string,string>"))
+
+    shown = c.derived("lists", "pairs", lambda s: F.transform(pairs(s), lambda p: F.concat_ws("=", p["key"], p["value"])))
+    names = c.derived("lists", "names", lambda s: F.transform(pairs(s), lambda p: M.fold(p["key"])))
+    values = c.derived("lists", "values", lambda s: F.transform(pairs(s), lambda p: M.canonical_number(F.coalesce(python_text(p["value"]), F.lit("none")))))
+    missing = F.filter(shown, lambda _, i: ~(a.flat.contains(F.get(names, i)) & a.flat.contains(F.get(values, i))))
+    return none_of(missing, F.size(shown) > 0, "missing value")
 
 
 @_checker("decimal_places")
 def _(a: Answer, c: Settings) -> Column:
-    said = F.nullif(F.regexp_extract(c.wording, rf"(?iu)({M.D}+){M.S}+decimal places?", 1), F.lit("")).cast("long")
+    said = c.derived("numbers", "said", lambda s: F.nullif(F.regexp_extract(s.wording, rf"(?iu)({M.D}+){M.S}+decimal places?", 1), F.lit("")).cast("long"))
     n = F.coalesce(F.nullif(c.number("places"), F.lit(0)), c.number("count"), c.number("exact"), said)
     percent = F.lower(F.coalesce(c.given("target", "mode"), F.lit("all"))).isin(*PERCENT_TARGETS)
     found = F.when(percent, F.regexp_extract_all(a.text, F.lit(M.PERCENTAGE), F.lit(0))).otherwise(F.regexp_extract_all(a.text, F.lit(M.DECIMAL), F.lit(0)))
@@ -397,46 +420,47 @@ def _(a: Answer, c: Settings) -> Column:
 @_checker("conditional_trigger")
 def _(a: Answer, c: Settings) -> Column:
     trigger, followup = c.word("trigger"), c.word("followup", "required_if_present")
-    absent = lambda t: F.size(folded_search(a, c, F.array(t), True)) > 0
-    return verdict((trigger != "") & (followup != ""), absent(trigger) | ~absent(followup), say("with ", trigger, " also ", followup))
+    absent = lambda name, *keys: F.size(folded_search(a, c, name, lambda s: F.array(s.word(*keys)), True)) > 0
+    return verdict((trigger != "") & (followup != ""), absent("trigger", "trigger") | ~absent("followup", "followup", "required_if_present"), say("with ", trigger, " also ", followup))
 
 
 def pattern_of(c: Settings, forbidden: bool) -> Column:
     return c.given("forbidden_regex", "pattern", "regex") if forbidden else c.given("pattern", "regex")
 
 
-def before_heading(a: Answer, c: Settings) -> Column:
-    """The text before a heading; all of it where there is none."""
-    at = a.places(F.array(c.word("heading")), c.flag("case_sensitive"))[0]
-    return F.when(at.isNull(), a.text).otherwise(F.substring(a.text, F.lit(1), at.cast("int")))
+def unless_stopped(facts: Column, found: Column) -> Column:
+    """Open where a pattern hit its limits: a judge must decide."""
+    return F.when(F.coalesce(facts["error"] != H.STOPPED, F.lit(True)), found)
 
 
 @_checker("simple_regex")
 def _(a: Answer, c: Settings) -> Column:
     pattern = pattern_of(c, False)
-    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
-    return verdict(pattern.isNotNull(), facts["n"] > 0, say(F.coalesce(facts["error"], F.lit("pattern")), " ", pattern))
+    facts = a.regex("search", a.text, pattern, c.flag("case_sensitive"))
+    return unless_stopped(facts, verdict(pattern.isNotNull(), facts["n"] > 0, say(F.coalesce(facts["error"], F.lit("pattern")), " ", pattern)))
 
 
 @_checker("forbidden_regex")
 def _(a: Answer, c: Settings) -> Column:
     pattern = pattern_of(c, True)
-    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
-    return verdict(pattern.isNotNull(), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern, first match")), " ", facts["first"]))
+    facts = a.regex("search", a.text, pattern, c.flag("case_sensitive"))
+    return unless_stopped(facts, verdict(pattern.isNotNull(), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern, first match")), " ", facts["first"])))
 
 
 @_checker("regex_count")
 def _(a: Answer, c: Settings) -> Column:
     pattern = pattern_of(c, False)
-    facts = a.regex(a.text, pattern, c.flag("case_sensitive"))
-    return F.when(facts["error"].isNotNull(), verdict(pattern.isNotNull(), F.lit(False), facts["error"])).otherwise(F.when(pattern.isNotNull(), limited(facts["n"], c, "matches")))
+    facts = a.regex("count", a.text, pattern, c.flag("case_sensitive"))
+    wrong = verdict(pattern.isNotNull(), F.lit(False), facts["error"])
+    return unless_stopped(facts, F.when(facts["error"].isNotNull(), wrong).otherwise(F.when(pattern.isNotNull(), limited(facts["n"], c, "matches"))))
 
 
 @_checker("forbidden_regex_before_heading")
 def _(a: Answer, c: Settings) -> Column:
     pattern, heading = pattern_of(c, True), c.word("heading")
-    facts = a.regex(before_heading(a, c), pattern, c.flag("case_sensitive"))
-    return verdict(pattern.isNotNull() & (heading != ""), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern before the heading, first match")), " ", facts["first"]))
+    facts = a.regex_before(pattern, heading, c.flag("case_sensitive"))
+    found = verdict(pattern.isNotNull() & (heading != ""), facts["n"] == 0, say(F.coalesce(facts["error"], F.lit("forbidden pattern before the heading, first match")), " ", facts["first"]))
+    return unless_stopped(facts, found)
 
 
 @_checker("first_word")
@@ -454,8 +478,8 @@ def _(a: Answer, c: Settings) -> Column:
 
 
 def ordered_headings(c: Settings) -> Column:
-    own = F.filter(F.transform(c.listed("headings", "fields"), M.strip), lambda h: h != "")
-    return F.when(F.size(own) > 0, own).otherwise(c.quoted())
+    own = lambda s: F.filter(F.transform(s.listed("headings", "fields"), M.strip), lambda h: h != "")
+    return c.derived("lists", "ordered headings", lambda s: F.when(F.size(own(s)) > 0, own(s)).otherwise(s.quoted()))
 
 
 @_checker("heading_order")
@@ -527,9 +551,27 @@ def _(a: Answer, c: Settings) -> Column:
     return verdict(None, ~rest.rlike("[0-9]"), F.lit("no digits outside of headings and tables"))
 
 
-REGEX = ("simple_regex", "forbidden_regex", "regex_count", "forbidden_regex_before_heading")
-JSON = ("valid_json", "required_fields", "json_field_count", "json_field_item_limit", "json_field_word_limit")
-PLACES = ("heading_order", "forbidden_regex_before_heading")
+def _ask(kind: str, c: Settings, **own: Column) -> Column:
+    """What Python is asked about an answer for one constraint."""
+    kinds = {"pattern": "string", "field": "string", "fields": "array<string>", "most": "bigint", "headings": "array<string>"}
+    return F.struct(F.lit(kind).alias("kind"), c.flag("case_sensitive").alias("exact"), *[own.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+
+#: The checkers that need Python: user patterns, headings in Python's dialect, JSON.
+ASKS: dict[str, Callable[[Settings], Column]] = {
+    "simple_regex": lambda c: _ask("search", c, pattern=pattern_of(c, False)),
+    "forbidden_regex": lambda c: _ask("search", c, pattern=pattern_of(c, True)),
+    "regex_count": lambda c: _ask("count", c, pattern=pattern_of(c, False)),
+    "forbidden_regex_before_heading": lambda c: _ask("before", c, pattern=pattern_of(c, True), headings=F.array(c.word("heading"))),
+    "heading_order": lambda c: _ask("places", c, headings=ordered_headings(c)),
+    "valid_json": lambda c: _ask("json", c),
+    "required_fields": lambda c: _ask("fields", c, fields=required_fields(c)),
+    "json_field_count": lambda c: _ask("json", c, field=c.given("field")),
+    "json_field_item_limit": lambda c: _ask("json", c, field=json_field(c)[0], most=json_field(c)[1]),
+    "json_field_word_limit": lambda c: _ask("json", c, field=json_field(c)[0], most=json_field(c)[1]),
+}
+#: Distinct constraints of which so many may be broadcast.
+BROADCAST_SPECS = 10_000
 
 
 def with_method(found: Column, name: str) -> Column:
@@ -559,73 +601,83 @@ def evaluate(responses: DataFrame, constraints: DataFrame, *, key: str = "item_i
     the maps evaluator, checker_config, rule, params, each overriding those before it.
 
     Each constraint has its own checker and settings; names are resolved through aliases and, where there is none, inferred
-    from the wording. A measure is taken once per answer, and only if one of its constraints looks at it. The
-    text is left behind before anything is shuffled. error names what strict scoring rejects: a rule without
-    settings, a rule that gives no verdict, an unknown check type (score 0, method schema).
+    from the wording. Settings and wordings are read once for each distinct constraint, into small typed arrays. An answer meets all constraints of its item in one row:
+    a measure is taken once, and only if one of them looks at it; Python is asked once for all its patterns, fields and headings; the verdicts are worked out
+    beside the text, and only they are exploded. A text moves once, to its item's constraints. error names what strict scoring rejects: a rule without
+    settings, a rule that gives no verdict (also where a pattern was stopped, see helpers.REGEX_SECONDS), an unknown check type (score 0, method schema).
 
-    checkers: the names that occur, so that the plan holds no others; unless given they are read from the constraints
-    first, at most one row for each checker there is. Without regex and JSON checkers the plan has no Python.
+    checkers: the names that occur, so that the plan holds no others; unless given they are read from the distinct constraints
+    first, which are then written to the checkpoint folder; at most one row for each checker there is comes to the driver. Counts, patterns, headings and JSON go through Arrow helpers; plans without such checkers have no Python.
 
     Nulls: a null response is empty; null settings are none. An item without constraints gives no rows; empty tables give none.
     """
-    prepared = prepare(constraints, key)
+    spark = responses.sparkSession
+    on_workers(spark)
+    own, specs = distinct_constraints(constraints, key)
+    few = False
     if checkers is None:
-        checkers = [r[0] for r in prepared.where(F.col("checker").isin(*CHECKERS)).select("checker").distinct().collect()]
-    fields = [c for c in prepared.columns if c != key]
-    per_item = prepared.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(*fields)).alias("_constraints"))
+        specs = cut(specs)
+        few = specs.count() <= BROADCAST_SPECS
+        checkers = [r[0] for r in specs.where(F.col("checker").isin(*CHECKERS)).select("checker").distinct().collect()]
+    slots = Slots(Settings(F.col("config"), F.col("constraint")))
+
+    def settings(name: str, c: Column) -> Settings:
+        return ReadSettings(slots, name, c["read"], c["config"])
+
+    # Verdicts are built here once for nothing but the slots that they ask for.
+    for n in checkers:
+        CHECKERS[n](Answer(F.lit(""), {"facts": F.col("facts")}), settings(n, F.col("c")))
+        if n in ASKS:
+            ASKS[n](settings(n, F.col("c")))
+    fields = ("constraint", "check_type", "tag", "family", "checker", "route", "reject_reason")
+    # The map goes along only where a checker of one's own reads it.
+    whole = F.col("config") if set(checkers) & CUSTOM else F.lit(None).cast("map<string,string>")
+    read = specs.select("spec", *fields, slots.column(F.col("checker")).alias("read"), whole.alias("config"))
+    met = own.join(F.broadcast(read) if few else read, "spec")
+    per_item = met.groupBy("_key").agg(F.collect_list(F.struct("constraint_index", "constraint_id", *fields, "read", "config")).alias("_constraints"))
     carried = [c for c in responses.columns if c != "response"]
     rows = responses.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.coalesce("response", F.lit("")).alias("_text"), F.col(f"`{key}`").alias("_of"))
     rows = rows.join(per_item, F.col("_of") == F.col("_key")).drop("_of", "_key")
-    named = F.col("_constraints")["checker"]
-    uses = lambda names: F.arrays_overlap(named, strings(names))
+    uses = lambda names: F.exists("_constraints", lambda c: c["checker"].isin(*names))
     measured = {m: (measure, names) for m, (measure, names) in MEASURES.items() if set(names) & set(checkers)}
-    rows = rows.select("_row", "_text", "_constraints", *[F.when(uses(names), measure(F.col("_text"))).alias(f"_m_{m}") for m, (measure, names) in measured.items()])
-    plain_settings = Settings(F.col("_c.config"))
-    rows = rows.withColumn("_c", F.explode("_constraints")).drop("_constraints")
-    rows = rows.withColumn("_n", F.struct(*[plain_settings.number(k).alias(k) for k in NUMBERS]))
-    c = Settings(F.col("_c.config"), F.col("_c.constraint"), {k: F.col(f"_n.{k}") for k in NUMBERS})
-    name = F.col("_c.checker")
-    known = {m: F.col(f"_m_{m}") for m in measured}
-    of = lambda own, *names: F.when(name.isin(*names), own)
-    none = F.lit(None).cast("string")
-    # What needs Python is asked for once a row, and only where a checker of its kind looks at it.
-    if set(checkers) & set(PLACES):
-        wanted = F.coalesce(of(ordered_headings(c), "heading_order"), F.array(c.word("heading")))
-        rows = rows.withColumn("_places", H.heading_positions(of(F.col("_text"), *PLACES), wanted, c.flag("case_sensitive")))
-        known["places"] = F.col("_places")
-    if set(checkers) & set(REGEX):
-        hay = of(F.col("_text"), *REGEX)
-        if "forbidden_regex_before_heading" in checkers:
-            hay = F.coalesce(of(before_heading(Answer(F.col("_text"), known), c), "forbidden_regex_before_heading"), hay)
-        pattern = F.when(name.isin("forbidden_regex", "forbidden_regex_before_heading"), pattern_of(c, True)).otherwise(pattern_of(c, False))
-        rows = rows.withColumn("_regex", H.regex_facts(hay, F.coalesce(of(pattern, *REGEX), none), c.flag("case_sensitive")))
-        known["regex"] = F.col("_regex")
-    if set(checkers) & set(JSON):
-        limited_field = ("json_field_item_limit", "json_field_word_limit")
-        field, most = json_field(c)
-        field = F.coalesce(of(c.given("field"), "json_field_count"), of(field, *limited_field), none)
-        fields = of(required_fields(c), "required_fields")
-        rows = rows.withColumn("_json", H.json_facts(of(F.col("_text"), *JSON), field, fields, of(most.cast("long"), *limited_field)))
-        rows = rows.withColumn("_unlabelled", H.labels_missing(of(F.col("_text"), "required_fields"), fields))
-        known |= {"json": F.col("_json"), "unlabelled": F.col("_unlabelled")}
-    answer = Answer(F.col("_text"), known)
-    found = F.when(F.lit(False), with_method(F.struct(F.lit(None).cast("int").alias("score"), none.alias("reason")), "none"))
-    for n in checkers:
-        found = found.when(name == n, with_method(CHECKERS[n](answer, c), n))
-    plain = lambda score, reason, method: F.struct(F.lit(score).cast("int").alias("score"), F.lit(reason).cast("string").alias("reason"), F.lit(method).alias("method"))
-    route, wanted = F.col("_c.route"), F.col("_c.reject_reason")
-    given = F.when(route == "LLM", plain(None, None, "judge")).when(wanted == "unknown check_type", plain(0, "unknown check_type", "schema")).otherwise(F.coalesce(found, plain(None, None, "rule_aided:unresolved")))
-    rows = rows.select("_row", "_c", given.alias("_v"))
-    score = F.col("_v.score")
-    status = F.when(score == 1, "pass").when(score == 0, "fail").otherwise("needs_judge")
-    error = F.coalesce(wanted, F.when((route == "rule") & score.isNull(), "rule gave no verdict"))
+    counted = [m for m in measured if m in COUNTED]
+    if counted:
+        some = uses([n for m in counted for n in measured[m][1]])
+        rows = rows.withColumn("_counts", H.counts_of(*[COUNTED[m] for m in counted])(F.when(some, F.col("_text"))))
+    own_columns = [F.col("_counts")[COUNTED[m]] if m in COUNTED else F.when(uses(names), measure(F.col("_text"))) for m, (measure, names) in measured.items()]
+    rows = rows.select("_row", "_text", "_constraints", *[x.alias(f"_m_{m}") for m, x in zip(measured, own_columns, strict=True)])
+    asking = [n for n in checkers if n in ASKS]
+    if asking:
+        def asked(c: Column) -> Column:
+            chain = F.when(F.lit(False), ASKS[asking[0]](settings(asking[0], c)))
+            for n in asking:
+                chain = chain.when(c["checker"] == n, ASKS[n](settings(n, c)))
+            return chain
+
+        some = uses(asking)
+        rows = rows.withColumn("_facts", H.answer_facts(F.when(some, F.col("_text")), F.when(some, F.transform("_constraints", asked))))
+
+    def judged(c: Column, i: Column) -> Column:
+        known = {m: F.col(f"_m_{m}") for m in measured} | ({"facts": F.get(F.col("_facts"), i)} if asking else {})
+        answer, name, none = Answer(F.col("_text"), known), c["checker"], F.lit(None).cast("string")
+        found = F.when(F.lit(False), with_method(F.struct(F.lit(None).cast("int").alias("score"), none.alias("reason")), "none"))
+        for n in checkers:
+            found = found.when(name == n, with_method(CHECKERS[n](answer, settings(n, c)), n))
+        plain = lambda score, reason, method: F.struct(F.lit(score).cast("int").alias("score"), F.lit(reason).cast("string").alias("reason"), F.lit(method).alias("method"))
+        given = F.when(c["route"] == "LLM", plain(None, None, "judge")).when(c["reject_reason"] == "unknown check_type", plain(0, "unknown check_type", "schema"))
+        given = given.otherwise(F.coalesce(found, plain(None, None, "rule_aided:unresolved")))
+        return F.struct(*[c[n].alias(n) for n in ("constraint_index", "constraint_id", *fields)], given.alias("v"))
+
+    rows = rows.select("_row", F.explode(F.transform("_constraints", judged)).alias("_c"))
+    score = F.col("_c.v.score")
+    error = F.coalesce(F.col("_c.reject_reason"), F.when((F.col("_c.route") == "rule") & score.isNull(), "rule gave no verdict"))
     return rows.select(
         *[F.col("_row")[c_].alias(c_) for c_ in carried],
         *[F.col(f"_c.{n}").alias(n) for n in ("constraint_index", "constraint_id", "constraint", "check_type", "tag", "family", "checker")],
         score.alias("score"),
-        status.alias("status"),
-        F.col("_v.reason").alias("reason"),
-        F.col("_v.method").alias("method"),
+        F.when(score == 1, "pass").when(score == 0, "fail").otherwise("needs_judge").alias("status"),
+        F.col("_c.v.reason").alias("reason"),
+        F.col("_c.v.method").alias("method"),
         error.alias("error"),
     )
 
@@ -635,33 +687,35 @@ def rejects(results: DataFrame) -> DataFrame:
     return results.where("error IS NOT NULL")
 
 
-def prepare(constraints: DataFrame, key: str = "item_id") -> DataFrame:
-    """Constraints with one map of settings, the checker's resolved name, id, route and family. Narrow work only."""
+def distinct_constraints(constraints: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, constraint_index, constraint_id, spec of each constraint; the distinct ones: spec, constraint, check_type, tag, family, checker, config, route,
+    reject_reason). A spec is all that decides a verdict but the answer; it goes by the md5 of its JSON, and settings are merged and names resolved once for each."""
     from .rollups import family
 
-    kinds = {"constraint_index": "long", "id": "string", "constraint_id": "string", "constraint": "string", "check_type": "string", "tag": "string", "family": "string", "checker": "string"}
+    kinds = {"constraint": "string", "check_type": "string", "tag": "string", "family": "string", "checker": "string"}
     maps = ("settings", "evaluator", "checker_config", "rule", "params")
     have = set(constraints.columns)
-    rows = constraints.select(
-        key,
-        *[(F.col(n) if n in have else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()],
-        *[(F.col(n) if n in have else F.lit(None)).cast("map<string,string>").alias(n) for n in maps],
-    )
-    rows = rows.withColumn("config", layered_config(F.col("settings"), *[F.col(n) for n in maps[1:]]))
-    rows = rows.withColumn("has_config", has_explicit_config(F.col("settings"), F.col("checker"), *[F.col(n) for n in maps[1:]]))
-    rows = route_constraints(rows)
-    own = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.nullif(F.col("constraint_id"), F.lit("")), F.concat(F.col(key).cast("string"), F.lit("#C"), (F.col("constraint_index") + 1).cast("string")))
+    column = lambda n, k: (F.col(n) if n in have else F.lit(None)).cast(k)
+    parts = F.struct(*[column(n, k).alias(n) for n, k in kinds.items()], *[column(n, "map<string,string>").alias(n) for n in maps])
+    index = column("constraint_index", "long")
+    name = F.coalesce(*[F.nullif(column(n, "string"), F.lit("")) for n in ("id", "constraint_id")], F.concat(F.col(key).cast("string"), F.lit("#C"), (index + 1).cast("string")))
+    rows = constraints.select(F.col(f"`{key}`").alias("_key"), index.alias("constraint_index"), name.alias("constraint_id"), F.to_json(parts).alias("_json"))
+    own = rows.select("_key", "constraint_index", "constraint_id", F.unhex(F.md5(F.col("_json").cast("binary"))).alias("spec"))
+    found = rows.select("_json").distinct()
+    schema = ", ".join([f"{n} {k}" for n, k in kinds.items()] + [f"{n} map<string,string>" for n in maps])
+    specs = found.select(F.unhex(F.md5(F.col("_json").cast("binary"))).alias("spec"), F.from_json("_json", schema).alias("s")).select("spec", "s.*")
+    specs = specs.withColumn("config", layered_config(F.col("settings"), *[F.col(n) for n in maps[1:]]))
+    specs = specs.withColumn("has_config", has_explicit_config(F.col("settings"), F.col("checker"), *[F.col(n) for n in maps[1:]]))
+    specs = route_constraints(specs)
     given = Settings(F.col("config")).given("type", "checker_type", "name", "method")
-    name = named_checker(F.coalesce(given, F.col("checker")), F.col("constraint"), F.col("tag"), aliases=True)
-    return rows.select(
-        key,
-        "constraint_index",
-        own.alias("constraint_id"),
+    resolved = named_checker(F.coalesce(given, F.col("checker")), F.col("constraint"), F.col("tag"), aliases=True)
+    return own, specs.select(
+        "spec",
         F.coalesce("constraint", F.lit("")).alias("constraint"),
         F.when(F.col("route") == "reject", F.lower(F.trim(F.coalesce("check_type", F.lit(""))))).otherwise(F.col("route")).alias("check_type"),
         "tag",
         F.coalesce("family", family(F.col("tag"))).alias("family"),
-        F.when(F.col("route") == "rule", name).alias("checker"),
+        F.when(F.col("route") == "rule", resolved).alias("checker"),
         "config",
         "route",
         "reject_reason",
