@@ -4,19 +4,37 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from verdance.sources.shared import on_workers
+
 try:
     import regex
 except ImportError:  # patterns then run without a time limit
     regex = None
+try:
+    import ahocorasick
+except ImportError:  # terms are then looked for one by one
+    ahocorasick = None
+
+
+def _shipped(helper: Callable[..., Column]) -> Callable[..., Column]:
+    """A helper whose Python workers find this package, whoever started the session."""
+
+    @wraps(helper)
+    def call(*columns: Column) -> Column:
+        on_workers(SparkSession.active())
+        return helper(*columns)
+
+    return call
 
 
 @lru_cache(maxsize=4096)
@@ -42,6 +60,7 @@ def _parsed(text: str | None):
         return str(wrong), None
 
 
+@_shipped
 @F.pandas_udf(T.BooleanType())
 def valid_json(text: pd.Series) -> pd.Series:
     return text.map(lambda x: _parsed(x)[0] is None).astype(bool)
@@ -95,6 +114,7 @@ def _rows(rows: list[dict | None], kind: T.StructType) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([None if r is None else r[n] for r in rows], dtype=object) for n in names})
 
 
+@_shipped
 @F.pandas_udf(JSON_FACTS)
 def json_facts(text: pd.Series, field: pd.Series, fields: pd.Series, most: pd.Series) -> pd.DataFrame:
     rows = [json_fact(t, f, None if fs is None else list(fs), m) for t, f, fs, m in zip(text, field, fields, _ints(most), strict=True)]
@@ -140,6 +160,7 @@ def regex_fact(text: str, pattern: str, exact: bool, counted: bool, seconds: flo
     return {"error": None, "n": n, "first": first}
 
 
+@_shipped
 @F.pandas_udf(REGEX_FACTS)
 def regex_facts(text: pd.Series, pattern: pd.Series, case_sensitive: pd.Series, counted: pd.Series) -> pd.DataFrame:
     """regex_fact of each row; null without text or pattern."""
@@ -157,6 +178,7 @@ def heading_offset(text: str | None, heading: str | None, case_sensitive: bool)
     return None
 
 
+@_shipped
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def heading_positions(text: pd.Series, headings: pd.Series, case_sensitive: pd.Series) -> pd.Series:
     """The offsets of some headings; null where one is missing."""
@@ -172,12 +194,35 @@ def missing_labels(text: str, names: list[str]) -> list[str]:
     return [n for n in names if n not in text and _compiled(rf"^\s*(?:[-*]\s*)?{re.escape(n)}\s*[:|]", re.I | re.M).search(text) is None]
 
 
+@_shipped
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def labels_missing(text: pd.Series, labels: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or names is None else missing_labels(x, list(names)) for x, names in zip(text, labels, strict=True)], dtype=object)
 
 
-ANSWER_FACTS = T.StructType([*REGEX_FACTS.fields, *JSON_FACTS.fields[1:], T.StructField("places", T.ArrayType(T.LongType())), T.StructField("unlabelled", T.ArrayType(T.StringType()))])
+@lru_cache(maxsize=256)
+def _automaton(terms: frozenset[str]):
+    """One automaton for all terms; None where there is nothing to look for."""
+    found = ahocorasick.Automaton()
+    for term in terms:
+        found.add_word(term, term)
+    if len(found):
+        found.make_automaton()
+        return found
+    return None
+
+
+def terms_inside(text: str, terms: frozenset[str]) -> set[str]:
+    """The terms that occur in the text, all of them looked for in one pass over it. An empty term is in every text."""
+    if ahocorasick is None:
+        return {t for t in terms if t in text}
+    automaton = _automaton(terms - {""})
+    return (terms & {""}) | ({t for _, t in automaton.iter(text)} if automaton is not None else set())
+
+
+ANSWER_FACTS = T.StructType([
+    *REGEX_FACTS.fields, *JSON_FACTS.fields[1:], T.StructField("places", T.ArrayType(T.LongType())), T.StructField("unlabelled", T.ArrayType(T.StringType())), T.StructField("present", T.ArrayType(T.BooleanType())),
+])
 _FACTS = to_arrow_type(T.ArrayType(ANSWER_FACTS))
 _NO_FACTS = dict.fromkeys(ANSWER_FACTS.fieldNames())
 
@@ -198,11 +243,26 @@ def answer_fact(text: str, ask: dict | None) -> dict | None:
     return _NO_FACTS | regex_fact(text if at is None else text[:at], ask["pattern"], exact, kind == "count")
 
 
+def facts_of(text: str, asks: list[dict | None]) -> list[dict | None]:
+    """answer_fact of each ask; the terms of all of them are looked for together, once in the text and once in the casefolded one."""
+    inside, out = {}, []
+    for exact in (True, False):
+        terms = frozenset(t if exact else t.casefold() for a in asks if a is not None and a["kind"] == "terms" and bool(a["exact"]) == exact for t in a["fields"] or [] if t is not None)
+        inside[exact] = terms_inside(text if exact else text.casefold(), terms) if terms else set()
+    for a in asks:
+        if a is not None and a["kind"] == "terms":
+            own = inside[bool(a["exact"])]
+            out.append(_NO_FACTS | {"present": [t is not None and (t if a["exact"] else t.casefold()) in own for t in a["fields"] or []]})
+        else:
+            out.append(answer_fact(text, a))
+    return out
+
+
+@_shipped
 @F.arrow_udf(T.ArrayType(ANSWER_FACTS))
 def answer_facts(text: pa.Array, asks: pa.Array) -> pa.Array:
     """Facts of each answer, one for each of its constraints (null for those that ask nothing)."""
-    rows = [None if t is None or own is None else [answer_fact(t, a) for a in own] for t, own in zip(text.to_pylist(), asks.to_pylist(), strict=True)]
-    return pa.array(rows, _FACTS)
+    return pa.array([None if t is None or own is None else facts_of(t, own) for t, own in zip(text.to_pylist(), asks.to_pylist(), strict=True)], _FACTS)
 
 
 #: A number counted in one of these units is no measured value.
@@ -236,6 +296,7 @@ def fixed_decimals(text: str | None, places: int | None) -> str | None:
     return "\n".join(line_fixed(x) for x in text.split("\n"))
 
 
+@_shipped
 @F.pandas_udf(T.StringType())
 def fix_decimals(text: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([fixed_decimals(x, n) for x, n in zip(text, _ints(places), strict=True)], dtype=object)
@@ -265,6 +326,7 @@ def labelled(text: str | None, most: int = 15) -> dict[str, str]:
     return found
 
 
+@_shipped
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def labelled_values(text: pd.Series) -> pd.Series:
     return text.map(labelled)
@@ -320,12 +382,14 @@ def parse_judge(raw: str | None, expected: list[int]) -> dict:
     return {"error": None, "scores": [seen[i] for i in sorted(seen)], "quality_score": quality, "quality_reason": why.strip()}
 
 
+@_shipped
 @F.pandas_udf(JUDGED)
 def judged(raw: pd.Series, expected: pd.Series) -> pd.DataFrame:
     rows = [parse_judge(r, [] if e is None else [int(i) for i in e]) for r, e in zip(raw, expected, strict=True)]
     return pd.DataFrame(rows, columns=[f.name for f in JUDGED.fields])
 
 
+@_shipped
 @F.pandas_udf(T.BooleanType())
 def judge_lenient(raw: pd.Series) -> pd.Series:
     """The pass flag of a judge's answer, by pattern where the JSON is broken; null if there is none."""
@@ -397,6 +461,7 @@ def counts_of(*names: str):
     fields = [T.StructField(n, T.BooleanType() if n == "has_table" else T.LongType()) for n in names]
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
+    @_shipped
     @F.arrow_udf(T.StructType(fields))
     def counted(text: pa.Array) -> pa.Array:
         texts = text.to_pylist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import helpers as H
 from verdance.functions import measures as M
-from verdance.sources.shared import cut, on_workers
+from verdance.sources.shared import cut
 
 from .keys import has_explicit_config, layered_config, named_checker, route_constraints
 from .settings import EMPTY, ReadSettings, Settings, Slots, as_map, python_text
@@ -142,11 +142,44 @@ def none_of(listed: Column, ready: Column | None, what: str) -> Column:
     return verdict(ready, F.size(listed) == 0, F.when(F.size(listed) == 0, f"no {what}").otherwise(say(f"{what}: ", F.array_join(listed, ", "))))
 
 
+#: A constraint with more terms than this has them looked for by one automaton, in one pass over the answer; fewer are faster one by one.
+MANY_TERMS = 32
+
+
+def with_presence(a: Answer, c: Settings, name: str, terms: Callable[[Settings], Column], one_by_one: Callable[[Column], Column], use: Callable[[Column], Column]) -> Column:
+    """use(present), an array of whether each term occurs: one_by_one(terms), or the automaton's facts where these are known."""
+    own = c.derived("lists", name, terms)
+    if "facts" not in a.columns:
+        return M.bind(one_by_one(own), use)
+    return M.bind(F.coalesce(a.columns["facts"]["present"], one_by_one(own)), use)
+
+
+def keyword_list(*keys: str) -> Callable[[Settings], Column]:
+    return lambda s: s.listed(*keys)
+
+
 def folded_search(a: Answer, c: Settings, name: str, terms: Callable[[Settings], Column], absent: bool) -> Column:
     """The terms that are absent (or present), case-folded unless case_sensitive."""
     needles = c.derived("lists", f"{name} to find", lambda s: F.when(s.flag("case_sensitive"), terms(s)).otherwise(F.transform(terms(s), M.fold)))
     hay = F.when(c.flag("case_sensitive"), a.text).otherwise(a.folded)
-    return M.bind(hay, lambda h: F.filter(c.derived("lists", name, terms), lambda t, i: h.contains(F.get(needles, i)) != F.lit(absent)))
+    one_by_one = lambda _: M.bind(hay, lambda h: F.transform(needles, lambda n: h.contains(n)))
+    own = c.derived("lists", name, terms)
+    return with_presence(a, c, name, terms, one_by_one, lambda present: F.filter(own, lambda _, i: F.get(present, i) != F.lit(absent)))
+
+
+def exact_search(a: Answer, c: Settings, name: str, terms: Callable[[Settings], Column], absent: bool) -> Column:
+    """The terms that are absent (or present) as they are written."""
+    own = c.derived("lists", name, terms)
+    return with_presence(a, c, name, terms, lambda ts: F.transform(ts, lambda t: a.text.contains(t)), lambda present: F.filter(own, lambda _, i: F.get(present, i) != F.lit(absent)))
+
+
+#: The terms that checkers look for: name of the slot and where they are read.
+TERMS: dict[str, tuple[str, Callable[[Settings], Column]]] = {
+    "required_keyword": ("keywords", lambda s: s.listed_or_quoted("keywords", "keyword")),
+    "forbidden_phrase": ("phrases", lambda s: s.listed_or_quoted("phrases", "phrase", "keywords")),
+    "keyword_presence": ("present", keyword_list("required_keywords", "keywords")),
+    "keyword_absence": ("forbidden", keyword_list("forbidden_keywords", "forbidden", "phrases")),
+}
 
 
 def strings(values: tuple[str, ...]) -> Column:
@@ -155,14 +188,14 @@ def strings(values: tuple[str, ...]) -> Column:
 
 @_checker("required_keyword")
 def _(a: Answer, c: Settings) -> Column:
-    terms = lambda s: s.listed_or_quoted("keywords", "keyword")
-    return none_of(folded_search(a, c, "keywords", terms, True), F.size(c.derived("lists", "keywords", terms)) > 0, "missing keyword")
+    terms = TERMS["required_keyword"]
+    return none_of(folded_search(a, c, *terms, True), F.size(c.derived("lists", *terms)) > 0, "missing keyword")
 
 
 @_checker("forbidden_phrase")
 def _(a: Answer, c: Settings) -> Column:
-    terms = lambda s: s.listed_or_quoted("phrases", "phrase", "keywords")
-    return none_of(folded_search(a, c, "phrases", terms, False), F.size(c.derived("lists", "phrases", terms)) > 0, "forbidden phrase")
+    terms = TERMS["forbidden_phrase"]
+    return none_of(folded_search(a, c, *terms, False), F.size(c.derived("lists", *terms)) > 0, "forbidden phrase")
 
 
 @_checker("min_words")
@@ -505,16 +538,16 @@ def _(a: Answer, c: Settings) -> Column:
 
 @_checker("keyword_presence")
 def _(a: Answer, c: Settings) -> Column:
-    words = c.listed("required_keywords", "keywords")
-    missing = F.filter(words, lambda w: ~a.text.contains(w))
+    words = c.derived("lists", *TERMS["keyword_presence"])
+    missing = exact_search(a, c, *TERMS["keyword_presence"], True)
     some = F.when(c.flag("match_all", True), F.size(missing) == 0).otherwise(F.size(missing) < F.size(words))
     return verdict(F.size(words) > 0, some, say("absent keywords: ", F.array_join(missing, ", ")))
 
 
 @_checker("keyword_absence")
 def _(a: Answer, c: Settings) -> Column:
-    words = c.listed("forbidden_keywords", "forbidden", "phrases")
-    return none_of(F.filter(words, lambda w: a.text.contains(w)), F.size(words) > 0, "forbidden keyword")
+    words = c.derived("lists", *TERMS["keyword_absence"])
+    return none_of(exact_search(a, c, *TERMS["keyword_absence"], False), F.size(words) > 0, "forbidden keyword")
 
 
 @_checker("first_person")
@@ -570,6 +603,18 @@ ASKS: dict[str, Callable[[Settings], Column]] = {
     "json_field_item_limit": lambda c: _ask("json", c, field=json_field(c)[0], most=json_field(c)[1]),
     "json_field_word_limit": lambda c: _ask("json", c, field=json_field(c)[0], most=json_field(c)[1]),
 }
+def _ask_terms(name: str) -> Callable[[Settings], Column]:
+    """The terms of a constraint that has many of them; null for others."""
+
+    def ask(c: Settings) -> Column:
+        own = c.derived("lists", *TERMS[name])
+        exact = F.lit(True) if name.startswith("keyword_") else c.flag("case_sensitive")
+        return F.when(F.size(own) > MANY_TERMS, _ask("terms", c, fields=own).withField("exact", exact))
+
+    return ask
+
+
+ASKS |= {name: _ask_terms(name) for name in TERMS}
 #: Distinct constraints of which so many may be broadcast.
 BROADCAST_SPECS = 10_000
 
@@ -611,8 +656,6 @@ def evaluate(responses: DataFrame, constraints: DataFrame, *, key: str = "item_i
 
     Nulls: a null response is empty; null settings are none. An item without constraints gives no rows; empty tables give none.
     """
-    spark = responses.sparkSession
-    on_workers(spark)
     own, specs = distinct_constraints(constraints, key)
     few = False
     if checkers is None:
@@ -654,8 +697,10 @@ def evaluate(responses: DataFrame, constraints: DataFrame, *, key: str = "item_i
                 chain = chain.when(c["checker"] == n, ASKS[n](settings(n, c)))
             return chain
 
-        some = uses(asking)
-        rows = rows.withColumn("_facts", H.answer_facts(F.when(some, F.col("_text")), F.when(some, F.transform("_constraints", asked))))
+        # Texts of which nothing is asked stay where they are.
+        rows = rows.withColumn("_asks", F.transform("_constraints", asked))
+        rows = rows.withColumn("_asks", F.when(F.exists("_asks", lambda x: x.isNotNull()), F.col("_asks")))
+        rows = rows.withColumn("_facts", H.answer_facts(F.when(F.col("_asks").isNotNull(), F.col("_text")), F.col("_asks"))).drop("_asks")
 
     def judged(c: Column, i: Column) -> Column:
         known = {m: F.col(f"_m_{m}") for m in measured} | ({"facts": F.get(F.col("_facts"), i)} if asking else {})
