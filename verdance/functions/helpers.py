@@ -404,6 +404,43 @@ def judge_lenient(raw: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in raw], dtype="boolean")
 
 
+def balanced_cuts(sizes: list[int], least: int, most: int) -> list[int]:
+    """Where to cut a row of paragraphs: the end (exclusive) of each piece.
+
+    Of all cuts into pieces of at most `most` (a larger paragraph is a piece of its own) those with the fewest pieces outside least..most; of these the ones
+    with the smallest sum of squares of what they lack; of these the fewest pieces; of these the earliest ends. From back to front, each start looks at the ends within reach.
+    """
+    n = len(sizes)
+    best: list[tuple] = [(0, 0, 0, n)] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        total, found = 0, None
+        for j in range(i + 1, n + 1):
+            total += sizes[j - 1]
+            if total > most and j > i + 1:
+                break
+            lack = max(0, least - total)
+            rest = best[j]
+            one = (rest[0] + (not least <= total <= most), rest[1] + lack * lack, rest[2] + 1, j)
+            found = one if found is None or one < found else found
+        best[i] = found
+    out, at = [], 0
+    while at < n:
+        at = best[at][3]
+        out.append(at)
+    return out
+
+
+def cuts_within(least: int, most: int):
+    """A function of a column of sizes: balanced_cuts of each."""
+
+    @_shipped
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def cuts(sizes: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else balanced_cuts(x, least, most) for x in sizes.to_pylist()], pa.list_(pa.int32()))
+
+    return cuts
+
+
 _CODES = {n: re.compile(p) for n, p in {
     "words": r"\w[\w'-]*",
     "mixed_words": r"[一-鿿]|[A-Za-z]+",

@@ -604,6 +604,60 @@ def excerpt_chunks(docs: DataFrame, *, least: int = 2000, most: int = 5000) -> D
     return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.n").cast("long").alias("tokens"), F.array_join("c.t", "\n").alias("text"))
 
 
+def balanced_excerpts(docs: DataFrame, *, least: int = 2000, most: int = 5000) -> DataFrame:
+    """Verbatim excerpts at paragraph bounds of which as few as can be lie outside least..most tokens: doc_id, chunk, tokens, text.
+
+    excerpt_chunks leaves what is left at the end, however short; this one searches all cuts of a document (helpers.balanced_cuts), so that every excerpt has its size wherever any
+    cut does it. Only the sizes of paragraphs go to the helper; texts stay in their rows. A paragraph of more than `most` is an excerpt of its own. Documents without
+    text have no excerpts; repeated rows are cut alike.
+    """
+    paragraphs = F.filter(F.split("text", rf"\n{M.S}*\n|\n"), lambda p: M.strip(p) != "")
+    rows = docs.select("doc_id", paragraphs.alias("p")).withColumn("n", F.transform("p", lambda p: F.regexp_count(p, F.lit(f"{M.NS}+"))))
+    rows = rows.withColumn("ends", H.cuts_within(least, most)(F.col("n")))
+    starts = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
+    bounds = F.zip_with(starts, F.col("ends"), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    out = rows.where(F.size("ends") > 0).select("doc_id", "p", F.col("n").alias("sizes"), F.posexplode(bounds).alias("chunk", "b"))
+    piece = lambda x: F.slice(x, F.col("b.a") + 1, F.col("b.n"))
+    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.aggregate(piece(F.col("sizes")), F.lit(0).cast("long"), lambda acc, x: acc + x).alias("tokens"), F.array_join(piece(F.col("p")), "\n").alias("text"))
+
+
+def repair_rounds(responses: DataFrame, constraints: DataFrame, repair: Callable[[DataFrame], DataFrame], path: str, *, rounds: int = 3) -> DataFrame:
+    """Checking, repairing and checking again, each round in folders of its own under path: round, item_id, response, checks, passed, all_pass of each item's last version.
+
+    responses: item_id, response. repair gets the items that still fail (item_id, response, failing: index, checker and reason of each rule) and returns item_id and text.
+    Round 0 checks all answers. A later round checks only answers whose text has changed, by its hash, and writes only these; the versions before stay as they are, so that a lost
+    round is run again from them alone: its folders are replaced as a whole. It ends early when nothing fails or nothing changes. Repairs of
+    unknown items are left out, null texts change nothing, of several repairs of an item one counts. Items without rules pass with 0 checks.
+    """
+    spark = responses.sparkSession
+    rules = constraints.where(F.lower("check_type").isin("rule", "rule_aided"))
+    version = "item_id string, response string, hash binary, checks long, passed long, failing array<struct<constraint_index:long,checker:string,reason:string>>, all_pass boolean"
+
+    def checked_round(texts: DataFrame, n: int) -> DataFrame:
+        ok = F.coalesce(F.col("score") == 1, F.lit(False))
+        what = F.struct("constraint_index", F.coalesce("checker", F.lit("")).alias("checker"), F.coalesce("reason", F.lit("")).alias("reason"))
+        found = evaluate(texts.select("item_id", "response"), rules.withColumn("item_id", F.col("item_id").cast("string"))).groupBy(F.col("item_id").alias("_of")).agg(F.count("*").alias("checks"), F.count_if(ok).alias("passed"), F.array_sort(F.collect_list(F.when(~ok, what))).alias("failing"))
+        rows = texts.join(found, F.col("item_id") == F.col("_of"), "left")
+        none = F.expr("cast(array() as array<struct<constraint_index:bigint,checker:string,reason:string>>)")
+        out = rows.select("item_id", "response", F.unhex(F.md5(F.col("response").cast("binary"))).alias("hash"), F.coalesce("checks", F.lit(0)).alias("checks"), F.coalesce("passed", F.lit(0)).alias("passed"), F.coalesce("failing", none).alias("failing"))
+        out.withColumn("all_pass", F.col("passed") == F.col("checks")).write.mode("overwrite").parquet(f"{path}/round={n}")
+        return spark.read.schema(version).parquet(f"{path}/round={n}").withColumn("round", F.lit(n))
+
+    current = checked_round(responses.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("response", F.lit("")).alias("response")), 0)
+    for n in range(1, rounds + 1):
+        failing = current.where("NOT all_pass")
+        if failing.isEmpty():
+            break
+        repaired = cut(repair(failing.select("item_id", "response", "failing")).where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("_of"), "text").dropDuplicates(["_of"]))
+        changed = repaired.join(failing, F.col("_of") == F.col("item_id")).where(F.unhex(F.md5(F.col("text").cast("binary"))) != F.col("hash"))
+        changed = cut(changed.select("item_id", F.col("text").alias("response")))
+        if changed.isEmpty():
+            break
+        fresh = checked_round(changed, n)
+        current = current.join(fresh.select(F.col("item_id").alias("_f")), F.col("item_id") == F.col("_f"), "left_anti").unionByName(fresh)
+    return current.select("round", "item_id", "response", "checks", "passed", "all_pass")
+
+
 def shared_passages(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
     """The membership table: passage_id, passage, side (train or test), doc_id, one row for each document that holds a passage which both sides have.
 

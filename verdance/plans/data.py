@@ -48,6 +48,27 @@ def read_items(orders: DataFrame) -> DataFrame:
     return found.unionByName(bad.agg(F.lit("bad").alias("item_key"), F.count("*").alias("n")))
 
 
+def read_report(orders: DataFrame) -> DataFrame:
+    """The report of reading items with blank and bad lines and duplicate keys among them."""
+    r = F.col("k") % 5
+    line = F.when(r == 0, " ").when(r == 1, "{").when(r == 2, F.concat(F.lit('{"id": "D'), (F.col("k") % 100).cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"id": "'), TEXT("k"), F.lit('"}')))
+    items, bad, report = io.read_items_counted(orders.sparkSession, lines_file(orders, "k", line))
+    counted = items.agg(F.count("*").alias("items"), F.max("row").alias("last_row"))
+    return counted.select(F.lit(report.lines).cast("long").alias("lines"), F.lit(report.blank).cast("long").alias("blank"), F.lit(report.bad).cast("long").alias("bad"), F.lit(report.duplicate_keys).cast("long").alias("duplicate_keys"), F.lit(",".join(report.first_duplicates)).alias("first"), "items", "last_row")
+
+
+def appended(orders: DataFrame) -> DataFrame:
+    """Batches of results written one after the other, the first of them twice, and what is left to do then."""
+    spark, path = orders.sparkSession, scratch(orders.sparkSession, "appended")
+    rows = orders.select(F.concat(F.lit("m"), (F.col("k") % 4).cast("string")).alias("model"), F.col("k").alias("case_id"), F.col("c").alias("score"))
+    even, third = rows.where("case_id % 2 = 0"), rows.where("case_id % 3 = 0")
+    for batch, own in (("a", even.where("case_id % 4 = 0")), ("a", even), ("b", third.unionByName(third)), ("a", even)):
+        io.append_batch(own, path, batch, ["model", "case_id"])
+    stored_rows = io.read_appended(spark, path, rows.schema).groupBy("batch").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    left = io.resume(rows, path, rows.schema, ["model", "case_id"]).agg(F.lit("todo").alias("batch"), F.count("*").alias("n"), F.sum("score").alias("total"))
+    return stored_rows.unionByName(left)
+
+
 def read_responses(orders: DataFrame) -> DataFrame:
     """The last response of each key from JSON lines; a row with a primary id does not register under its line number."""
     r, k = F.col("k") % 4, F.col("k")
@@ -361,6 +382,8 @@ def judged(events: DataFrame) -> DataFrame:
 
 QUERIES = {
     "read_items": on(ORDERS, read_items),
+    "read_items_report": on(ORDERS, read_report),
+    "append_results": on(ORDERS, appended),
     "read_responses": on(ORDERS, read_responses),
     "read_context_manifest": on(DOCS, read_manifest),
     "write_results": on2(RESULTS, QUALITY, write_results),
@@ -431,6 +454,8 @@ MIN = f"(CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 100 + 50 * floor({u('param', 'm
 MAX = f"({MIN} + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 10 + 10 * floor({u('param', 'max')} * 3) END)::BIGINT"
 FIRST_BOX = "(NOT j AND k % 3 = 0)"
 SQL = {
+    "read_items_report": "WITH d AS (SELECT 'D' || (k % 100)::VARCHAR AS d, count(*) AS n FROM orders_ WHERE k % 5 = 2 GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS lines, count(*) FILTER (k % 5 = 0) AS blank, count(*) FILTER (k % 5 = 1) AS bad, (SELECT count(*) FROM d) AS duplicate_keys, (SELECT string_agg(d, ',' ORDER BY d) FROM (SELECT d FROM d ORDER BY d LIMIT 5)) AS first, count(*) FILTER (k % 5 > 1) AS items, max(r) FILTER (k % 5 > 1) AS last_row FROM (SELECT *, row_number() OVER (ORDER BY k) AS r FROM orders_)",
+    "append_results": "SELECT CASE WHEN k % 2 = 0 THEN 'a' WHEN k % 3 = 0 THEN 'b' ELSE 'todo' END AS batch, count(*) AS n, sum(c)::BIGINT AS total FROM orders_ GROUP BY 1",
     "read_items": "SELECT CASE k % 6 WHEN 2 THEN 'A' || k::VARCHAR WHEN 3 THEN 'B' || (k % 1000)::VARCHAR WHEN 4 THEN k::VARCHAR WHEN 5 THEN r::VARCHAR ELSE 'bad' END AS item_key, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY k) AS r FROM orders_) WHERE k % 6 > 0 GROUP BY 1",
     "read_responses": "SELECT key, arg_max(response, k) AS response FROM (SELECT k, CASE k % 4 WHEN 0 THEN k::VARCHAR WHEN 1 THEN (k - 1)::VARCHAR ELSE (-k)::VARCHAR END AS key, 'by ' || k::VARCHAR AS response FROM orders_ WHERE k % 4 < 3) GROUP BY key UNION ALL SELECT 'bad', count(*)::VARCHAR FROM orders_ WHERE k % 4 = 3",
     "read_context_manifest": "SELECT lang AS workflow, CASE WHEN length(text) > 1000 THEN 'ok' ELSE 'failed' END AS status, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ALL",
