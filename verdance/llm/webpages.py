@@ -30,8 +30,13 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumb\w*|byline|comments?|consent|cookies?|copyright|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|alert|pager|pagination|popup|promo\w*|related|share|sharing|sidebar|side|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget|reply|replies|discussion|complementary|contentinfo|signup|login|search|tags|teaser)(?:$|[\s_-])",
     re.I,
 )
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Styles that take an element off the page.
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: An attribute: its name and, if there is one, its value in quotes or without.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+#: Scripts that write no spaces between words, and the characters that only running text in them has plenty of.
+SPACELESS = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+RUNNING = re.compile(r"[\u3041-\u3096\u0E30-\u0E3A\u0E40-\u0E4E\u102B-\u103E\u17B6-\u17D3。，、；！？的了是在和不有这也就都而与为以于]")
 #: Page furniture of an article's own, such as its headline's header, may stand in these.
 CONTENT_TAGS = frozenset(("article", "main"))
 #: A tag with its attributes; where quotes don't close, up to the next bracket.
@@ -49,6 +54,8 @@ LONG_CHARS = 200
 STOP_LOW = 0.10
 STOP_HIGH = 0.20
 MAX_LINK_DENSITY = 0.4
+#: Elements of this depth at most are asked whether they hold most of the page, so that time stays linear in deep nesting.
+MAX_SIDES = 32
 
 
 @dataclass
@@ -57,6 +64,7 @@ class Block:
     link_chars: int
     heading: bool
     inside: bool
+    side: tuple[int, ...] = ()
 
 
 def tags_of(page: str) -> Iterator[tuple[str, re.Match | None]]:
@@ -108,20 +116,21 @@ def blocks_of(page: str) -> list[Block]:
 
     Tags that are never closed end with the element around them. `inside` tells blocks of an article or main
     element. An article inside an element that is furniture by its class only (a layout with a sidebar, say) counts, one inside reader comments doesn't.
+    `side` tells the block elements around a block, up to the next article, that are furniture by their class only: overruled() decides on these.
     """
     found: list[Block] = []
     parts: list[str] = []
     links, headings, content = [0], 0, 0
-    #: What is dropped now: by tag or comments (hard), by class (soft); an article sets the soft count aside.
-    hard, soft, link = 0, 0, 0
-    stack: list[tuple[str, int, int]] = []
+    #: What is dropped now: by tag or comments (hard), by the class of an inline element (soft), perhaps by that of a block element (side); an article sets the last two aside.
+    hard, soft, link, side, sides = 0, 0, 0, (), 0
+    stack: list[tuple[str, int, int, tuple[int, ...]]] = []
     opened: dict[str, int] = {}
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                found.append(Block(text, min(links[0], len(text)), headings > 0, content > 0))
+                found.append(Block(text, min(links[0], len(text)), headings > 0, content > 0, side))
             parts.clear()
         links[0] = 0
 
@@ -153,10 +162,9 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag and tag not in VOID_TAGS:
             closes = 1
         for _ in range(closes):
-            name, kind, kept = stack.pop()
+            name, kind, soft, side = stack.pop()
             opened[name] -= 1
             hard -= kind == 2
-            soft = kept if name in CONTENT_TAGS else soft - (kind == 1)
             link -= name == "a"
             headings -= name in HEADINGS
             content -= name in CONTENT_TAGS
@@ -170,10 +178,16 @@ def blocks_of(page: str) -> list[Block]:
             past = end.end() if end else len(page)
             continue
         kind = 2 if tag in DROPPED_TAGS or (tag == "header" and not content) else furniture(attributes) if attributes and tag not in ("html", "body", "article", "main") else 0
-        stack.append((tag, kind, soft))
+        stack.append((tag, kind, soft, side))
         opened[tag] = opened.get(tag, 0) + 1
         hard += kind == 2
-        soft = 0 if tag in CONTENT_TAGS else soft + (kind == 1)
+        if tag in CONTENT_TAGS:
+            soft, side = 0, ()
+        elif kind == 1 and tag in BLOCK_TAGS:
+            sides += 1
+            side = (*side, sides) if len(side) < MAX_SIDES else side
+        else:
+            soft += kind == 1
         link += tag == "a"
         headings += tag in HEADINGS
         content += tag in CONTENT_TAGS
@@ -182,29 +196,48 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def furniture(attributes: str) -> int:
-    """0: no furniture by its names, 1: by a class that an inner article overrules, 2: hidden or reader comments."""
-    if HIDDEN.search(attributes):
+    """0: no furniture by its names, 1: by a class that an inner article or most of the page's text overrules, 2: hidden or reader comments."""
+    own: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        own.setdefault(name.lower(), a or b or c)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or HIDDEN_STYLE.search(own.get("style", "")):
         return 2
-    names = [LAYOUT.sub(" ", a or b or c or "") for a, b, c in ATTRIBUTE.findall(attributes)]
+    names = [LAYOUT.sub(" ", own[n]) for n in ("class", "id", "role") if n in own]
     if any(COMMENT.search(x) for x in names):
         return 2
     return int(any(FURNITURE.search(x) for x in names))
 
 
+def overruled(blocks: list[Block], labels: list[str]) -> set[int]:
+    """The elements called furniture by their class that hold more than half of the page's good and near_good text: a page is not its own sidebar."""
+    total, inside = 0, {}
+    for b, label in zip(blocks, labels, strict=True):
+        if label in ("good", "near_good"):
+            total += len(b.text)
+            for k in b.side:
+                inside[k] = inside.get(k, 0) + len(b.text)
+    return {k for k, n in inside.items() if 2 * n > total}
+
+
 def first_pass(block: Block) -> str:
     """good, bad, near_good or short, by link density, length and stop-word density. An article's blocks need less of it."""
     text = block.text
     words = text.split(" ")
+    dense = len(SPACELESS.findall(text)) if not text.isascii() else 0
     if block.link_chars > MAX_LINK_DENSITY * len(text):
         return "bad"
     stop = sum(w.strip(".,;:!?()\"'*#$%&|").lower() in STOP_WORDS for w in words) / len(words)
     if "©" in text and len(text) < LONG_CHARS:
         return "bad"
     high = STOP_LOW if block.inside else STOP_HIGH
-    if len(text) < SHORT_CHARS:
+    size = len(text)
+    if 2 * dense > size:
+        # A character is about a syllable here, and the share of characters that only running text has stands for that of stop words.
+        size, stop = size + 2 * dense, 2 * len(RUNNING.findall(text)) / size
+    if size < SHORT_CHARS:
         return "short"
     if stop >= high:
-        return "good" if len(text) > LONG_CHARS else "near_good"
+        return "good" if size > LONG_CHARS else "near_good"
     return "near_good" if stop >= STOP_LOW else "short" if block.inside else "bad"
 
 
@@ -250,7 +283,12 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    keep = second_pass(blocks, [first_pass(b) for b in blocks])
+    labels = [first_pass(b) for b in blocks]
+    if any(b.side for b in blocks):
+        counts = overruled(blocks, labels)
+        fine = [all(k in counts for k in b.side) for b in blocks]
+        blocks, labels = ([x for x, ok in zip(own, fine, strict=True) if ok] for own in (blocks, labels))
+    keep = second_pass(blocks, labels)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -258,7 +296,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """One row per page: page_id, url, text, n_chars; the pages are not shuffled.
 
     Blocks inside navigation, headers, footers, sidebars, notices, adverts, forms, comments,
-    scripts and styles are dropped by tag and by class, id or role name. The first pass
+    scripts and styles are dropped by tag and by class, id or role name; an element that is furniture by such a name only, but holds more than
+    half of the page's prose, is none. The first pass
     labels a block by stop-word density, length and link density; the second gives
     ambiguous short blocks the label of their nearest decided neighbours. Where a page marks its article and that holds
     more than links, both passes run over the article's blocks, which need less density to count as prose. Time is linear in the page.
