@@ -59,7 +59,8 @@ class Evidence:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train_docs: int, targets: tuple[str, ...]):
         # The first max_train_docs labels by hash; their number bounds what is broadcast.
-        some = labels.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_of"), *[F.col(t).cast("double").alias(f"_label_{t}") for t in targets])
+        agreed = [F.when(F.min(t) == F.max(t), F.min(t)).cast("double").alias(f"_label_{t}") for t in targets]
+        some = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_of")).agg(*agreed)
         some = some.orderBy(F.xxhash64("_of"), "_of").limit(max_train_docs)
         rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
         rows = rows.join(F.broadcast(some), F.col("_id") == F.col("_of"))
@@ -139,7 +140,8 @@ def classify(
 
     Nulls: a null text is empty; null hosts and paths are sites of their own; null labels are not
     used, and without labels of both classes everything is kept. Repeated rows are rows of
-    their own; repeated labels of a document count once. A score equal to cut_at is kept. An empty table gives an
+    their own; repeated labels of a document count once,
+    and one on which they disagree counts as null. A score equal to cut_at is kept. An empty table gives an
     empty result.
     """
     evidence = Evidence(docs, labels, id_col, text_col, max_train_docs, ("quality", "toxic"))
