@@ -140,6 +140,15 @@ def test_phrase_query_equals_sql(spark):
     assert sorted(map(tuple, phrases.op12_collocations(spark, SF).select(*names).collect())) == sorted(cursor.fetchall())
 
 
+def test_long_words_that_trade_bytes_are_different_words(spark):
+    """Words of more than 4,096 bytes whose bytes change places a period of the hash apart."""
+    one, two = ("".join((a, "x" * 4095, b, "y" * 9)) for a, b in ("ab", "ba"))
+    rows = [("en", f"{one} k")] * 6 + [("en", f"{two} k")] * 9 + [("de", "z" * 20_000 + " k")] * 5
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, lang string, text string").repartition(3)
+    got = phrases.collocations(docs, least=5).select(*COLUMNS).collect()
+    assert sorted(map(tuple, got)) == sorted(phrases.brute_force(rows, least=5)) and len(got) == 3
+
+
 # Conversations
 
 
