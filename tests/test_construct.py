@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 
 import pytest
@@ -113,3 +114,25 @@ def test_context_reuse_of_text_ids(spark):
     got = context_reuse(spark.createDataFrame(rows, "item string, document string"), "item", "document").first()
     assert tuple(got) == (3, 2, "DOC-A", 2)
     assert tuple(context_reuse(spark.createDataFrame([], "item string, document string"), "item", "document").first()) == (0, 0, None, None)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_all_documents_are_checked_against_the_benchmark(spark):
+    """Every pair of a document and a benchmark item with a line in common is a link of the query, and the documents' own split is there, too."""
+    import duckdb
+
+    from verdance.plans.data import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    lines = "SELECT DISTINCT {0}, trim(unnest(string_split(text, chr(10)))) AS p FROM {1}"
+    pairs = con.execute(f"SELECT 'DOC-' || doc_id, 'ITEM-' || item_id, md5(p) FROM ({lines.format('doc_id', 'documents')}) JOIN ({lines.format('item_id', 'benchmark')}) USING (p) WHERE p <> ''").fetchall()
+    rows = [r.asDict() for r in QUERIES["source_disjoint_check"](spark, sf).collect()]
+    sides = {side: [(r["doc_id"], r["passage_id"]) for r in rows if r["scope"] == "benchmark" and r["side"] == side] for side in ("train", "test")}
+    assert len(pairs) > 0 and sorted(pairs) == sorted((a, b, p) for a, p in sides["train"] for b, q in sides["test"] if p == q)
+    cursor = con.execute(ORACLES["source_disjoint_check"])
+    names = [d[0] for d in cursor.description]
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(cursor.fetchall())
+    assert {r["scope"] for r in rows} == {"benchmark", "split"}

@@ -691,3 +691,14 @@ def source_disjoint_check(train: DataFrame, test: DataFrame, *, least: int = 0)
         F.min(F.when(own("train"), F.col("doc_id"))).alias("train_first"),
         F.min(F.when(own("test"), F.col("doc_id"))).alias("test_first"),
     )
+
+
+def disjoint_links(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
+    """One row for each document of a passage that train and test share: passage_id, chars, side, doc_id, links (the documents of the other side that hold it)
+    and first (the smallest id among these).
+
+    A train and a test document are linked by a passage exactly if both have a row for it, so all pairs are there without being written out. Edge cases are as in shared_passages.
+    """
+    members = cut(shared_passages(train, test, least=least).select("passage_id", F.length("passage").cast("long").alias("chars"), "side", "doc_id"))
+    other = members.groupBy(F.col("passage_id").alias("_of"), F.when(F.col("side") == "train", "test").otherwise("train").alias("_side")).agg(F.count("*").alias("links"), F.min("doc_id").alias("first"))
+    return members.join(other, (F.col("passage_id") == F.col("_of")) & (F.col("side") == F.col("_side"))).drop("_of", "_side")

@@ -155,6 +155,23 @@ SELECT p, side, doc_id FROM (
       CASE WHEN doc_id % 8 = 0 THEN 'test' ELSE 'train' END AS side, 'DOC-' || doc_id::VARCHAR AS doc_id FROM documents) WHERE p <> '')
 WHERE sides = 2
 """
+#: All documents are train sources, all benchmark items test sources.
+AGAINST = ("SELECT 'DOC-' || CAST(doc_id AS STRING) AS doc_id, text FROM {documents}", "SELECT 'ITEM-' || CAST(item_id AS STRING) AS doc_id, text FROM {benchmark}")
+SHARED_ITEMS = """
+SELECT p, side, doc_id FROM (
+  SELECT *, count(DISTINCT side) OVER (PARTITION BY p) AS sides FROM (
+    SELECT DISTINCT trim(unnest(string_split(text, chr(10)))) AS p, 'train' AS side, 'DOC-' || doc_id::VARCHAR AS doc_id FROM documents
+    UNION ALL SELECT DISTINCT trim(unnest(string_split(text, chr(10)))), 'test', 'ITEM-' || item_id::VARCHAR FROM benchmark) WHERE p <> '')
+WHERE sides = 2
+"""
+
+
+def disjoint(spark, sf_dir):
+    """Links of all documents with the benchmark, and of the documents' own split."""
+    scopes = {"benchmark": AGAINST, "split": (SPLIT.format(side="> 0"), SPLIT.format(side="= 0"))}
+    found = [on2(a, b, C.disjoint_links)(spark, sf_dir).withColumn("scope", F.lit(scope)) for scope, (a, b) in scopes.items()]
+    return found[0].unionByName(found[1])
+
 
 QUERIED = "SELECT o_orderkey AS sample_id, 'T' || CAST(o_orderkey % 5 + 1 AS STRING) AS l1, o_orderpriority || CASE o_orderkey % 4 WHEN 0 THEN ' 用表格' WHEN 1 THEN ' 以列表呈现' ELSE '' END AS query FROM {orders}"
 POOL = [("check_no_table", ["T1", "T2"], None), ("check_no_list", None, []), ("S1", ["T2", "T4"], ["urgent"])]
@@ -440,7 +457,7 @@ QUERIES = {
     "repair_prompts": on(CUSTOMERS, prompted),
     "fix_decimals": on(NUMBERS, decimals),
     "excerpt_chunks": on(LONG, lambda d: C.excerpt_chunks(d, least=7, most=14).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"), F.sum(F.length("text")).alias("chars"))),
-    "source_disjoint_check": on2(SPLIT.format(side="> 0"), SPLIT.format(side="= 0"), C.source_disjoint_check),
+    "source_disjoint_check": disjoint,
     "shared_passages": on2(SPLIT.format(side="> 0"), SPLIT.format(side="= 0"), lambda a, b: C.shared_passages(a, b).drop("passage")),
 }
 
@@ -498,7 +515,7 @@ SQL = {
     "repair_prompts": f"SELECT c_custkey AS item_id, '## Constraints not met' || {NL} || {NL} || '### [N3]' || {NL} || '- Constraint: ' || c_mktsegment || {NL} || '- Checker: check_decimal_places' || {NL} || '- Settings: {{\"places\":\"2\"}}' || {NL} || '- Why it fails: ' || c_nationkey::VARCHAR || {NL} || {NL} || '## All constraints (keep those that are met)' || {NL} || {NL} || '1. [N3] ' || c_mktsegment || {NL} || '2. [S1] b' || {NL} || {NL} || '## Response' || {NL} || {NL} || c_custkey::VARCHAR AS prompt FROM customer".replace("{{", "{").replace("}}", "}"),
     "fix_decimals": f"SELECT o_orderkey AS k, '# ' || x || {NL} || 'sum ' || y || '% and 2.50, ' || x || '年 1.2 节 12.50a' || {NL} || '| --- |' || {NL} || y AS fixed FROM (SELECT o_orderkey, o_custkey::VARCHAR || '.' || (100 + o_orderkey % 900)::VARCHAR AS x, o_custkey::VARCHAR || '.' || ((100 + o_orderkey % 900) // 10)::VARCHAR AS y FROM orders)",
     "excerpt_chunks": "SELECT doc_id, chunks, (3 * m + 16)::BIGINT AS tokens, longest::BIGINT AS longest, (13 * m + 30 + 4 + (m + 2 - chunks))::BIGINT AS chars FROM (SELECT *, CASE WHEN m = 0 THEN 15 ELSE 15 END AS longest, CASE WHEN m = 0 THEN 2 ELSE ceil(m / 3.0)::BIGINT + 2 END AS chunks FROM (SELECT o_orderkey AS doc_id, o_orderkey % 9 AS m FROM orders))",
-    "source_disjoint_check": f"WITH m AS ({SHARED}) SELECT md5(p) AS passage_id, length(p) AS chars, count(*) FILTER (side = 'train') AS train_docs, count(*) FILTER (side = 'test') AS test_docs, min(doc_id) FILTER (side = 'train') AS train_first, min(doc_id) FILTER (side = 'test') AS test_first FROM m GROUP BY p",
+    "source_disjoint_check": f"WITH m AS (SELECT 'benchmark' AS scope, * FROM ({SHARED_ITEMS}) UNION ALL SELECT 'split', * FROM ({SHARED})), c AS (SELECT scope, p, side, count(*) AS links, min(doc_id) AS first FROM m GROUP BY ALL) SELECT m.scope, md5(m.p) AS passage_id, length(m.p) AS chars, m.side, m.doc_id, c.links, c.first FROM m JOIN c ON c.scope = m.scope AND c.p = m.p AND c.side <> m.side",
     "shared_passages": f"SELECT md5(p) AS passage_id, side, doc_id FROM ({SHARED})",
 }
 PARTS = {"results": RESULTS, "quality": QUALITY, "cons": CONSTRAINTS, "samples": SAMPLES, "candidates": CANDIDATES, "items": ITEMS, "answers": ANSWERS, "facts": FACTS, "orders_": ORDERS, "raws": "SELECT o_orderkey AS k, 'T' || CAST(o_orderkey % 3 AS STRING) AS l2, 'n' || lpad(CAST(o_orderkey AS STRING), 9, '0') AS name FROM {orders}"}
