@@ -107,3 +107,12 @@ def test_a_text_full_of_spans_takes_linear_time(spark):
     took(200)
     small, large = took(2000), took(16_000)
     assert large < 24 * small + 5
+
+
+def test_all_documents_take_part_in_fitting(spark, monkeypatch):
+    """Every candidate of more than 20,000 documents counts, in the trees and in the thresholds."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("ip 10.0.0."), (F.col("id") % 250).cast("string"), F.lit(" of "), F.col("id").cast("string")).alias("text"))
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda found, **_: (seen.append(found.where("kind = 'ip' AND known").count()), (None, {}))[1])
+    pii.find_pii(docs)
+    assert seen == [21_000]

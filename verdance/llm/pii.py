@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +34,6 @@ WIDE = {
 NEEDS = {"email": AT, "ip": r"[0-9]\x20?[.]", "card": "[0-9]", "phone": "[0-9]"}
 BASE_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-MAX_TRAIN_DOCS = 20_000
 TREES, DEPTH = 10, 3
 PRECISION = 0.98
 #: Characters of context on either side.
@@ -299,25 +300,45 @@ def described(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.lit(kind).alias("kind"), F.col("label").cast("double").alias("label"), "draw", *[x.alias(n) for n, x in zip(FEATURES, features(kind, F.col("c")), strict=True)])
 
 
-def candidates(rows: DataFrame, unknown: bool = False) -> DataFrame:
-    """What the base and the generators found in some rows of with_spans, labelled by evidence; where it does not speak a candidate is left out, or (unknown)
-    counts as none. draw is one for all candidates of a document."""
+def places(rows: DataFrame) -> DataFrame:
+    """kind, known (by the base), value, left, right (CONTEXT characters each) and draw of all that the base and the generators found in rows of with_spans,
+    in one pass over the texts. draw is one for all of a document."""
+
+    def placed(kind: str, known: bool):
+        def one(s: Column) -> Column:
+            left, _ = around(s, F.col("parts"))
+            return F.struct(F.lit(kind).alias("kind"), F.lit(known).alias("known"), s["value"].alias("value"), left.alias("left"), cut_out(F.col("parts"), s["end"], F.lit(CONTEXT)).alias("right"))
+
+        return one
+
+    own = F.concat(*[F.transform(f"{name}_{kind}", placed(kind, name == "base")) for kind in KINDS for name in ("base", "cand")])
+    return rows.select(F.xxhash64("text").alias("draw"), F.explode(own).alias("p")).select("draw", "p.*")
+
+
+def at_hand() -> Column:
+    """in_context of a place: one character on the right."""
+    return F.struct("value", "left", F.substring("right", 1, 1).alias("right"))
+
+
+def labelled(found: DataFrame, unknown: bool) -> DataFrame:
     out = None
     for kind in KINDS:
-        one = rows.select("parts", F.xxhash64("text").alias("draw"), F.explode(F.concat(f"base_{kind}", f"cand_{kind}")).alias("span"))
-        one = one.select("draw", in_context(F.col("span"), F.col("parts")).alias("c")).withColumn("label", evidence(kind, F.col("c")))
+        one = found.where(F.col("kind") == kind).select("draw", at_hand().alias("c")).withColumn("label", evidence(kind, F.col("c")))
         one = described(one.withColumn("label", F.coalesce("label", F.lit(0))) if unknown else one.where("label IS NOT NULL"), kind)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def training(rows: DataFrame) -> DataFrame:
-    """All labelled candidates of some rows of with_spans, and the known values of their base and of the seeds in all variants."""
-    out, known = candidates(rows, unknown=True), seeds(rows.sparkSession)
-    for kind in KINDS:
-        own = rows.select("parts", "text", F.explode(f"base_{kind}").alias("span"))
-        left, _ = around(F.col("span"), F.col("parts"))
-        known = known.unionByName(own.select(F.lit(kind).alias("kind"), F.col("span.value").alias("value"), left.alias("left"), cut_out(F.col("parts"), F.col("span.end"), F.lit(CONTEXT)).alias("right"), F.xxhash64("text").alias("draw")))
+def candidates(rows: DataFrame, unknown: bool = False) -> DataFrame:
+    """What the base and the generators found in rows of with_spans, labelled by evidence; where it does not speak a candidate is left out, or (unknown)
+    counts as none. draw is one for all candidates of a document."""
+    return labelled(places(rows), unknown)
+
+
+def training(found: DataFrame) -> DataFrame:
+    """All candidates of places, labelled, and the known values of their base and of the seeds in all variants."""
+    out = labelled(found, unknown=True)
+    known = seeds(found.sparkSession).unionByName(found.where("known").select("kind", "value", "left", "right", "draw"))
     for kind in KINDS:
         ways = F.array(*[F.struct(label.cast("double").alias("label"), v.alias("value"), a.alias("left"), b.alias("right")) for label, v, a, b in variants(kind, F.col("value"), F.col("left"), F.col("right"))])
         one = known.where(F.col("kind") == kind).select("draw", F.explode(ways).alias("w")).select("draw", "w.*")
@@ -342,22 +363,26 @@ def boosted(model, row: Column) -> Column:
     return total
 
 
-def fit(rows: DataFrame, *, precision: float = PRECISION) -> tuple[object | None, dict[str, float]]:
-    """Trees from the labelled candidates of some rows of with_spans, and for each kind the least
-    margin at which the held-out documents' part of them reaches the precision (none reaches it: no threshold)."""
-    table_ = cut(training(rows))
+def fit(found: DataFrame, *, precision: float = PRECISION) -> tuple[object | None, dict[str, float]]:
+    """Trees from all labelled candidates of places, and for each kind the least
+    margin at which the held-out documents' part of them reaches the precision (none reaches it: no threshold).
+
+    Candidates of equal features are one weighted row, so the table that is fitted hardly grows with the corpus."""
+    all_of = training(found).withColumn("held", F.pmod(F.col("draw"), F.lit(4)) == 0)
+    table_ = cut(all_of.groupBy("kind", "held", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")))
     n = table_.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).first()
     if not n["yes"] or not n["no"]:
         return None, {}
-    held = F.pmod(F.col("draw"), F.lit(4)) == 0
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table_)
-    train = assembled.where(~held)
+    train = assembled.where("NOT held")
     if train.select("label").distinct().count() < 2:
         return None, {}
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(train.select("features", "label"))
+    # With so many bins the places of splits come from all rows: beyond 10,000 of them they come from a sample of bins * bins.
+    bins = 32 if n["yes"] + n["no"] <= 10_000 else math.isqrt(n["yes"] + n["no"]) + 1
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, labelCol="label", weightCol="weight").fit(train.select("features", "label", "weight"))
     margin = boosted(model, F.array(*[F.col(n) for n in FEATURES]))
     # Calibration: how many held-out candidates at or above each margin are right; few distinct margins.
-    levels = table_.where(held).groupBy("kind", F.round(margin, 6).alias("margin")).agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
+    levels = table_.where("held").groupBy("kind", F.round(margin, 6).alias("margin")).agg(F.sum(F.col("label") * F.col("weight")).alias("yes"), F.sum("weight").alias("n"))
     thresholds: dict[str, float] = {}
     sums: dict[str, list[float]] = {}
     for r in levels.orderBy("kind", F.desc("margin")).collect():
@@ -369,12 +394,12 @@ def fit(rows: DataFrame, *, precision: float = PRECISION) -> tuple[object | None
     return model, thresholds
 
 
-def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train_docs: int = MAX_TRAIN_DOCS, precision: float = PRECISION) -> DataFrame:
+def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """One row per document: doc_id, text, base and spans, arrays of (start, kind_id, end).
 
     base holds the matches of the four base patterns that pass their tests; spans adds
     the candidates whose boosted margin reaches the threshold of their kind and that overlap no earlier one of these: the trees decide on
-    every candidate. They are fitted on the candidates of at most max_train_docs documents, labelled by evidence, and on the known values of the base, and some made-up
+    every candidate. They are fitted on the candidates of all documents, labelled by evidence, and on the known values of the base, and some made-up
     ones, rewritten as people rewrite them to hide them from patterns and as numbers that only look like them; thresholds are the least margins at which a
     quarter of the documents, held out, gives the precision. Trees are evaluated inside the row as nested conditions,
     so documents are read in place and never shuffled. Time grows with the number of spans.
@@ -383,10 +408,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     A null text is empty. Repeated rows give repeated rows; an empty table an empty result. Scoring covers all documents.
     """
     rows = with_spans(docs, id_col, text_col)
-    # A seeded draw that stays under max_train_docs; a limit would move every partition's rows into one.
-    part = min(1.0, 0.95 * max_train_docs / max(1, docs.count()))
     slim = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, thresholds = fit(cut(with_spans(slim.sample(part, seed=7), "doc_id", "text")), precision=precision)
+    model, thresholds = fit(cut(places(with_spans(slim, "doc_id", "text"))), precision=precision)
     placed = "struct<start:int,kind_id:int,end:int>"
     empty = F.expr(f"cast(array() as array<{placed}>)")
     shape = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_id"), s["end"].alias("end"))
