@@ -116,3 +116,13 @@ def test_all_documents_take_part_in_fitting(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", lambda found, **_: (seen.append(found.where("kind = 'ip' AND known").count()), (None, {}))[1])
     pii.find_pii(docs)
     assert seen == [21_000]
+
+
+def test_the_pipeline_fits_on_all_documents_that_reach_it(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("mail a"), (F.col("id") % 90).cast("string"), F.lit("@b.org")).alias("text"))
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda found, **_: (seen.append(found.where("kind = 'email' AND known").count()), (None, {}))[1])
+    assert corpus_pipeline.pii_stage(spark, docs, "").columns == ["doc_id", "text"]
+    assert seen == [21_000]
