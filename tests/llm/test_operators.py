@@ -153,6 +153,41 @@ def test_lm_parent_sums_to_one():
     assert known + shape.parent(np.zeros(1), np.zeros(1), 0)[0] == pytest.approx(1)
 
 
+def test_lm_contexts_are_whole_words(spark):
+    """Each previous word has a restaurant of its own, however many there are: 20,000 words decide what follows them, and all are told apart."""
+    import zlib
+
+    n = 20_000
+    # Word k is followed by x or by y, by its parity; each is seen often enough to be sure.
+    texts = [" ".join(f"w{k} {'xy'[k % 2]} w{k} {'xy'[k % 2]} w{k} {'xy'[k % 2]}" for k in range(i * 100, i * 100 + 100)) for i in range(n // 100)]
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    asked = [i for i in range(10_000, 30_000) if zlib.crc32(str(i).encode()) % 7 == 2][:400]
+    words = list(range(0, n, 100)) + list(range(1, n, 100))
+    docs = documents(spark, texts + [f"w{k} {'xy'[i]}" for i in (0, 1) for k in words[::2]], ids=ids + asked)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, bucket_bytes=200_000).collect()}
+    # What follows x and y differs, but by the same for all words.
+    gaps = {k: got[a] - got[b] for k, a, b in zip(words[::2], asked[:200], asked[200:], strict=True)}
+    even, odd = ([g for k, g in gaps.items() if k % 2 == r] for r in (0, 1))
+    # A word that shared its restaurant with one of the other parity would give both the same chance.
+    assert min(even) - max(odd) > 1, (sorted(even)[:5], sorted(odd)[-5:])
+
+
+def test_lm_scores_do_not_hang_on_what_is_hot(spark, monkeypatch):
+    """Where pairs are counted and scored, and how contexts are written, changes only the draws."""
+    docs = documents(spark, prose(33, 60, 60) + EDGES)
+    runs = []
+    for hot, pairs, contexts in ((1_024, 1 << 16, 65_535), (2, 1, 2), (500, 300, 16)):
+        monkeypatch.setattr(lm, "HOT", hot)
+        monkeypatch.setattr(lm, "HOT_PAIRS", pairs)
+        monkeypatch.setattr(lm, "CONTEXTS", contexts)
+        runs.append({r.doc_id: r for r in lm.score_documents(docs, bucket_bytes=3_000).collect()})
+    for other in runs[1:]:
+        assert {i: tuple(r)[:5] for i, r in other.items()} == {i: tuple(r)[:5] for i, r in runs[0].items()}
+        for i, r in runs[0].items():
+            assert other[i].base_score == pytest.approx(r.base_score, rel=1e-9)
+            assert other[i].score == pytest.approx(r.score, abs=0.15 * r.n_tokens)
+
+
 def test_lm_repeated_rows_and_null_ids(spark):
     docs = documents(spark, ["a b", "a b", "c", "d e", "d e"], ids=[1, 1, 1, None, None])
     got = sorted(str(tuple(r)[:4]) for r in lm.score_documents(docs).collect())
