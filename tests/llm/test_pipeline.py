@@ -5,9 +5,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verdance.llm import decontaminate, mixing, near
+from verdance.llm import decontaminate, mixing, near, quality
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -76,3 +77,32 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark):
     assert kept["decontaminate"] == every
     assert kept["pii"] == sorted(x.replace("a@b.co", "[EMAIL]") for x in every)
     assert set(kept["mix"]) <= set(every)
+
+
+def test_the_classifier_is_fitted_on_all_labels(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, own):
+        seen.append(own.count())
+        raise Fitted
+
+    seen = []
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    monkeypatch.setattr(quality.LogisticRegression, "fit", fit)
+    with pytest.raises(Fitted):
+        quality.good_documents(docs, labels)
+    assert seen == [21_000]
+
+
+def test_the_classifier_is_the_same_with_many_labels(spark, monkeypatch):
+    """Labels that are joined by shuffle give what broadcast ones give."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "buy now ###").otherwise("a calm text of words").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    labels = docs.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    runs = []
+    for most in (100_000, 10):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        runs.append({r._row.doc_id: r.p_quality for r in quality.classify(docs, labels).collect()})
+    assert runs[0] == pytest.approx(runs[1], abs=1e-6)
+    assert runs[0][3] < 0.2 and runs[0][1] > 0.8

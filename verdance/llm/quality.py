@@ -8,10 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, stored, table
+from .common import BROADCAST_ROWS, cut, lookup, stored, table
 
-#: The classifier is fitted on at most so many labelled documents.
-MAX_TRAIN_DOCS = 20_000
 HASHED = 1 << 14
 NUMERIC = ("length", "word_length", "symbols", "shouts", "bars", "capitals", "digits", "variety", "fresh")
 #: How many documents' worth a prior may count at least and at most.
@@ -57,14 +55,15 @@ def packed(docs: DataFrame, text_col: str, host_col: str, path_col: str, carry:
 class Evidence:
     """Document classifiers for high quality and for toxicity, from labels 0 and 1."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train_docs: int, targets: tuple[str, ...]):
-        # The first max_train_docs labels by hash; their number bounds what is broadcast.
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets: tuple[str, ...]):
         agreed = [F.when(F.min(t) == F.max(t), F.min(t)).cast("double").alias(f"_label_{t}") for t in targets]
-        some = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_of")).agg(*agreed)
-        some = some.orderBy(F.xxhash64("_of"), "_of").limit(max_train_docs)
+        some = cut(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_of")).agg(*agreed))
         rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-        rows = rows.join(F.broadcast(some), F.col("_id") == F.col("_of"))
-        train = cut(vectors(rows).drop("_text", "_of"))
+        on = F.col("_id") == F.col("_of")
+        # Where labels are too many to be broadcast, features are shuffled to them, not texts.
+        few = some.count() <= BROADCAST_ROWS
+        train = vectors(rows.join(F.broadcast(some), on)).drop("_text") if few else vectors(rows).drop("_text").join(some, on)
+        train = stored(train.drop("_of"))
         self.models = {}
         for target in targets:
             own = train.select("_features", F.col(f"_label_{target}").alias("_label")).where("_label IN (0, 1)")
@@ -126,14 +125,13 @@ def classify(
     text_col: str = "text",
     host_col: str = "source",
     path_col: str = "lang",
-    max_train_docs: int = MAX_TRAIN_DOCS,
     cut_at: float = CUT,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Each row of docs as a struct _row (its columns named in carry, default all), with p_quality, p_toxic, p_doc, host_mean, path_mean, score, kept.
 
-    Two logistic regressions on hashed words and simple numbers, fitted on at most
-    max_train_docs labelled documents, give p_doc: good and not toxic. Host and path (here source and
+    Two logistic regressions on hashed words and simple numbers, fitted on all
+    labelled documents, give p_doc: good and not toxic. Host and path (here source and
     language section) get posterior means of p_doc over all other documents, shrunk by empirical
     Bayes; the log odds of the path against the global mean are added to those of the document.
     Texts are scored once; their probabilities are written to the shared folder for the two passes that need them.
@@ -144,7 +142,7 @@ def classify(
     and one on which they disagree counts as null. A score equal to cut_at is kept. An empty table gives an
     empty result.
     """
-    evidence = Evidence(docs, labels, id_col, text_col, max_train_docs, ("quality", "toxic"))
+    evidence = Evidence(docs, labels, id_col, text_col, ("quality", "toxic"))
     scored = evidence.score(packed(docs, text_col, host_col, path_col, docs.columns if carry is None else carry)).drop("_text")
     for target, default in (("quality", 1.0), ("toxic", 0.0)):
         if target not in evidence.models:
