@@ -108,3 +108,27 @@ def test_balanced_excerpts_leave_no_short_end(spark):
     assert greedy == [10, 10, 10, 5]
     assert [(r.doc_id, r.tokens) for r in got] == [("w", 3 - 2), ("x", 10), ("x", 10), ("x", 15)]
     assert "\n".join(r.text for r in got if r.doc_id == "x") == text.replace("\n\n", "\n")
+
+
+def test_intermediate_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from verdance.sources import shared
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def names():
+        files = manager.getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before = names()
+    out = shared.cut(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert out.count() == 1000
+    for _ in range(50):
+        left = {n for n in names() - before if n.endswith(".data")}
+        if len(left) <= 1:
+            break
+        time.sleep(0.1)
+    # What is left at most is from the count.
+    assert len({n.split("_")[1] for n in left}) <= 1, left
+    assert spark.conf.get(shared.SHUFFLES_GO) == "false"
