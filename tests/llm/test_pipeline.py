@@ -106,3 +106,30 @@ def test_the_classifier_is_the_same_with_many_labels(spark, monkeypatch):
         runs.append({r._row.doc_id: r.p_quality for r in quality.classify(docs, labels).collect()})
     assert runs[0] == pytest.approx(runs[1], abs=1e-6)
     assert runs[0][3] < 0.2 and runs[0][1] > 0.8
+
+
+def test_documents_without_labels_are_not_shuffled(spark, monkeypatch):
+    """With many labels, all labelled documents and few others go to the join; ids of any type keep their labels."""
+    moved, fitted = [], []
+    vectors, fit = quality.vectors, quality.LogisticRegression.fit
+
+    def counted(rows):
+        moved.append(rows.count())
+        return vectors(rows)
+
+    def watched(self, own):
+        fitted.append(own.count())
+        return fit(self, own)
+
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(quality, "vectors", counted)
+    monkeypatch.setattr(quality.LogisticRegression, "fit", watched)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionAll(docs.where("doc_id < 40")).unionAll(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    labels = docs.where("doc_id % 20 = 0").select("doc_id", (F.col("doc_id") % 40 == 0).cast("int").alias("quality"))
+    for kind, other, filtered in (("long", "long", True), ("int", "long", True), ("string", "string", True), ("double", "long", False)):
+        moved.clear(), fitted.clear()
+        quality.Evidence(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), labels.withColumn("doc_id", F.col("doc_id").cast(other)), "doc_id", "text", ("quality",))
+        # 200 labels, two of them for repeated rows.
+        assert fitted == [202]
+        assert (202 <= moved[0] <= 202 + 4000 / 8) if filtered else moved == [4041], (kind, moved)

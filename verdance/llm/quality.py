@@ -7,6 +7,7 @@ from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, cut, lookup, stored, table
 
@@ -15,6 +16,8 @@ NUMERIC = ("length", "word_length", "symbols", "shouts", "bars", "capitals", "di
 #: How many documents' worth a prior may count at least and at most.
 STRENGTH = (1.0, 1e6)
 CUT = 0.5
+#: Bits a label in the bitmap of labelled ids, and bits of it at most (32 MB); more labels only let more documents through to the join.
+LABEL_BITS, MOST_BITS = 16, 1 << 28
 
 
 def _numbers(text: Column, words: Column) -> list[Column]:
@@ -52,6 +55,36 @@ def packed(docs: DataFrame, text_col: str, host_col: str, path_col: str, carry:
     return docs.select(F.struct(*[col(n) for n in carry]).alias("_row"), F.coalesce(col(text_col), F.lit("")).alias("_text"), col(host_col).alias("_host"), col(path_col).alias("_path"))
 
 
+def whole_or_text(kind: T.DataType) -> str | None:
+    """The type as which ids of the kind are hashed; None where equal ids may be written differently."""
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return "long"
+    return "string" if kind == T.StringType() else None
+
+
+def perhaps_labelled(rows: DataFrame, some: DataFrame, n: int) -> DataFrame:
+    """All rows whose _id is one of the n ids _of in some, and at most about one in 16 of the others.
+
+    Hashed ids are looked up in a broadcast bitmap of n labels; the join that follows is exact. Rows
+    come back as they are where ids aren't both whole numbers or both plain text.
+    """
+    kind = whole_or_text(rows.schema["_id"].dataType)
+    if kind is None or kind != whole_or_text(some.schema["_of"].dataType):
+        return rows
+    size = min(MOST_BITS, 1 << (LABEL_BITS * n - 1).bit_length())
+
+    def place(name: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(F.col(name).cast(kind)), F.lit(size))
+        return F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+
+    of_page, of_bit = place("_of")
+    page, bit = place("_id")
+    pages = some.select(of_page.alias("_page"), of_bit.alias("_bit")).repartition("_page").groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(pages), page == F.col("_page"))
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_page", "_bits")
+
+
 class Evidence:
     """Document classifiers for high quality and for toxicity, from labels 0 and 1."""
 
@@ -60,9 +93,9 @@ class Evidence:
         some = cut(labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_of")).agg(*agreed))
         rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
         on = F.col("_id") == F.col("_of")
-        # Where labels are too many to be broadcast, features are shuffled to them, not texts.
-        few = some.count() <= BROADCAST_ROWS
-        train = vectors(rows.join(F.broadcast(some), on)).drop("_text") if few else vectors(rows).drop("_text").join(some, on)
+        # Where labels are too many to be broadcast, features of documents that may have one are shuffled to them, not texts.
+        n = some.count()
+        train = vectors(rows.join(F.broadcast(some), on)).drop("_text") if n <= BROADCAST_ROWS else vectors(perhaps_labelled(rows, some, n)).drop("_text").join(some, on)
         train = stored(train.drop("_of"))
         self.models = {}
         for target in targets:
