@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -133,3 +134,13 @@ def test_documents_without_labels_are_not_shuffled(spark, monkeypatch):
         # 200 labels, two of them for repeated rows.
         assert fitted == [202]
         assert (202 <= moved[0] <= 202 + 4000 / 8) if filtered else moved == [4041], (kind, moved)
+
+
+def test_the_classifier_scores_after_an_observation(spark):
+    """As other queries of a session make them: op12 and the JSON-lines reader do."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "buy now ###").otherwise("a calm text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert sorted(r.doc_id for r in quality.good_documents(docs, labels).collect()) == [i for i in range(40) if i % 3]

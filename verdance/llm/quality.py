@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, lookup, stored, table
+from .common import BROADCAST_ROWS, cut, lookup, scratch, stored, table
 
 HASHED = 1 << 14
 NUMERIC = ("length", "word_length", "symbols", "shouts", "bars", "capitals", "digits", "variety", "fresh")
@@ -102,7 +102,10 @@ class Evidence:
             own = train.select("_features", F.col(f"_label_{target}").alias("_label")).where("_label IN (0, 1)")
             if own.select("_label").distinct().count() == 2:
                 fit = LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol=f"_is_{target}", probabilityCol=f"_p_{target}", rawPredictionCol=f"_raw_{target}", maxIter=25, regParam=0.001, standardization=False)
-                self.models[target] = fit.fit(own)
+                # Read back, a model is without its training summary, which holds the session and can't go to tasks once the session has an observation.
+                path = scratch(docs.sparkSession, "model")
+                fit.fit(own).save(path)
+                self.models[target] = LogisticRegressionModel.load(path)
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds p_<target>; 0.5 where the labels don't hold both classes."""
