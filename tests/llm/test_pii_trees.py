@@ -126,3 +126,34 @@ def test_the_pipeline_fits_on_all_documents_that_reach_it(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", lambda found, **_: (seen.append(found.where("kind = 'email' AND known").count()), (None, {}))[1])
     assert corpus_pipeline.pii_stage(spark, docs, "").columns == ["doc_id", "text"]
     assert seen == [21_000]
+
+
+def test_what_the_driver_plans_does_not_grow_with_kinds_and_partitions(spark, monkeypatch):
+    """Candidates are looked for in one plan, trees are written out once for thresholds and once for all kinds, and fitted in as few tasks as their rows need."""
+    calls, fitted = [], []
+
+    def counted(name):
+        f = getattr(pii, name)
+        monkeypatch.setattr(pii, name, lambda *a: (calls.append(name), f(*a))[1])
+
+    def watched(self, train):
+        fitted.append((train.rdd.getNumPartitions(), train.agg(F.sum("weight")).first()[0]))
+        return fit(self, train)
+
+    counted("with_spans"), counted("boosted")
+    fit = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", watched)
+    docs = spark.createDataFrame(list(enumerate(x[0] for x in planted(33, 20))), "doc_id long, text string")
+    want = pii.training(pii.places(pii.with_spans(docs, "doc_id", "text"))).where("pmod(draw, 4) != 0").count()
+    calls.clear()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = pii.find_pii(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(calls) == ["boosted", "boosted", "with_spans"]
+    assert fitted == [(1, want)]
+    assert found.where(F.size("spans") > F.size("base")).count() > 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ NEEDS = {"email": AT, "ip": r"[0-9]\x20?[.]", "card": "[0-9]", "phone": "[0-9]"}
 BASE_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 TREES, DEPTH = 10, 3
+#: Weighted rows that a task takes when trees are fitted; more rows make more tasks.
+FIT_ROWS = 2000
 PRECISION = 0.98
 #: Characters of context on either side.
 CONTEXT = 24
@@ -145,9 +147,22 @@ def around(span: Column, parts: Column) -> tuple[Column, Column]:
 
 
 def in_context(span: Column, parts: Column) -> Column:
-    """value, left and right of a span, cut out once for all that looks at them."""
+    """kind, value, left and right of a span with its kind, cut out once for all that looks at them."""
     left, right = around(span, parts)
-    return F.struct(span["value"].alias("value"), left.alias("left"), right.alias("right"))
+    return F.struct(span["kind"].alias("kind"), span["value"].alias("value"), left.alias("left"), right.alias("right"))
+
+
+def by_kind(kind: Column, of) -> Column:
+    """of(k) for the k that kind names: one expression for all kinds."""
+    out = F.when(kind == KINDS[0], of(KINDS[0]))
+    for k in KINDS[1:-1]:
+        out = out.when(kind == k, of(k))
+    return out.otherwise(of(KINDS[-1]))
+
+
+def bound(x: Column, use) -> Column:
+    """use(x), with x worked out once. The driver generates no code for what is inside."""
+    return F.transform(F.array(x), use)[0]
 
 
 def signs(kind: str, c: Column) -> dict[str, Column]:
@@ -188,25 +203,27 @@ FEATURES = (
 )
 
 
-def features(kind: str, c: Column) -> list[Column]:
-    """Format of the value and its context, as doubles in the order of FEATURES; whether the base pattern matches is not among them."""
+def features(c: Column) -> Column:
+    """Format of a value (in_context) and its context, as an array of doubles in the order of FEATURES; whether the base pattern matches is not among them."""
     value, left, right = c["value"], c["left"], c["right"]
-    digits, own = digits_of(value), signs(kind, c)
-    flag = lambda c: c.cast("double")
-    return [
-        F.lit(float(KINDS.index(kind))),
-        F.length(value).cast("double"),
-        F.length(digits).cast("double"),
-        F.length(F.regexp_replace(value, "[^A-Za-z]", "")).cast("double"),
-        F.length(F.regexp_replace(value, "[A-Za-z0-9+]", "")).cast("double"),
-        F.size(F.split(value, "[^A-Za-z0-9]+")).cast("double"),
-        F.size(F.array_distinct(F.split(digits, ""))).cast("double"),
-        flag(left.rlike(r"[\p{L}\p{N}]$")),
-        flag(right.rlike(r"^[\p{L}\p{N}]")),
-        flag(left.rlike(r"[^\p{L}\p{N}\s]$")),
-        flag(right.rlike(r"^[^\p{L}\p{N}\s]")),
-        *[flag(own[n]) for n in ("sound", "marked", "cue", "denied", "glued")],
-    ]
+    digits, own = digits_of(value), {k: signs(k, c) for k in KINDS}
+    return F.array(
+        by_kind(c["kind"], lambda k: F.lit(float(KINDS.index(k)))),
+        *[x.cast("double") for x in (
+            F.length(value),
+            F.length(digits),
+            F.length(F.regexp_replace(value, "[^A-Za-z]", "")),
+            F.length(F.regexp_replace(value, "[A-Za-z0-9+]", "")),
+            F.size(F.split(value, "[^A-Za-z0-9]+")),
+            F.size(F.array_distinct(F.split(digits, ""))),
+            left.rlike(r"[\p{L}\p{N}]$"),
+            right.rlike(r"^[\p{L}\p{N}]"),
+            left.rlike(r"[^\p{L}\p{N}\s]$"),
+            right.rlike(r"^[^\p{L}\p{N}\s]"),
+            *[by_kind(c["kind"], lambda k, n=n: own[k][n]) for n in ("sound", "marked", "cue", "denied")],
+            own[KINDS[0]]["glued"],
+        )],
+    )
 
 
 def masked(text: Column, parts: Column, spans: Column) -> Column:
@@ -287,17 +304,9 @@ def seeds(spark: SparkSession) -> DataFrame:
         "phone": F.concat(F.lit("+"), (part(1, 1).cast("int") + 30).cast("string"), F.lit(" "), part(3, 2), F.lit(" "), part(5, 8)),
     }
     turn = lambda xs, step: F.get(F.array(*[F.lit(x) for x in xs]), (F.floor(F.col("id") / step) % len(xs)).cast("int"))
-    rows = spark.range(SEEDS)
-    out = None
-    for kind in KINDS:
-        one = rows.select(F.lit(kind).alias("kind"), values[kind].alias("value"), turn(BEFORE[kind], 1).alias("left"), turn(AFTER, len(BEFORE[kind])).alias("right"), F.xxhash64("id").alias("draw"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def described(rows: DataFrame, kind: str) -> DataFrame:
-    """kind, label, draw and features of rows (label, draw, c: in_context)."""
-    return rows.select(F.lit(kind).alias("kind"), F.col("label").cast("double").alias("label"), "draw", *[x.alias(n) for n, x in zip(FEATURES, features(kind, F.col("c")), strict=True)])
+    of = lambda k: F.struct(F.lit(k).alias("kind"), values[k].alias("value"), turn(BEFORE[k], 1).alias("left"), turn(AFTER, len(BEFORE[k])).alias("right"))
+    every = bound(F.col("id"), lambda _: F.array(*[of(k) for k in KINDS]))
+    return spark.range(SEEDS).select(F.xxhash64("id").alias("draw"), F.explode(every).alias("s")).select("s.*", "draw")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -316,17 +325,17 @@ def places(rows: DataFrame) -> DataFrame:
 
 
 def at_hand() -> Column:
-    """in_context of a place: one character on the right."""
-    return F.struct("value", "left", F.substring("right", 1, 1).alias("right"))
+    """in_context of a place: CONTEXT characters on the left and one on the right."""
+    return F.struct("kind", "value", F.substring("left", -CONTEXT, CONTEXT).alias("left"), F.substring("right", 1, 1).alias("right"))
 
 
 def labelled(found: DataFrame, unknown: bool) -> DataFrame:
-    out = None
-    for kind in KINDS:
-        one = found.where(F.col("kind") == kind).select("draw", at_hand().alias("c")).withColumn("label", evidence(kind, F.col("c")))
-        one = described(one.withColumn("label", F.coalesce("label", F.lit(0))) if unknown else one.where("label IS NOT NULL"), kind)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """kind, label, draw and features of rows (kind, value, left, right, draw, perhaps label); a null label is evidence's. Where that does not speak a
+    candidate is left out, or (unknown) counts as none."""
+    found = found if "label" in found.columns else found.withColumn("label", F.lit(None).cast("double"))
+    told = bound(F.col("c"), lambda c: by_kind(c["kind"], lambda k: evidence(k, c))).cast("double")
+    rows = found.select("kind", "draw", "label", at_hand().alias("c")).withColumn("label", F.coalesce("label", told, F.lit(0.0)) if unknown else F.coalesce("label", told))
+    return rows.where("label IS NOT NULL").select("kind", "label", "draw", bound(F.col("c"), features).alias("features"))
 
 
 def candidates(rows: DataFrame, unknown: bool = False) -> DataFrame:
@@ -336,15 +345,19 @@ def candidates(rows: DataFrame, unknown: bool = False) -> DataFrame:
 
 
 def training(found: DataFrame) -> DataFrame:
-    """All candidates of places, labelled, and the known values of their base and of the seeds in all variants."""
-    out = labelled(found, unknown=True)
-    known = seeds(found.sparkSession).unionByName(found.where("known").select("kind", "value", "left", "right", "draw"))
-    for kind in KINDS:
-        ways = F.array(*[F.struct(label.cast("double").alias("label"), v.alias("value"), a.alias("left"), b.alias("right")) for label, v, a, b in variants(kind, F.col("value"), F.col("left"), F.col("right"))])
-        one = known.where(F.col("kind") == kind).select("draw", F.explode(ways).alias("w")).select("draw", "w.*")
-        near = F.struct("value", F.substring("left", -CONTEXT, CONTEXT).alias("left"), F.substring("right", 1, 1).alias("right"))
-        out = out.unionByName(described(one.select("label", "draw", near.alias("c")), kind))
-    return out
+    """All candidates of places, labelled, and the known values of their base and of the seeds in all variants, in one pass."""
+    way = lambda label, v, a, b: F.struct(label.cast("double").alias("label"), v.alias("value"), a.alias("left"), b.alias("right"))
+    nothing = F.expr("cast(array() as array<struct<label:double,value:string,left:string,right:string>>)")
+
+    def ways(x: Column) -> Column:
+        rewritten = by_kind(x["kind"], lambda k: F.array(*[way(*v) for v in variants(k, x["value"], x["left"], x["right"])]))
+        own = F.when(x["own"], F.array(way(F.lit(None), x["value"], x["left"], x["right"]))).otherwise(nothing)
+        return F.concat(own, F.when(x["known"], rewritten).otherwise(nothing))
+
+    made_up = seeds(found.sparkSession).withColumns({"known": F.lit(True), "own": F.lit(False)})
+    rows = found.withColumn("own", F.lit(True)).unionByName(made_up)
+    rows = rows.select("kind", "draw", F.explode(bound(F.struct("kind", "value", "left", "right", "known", "own"), ways)).alias("w")).select("kind", "draw", "w.*")
+    return labelled(rows, unknown=True)
 
 
 def tree_expression(node, row: Column) -> Column:
@@ -369,18 +382,17 @@ def fit(found: DataFrame, *, precision: float = PRECISION) -> tuple[object | Non
 
     Candidates of equal features are one weighted row, so the table that is fitted hardly grows with the corpus."""
     all_of = training(found).withColumn("held", F.pmod(F.col("draw"), F.lit(4)) == 0)
-    table_ = cut(all_of.groupBy("kind", "held", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")))
-    n = table_.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).first()
+    table_ = cut(all_of.groupBy("kind", "held", "label", "features").agg(F.count("*").cast("double").alias("weight")))
+    n = table_.agg(F.count("*").alias("rows"), *[F.count_if(~F.col("held") & (F.col("label") == v)).alias(n) for n, v in (("yes", 1), ("no", 0))]).first()
     if not n["yes"] or not n["no"]:
         return None, {}
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table_)
-    train = assembled.where("NOT held")
-    if train.select("label").distinct().count() < 2:
-        return None, {}
+    # Each level of each tree is a job: with a task for each shuffle partition the driver would hold more about tasks than the table has rows.
+    table_ = table_.coalesce(math.ceil(n["rows"] / FIT_ROWS))
+    train = table_.where("NOT held").select(array_to_vector("features").alias("features"), "label", "weight")
     # With so many bins the places of splits come from all rows: beyond 10,000 of them they come from a sample of bins * bins.
-    bins = 32 if n["yes"] + n["no"] <= 10_000 else math.isqrt(n["yes"] + n["no"]) + 1
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, labelCol="label", weightCol="weight").fit(train.select("features", "label", "weight"))
-    margin = boosted(model, F.array(*[F.col(n) for n in FEATURES]))
+    bins = 32 if n["rows"] <= 10_000 else math.isqrt(n["rows"]) + 1
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, labelCol="label", weightCol="weight").fit(train)
+    margin = boosted(model, F.col("features"))
     # Calibration: how many held-out candidates at or above each margin are right; few distinct margins.
     levels = table_.where("held").groupBy("kind", F.round(margin, 6).alias("margin")).agg(F.sum(F.col("label") * F.col("weight")).alias("yes"), F.sum("weight").alias("n"))
     thresholds: dict[str, float] = {}
@@ -408,24 +420,25 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     A null text is empty. Repeated rows give repeated rows; an empty table an empty result. Scoring covers all documents.
     """
     rows = with_spans(docs, id_col, text_col)
-    slim = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, thresholds = fit(cut(places(with_spans(slim, "doc_id", "text"))), precision=precision)
+    model, thresholds = fit(places(rows), precision=precision)
     placed = "struct<start:int,kind_id:int,end:int>"
     empty = F.expr(f"cast(array() as array<{placed}>)")
     shape = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_id"), s["end"].alias("end"))
     base = F.array_sort(F.concat(*[F.transform(f"base_{k}", shape(k)) for k in KINDS]))
     rows = rows.withColumn("base", F.coalesce(base.cast(f"array<{placed}>"), empty))
 
-    def selected(kind: str) -> Column:
-        if kind not in thresholds:
-            return empty
-        # Bound step by step: a node of a tree looks at an array of numbers, not at how they came about.
-        bind = lambda x, use: F.transform(F.array(x), use)[0]
-        score = lambda s: bind(in_context(s, F.col("parts")), lambda c: bind(F.array(*features(kind, c)), lambda row: F.round(boosted(model, row), 6)))
-        chosen = F.filter(f"cand_{kind}", lambda s: score(s) >= F.lit(thresholds[kind]))
-        return F.when(F.size(f"cand_{kind}") > 0, F.transform(chosen, shape(kind))).otherwise(empty)
-
-    rows = rows.withColumn("extra", F.array_sort(F.concat(*[selected(kind) for kind in KINDS])))
+    def selected() -> Column:
+        # Bound step by step: a node of a tree looks at an array of numbers, not at how they came about. One set of trees for the candidates of all kinds:
+        # what the driver plans does not grow with their number.
+        told = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind_id"), s["end"].alias("end"), F.lit(k).alias("kind"), s["value"].alias("value"))
+        every = F.concat(*[F.transform(f"cand_{k}", told(k)) for k in KINDS if k in thresholds])
+        score = lambda s: bound(in_context(s, F.col("parts")), lambda c: bound(features(c), lambda row: F.round(boosted(model, row), 6)))
+        least = lambda s: by_kind(s["kind"], lambda k: F.lit(float(thresholds.get(k, math.inf))))
+        chosen = F.filter(every, lambda s: score(s) >= least(s))
+        placed_only = lambda s: F.struct(s["start"].alias("start"), s["kind_id"].alias("kind_id"), s["end"].alias("end"))
+        return F.when(F.size(every) > 0, F.transform(chosen, placed_only)).otherwise(empty)
+
+    rows = rows.withColumn("extra", F.array_sort(selected()) if thresholds else empty)
 
     def earliest(upto: Column, s: Column) -> tuple[Column, Column]:
         free = s["start"] >= upto
