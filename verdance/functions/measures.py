@@ -28,6 +28,9 @@ FENCE = "```"
 LE = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
 IN_LINE = r"\t\x1F\x20\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"
 LINE_END = rf"\r\n|[{LE}]"
+#: Python's white space, and its line ends but \n, as they are.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SEPARATOR = rf"^\|{S}*:?-{{3,}}:?{S}*(?:\|{S}*:?-{{3,}}:?{S}*)+\|?$"
 NUMBER = rf"(?iu)(?<!{W})[$€£]?{D}[{D},]*(?:\.{D}+)?{S}*(?:%|percent|days?|calendar-days?|years?)?"
 DECIMAL = rf"(?<!{W})[+-]?{D}[{D},]*(?:\.{D}+)?%?"
@@ -62,9 +65,19 @@ def lines(text: Column) -> Column:
     return F.split(text, LINE_END)
 
 
+def raw_lines(text: Column) -> Column:
+    """Lines as they are; \\r\\n makes an empty one. Split at one character, which takes no pattern; other line ends become \\n before, where there are any."""
+    return F.split(F.when(text.rlike(r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028-\u2029]"), F.translate(text, OTHER_ENDS, "\n" * len(OTHER_ENDS))).otherwise(text), "\n")
+
+
+def trimmed(lines_: Column) -> Column:
+    """Each line without white space around it; blank ones drop out."""
+    return F.filter(F.transform(lines_, lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+
+
 def nonblank(text: Column) -> Column:
     """Trimmed lines that are not empty: from the first to the last character of a line that is no white space."""
-    return F.regexp_extract_all(text, F.lit(rf"{NS}(?:[^{LE}]*{NS})?"), F.lit(0))
+    return trimmed(raw_lines(text))
 
 
 def word_count(text: Column) -> Column:
@@ -134,7 +147,7 @@ def heading_depth_measure(text: Column) -> Column:
 
 
 def table_lines(text: Column) -> Column:
-    return F.filter(nonblank(text), lambda x: x.startswith("|") & x.endswith("|"))
+    return F.filter(trimmed(F.filter(raw_lines(text), lambda x: x.contains("|"))), lambda x: x.startswith("|") & x.endswith("|"))
 
 
 def is_table(rows: Column) -> Column:
