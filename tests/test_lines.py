@@ -41,3 +41,11 @@ def test_risk_lines(spark, line, text, score):
 def test_risk_terms_are_looked_for_before_lines_and_lines_are_taken_once(spark):
     df = spark.createDataFrame([("x",)], "t string").select(check(F.col("t"), "risk_disclaimer", {}).alias("s"))
     assert plan(df).count("split(") == 1 and "regexp_extract_all" not in plan(df)
+
+
+def test_table_lines_are_taken_once(spark):
+    df = spark.createDataFrame([("| a | b |\n| --- | --- |\n| 1 | 2 |",)], "t string")
+    for name, config, wording in (("table_row_count", {"min_rows": 1, "max_rows": 2}, ""),):
+        found = df.select(check(F.col("t"), name, config, F.lit(wording)).alias("s"))
+        assert plan(found).count("coalesce(t#") == plan(df.select(M.table_lines(F.coalesce("t", F.lit(""))).alias("s"))).count("coalesce(t#")
+        assert found.first()[0] == 1
