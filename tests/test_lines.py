@@ -45,7 +45,14 @@ def test_risk_terms_are_looked_for_before_lines_and_lines_are_taken_once(spark):
 
 def test_table_lines_are_taken_once(spark):
     df = spark.createDataFrame([("| a | b |\n| --- | --- |\n| 1 | 2 |",)], "t string")
-    for name, config, wording in (("table_row_count", {"min_rows": 1, "max_rows": 2}, ""),):
+    for name, config, wording in (("table_row_count", {"min_rows": 1, "max_rows": 2}, ""), ("table_columns", {}, "A table with B, and a.")):
         found = df.select(check(F.col("t"), name, config, F.lit(wording)).alias("s"))
         assert plan(found).count("coalesce(t#") == plan(df.select(M.table_lines(F.coalesce("t", F.lit(""))).alias("s"))).count("coalesce(t#")
         assert found.first()[0] == 1
+
+
+def test_wanted_columns_are_read_once(spark):
+    """The wording is read for the names in quotes, then by three patterns, once each."""
+    df = spark.createDataFrame([("x", "A table with B, and a.")], "t string, w string")
+    text = plan(df.select(check(F.col("t"), "table_columns", {}, F.col("w")).alias("s")))
+    assert text.count("two-column table of") == 1 and text.count("|'[^']+'") == 1

@@ -231,10 +231,14 @@ def infer_word_limit(text: Column) -> Column:
 
 def _columns_named(segment: Column, by_and: bool) -> Column:
     clean = lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[`*_]", ""), f"{S}+", " "), r"^[ .;:|]+|[ .;:|]+$", ""), rf"(?iu)^(?:and|or){S}+", ""))
-    whole = F.regexp_replace(F.regexp_replace(segment, f"{S}+", " "), r"^[ .;:]+|[ .;:]+$", "")
-    parts = F.when(whole.contains(","), F.split(whole, ",")).otherwise(F.split(whole, rf"(?iu){S}+and{S}+") if by_and else F.array(whole))
-    names = F.filter(F.transform(parts, clean), lambda x: (x != "") & (F.size(F.filter(F.split(x, f"{S}+"), lambda w: w != "")) <= 6))
-    return F.when(F.size(names) >= 2, names)
+
+    def listed(segment: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_replace(segment, f"{S}+", " "), r"^[ .;:]+|[ .;:]+$", "")
+        parts = bind(whole, lambda w: F.when(w.contains(","), F.split(w, ",")).otherwise(F.split(w, rf"(?iu){S}+and{S}+") if by_and else F.array(w)))
+        names = F.filter(F.transform(parts, clean), lambda x: (x != "") & (ws_word_count(x) <= 6))
+        return F.when(segment != "", bind(names, lambda found: F.when(F.size(found) >= 2, found)))
+
+    return bind(segment, listed)
 
 
 def infer_table_columns(text: Column) -> Column:
