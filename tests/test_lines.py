@@ -56,3 +56,18 @@ def test_wanted_columns_are_read_once(spark):
     df = spark.createDataFrame([("x", "A table with B, and a.")], "t string, w string")
     text = plan(df.select(check(F.col("t"), "table_columns", {}, F.col("w")).alias("s")))
     assert text.count("two-column table of") == 1 and text.count("|'[^']+'") == 1
+
+
+def test_shared_passages_read_no_text_after_the_candidates(spark, monkeypatch):
+    """Members are the same whether hashes are broadcast or shuffled; documents are not split again for the check of the hashes."""
+    from verdance.operators import construct as C
+
+    train = spark.createDataFrame([("a", "x\n y\r\nx"), ("b", "y\nz"), (None, "z\n z"), (None, "z"), ("c", None)], "doc_id string, text string")
+    test = spark.createDataFrame([("d", "y"), ("e", " z\n\nw"), ("e", "z")], "doc_id string, text string")
+    wanted = {("y", "train", "a"), ("y", "train", "b"), ("z", "train", "b"), ("z", "train", None), ("y", "test", "d"), ("z", "test", "e")}
+    for most in (C.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(C, "BROADCAST_HASHES", most)
+        found = C.shared_passages(train, test)
+        rows = [(r.passage, r.side, r.doc_id) for r in found.collect()]
+        assert set(rows) == wanted and len(rows) == len(wanted)
+        assert "Generate" not in plan(found)

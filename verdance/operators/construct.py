@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from verdance.functions import helpers as H
 from verdance.functions import measures as M
-from verdance.sources.shared import cut, ranked
+from verdance.sources.shared import cut, ranked, stored
 
 from .checkers import evaluate, say
 from .rollups import sample_pass_rate
@@ -658,24 +658,33 @@ def repair_rounds(responses: DataFrame, constraints: DataFrame, repair: Callable
     return current.select("round", "item_id", "response", "checks", "passed", "all_pass")
 
 
+#: Hashes of passages of which so many may be broadcast, 8 bytes each.
+BROADCAST_HASHES = 1_000_000
+
+
 def shared_passages(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
     """The membership table: passage_id, passage, side (train or test), doc_id, one row for each document that holds a passage which both sides have.
 
     Passages are trimmed lines that are not blank, of `least` characters or more; passage_id is the md5 of the text. What both sides have is first found by a
-    hash of 64 bits, counted in each task before it moves, so that a footer in every document is a row a task; the text of these candidates alone then moves and
+    hash of 64 bits, counted in each task before it moves, so that a footer in every document is a row a task; the hashes that both sides have are written to the checkpoint folder
+    and broadcast where they are few, so that the text of these candidates alone then moves (is written there, too) and
     verifies the hash. A passage in m + n documents makes m + n rows, never m * n. Null texts have no passages; documents without an id are
     one document; repeated rows of a document count once; empty tables give an empty result.
     """
     def lines(df: DataFrame, side: str) -> DataFrame:
-        own = F.array_distinct(F.filter(M.nonblank(F.coalesce(F.col("text"), F.lit(""))), lambda p: F.length(p) >= least))
-        return df.select(F.lit(side).alias("side"), "doc_id", F.explode(own).alias("passage")).withColumn("h", F.xxhash64("passage"))
-
-    rows = lines(train, "train").unionByName(lines(test, "test"))
-    both = rows.groupBy("h").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("h")
-    members = rows.join(both, "h", "left_semi").select("passage", "side", "doc_id").distinct()
+        own = df.select(F.lit(side == "test").alias("is_test"), "doc_id", F.explode(M.nonblank(F.coalesce(F.col("text"), F.lit("")))).alias("passage"))
+        return own.where(F.length("passage") >= least) if least > 0 else own
+
+    # Sides are compared as booleans, whose least and largest need no sorting.
+    on_both = (F.min("is_test").alias("a"), F.max("is_test").alias("b"))
+    rows = lines(train, "train").unionByName(lines(test, "test")).withColumn("h", F.xxhash64("passage"))
+    both = stored(rows.groupBy("h").agg(*on_both).where("a <> b").select("h"))
+    few = both.count() <= BROADCAST_HASHES
+    members = stored(rows.join(F.broadcast(both) if few else both, "h", "left_semi").select("passage", "is_test", "doc_id").distinct())
     # Passages of one hash but of one side only are no shared ones.
-    sides = members.groupBy(F.col("passage").alias("_p")).agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("_p")
-    return members.join(sides, F.col("passage") == F.col("_p"), "left_semi").select(F.md5(F.col("passage").cast("binary")).alias("passage_id"), "passage", "side", "doc_id")
+    sides = members.groupBy(F.col("passage").alias("_p")).agg(*on_both).where("a <> b").select("_p")
+    found = members.join(sides, F.col("passage") == F.col("_p"), "left_semi")
+    return found.select(F.md5(F.col("passage").cast("binary")).alias("passage_id"), "passage", F.when(F.col("is_test"), "test").otherwise("train").alias("side"), "doc_id")
 
 
 def source_disjoint_check(train: DataFrame, test: DataFrame, *, least: int = 0) -> DataFrame:
