@@ -2,6 +2,9 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from verdance.functions import helpers as H
 from verdance.operators.checkers import evaluate
 
 PARAMS = "item_id int, constraint_index int, check_type string, checker string, params map<string,string>"
@@ -16,6 +19,14 @@ def test_asks_go_to_python_as_text_and_with_the_counts(spark):
     assert {r.constraint_index: r.score for r in found.collect()} == {0: 1, 1: 1, 2: 0}
 
 
+def test_asks_are_lines_of_json(spark):
+    """One for each constraint, empty for those that ask nothing; what is not written is null."""
+    asks = '{"kind": "count", "exact": true, "pattern": "a"}\n\n{"kind": "places", "headings": ["B"]}'
+    found = spark.range(1).select(H.answer_facts(F.lit("aa\nb"), F.lit(asks)).alias("f")).first().f
+    assert [None if x is None else (x.n, x.places) for x in found] == [(2, None), None, (None, [3])]
+    assert spark.range(1).select(H.answer_facts(F.lit("a"), F.lit(None).cast("string")).alias("f")).first().f is None
+
+
 def test_asks_keep_their_settings(spark):
     """Patterns with line ends, quotes, backslashes and separators; headings and fields in lists; many terms."""
     terms = [f"t\n{i}" for i in range(40)]
