@@ -70,9 +70,14 @@ def raw_lines(text: Column) -> Column:
     return F.split(F.when(text.rlike(r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028-\u2029]"), F.translate(text, OTHER_ENDS, "\n" * len(OTHER_ENDS))).otherwise(text), "\n")
 
 
+def trim(text: Column) -> Column:
+    """What strip does, without a pattern."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def trimmed(lines_: Column) -> Column:
     """Each line without white space around it; blank ones drop out."""
-    return F.filter(F.transform(lines_, lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+    return F.filter(F.transform(lines_, trim), lambda x: x != "")
 
 
 def nonblank(text: Column) -> Column:
@@ -86,7 +91,7 @@ def word_count(text: Column) -> Column:
 
 def mixed_word_count(text: Column) -> Column:
     """CJK characters and runs of Latin letters."""
-    return count(text, r"[一-鿿]") + count(text, "[A-Za-z]++")
+    return F.when(F.octet_length(text) == F.length(text), F.lit(0).cast("long")).otherwise(count(text, r"[一-鿿]")) + count(text, "[A-Za-z]++")
 
 
 def ws_word_count(text: Column) -> Column:

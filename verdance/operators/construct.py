@@ -513,29 +513,29 @@ def diagnose_failure(response: Column, checker: Column | str, params: Column) ->
     items = M.count(text, rf"(?dm)^{M.D}+[.、)）]{M.S}")
     exact = F.nullif(c.number("exact_count"), F.lit(0))
     first, last = F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
-    first_wanted, last_wanted = c.given("first_line"), c.given("last_line")
-    ends = F.concat_ws(
-        "; ",
-        F.when(first_wanted.isNotNull() & ~first.contains(first_wanted), told("first line must hold ", first_wanted, ", is ", F.substring(first, 1, 50))),
-        F.when(last_wanted.isNotNull() & ~last.contains(last_wanted), told("last line must hold ", last_wanted, ", is ", F.substring(last, 1, 50))),
-    )
+    # Each text is worked out once, where its checker is told about.
+    held = lambda wanted, own, what: F.when(wanted.isNotNull(), M.bind(own, lambda x: F.when(~x.contains(wanted), told(what, wanted, ", is ", F.substring(x, 1, 50)))))
+    ends = F.concat_ws("; ", held(c.given("first_line"), first, "first line must hold "), held(c.given("last_line"), last, "last line must hold "))
     word = F.coalesce(c.raw("word"), F.lit(""))
-    opened = F.regexp_replace(M.strip(text), rf"^(?:\*{{1,2}}|#{{1,6}}{M.S}*)", "")
+    opened = lambda t: F.regexp_replace(t, rf"^(?:\*{{1,2}}|#{{1,6}}{M.S}*)", "")
     places = number("places", 2)
     wrong = F.filter(F.regexp_extract_all(text, F.lit(rf"{M.D}[{M.D},]*\.{M.D}+"), F.lit(0)), lambda x: F.length(F.regexp_extract(x, r"\.(.*)$", 1)) != places)
     sentences = F.size(F.filter(F.split(text, "[。！？!?]+"), lambda x: F.length(M.strip(x)) > 5)).cast("long")
     sections = M.count(text, rf"(?dm)^#{{1,4}}{M.S}")
-    levels = F.size(F.array_distinct(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, rf"^(#{{1,6}}){M.S}", 1)), lambda m: m != ""))).cast("long")
-    boxes = M.count(text, rf"(?dm)^{M.S}*[-*]{M.S}*\[[ xX]\]")
+    headings = F.filter(M.trimmed(F.filter(M.raw_lines(response), lambda x: x.contains("#"))), lambda x: x.startswith("#"))
+    levels = F.size(F.array_distinct(F.filter(F.transform(headings, lambda x: F.regexp_extract(x, rf"^(#{{1,6}}){M.S}", 1)), lambda m: m != ""))).cast("long")
+    boxes = F.when(text.contains("["), M.count(text, rf"(?dm)^{M.S}*[-*]{M.S}*\[[ xX]\]")).otherwise(F.lit(0).cast("long"))
+    ranged = lambda n: F.when(n < low, told(n, " words, wanted ", low, " to ", high, ": add ", low - n)).when(n > high, told(n, " words, wanted ", low, " to ", high, ": cut ", n - high))
+    paragraphs = lambda n: F.when((most > 0) & (n > most), told(n, " paragraphs, wanted ", fewest, " to ", most, ": join some")).when(n < fewest, told(n, " paragraphs, wanted ", fewest, " to ", shown(most), ": split some"))
     is_ = lambda *names: checker.isin(*names, *[n.removeprefix("check_") for n in names])
     return (
-        F.when(is_("check_word_range"), F.when(mixed < low, told(mixed, " words, wanted ", low, " to ", high, ": add ", low - mixed)).when(mixed > high, told(mixed, " words, wanted ", low, " to ", high, ": cut ", mixed - high)))
-        .when(is_("check_word_limit"), F.when(mixed > high, told(mixed, " words, at most ", high, ": cut ", mixed - high)))
-        .when(is_("check_paragraph_count"), F.when((most > 0) & (blocks > most), told(blocks, " paragraphs, wanted ", fewest, " to ", most, ": join some")).when(blocks < fewest, told(blocks, " paragraphs, wanted ", fewest, " to ", shown(most), ": split some")))
-        .when(is_("check_first_last_line"), F.nullif(ends, F.lit("")))
-        .when(is_("check_first_word"), F.when(~opened.startswith(word), told("must open with ", word, ", opens with ", F.substring(M.strip(text), 1, 30))))
+        F.when(is_("check_word_range"), M.bind(mixed, ranged))
+        .when(is_("check_word_limit"), M.bind(mixed, lambda n: F.when(n > high, told(n, " words, at most ", high, ": cut ", n - high))))
+        .when(is_("check_paragraph_count"), M.bind(blocks, paragraphs))
+        .when(is_("check_first_last_line"), M.bind(ends, lambda e: F.when(e != "", e)))
+        .when(is_("check_first_word"), M.bind(M.trim(text), lambda t: F.when(~opened(t).startswith(word), told("must open with ", word, ", opens with ", F.substring(t, 1, 30)))))
         .when(is_("check_first_line_format"), told("first line must be ", F.coalesce(c.given("format"), F.lit("bold")), ", is ", F.substring(first, 1, 50)))
-        .when(is_("check_decimal_places"), F.when(F.size(wrong) > 0, told("numbers must have ", places, " places: ", F.array_join(F.slice(wrong, 1, 5), ", "))))
+        .when(is_("check_decimal_places"), M.bind(wrong, lambda own: F.when(F.size(own) > 0, told("numbers must have ", places, " places: ", F.array_join(F.slice(own, 1, 5), ", ")))))
         .when(is_("check_ordered_list_count"), F.when(exact.isNotNull(), told(items, " numbered items, wanted exactly ", exact)).otherwise(told(items, " numbered items, wanted ", shown(c.number("min_count")), " to ", shown(most))))
         .when(is_("check_sentence_count"), told(sentences, " sentences, wanted at least ", fewest))
         .when(is_("check_json_format"), F.lit("must be valid JSON as a whole, without Markdown"))
