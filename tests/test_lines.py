@@ -71,3 +71,21 @@ def test_shared_passages_read_no_text_after_the_candidates(spark, monkeypatch):
         rows = [(r.passage, r.side, r.doc_id) for r in found.collect()]
         assert set(rows) == wanted and len(rows) == len(wanted)
         assert "Generate" not in plan(found)
+
+
+def test_passages_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With one hash for all passages only the texts decide."""
+    from verdance.operators import construct as C
+
+    train = spark.createDataFrame([("a", "x\ny"), ("b", "x")], "doc_id string, text string")
+    test = spark.createDataFrame([("c", "y\nz")], "doc_id string, text string")
+    monkeypatch.setattr(C.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    assert sorted((r.passage, r.side, r.doc_id) for r in C.shared_passages(train, test).collect()) == [("y", "test", "c"), ("y", "train", "a")]
+
+
+def test_shared_passages_are_not_dealt_out_by_passage(spark):
+    from verdance.operators import construct as C
+
+    rows = spark.createDataFrame([("a", "x\ny")], "doc_id string, text string")
+    found = C.shared_passages(rows, rows)
+    assert found.count() == 4 and "Join" not in plan(found)

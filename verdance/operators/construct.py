@@ -681,9 +681,9 @@ def shared_passages(train: DataFrame, test: DataFrame, *, least: int = 0) -> Dat
     both = stored(rows.groupBy("h").agg(*on_both).where("a <> b").select("h"))
     few = both.count() <= BROADCAST_HASHES
     members = stored(rows.join(F.broadcast(both) if few else both, "h", "left_semi").select("passage", "is_test", "doc_id").distinct())
-    # Passages of one hash but of one side only are no shared ones.
-    sides = members.groupBy(F.col("passage").alias("_p")).agg(*on_both).where("a <> b").select("_p")
-    found = members.join(sides, F.col("passage") == F.col("_p"), "left_semi")
+    # Passages of one hash but of one side only are no shared ones. Hardly ever there are any, so members are not dealt out by passage to look for them.
+    alone = stored(members.groupBy(F.col("passage").alias("_p")).agg(*on_both).where("a = b").select("_p"))
+    found = members if alone.isEmpty() else members.join(alone, F.col("passage") == F.col("_p"), "left_anti")
     return found.select(F.md5(F.col("passage").cast("binary")).alias("passage_id"), "passage", F.when(F.col("is_test"), "test").otherwise("train").alias("side"), "doc_id")
 
 
